@@ -7,10 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenry.llm import quality_rules
+from lumenry.llm import bpe, quality_rules, simhash
 from lumenry.llm.common import table
 
 
+def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and class of near-duplicates of every document."""
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the ids of every document and of the bytes decoded from them."""
+    path, pattern = bpe.vocabulary()
+    return bpe.encode_table(table(spark, sf_dir, "documents").select("doc_id", "text"), path, pattern, keep_ids=False, digests=True)
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base figures of every document and the verdict of the learned decision list."""
     measures = quality_rules.measure_table(table(spark, sf_dir, "documents"))
@@ -20,6 +32,8 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op4_simhash_near_dedup": op4_simhash_near_dedup,
+        "op6_byte_bpe": op6_byte_bpe,
         "op7_quality_rules": op7_quality_rules,
     }
 
