@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenry.llm import bpe, quality_rules, simhash
+from lumenry.llm import bpe, quality_rules, secret_scan, simhash
 from lumenry.llm.common import table
 
 
@@ -30,11 +30,17 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(measures, rules).select("doc_id", *quality_rules.BASE, "base_failed", "kept", "rule")
 
 
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of secrets in every document, with the ownership of what they hold."""
+    return secret_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op4_simhash_near_dedup": op4_simhash_near_dedup,
         "op6_byte_bpe": op6_byte_bpe,
         "op7_quality_rules": op7_quality_rules,
+        "op9_secret_scan": op9_secret_scan,
     }
 
 
