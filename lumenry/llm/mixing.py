@@ -131,3 +131,18 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
     out = rows.join(dealt, F.col("source").eqNullSafe(F.col("s1")) & (F.col("size") == F.col("z1")) & (F.col("bucket") == F.col("b1"))).withColumn("place", place)
     copies = F.when(F.col("size") > 0, F.col("base") + (F.col("place") <= F.col("quota")).cast("long")).otherwise(F.lit(0).cast("long"))
     return out.withColumn("copies", copies).select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def take(docs: DataFrame, source: str = "source", text: str = "text", **how) -> DataFrame:
+    """docs with each row as often as mix() takes it. Rows that share doc_id, source and size are told apart by number."""
+    taken = settle(mix(docs, source=source, text=text, **how))
+    key = ["doc_id", "source", "size"]
+    left = docs.withColumns({"_m_source": F.col(source).cast("string"), "_m_size": F.regexp_count(text_of(text), F.lit(WORD)).cast("long")})
+    same = F.col("doc_id").eqNullSafe(F.col("_t_doc_id")) & F.col("_m_source").eqNullSafe(F.col("_t_source")) & (F.col("_m_size") == F.col("_t_size"))
+    right = taken.select(*[F.col(c).alias(f"_t_{c}") for c in key], F.col("copies").alias("_t_copies"))
+    if not taken.groupBy(*key).count().where("count > 1").isEmpty():
+        left = left.withColumn("_m_row", F.row_number().over(Window.partitionBy("doc_id", "_m_source", "_m_size").orderBy(F.xxhash64(text))))
+        right = right.withColumn("_t_row", F.row_number().over(Window.partitionBy(*[f"_t_{c}" for c in key]).orderBy(F.desc("_t_copies"))))
+        same = same & (F.col("_m_row") == F.col("_t_row"))
+    out = left.join(right.where("_t_copies > 0"), same)
+    return out.withColumn("_m_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_t_copies")))).select(*docs.columns)

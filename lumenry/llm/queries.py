@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from lumenry.llm import bpe, mixing, quality_rules, secret_scan, sharding, simhash
 from lumenry.llm.common import table
 
@@ -49,6 +50,7 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "pipeline": corpus_pipeline.run,
         "op2_mixing": op2_mixing,
         "op3_sharding": op3_sharding,
         "op4_simhash_near_dedup": op4_simhash_near_dedup,
