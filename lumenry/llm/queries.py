@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lumenry.llm import bpe, mixing, quality_rules, secret_scan, sharding, simhash
+from lumenry.llm import bpe, merkle, mixing, quality_rules, secret_scan, sharding, simhash
 from lumenry.llm.common import table
 
 
@@ -43,6 +43,11 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(measures, rules).select("doc_id", *quality_rules.BASE, "base_failed", "kept", "rule")
 
 
+def op8_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merkle fingerprints of every document and of its edited text, and their likeness."""
+    return merkle.edited_with_next(table(spark, sf_dir, "documents"))
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of secrets in every document, with the ownership of what they hold."""
     return secret_scan.scan(table(spark, sf_dir, "documents"))
@@ -56,6 +61,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_simhash_near_dedup": op4_simhash_near_dedup,
         "op6_byte_bpe": op6_byte_bpe,
         "op7_quality_rules": op7_quality_rules,
+        "op8_merkle_fingerprints": op8_merkle_fingerprints,
         "op9_secret_scan": op9_secret_scan,
     }
 
