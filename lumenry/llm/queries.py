@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lumenry.llm import bpe, chat_format, merkle, mixing, quality_rules, secret_scan, sharding, simhash
+from lumenry.llm import bpe, chat_format, html_extract, merkle, mixing, quality_rules, secret_scan, sharding, simhash
 from lumenry.llm.common import table
 
 
@@ -38,6 +38,11 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op5_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of the ids of every document and of the bytes decoded from them."""
     path, pattern = bpe.vocabulary()
@@ -68,6 +73,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_mixing": op2_mixing,
         "op3_sharding": op3_sharding,
         "op4_simhash_near_dedup": op4_simhash_near_dedup,
+        "op5_html_extract": op5_html_extract,
         "op6_byte_bpe": op6_byte_bpe,
         "op7_quality_rules": op7_quality_rules,
         "op8_merkle_fingerprints": op8_merkle_fingerprints,
