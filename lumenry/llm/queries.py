@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lumenry.llm import bpe, chat_format, html_extract, merkle, mixing, quality_rules, secret_scan, sharding, simhash
+from lumenry.llm import bpe, chat_format, html_extract, kneser_ney, merkle, mixing, quality_rules, secret_scan, sharding, simhash
 from lumenry.llm.common import table
 
 
@@ -66,6 +66,11 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(table(spark, sf_dir, "documents"))
 
 
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Perplexity of every document under a model of trusted text, and the verdict of its language's threshold."""
+    return kneser_ney.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "pipeline": corpus_pipeline.run,
@@ -78,6 +83,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_quality_rules": op7_quality_rules,
         "op8_merkle_fingerprints": op8_merkle_fingerprints,
         "op9_secret_scan": op9_secret_scan,
+        "op10_quality_classifier": op10_quality_classifier,
     }
 
 
