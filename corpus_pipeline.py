@@ -26,8 +26,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     the filter keeps the optimizer from computing the figures a second time inside it.
     """
     rules = quality_rules.fit(quality_rules.measure_table(docs), table(spark, sf_dir, "labels"))
-    measures = quality_rules.figures(quality_rules.measured(docs)).withColumn("_q_row", F.monotonically_increasing_id())
-    return quality_rules.judge(measures, rules).where(F.col("kept") & (F.col("_q_row") >= 0)).select(*docs.columns)
+    whole = docs.select(F.struct(*docs.columns).alias("_doc"), "doc_id", "text")
+    measures = quality_rules.figures(quality_rules.measured(whole)).withColumn("_q_row", F.monotonically_increasing_id())
+    return quality_rules.judge(measures, rules).where(F.col("kept") & (F.col("_q_row") >= 0)).select("_doc.*")
 
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

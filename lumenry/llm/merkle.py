@@ -80,7 +80,7 @@ def _followers(keys: DataFrame) -> DataFrame:
     me = F.struct("doc_id", "th", "n_chars")
     inside = Window.partitionBy("part").orderBy(*order)
     ranked = dealt.withColumns({"before": F.lag(me).over(inside), "place": F.row_number().over(inside)})
-    place = F.struct(F.col("doc_id").isNull().alias("none"), (-F.col("doc_id")).alias("down"), F.col("th"), me.alias("key"))
+    place = F.struct(F.col("doc_id").isNull().alias("none"), F.bitwise_not("doc_id").alias("down"), F.col("th"), me.alias("key"))
     ends = dealt.groupBy("part").agg(F.max(place)["key"].alias("last"))
     around = Window.orderBy("part")
     last_of_all = F.last("last").over(around.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
