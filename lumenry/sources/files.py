@@ -13,19 +13,19 @@ from pyspark.sql import types as T
 from lumenry.functions.scores import numeric
 from lumenry.functions.text import content, line_id, path_key
 
-PATH = F.col("_metadata.file_path")
+PATH = "_metadata.file_path"
 
 
 def _keyed(df: DataFrame, value: Column) -> DataFrame:
     """company, year (null if it is no number), path and the value."""
-    key = path_key(PATH)
-    return df.select(key["company"].alias("company"), key["year"].try_cast("int").alias("year"), PATH.alias("path"), value)
+    key = path_key(F.col(PATH))
+    return df.select(key["company"].alias("company"), key["year"].try_cast("int").alias("year"), F.col(PATH).alias("path"), value)
 
 
 def report_texts(spark: SparkSession, root: str, name: str = "*results.txt") -> DataFrame:
-    """(company, year, path, text) of whole files in any depth; any name that ends in results.txt counts, as in a suffix test."""
+    """(company, year, path, text) of whole files in any depth; any name that ends in results.txt counts, as in a suffix test. Bytes that are no UTF-8 fail."""
     df = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", name).text(root, wholetext=True)
-    return _keyed(df, F.col("value").alias("text"))
+    return _keyed(df, F.validate_utf8("value").alias("text"))
 
 
 def lenient_texts(spark: SparkSession, root: str, name: str = "results.txt") -> DataFrame:
@@ -86,5 +86,5 @@ def log_lines(spark: SparkSession, path: str) -> DataFrame:
 
 def folders(spark: SparkSession, root: str) -> DataFrame:
     """(company, year) of all folders of two levels that hold files."""
-    df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select(path_key(PATH).alias("k"))
+    df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select(path_key(F.col(PATH)).alias("k"))
     return df.select("k.*").distinct()
