@@ -52,3 +52,18 @@ def with_workers(spark: SparkSession) -> None:
     have = spark.sparkContext.environment.get("PYTHONPATH", "")
     if ROOT not in have.split(os.pathsep):
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, have) if x)
+
+
+#: Rows that make a key heavy, at least, and how many keys can be heavy at most.
+LEAST_HEAVY, MOST_HEAVY = 200, 100_000
+
+
+def meet(rows: DataFrame, facts: DataFrame, key: str, total: int) -> DataFrame:
+    """rows joined with facts, unique by key, that hold in `n` how many of the `total` rows have the key; n is dropped.
+
+    Heavy keys, at most MOST_HEAVY of them whatever the data, are sent to the rows, so that their rows stay where they are; the others meet by shuffle.
+    """
+    heavy = F.col("n") > max(LEAST_HEAVY, total // MOST_HEAVY)
+    sent = F.broadcast(facts.where(heavy).drop("n"))
+    light = rows.join(sent.select(key), key, "left_anti").join(facts.where(~heavy).drop("n"), key)
+    return rows.join(sent, key).unionByName(light)

@@ -5,36 +5,37 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenry.llm.common import settle
+from lumenry.llm.common import meet, settle
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, n: int) -> DataFrame:
     """Hangs every larger neighbour of a node on the smallest of its neighbours and itself."""
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.where(F.col("v") > F.col("u")).join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+    return meet(both.where(F.col("v") > F.col("u")), least, "u", 2 * n).select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, n: int) -> DataFrame:
     """Hangs a node and its smaller neighbours on the smallest of them."""
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    moved = down.join(least, "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = down.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    moved = meet(down, least, "u", n).where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.union(least.select("u", F.col("m").alias("v")))
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of the edges (u, v): root is the smallest node that can be reached.
 
-    Minima are aggregated before the shuffle and joined back, so that a node of any degree is never one group in
-    memory. Rounds end when the edges no longer change; each is a written table. Self-links, repeated edges and an
+    Minima are aggregated before the shuffle and joined back, heavy nodes apart, so that a node of any degree is never one group in
+    memory or one task. Rounds end when the edges no longer change; each is a written table. Self-links, repeated edges and an
     empty table are fine; edges with a null end are left out.
     """
     now = settle(edges.where(F.col("u").isNotNull() & F.col("v").isNotNull() & (F.col("u") != F.col("v"))).distinct())
-    mark = None
-    while True:
-        now = settle(_small_star(_large_star(now)).where(F.col("u") != F.col("v")).distinct())
+    n, mark = now.count(), None
+    while n:
+        now = settle(_small_star(settle(_large_star(now, n).distinct()), n).where(F.col("u") != F.col("v")).distinct())
         new = now.agg(F.count("*"), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 40)))).first()
-        if new == mark or not new[0]:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
-        mark = new
+        if new == mark:
+            break
+        n, mark = new[0], new
+    return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lumenry.llm.common import settle, with_workers
+from lumenry.llm.common import meet, settle, with_workers
 from lumenry.llm.components import components
 
 U = np.uint64
@@ -190,10 +190,10 @@ def near_links(fps: DataFrame, limit: int = 2, split_above: int = 4096) -> DataF
 def near_duplicates(docs: DataFrame, limit: int = 2, text: str = "text") -> DataFrame:
     """Per row of docs: doc_id, fp (long), component_id."""
     prints = settle(fingerprints(docs, text))
-    least = settle(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
+    least = settle(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")))
     parts = components(near_links(least.select("fp"), limit)).withColumnRenamed("node", "fp")
     ids = parts.join(least, "fp")
     part_id = ids.groupBy("root").agg(F.min("first_id").alias("part_id"))
     of_print = least.join(ids.select("fp", "root").join(part_id, "root").select("fp", "part_id"), "fp", "left")
-    of_print = of_print.select("fp", F.coalesce("part_id", "first_id").alias("component_id"))
-    return prints.join(of_print, "fp").select("doc_id", "fp", "component_id")
+    of_print = settle(of_print.select("fp", "n", F.coalesce("part_id", "first_id").alias("component_id")))
+    return meet(prints, of_print, "fp", prints.count()).select("doc_id", "fp", "component_id")
