@@ -21,7 +21,7 @@ from lumenry.llm.common import settle, text_of
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
-TOKEN = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{28,}"
+TOKEN = r"[A-Za-z0-9+/_-]{28,}"
 KINDS = ("assign", "access", "hex", "token")
 COMMON_OWNERS = 3
 

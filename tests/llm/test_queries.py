@@ -375,3 +375,37 @@ def test_pipeline(spark, edge_dir):
     assert all(v <= 2 * sum((r.doc_id, r.text) == k for r in clean.collect()) for k, v in times.items())
     assert set(p.tokens(spark, mixed, edge_dir).columns) == {"doc_id", "n_tokens", "ids_sha256", "decoded_sha256"}
     assert p.run(spark, edge_dir).count() > 0
+
+
+def test_op5_zones():
+    """What belongs to the article, by markup of several kinds."""
+    from lumenry.llm import html_extract as h
+
+    def inside(html):
+        zones = h.blocks(html)
+        kept = [t for z, t in zones if z == h.INSIDE]
+        return kept or [t for z, t in zones if z == h.OPEN]
+
+    page = '<header>H</header><div class="page with-sidebar"><div class=sidebar>S</div><main><p>intro</p><article><header><h1>T</h1></header><p>a <span class="ad">AD</span> b</p><div class=share-buttons>sh</div><form>f<input></form><footer>x</footer></article></main><section id="comments"><article>c</article></section></div>'
+    assert inside(page) == ["T", "a b"]
+    assert inside('<div class="content"><h2>T</h2><p>x<div class=related>r</div><p>y</div><div class=comments><p>no</div>') == ["T", "x", "y"]
+    assert inside("<main><h1>T</h1><p>x</main><aside>z</aside>") == ["T", "x"]
+    assert inside('<div style="display: none">hid</div><p>vis</p><div hidden>h</div><p data-id="ad">ok') == ["vis", "ok"]
+    assert inside("<article class='post comments-open'><p><b>a<br><p>b<ul><li>c<li>d</ul></article>") == ["a", "b", "c", "d"]
+    assert inside("") == [] and inside("<p") == [] and inside("<!-- x <p>y</p> --><p>z<script>if (a<b) '</p>'</script>") == ["z"]
+
+
+def test_op5_suffixes():
+    """Covered tokens against all pairs of runs."""
+    import random
+
+    from lumenry.llm.html_extract import repeated
+
+    rnd = random.Random(1)
+    for _ in range(100):
+        streams = [[rnd.choice("abc") for _ in range(rnd.randint(0, 20))] for _ in range(rnd.randint(1, 4))]
+        least = rnd.randint(1, 6)
+        for i, (s, got) in enumerate(zip(streams, repeated(streams, least), strict=True)):
+            runs = {tuple(t[k : k + least]) for j, t in enumerate(streams) if j != i for k in range(len(t) - least + 1)}
+            exp = [any(tuple(s[a : a + least]) in runs for a in range(max(0, k - least + 1), min(k, len(s) - least) + 1)) for k in range(len(s))]
+            assert exp == got.tolist()
