@@ -210,4 +210,4 @@ def judge(measures: DataFrame, rules: list[Rule]) -> DataFrame:
 def measure_table(docs: DataFrame) -> DataFrame:
     """doc_id and all figures of each row, settled in the shared folder without the texts."""
     df = figures(measured(docs.select("doc_id", "text")))
-    return settle(df.select("doc_id", *BASE, *FIGURES))
+    return settle(df.select("doc_id", *BASE, *FIGURES), narrow=True)
