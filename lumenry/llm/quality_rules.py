@@ -117,11 +117,14 @@ def rule_number(rules: list[Rule]) -> Column:
 
 
 def _thresholds(rows: DataFrame) -> dict[str, list[float]]:
-    """Candidate thresholds: up to BINS - 1 quantiles of each figure over both classes together and over the bad class."""
+    """Candidate thresholds: up to BINS - 1 quantiles of each figure over both classes together and over the bad class.
+
+    They are rounded, so that the order in which sketches of quantiles are merged doesn't show.
+    """
     probs = F.array(*[F.lit(k / BINS) for k in range(1, BINS)])
     aggs = [F.percentile_approx(F.when(w, F.col(f)), probs, F.lit(10000)).alias(f"{f}_{k}") for f in FIGURES for k, w in (("all", F.lit(True)), ("bad", F.col("bad") == 1))]
     got = rows.agg(*aggs).first()
-    return {f: sorted({x for k in ("all", "bad") for x in got[f"{f}_{k}"] or []}) for f in FIGURES}
+    return {f: sorted({round(x, 3) for k in ("all", "bad") for x in got[f"{f}_{k}"] or []}) for f in FIGURES}
 
 
 def learn(labelled: DataFrame, max_rules: int = 8, max_conditions: int = 3, least_precision: float = 0.9, least_share: float = 0.002) -> list[Rule]:
