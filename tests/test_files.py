@@ -181,3 +181,12 @@ def test_detectors(spark):
     df = spark.createDataFrame([("der Hund und die Katze",), ("the cat of",), ("",), (None,)], "t string")
     assert [r.g for r in df.select(providers.is_german(F.col("t"), providers.word_detector()).alias("g")).collect()] == [True, False, False, False]
     assert [r.n for r in df.select(providers.token_count(F.col("t"), providers.piece_counter()).alias("n")).collect()] == [5, 3, 0, 0]
+
+
+def test_thresholds_reach_the_scan(spark, tmp_path):
+    from lumenry.operators.scoring import with_maxima
+
+    rows = spark.createDataFrame([("c", 2020, 1, [0.1, 0.7])], "company string, year int, sentence_id long, scores array<double>")
+    sinks.write_scores(with_maxima(rows, sdg=F.col("scores")), str(tmp_path / "s"))
+    plan = spark.read.parquet(str(tmp_path / "s")).where("max_sdg >= 0.5 AND year = 2020").select("sentence_id")._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(max_sdg,0.5)" in plan and "PartitionFilters: [isnotnull(year" in plan and "scores" not in plan.split("ReadSchema")[1]
