@@ -6,7 +6,7 @@ documents into sorted (pair, document, times), packed for each shard; the shard'
 answers with a sum of log probabilities for each document of the block; answers meet by block. What is held at once is a
 block, a packed answer, and one shard's counts (at most VOCABULARY^2 / shards pairs); what is broadcast are figures by
 word, at most VOCABULARY rows, and 65,536 byte pairs. A block is named by its input partition and number there, so a
-task that runs again gives the same.
+task that runs again gives the same; documents must come from files or a written table, whose rows keep their order.
 
 Trusted documents are those labelled good (quality 1, toxic 0). One in HELD_OUT of them, by hash of doc_id, only sets
 thresholds: each language's quantile of their perplexities, from exact counts by thousandths of its logarithm; a
@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 
 from lumenry.llm.common import WORD, settle, text_of, with_workers
 
-VOCABULARY, LONGEST = 32768, 64
+VOCABULARY, LONGEST, BINS = 32768, 64, 64
 UNKNOWN, BEGIN, END, FIRST = 0, 1, 2, 3
 BLOCK_TOKENS, BLOCK_DOCS = 1 << 18, 1 << 15
 HELD_OUT, QUANTILE = 5, 0.995
@@ -193,10 +193,21 @@ def _by_shard(entries: list[np.ndarray], shards: int) -> Iterator[tuple[int, byt
 
 
 def vocabulary(trusted: DataFrame, size: int = VOCABULARY) -> dict[bytes, int]:
-    """Ids of the most frequent words of trusted (text), ties by code point; at most size - FIRST short words come to the driver."""
+    """Ids of the most frequent words of trusted (text): at most size - FIRST short ones seen twice or more.
+
+    The least count is found from numbers of words by the logarithm of their count, so no more than the words chosen come to the driver; words
+    about as frequent are taken together or left together.
+    """
     words = trusted.select(F.explode(F.regexp_extract_all("text", F.lit(WORD), F.lit(0))).alias("w"))
-    top = words.groupBy("w").agg(F.count("*").alias("n")).where((F.col("n") > 1) & (F.octet_length("w") <= LONGEST)).orderBy(F.desc("n"), "w").limit(size - FIRST)
-    return {r["w"].encode(): k for k, r in enumerate(top.collect(), FIRST)}
+    counts = settle(words.groupBy("w").agg(F.count("*").alias("n")).where((F.col("n") > 1) & (F.octet_length("w") <= LONGEST)).withColumn("bin", F.floor(F.log("n") * BINS)))
+    room, least = size - FIRST, None
+    for r in sorted(counts.groupBy("bin").agg(F.count("*").alias("words")).collect(), key=lambda r: -r["bin"]):
+        room -= r["words"]
+        if room < 0:
+            break
+        least = r["bin"]
+    top = counts.where(F.col("bin") >= least).select("w", "n").collect() if least is not None else []
+    return {r["w"].encode(): k for k, r in enumerate(sorted(top, key=lambda r: (-r["n"], r["w"])), FIRST)}
 
 
 _COUNTS = T.StructType([T.StructField("shard", T.IntegerType()), T.StructField("part", T.IntegerType()), T.StructField("payload", T.BinaryType())])
