@@ -2,8 +2,20 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import SparkSession
 
+ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+
+
+def workers_import_this(spark: SparkSession) -> SparkSession:
+    """Lets Python workers import this library where it is not installed but lies on the same path."""
+    have = spark.sparkContext.environment.get("PYTHONPATH", "")
+    if ROOT not in have.split(os.pathsep):
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, have) if x)
+    return spark
+
 
 def build_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "lumenry", **conf: str) -> SparkSession:
     """A local session with AQE on, UTC time and case-sensitive names (wide score files differ by case only)."""
