@@ -34,7 +34,7 @@ from lumenry.llm.common import WORD, settle, text_of, with_workers
 VOCABULARY, LONGEST, BINS = 32768, 64, 64
 UNKNOWN, BEGIN, END, FIRST = 0, 1, 2, 3
 BLOCK_TOKENS, BLOCK_DOCS = 1 << 18, 1 << 15
-HELD_OUT, QUANTILE = 5, 0.995
+HELD_OUT, QUANTILE, COARSE = 5, 0.995, 256
 #: Trusted ids that may be broadcast (8 bytes each); with more, documents are joined by shuffle.
 MANY_IDS = 4_000_000
 
@@ -366,11 +366,14 @@ def thresholds(scored: DataFrame, held: DataFrame, quantile: float = QUANTILE) -
     """(lang, most): the logarithmic bin of each language's quantile over held-out trusted documents; lang `*all*` for all of them."""
     bins = scored.join(held, "doc_id", "left_semi").select("lang", _bin().alias("bin"))
     both = bins.select(F.struct(F.lit(False).alias("every"), "lang").alias("of"), "bin").unionByName(bins.select(F.struct(F.lit(True).alias("every"), F.lit(None).cast("string").alias("lang")).alias("of"), "bin"))
-    counts = both.groupBy("of", "bin").agg(F.count("*").alias("n"))
-    upto = F.sum("n").over(Window.partitionBy("of").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0))
-    whole = F.sum("n").over(Window.partitionBy("of"))
-    reached = counts.withColumns({"upto": upto, "whole": whole}).where(F.col("upto") >= F.lit(quantile) * F.col("whole"))
-    return reached.groupBy("of").agg(F.min("bin").alias("most")).select("of.every", "of.lang", "most")
+    counts = settle(both.groupBy("of", "bin").agg(F.count("*").alias("n")).withColumn("coarse", F.floor(F.col("bin") / COARSE)))
+    # First the run of COARSE bins that holds the quantile, then the bin in it: no task looks at all bins of a language.
+    running = lambda by: F.sum("n").over(Window.partitionBy("of").orderBy(by).rowsBetween(Window.unboundedPreceding, 0))
+    runs = counts.groupBy("of", "coarse").agg(F.sum("n").alias("n"))
+    runs = runs.withColumns({"upto": running("coarse"), "whole": F.sum("n").over(Window.partitionBy("of"))}).where(F.col("upto") >= F.lit(quantile) * F.col("whole"))
+    held_in = runs.groupBy("of").agg(F.min(F.struct("coarse", (F.col("upto") - F.col("n")).alias("below"), "whole")).alias("r")).select("of", "r.*")
+    inside = counts.join(held_in, ["of", "coarse"]).withColumn("upto", F.col("below") + running("bin")).where(F.col("upto") >= F.lit(quantile) * F.col("whole"))
+    return inside.groupBy("of").agg(F.min("bin").alias("most")).select("of.every", "of.lang", "most")
 
 
 def _bin():

@@ -435,3 +435,18 @@ def test_long_chain_is_one_component(spark):
     edges = spark.range(400).selectExpr("id AS u", "id + 1 AS v").union(spark.range(300).selectExpr("1000L AS u", "2000 + id AS v"))
     got = {r.node: r.root for r in components(edges).collect()}
     assert all(got[k] == 0 for k in range(401)) and all(got[2000 + k] == 1000 for k in range(300)) and len(got) == 702
+
+
+def test_op10_thresholds_are_exact_quantiles(spark):
+    import math
+
+    from lumenry.llm import kneser_ney as kn
+
+    rows = [(k, None if k % 4 == 0 else f"g{k % 4 % 3}", 1.0 + (k * 7919 % 5003) ** 1.5) for k in range(3000)]
+    scored = spark.createDataFrame(rows, "doc_id long, lang string, perplexity double")
+    for q_ in (0.5, 0.995, 1.0):
+        got = {(r.every, r.lang): r.most for r in kn.thresholds(scored, scored.select("doc_id"), q_).collect()}
+        assert len(got) == 5
+        for (every, lang), most in got.items():
+            bins = sorted(math.floor(math.log(p) * 1000) for _, g, p in rows if every or g == lang)
+            assert most == bins[math.ceil(q_ * len(bins)) - 1]
