@@ -449,6 +449,53 @@ def windowed_events(spark, sf_dir):
     return counted(table(spark, sf_dir, "events")).withColumn("total", F.round("total", 4))
 
 
+# --- selection -----------------------------------------------------------------------------------------
+
+
+def report_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(company, year, sentence_id, sentence): the documents as the sentences of the scored vectors."""
+    texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("sentence_id"), F.col("text").alias("sentence"))
+    return sentences(spark, sf_dir).drop("vec").join(texts, "sentence_id")
+
+
+SELECTED_SQL = f"{P_SQL}, c AS (SELECT sentence_id, company, year FROM p GROUP BY ALL HAVING max(score) >= 0.3), q AS (SELECT c.*, d.text AS sentence FROM c JOIN documents d ON d.doc_id = c.sentence_id WHERE d.text <> '')"
+
+
+@query(f"{SELECTED_SQL} SELECT 'task||' || sentence_id || '||' || company || '||' || year AS custom_id, sentence FROM q")
+def requests_selected(spark, sf_dir):
+    from lumenry.plans.stages import requests
+
+    rows = requests(scored(spark, sf_dir)[0], report_sentences(spark, sf_dir), 0.3, "model-x")
+    return rows.select("custom_id", F.get_json_object("request", "$.body.messages[1].content").alias("sentence"))
+
+
+@query(f"{SELECTED_SQL} SELECT CAST(count(*) AS BIGINT) AS selected, CAST(count(DISTINCT (company, year)) AS BIGINT) AS files, CAST(ceil(count(*) / 50.0) AS BIGINT) AS batches FROM q")
+def selection_counters(spark, sf_dir):
+    from lumenry.plans.stages import requests
+
+    rows = requests(scored(spark, sf_dir)[0], report_sentences(spark, sf_dir), 0.3, "model-x")
+    return rows.agg(F.count("*").alias("selected"), F.countDistinct("company", "year").alias("files"), F.ceil(F.count("*") / 50).alias("batches"))
+
+
+@query(f"{P_SQL} SELECT sentence_id, " + ", ".join(f"max(score) FILTER (ref_key = '{k}') AS {k}" for k in ("sdg_1", "sdg_2", "sdg_17", "ai_17")) + " FROM p GROUP BY 1")
+def scores_wide(spark, sf_dir):
+    """A few references as columns, as a wide export has them."""
+    rows, keys = scored(spark, sf_dir)
+    return rows.select("sentence_id", *[F.get("scores", F.lit(keys.index(k))).alias(k) for k in ("sdg_1", "sdg_2", "sdg_17", "ai_17")])
+
+
+@query(f"WITH {R_SQL}, c AS (SELECT CASE WHEN ord % 2 = 0 THEN upper(ref_key) ELSE ref_key END AS name, ord FROM r) SELECT name, ord FROM c WHERE name IN (SELECT ref_key FROM r WHERE ord % 5 < 3)")
+def select_exact_columns(spark, sf_dir):
+    r = refs(spark, sf_dir)
+    columns = r.select(F.when(F.col("ord") % 2 == 0, F.upper("ref_key")).otherwise(F.col("ref_key")).alias("name"), "ord")
+    return references.resolve_columns(columns, r.where(F.col("ord") % 5 < 3).select(F.col("ref_key").alias("term")), exact=True)
+
+
+@query("SELECT doc_id, CAST(CASE WHEN coalesce(text, '') = '' THEN 0 ELSE len(string_split(text, chr(10))) - CASE WHEN text LIKE '%' || chr(10) THEN 1 ELSE 0 END END AS BIGINT) AS n_lines FROM documents")
+def line_counts(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", X.line_count(F.col("text")).alias("n_lines"))
+
+
 # --- without an oracle: Python on the way ------------------------------------------------------------
 
 

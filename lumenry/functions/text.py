@@ -85,6 +85,12 @@ def word_tokens(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"\S+")).cast("long")
 
 
+def line_count(text: Column) -> Column:
+    """Number of lines; a line end at the end begins no other."""
+    t = F.coalesce(text, F.lit(""))
+    return F.when(t == "", 0).otherwise(F.size(F.split(t, "\\R", -1)) - F.when(t.rlike(r"\R\z"), 1).otherwise(0)).cast("long")
+
+
 def path_key(path: Column) -> Column:
     """struct(company, year) from .../company/year/file; url escapes are undone."""
     parts = F.split(path, "/")
