@@ -450,3 +450,39 @@ def test_op10_thresholds_are_exact_quantiles(spark):
         for (every, lang), most in got.items():
             bins = sorted(math.floor(math.log(p) * 1000) for _, g, p in rows if every or g == lang)
             assert most == bins[math.ceil(q_ * len(bins)) - 1]
+
+
+def test_pipeline_dedup_is_by_jaccard(spark):
+    """The stage against all pairs of sets of five-word shingles: chains, groups of near copies, and a passage that all share."""
+    import random
+
+    import corpus_pipeline as p
+
+    rnd = random.Random(3)
+    word = lambda: f"w{rnd.randrange(4000)}"
+    passage = " ".join(word() for _ in range(40))
+    texts = []
+    for k in range(12):
+        base = [word() for _ in range(60 + 20 * k)]
+        for j in range(12):
+            t = base[:]
+            for _ in range(rnd.randrange(0, 2 + len(t) // 35)):
+                t[rnd.randrange(len(t))] = word()
+            texts.append(" ".join(t) + (" " + passage if k % 2 else ""))
+            base = t if j % 3 else base
+    texts += [passage, passage + " " + word(), "a b", "a b", "A  B", "", None, "\t"]
+
+    def grams(t):
+        w = words((t or "").lower())
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    sets = [grams(t) for t in texts]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]) and root[i] != root[j]:
+                a, b = min(root[i], root[j]), max(root[i], root[j])
+                root = [a if r == b else r for r in root]
+    assert len(texts) - len(set(root)) > 60
+    left = p.dedup(spark, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5), "").collect()
+    assert sorted(r.doc_id for r in left) == sorted(set(root))
