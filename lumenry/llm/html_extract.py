@@ -3,7 +3,8 @@
 A page is cut into blocks, each with a zone: `inside` the article, or else the main element, or else an element named as content; `aside`
 for menus, headers, footers, adverts, forms, comments and the like; and `open` where a page marks no content. Of each host, pages are taken in
 chunks of up to CHUNK; the tokens of the blocks outside articles are concatenated page by page, their suffixes sorted to a depth of
-`least` tokens, and runs that begin suffixes of two or more distinct pages are boilerplate. Blocks aside go; open
+`least` tokens, and runs that begin suffixes of two or more distinct pages are boilerplate. For a host of several chunks, 64-bit hashes of all its windows of
+`least` tokens are counted by page as well, and each chunk gets those of its own that pages of other chunks hold, so the result is that of the whole host. Blocks aside go; open
 blocks go where runs cover them, or where there is nothing open but boilerplate; unique runs and articles stay whole, since copied
 pages repeat articles too.
 
@@ -21,11 +22,12 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lumenry.llm.common import with_workers
+from lumenry.llm.common import meet, settle, with_workers
 
 INSIDE, OPEN, ASIDE = 0, 3, 4
 #: Beside these, while a page is read: inside main, and inside an element named as content.
@@ -183,11 +185,28 @@ def repeated(streams: list[list[str]], least: int = LEAST) -> list[np.ndarray]:
     return np.split(np.cumsum(mark[:-1]) > 0, ends[:-1])
 
 
-def main_texts(pages: list[list[tuple[int, str]]], least: int = LEAST) -> list[tuple[str, int]]:
-    """(main text, number of boilerplate tokens) of the pages of one host."""
-    streams = [[t for z, text in p if z != INSIDE for t in text.split(" ")] for p in pages]
+def stream(page: list[tuple[int, str]]) -> list[str]:
+    """The tokens of a page's blocks outside articles."""
+    return [t for z, text in page if z != INSIDE for t in text.split(" ")]
+
+
+def windows(tokens: list[str], least: int = LEAST) -> np.ndarray:
+    """Hashes of every run of `least` tokens, as signed numbers."""
+    n = max(0, len(tokens) - least + 1)
+    digest, raw = xxhash.xxh64_intdigest, [t.encode("utf-8", "replace") for t in tokens]
+    return np.fromiter((digest(b" ".join(raw[k : k + least])) for k in range(n)), np.uint64, n).view(np.int64)
+
+
+def main_texts(pages: list[list[tuple[int, str]]], least: int = LEAST, elsewhere: np.ndarray | None = None) -> list[tuple[str, int]]:
+    """(main text, number of boilerplate tokens) of the pages of one host; `elsewhere` has windows that its other pages hold too."""
+    streams = [stream(p) for p in pages]
+    covers = repeated(streams, least)
+    if elsewhere is not None and len(elsewhere):
+        for tokens, covered in zip(streams, covers, strict=True):
+            for k in np.flatnonzero(np.isin(windows(tokens, least), elsewhere)):
+                covered[k : k + least] = True
     out = []
-    for p, covered in zip(pages, repeated(streams, least), strict=True):
+    for p, covered in zip(pages, covers, strict=True):
         kept, spare, at = [], [], 0
         for z, text in p:
             if z == INSIDE:
@@ -208,9 +227,10 @@ def extract(pages: DataFrame, least: int = LEAST, chunk: int = CHUNK) -> DataFra
     kind = pages.schema["page_id"].dataType
     host = F.lower(F.regexp_extract(F.coalesce(F.col("url").cast("string"), F.lit("")), r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1))
     sizes = pages.select(host.alias("host")).groupBy("host").agg(F.count("*").alias("n")).where(F.col("n") > chunk).select("host", F.ceil(F.col("n") / chunk).alias("parts"))
-    sizes = F.broadcast(sizes) if sizes.count() <= MANY_HOSTS else sizes
+    split = sizes.count()
+    sizes = F.broadcast(sizes) if split <= MANY_HOSTS else sizes
     rows = pages.select("page_id", F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"), host.alias("host"))
-    rows = rows.join(sizes, "host", "left").withColumn("part", F.pmod(F.xxhash64("page_id", "url"), F.coalesce("parts", F.lit(1))).cast("int")).select("page_id", "url", "host", "part", "html")
+    rows = rows.join(sizes, "host", "left").withColumn("part", F.pmod(F.xxhash64("page_id", "url"), F.coalesce("parts", F.lit(1))).cast("int")).select("page_id", "url", "host", "part", "html", "parts")
     head = [T.StructField("page_id", kind), T.StructField("url", T.StringType())]
     cut = T.StructType([*head, T.StructField("host", T.StringType()), T.StructField("part", T.IntegerType()), T.StructField("zones", T.BinaryType()), T.StructField("texts", T.ArrayType(T.StringType()))])
 
@@ -220,6 +240,30 @@ def extract(pages: DataFrame, least: int = LEAST, chunk: int = CHUNK) -> DataFra
             zones = pa.array([bytes(z for z, _ in f) for f in found], pa.binary())
             yield pa.RecordBatch.from_arrays([*b.columns[:4], zones, pa.array([[t for _, t in f] for f in found], pa.list_(pa.string()))], cut.names)
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            hosts, parts, held = b.column(2).to_pylist(), b.column(3).to_pylist(), []
+            for host_, part, x in zip(hosts, parts, b.column(4), strict=True):
+                held.append((host_, part, np.unique(windows(stream(blocks(x.as_py())), least))))
+                if sum(len(h[2]) for h in held) > 1 << 16:
+                    yield counted(held)
+                    held = []
+            if held:
+                yield counted(held)
+
+    def counted(held: list[tuple]) -> pa.RecordBatch:
+        sizes = [len(h[2]) for h in held]
+        own, part = np.concatenate([h[2] for h in held]), np.repeat(np.array([h[1] for h in held], np.int32), sizes)
+        return pa.RecordBatch.from_arrays([pa.array([h[0] for h in held], pa.string()).take(pa.array(np.repeat(np.arange(len(held)), sizes))), pa.array(part), pa.array(own)], ["host", "part", "window"])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            of = [(h, p) for h, p in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+            own, by = b.column(2).to_numpy(zero_copy_only=False), {}
+            for k, key in enumerate(of):
+                by.setdefault(key, []).append(k)
+            yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in by], pa.string()), pa.array([p for _, p in by], pa.int32()), pa.array([own[k].tobytes() for k in by.values()], pa.binary())], ["host", "part", "elsewhere"])
+
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:
             for b in batches:
@@ -227,8 +271,13 @@ def extract(pages: DataFrame, least: int = LEAST, chunk: int = CHUNK) -> DataFra
                     yield tuple(c[k].as_py() for c in b.columns)
 
         for _, group in groupby(rows(), key=lambda r: (r[2], r[3])):
-            own = list(group)
-            texts = main_texts([list(zip(r[4], r[5], strict=True)) for r in own], least)
+            own, shared = [], []
+            for r in group:
+                if r[6] is None:
+                    own.append(r)
+                else:
+                    shared.append(np.frombuffer(r[6], np.int64))
+            texts = main_texts([list(zip(r[4], r[5], strict=True)) for r in own], least, np.concatenate(shared) if shared else None)
             for lo in range(0, len(own), 128):
                 some, t = own[lo : lo + 128], texts[lo : lo + 128]
                 yield pa.RecordBatch.from_arrays(
@@ -240,5 +289,14 @@ def extract(pages: DataFrame, least: int = LEAST, chunk: int = CHUNK) -> DataFra
 
     id_type = to_arrow_type(kind)
     out = T.StructType([*head, T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType()), T.StructField("n_boilerplate", T.LongType())])
-    dealt = rows.mapInArrow(parse, cut).repartition("host", "part").sortWithinPartitions("host", "part", "page_id", "url")
+    dealt = rows.mapInArrow(parse, cut).withColumn("elsewhere", F.lit(None).cast("binary"))
+    if split:
+        held = rows.where(F.col("parts") > 1).select("page_id", "url", "host", "part", "html").mapInArrow(count, "host string, part int, window long")
+        held = settle(held.distinct())  # a chunk's pages share these by its suffix array
+        shared = held.groupBy("host", "window").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.count("*").alias("n")).where("lo < hi")
+        own = meet(held.withColumn("key", F.struct("host", "window")), shared.select(F.struct("host", "window").alias("key"), "n"), "key", held.count()).select("host", "part", "window")
+        own = own.repartition("host", "part").mapInArrow(pack, "host string, part int, elsewhere binary")
+        none = [F.lit(None).cast(f.dataType).alias(f.name) for f in cut.fields]
+        dealt = dealt.unionByName(own.select(*none[:2], "host", "part", *none[4:], "elsewhere"))
+    dealt = dealt.repartition("host", "part").sortWithinPartitions("host", "part", "page_id", "url")
     return dealt.mapInArrow(choose, out)

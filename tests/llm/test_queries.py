@@ -486,3 +486,17 @@ def test_pipeline_dedup_is_by_jaccard(spark):
     assert len(texts) - len(set(root)) > 60
     left = p.dedup(spark, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5), "").collect()
     assert sorted(r.doc_id for r in left) == sorted(set(root))
+
+
+def test_op5_runs_are_found_across_chunks(spark):
+    """Runs that two pages of a host share, whichever chunks they are in, and none that hosts share."""
+    from lumenry.llm import html_extract as h
+
+    own = lambda k: " ".join(f"own{k}x{i}" for i in range(30))
+    pair = lambda k: " ".join(f"pair{k // 2}x{i}" for i in range(12))
+    rows = [(k, f"http://{'big' if k < 40 else 'small'}.example/{k}", f"<div><p>{own(k)}</p><p>{pair(k)}</p></div>") for k in range(41)]
+    rows[40] = (40, "http://small.example/40", f"<div><p>{own(40)}</p><p>{pair(0)}</p></div>")
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    whole = {tuple(r) for r in h.extract(df).collect()}
+    assert {tuple(r) for r in h.extract(df, chunk=3).collect()} == whole
+    assert {(r[0], r[2], r[4]) for r in whole} == {(k, own(k), 12) for k in range(40)} | {(40, own(40) + "\n\n" + pair(0), 0)}
