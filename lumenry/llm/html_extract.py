@@ -5,8 +5,8 @@ for menus, headers, footers, adverts, forms, comments and the like; and `open` w
 chunks of up to CHUNK; the tokens of the blocks outside articles are concatenated page by page, their suffixes sorted to a depth of
 `least` tokens, and runs that begin suffixes of two or more distinct pages are boilerplate. For a host of several chunks, 64-bit hashes of all its windows of
 `least` tokens are counted by page as well, and each chunk gets those of its own that pages of other chunks hold, so the result is that of the whole host. Blocks aside go; open
-blocks go where runs cover them, or where there is nothing open but boilerplate; unique runs and articles stay whole, since copied
-pages repeat articles too.
+blocks go where runs cover them, unless nothing else would be left; unique runs and articles stay whole, since copied
+pages repeat articles too. Pages of a host with the same open blocks count as one page.
 
 Null html counts as empty and gives an empty text; a null url is a host of its own; unclosed and cut-off markup is read as browsers
 do, up to the end. Repeated rows give equal rows; pages of any length are read whole; an empty table gives an empty
@@ -148,8 +148,8 @@ def blocks(html: str) -> list[tuple[int, str]]:
     return [(INSIDE if z == best else ASIDE, t) for z, t in out] if best < OPEN else out  # beside marked content nothing is open
 
 
-def repeated(streams: list[list[str]], least: int = LEAST) -> list[np.ndarray]:
-    """For each stream, which of its tokens lie in a run of `least` or more tokens that another stream has too.
+def repeated(streams: list[list[str]], least: int = LEAST, owners: np.ndarray | None = None) -> list[np.ndarray]:
+    """For each stream, which of its tokens lie in a run of `least` or more tokens that another stream (of another owner, where given) has too.
 
     The streams' suffix array is built by doubling, to a depth that tells runs of `least` tokens apart; suffixes that agree so far stand together.
     """
@@ -173,12 +173,13 @@ def repeated(streams: list[list[str]], least: int = LEAST) -> list[np.ndarray]:
         rank = np.empty(n, np.int64)
         rank[order] = np.cumsum(new) - 1
         depth += step
-    array = np.lexsort((page, rank))  # the suffix array, equal beginnings by page
+    owner = page if owners is None else np.asarray(owners)[page]
+    array = np.lexsort((owner, rank))  # the suffix array, equal beginnings by owner
     array = array[left[array] >= least]
     mark = np.zeros(n + 1, np.int64)
     if len(array):
         starts = np.flatnonzero(np.r_[True, rank[array][1:] != rank[array][:-1]])
-        shared = page[array][np.r_[starts[1:], len(array)] - 1] != page[array][starts]
+        shared = owner[array][np.r_[starts[1:], len(array)] - 1] != owner[array][starts]
         hits = array[np.repeat(shared, np.diff(np.r_[starts, len(array)]))]
         np.add.at(mark, hits, 1)
         np.add.at(mark, hits + least, -1)
@@ -190,6 +191,12 @@ def stream(page: list[tuple[int, str]]) -> list[str]:
     return [t for z, text in page if z != INSIDE for t in text.split(" ")]
 
 
+def likeness(page: list[tuple[int, str]]) -> int | None:
+    """What copies of a page share: a signed hash of its open blocks; none where a page marks its content."""
+    own = "\n".join(text for z, text in page if z == OPEN)
+    return xxhash.xxh64_intdigest(own.encode("utf-8", "replace")) - (1 << 63) if own else None
+
+
 def windows(tokens: list[str], least: int = LEAST) -> np.ndarray:
     """Hashes of every run of `least` tokens, as signed numbers."""
     n = max(0, len(tokens) - least + 1)
@@ -200,7 +207,9 @@ def windows(tokens: list[str], least: int = LEAST) -> np.ndarray:
 def main_texts(pages: list[list[tuple[int, str]]], least: int = LEAST, elsewhere: np.ndarray | None = None) -> list[tuple[str, int]]:
     """(main text, number of boilerplate tokens) of the pages of one host; `elsewhere` has windows that its other pages hold too."""
     streams = [stream(p) for p in pages]
-    covers = repeated(streams, least)
+    classes: dict = {}
+    alike = ((k,) if (own := likeness(p)) is None else own for k, p in enumerate(pages))
+    covers = repeated(streams, least, np.fromiter((classes.setdefault(x, len(classes)) for x in alike), np.int64, len(pages)))
     if elsewhere is not None and len(elsewhere):
         for tokens, covered in zip(streams, covers, strict=True):
             for k in np.flatnonzero(np.isin(windows(tokens, least), elsewhere)):
@@ -217,7 +226,7 @@ def main_texts(pages: list[list[tuple[int, str]]], least: int = LEAST, elsewhere
             at += n
             if z == OPEN:
                 (kept if part < 0.8 else spare).append(text)
-        out.append(("\n\n".join(kept), int(covered.sum())))
+        out.append(("\n\n".join(kept or spare), int(covered.sum())))
     return out
 
 
@@ -244,7 +253,9 @@ def extract(pages: DataFrame, least: int = LEAST, chunk: int = CHUNK) -> DataFra
         for b in batches:
             hosts, parts, held = b.column(2).to_pylist(), b.column(3).to_pylist(), []
             for host_, part, x in zip(hosts, parts, b.column(4), strict=True):
-                held.append((host_, part, np.unique(windows(stream(blocks(x.as_py())), least))))
+                page = blocks(x.as_py())
+                own = likeness(page)
+                held.append((host_, part, np.unique(windows(stream(page), least)), part if own is None else own))
                 if sum(len(h[2]) for h in held) > 1 << 16:
                     yield counted(held)
                     held = []
@@ -254,7 +265,7 @@ def extract(pages: DataFrame, least: int = LEAST, chunk: int = CHUNK) -> DataFra
     def counted(held: list[tuple]) -> pa.RecordBatch:
         sizes = [len(h[2]) for h in held]
         own, part = np.concatenate([h[2] for h in held]), np.repeat(np.array([h[1] for h in held], np.int32), sizes)
-        return pa.RecordBatch.from_arrays([pa.array([h[0] for h in held], pa.string()).take(pa.array(np.repeat(np.arange(len(held)), sizes))), pa.array(part), pa.array(own)], ["host", "part", "window"])
+        return pa.RecordBatch.from_arrays([pa.array([h[0] for h in held], pa.string()).take(pa.array(np.repeat(np.arange(len(held)), sizes))), pa.array(part), pa.array(own), pa.array(np.repeat(np.array([h[3] for h in held], np.int64), sizes))], ["host", "part", "window", "page"])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -291,9 +302,10 @@ def extract(pages: DataFrame, least: int = LEAST, chunk: int = CHUNK) -> DataFra
     out = T.StructType([*head, T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType()), T.StructField("n_boilerplate", T.LongType())])
     dealt = rows.mapInArrow(parse, cut).withColumn("elsewhere", F.lit(None).cast("binary"))
     if split:
-        held = rows.where(F.col("parts") > 1).select("page_id", "url", "host", "part", "html").mapInArrow(count, "host string, part int, window long")
-        held = settle(held.distinct())  # a chunk's pages share these by its suffix array
-        shared = held.groupBy("host", "window").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.count("*").alias("n")).where("lo < hi")
+        held = rows.where(F.col("parts") > 1).select("page_id", "url", "host", "part", "html").mapInArrow(count, "host string, part int, window long, page long")
+        # Pages that mark content stand under their chunk's number: what they share within it, its suffix array finds.
+        held = settle(held.groupBy("host", "part", "window").agg(F.min("page").alias("lo"), F.max("page").alias("hi")))
+        shared = held.groupBy("host", "window").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.count("*").alias("n")).where("lo < hi and n > 1")
         own = meet(held.withColumn("key", F.struct("host", "window")), shared.select(F.struct("host", "window").alias("key"), "n"), "key", held.count()).select("host", "part", "window")
         own = own.repartition("host", "part").mapInArrow(pack, "host string, part int, elsewhere binary")
         none = [F.lit(None).cast(f.dataType).alias(f.name) for f in cut.fields]

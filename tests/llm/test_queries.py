@@ -500,3 +500,21 @@ def test_op5_runs_are_found_across_chunks(spark):
     whole = {tuple(r) for r in h.extract(df).collect()}
     assert {tuple(r) for r in h.extract(df, chunk=3).collect()} == whole
     assert {(r[0], r[2], r[4]) for r in whole} == {(k, own(k), 12) for k in range(40)} | {(40, own(40) + "\n\n" + pair(0), 0)}
+
+
+def test_op5_copies_without_markup_keep_their_text(spark):
+    """Copies of a page don't make its text boilerplate, in one chunk or several; boilerplate alone stays where a page has nothing else."""
+    from lumenry.llm import html_extract as h
+
+    story = " ".join(f"story{i}" for i in range(40))
+    menu = "Home About Contact Us Now Please Log In Here"
+    page = f"<div><p>{menu}</p><p>{story}</p></div>"
+    rows = [(k, "http://a.example/", page) for k in range(8)]
+    rows += [(10 + k, "http://a.example/", f"<div><p>{menu}</p><p>own text {k} unique</p></div>") for k in range(8)]
+    rows += [(20, "http://b.example/1", f"<p>{story}</p>"), (21, "http://b.example/2", f"<p>{story}</p><p>{menu}</p>"), (22, "http://b.example/3", f"<p>{menu}</p>")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for chunk in (h.CHUNK, 2):
+        text = {r.page_id: r.text for r in h.extract(df, chunk=chunk).collect()}
+        assert [text[k] for k in range(8)] == [story] * 8
+        assert [text[10 + k] for k in range(8)] == [f"own text {k} unique" for k in range(8)]
+        assert (text[20], text[21], text[22]) == (story, f"{story}\n\n{menu}", menu)
