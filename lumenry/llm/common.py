@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -25,10 +24,10 @@ def text_of(name: str = "text") -> Column:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the session names it; a temporary one only where none is set."""
+    """The folder that driver and executors share, as the session names it; one beside the warehouse where none is set."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = tempfile.mkdtemp(prefix="shared-")
+        folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/.shared"
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
 
@@ -60,12 +59,12 @@ def with_workers(spark: SparkSession) -> None:
 LEAST_HEAVY, MOST_HEAVY = 200, 100_000
 
 
-def meet(rows: DataFrame, facts: DataFrame, key: str, total: int) -> DataFrame:
+def meet(rows: DataFrame, facts: DataFrame, key: str, total: int, most: int = MOST_HEAVY) -> DataFrame:
     """rows joined with facts, unique by key, that hold in `n` how many of the `total` rows have the key; n is dropped.
 
-    Heavy keys, at most MOST_HEAVY of them whatever the data, are sent to the rows, so that their rows stay where they are; the others meet by shuffle.
+    Heavy keys, at most `most` of them whatever the data, are sent to the rows, so that their rows stay where they are; the others meet by shuffle.
     """
-    heavy = F.col("n") > max(LEAST_HEAVY, total // MOST_HEAVY)
+    heavy = F.col("n") > max(LEAST_HEAVY, total // most)
     sent = F.broadcast(facts.where(heavy).drop("n"))
     light = rows.join(sent.select(key), key, "left_anti").join(facts.where(~heavy).drop("n"), key)
     return rows.join(sent, key).unionByName(light)

@@ -34,12 +34,21 @@ WIDTH, SEED = 3, 42
 
 def fingerprint(text: str | None, width: int = WIDTH) -> int:
     """The 64-bit SimHash of a text; see the module for short texts."""
+    return majority(shingles(text, width))
+
+
+def shingles(text: str | None, width: int) -> np.ndarray:
+    """The hashes of a text's shingles in order, repeats included."""
     words = (text or "").encode("utf-8", "replace").lower().split()  # bytes: A-Z only, and ASCII white space only
     if not words:
-        return 0
+        return np.zeros(0, "<u8")
     digest, n = xxhash.xxh64_intdigest, max(1, len(words) - width + 1)
-    hashes = np.fromiter((digest(b" ".join(words[i : i + width]), SEED) for i in range(n)), "<u8", n)
-    ones = np.zeros(64, np.int64)
+    return np.fromiter((digest(b" ".join(words[i : i + width]), SEED) for i in range(n)), "<u8", n)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits set in over half the hashes."""
+    n, ones = len(hashes), np.zeros(64, np.int64)
     for at in range(0, n, 1 << 16):
         ones += np.unpackbits(hashes[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
@@ -66,16 +75,23 @@ def gray_rank(x: np.ndarray) -> np.ndarray:
 
 
 class GrayIndex:
-    """A forest over fingerprints in groups: one tree a group, leaves in Gray order, FAN children to a node."""
+    """A forest over fingerprints in groups: one tree a group, leaves in Gray order, FAN children to a node.
+
+    kin (a class of each fingerprint): pairs within a class aren't looked for, and nodes that hold one class only are dropped
+    whole for its members.
+    """
 
     FAN = 8
 
-    def __init__(self, group: np.ndarray, fps: np.ndarray):
-        order = np.lexsort((gray_rank(fps), group))
+    def __init__(self, group: np.ndarray, fps: np.ndarray, kin: np.ndarray | None = None):
+        keys = (gray_rank(fps), group) if kin is None else (gray_rank(fps), kin, group)
+        order = np.lexsort(keys)
         self.order, self.fps, self.group = order, fps[order], group[order]
-        # A level: first child and number of children of each node, the bits all its members share, their values.
-        self.levels: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
-        owner, shared, value = self.group, np.full(len(fps), ~U(0)), self.fps
+        self.kin = None if kin is None else kin[order]
+        # A level: first child and number of children of each node; of each child the bits that all its members share and its
+        # node lacks, their values, and its members' class (-1: several).
+        self.levels: list[tuple] = []
+        owner, shared, value, kin = self.group, np.full(len(fps), ~U(0)), self.fps, self.kin
         while True:
             starts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
             inside = np.arange(len(owner)) - np.repeat(starts, np.diff(np.r_[starts, len(owner)]))
@@ -84,24 +100,35 @@ class GrayIndex:
             both_one = np.bitwise_and.reduceat(value & shared, first)
             both_zero = np.bitwise_and.reduceat(~value & shared, first)
             up_shared = both_one | both_zero
-            self.levels.append((first, count, shared & ~np.repeat(up_shared, count), value))  # children keep what the node lacks
+            self.levels.append((first, count, shared & ~np.repeat(up_shared, count), value, kin))  # children keep what the node lacks
             owner, shared, value = owner[first], up_shared, both_one
+            if kin is not None:
+                kin = np.where(np.minimum.reduceat(kin, first) == np.maximum.reduceat(kin, first), kin[first], -1)
             if len(starts) == len(owner):
                 self.roots = (shared, value)
                 break
-        self.root_of = np.repeat(np.arange(len(starts)), np.diff(np.r_[np.flatnonzero(np.r_[True, self.group[1:] != self.group[:-1]]), len(self.group)]))
-
-    def near(self, limit: int, at_once: int = 1 << 14) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Pairs of places (i < j) in the index whose fingerprints differ in at most `limit` bits, within their group."""
-        for lo in range(0, len(self.fps), at_once):
-            who = np.arange(lo, min(lo + at_once, len(self.fps)))
+        sizes = np.diff(np.r_[np.flatnonzero(np.r_[True, self.group[1:] != self.group[:-1]]), len(self.group)])
+        self.root_of, self.group_size = np.repeat(np.arange(len(starts)), sizes), np.repeat(sizes, sizes)
+
+    def near(self, limit: int | np.ndarray, at_once: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs of places (i < j) in the index whose fingerprints differ in at most `limit` bits (of i, where given by place), within their group.
+
+        Searches go down together for as many fingerprints as can meet `at_once` others, or one.
+        """
+        limit = np.broadcast_to(np.asarray(limit), len(self.fps))
+        block = np.cumsum(self.group_size) // at_once
+        cuts = np.flatnonzero(np.r_[True, block[1:] != block[:-1], True]) if len(block) else []
+        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+            who = np.arange(lo, hi)
             node, apart = self.root_of[who], np.zeros(len(who), np.int64)
-            for first, count, own, value in reversed(self.levels):
+            for first, count, own, value, kin in reversed(self.levels):
                 reps = count[node]
                 who, apart = np.repeat(who, reps), np.repeat(apart, reps)
                 child = np.repeat(first[node] - np.r_[0, np.cumsum(reps)[:-1]], reps) + np.arange(len(who))
                 apart = apart + np.bitwise_count((self.fps[who] ^ value[child]) & own[child])
-                ok = apart <= limit
+                ok = apart <= limit[who]
+                if kin is not None:
+                    ok &= kin[child] != self.kin[who]
                 who, node, apart = who[ok], child[ok], apart[ok]
             later = node > who
             yield who[later], node[later]
@@ -187,8 +214,15 @@ def near_links(fps: DataFrame, limit: int = 2, split_above: int = 4096) -> DataF
     return rows.mapInArrow(run, "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, limit: int = 2, text: str = "text") -> DataFrame:
-    """Per row of docs: doc_id, fp (long), component_id."""
+def near_duplicates(docs: DataFrame, limit: int = 2, text: str = "text", width: int = WIDTH, similarity: float | None = None) -> DataFrame:
+    """Per row of docs: doc_id, fp (long), component_id.
+
+    With a similarity (of sets of shingles, 0.8 or more), fingerprints of these sets only tell which pairs are compared: see `similar`.
+    """
+    if similarity is not None:
+        from lumenry.llm.similar import similar_documents
+
+        return similar_documents(docs, text, width, similarity)
     prints = settle(fingerprints(docs, text))
     least = settle(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")))
     parts = components(near_links(least.select("fp"), limit)).withColumnRenamed("node", "fp")

@@ -1,10 +1,12 @@
-"""Documents whose sets of five-word shingles have a Jaccard similarity of 0.8 or more, and their classes.
+"""Documents whose sets of shingles are alike (Jaccard similarity of 0.8 or more), by SimHash, and their classes.
 
-At that similarity fingerprints of 64 bits differ in about ten bits and by chance in twenty, more than any deal of their bits can search, so
-pairs come from the shingles themselves and none is missed. Shingles have a fixed order: those of crowded cells of a sketch last, then by
-hash. Two sets alike enough share one of their first n - ceil(0.8 n) + 1 shingles, so rows of only these are dealt by shingle. Of each group the smallest
-set, and the next one that is too large for it, is compared with the others; groups whose sets are by then in one class are done, and in the others
-every pair of two classes that size and place allow is compared. The sketch only orders: whatever it holds, the result is the same.
+At that similarity fingerprints of 64 bits differ in about ten bits, more than a deal by parts of their bits can search, so they are dealt by shingles: shingles have a
+fixed order, those of crowded cells of a sketch last, then by hash; sets alike enough share one of their first n - ceil(0.8 n) + 1, and rows of only these
+are dealt. Within a group that shares a shingle, fingerprints of the sets tell which pairs are compared: those of LIMIT bits or
+fewer (two sets alike enough exceed that about once in a million; sets of fewer than FEW shingles have no limit). First
+each set meets the smallest one of its group, or the next one that is too large for that one. Groups that are then in one class are done; in others a
+Gray-order index, in which nodes of one class are dropped whole for its members, finds the near pairs of two classes. Pairs are then compared exactly by their
+sets. The sketch only orders, and tells crowded groups, which are dealt in parts of about PART rows, every two parts meeting.
 
 Words are those of simhash. Texts shorter than a shingle are one shingle; null texts and texts without words are alike. Equal sets count as one; a null
 doc_id keeps its row.
@@ -13,33 +15,37 @@ doc_id keeps its row.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from fractions import Fraction
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lumenry.llm import simhash
 from lumenry.llm.common import meet, settle, text_of, with_workers
 from lumenry.llm.components import components
 
-WIDTH, SEED = 5, 42
+WIDTH, SIMILARITY, SEED = 5, 0.8, 42
+#: Bits in which fingerprints of alike sets may differ; from how many shingles on that holds.
+LIMIT, FEW = 24, 40
 #: Cells of the sketch (a power of two), and the count from which a task reports one.
 CELLS, CROWDED = 1 << 20, 8
+#: Rows of a group that are dealt together.
+PART = 1 << 14
 #: Sets that a task remembers to leave out their copies; copies beyond meet in their group.
 REMEMBERED = 1 << 18
-#: Pairs of a group that are made at once.
-AT_ONCE = 1 << 20
+#: Texts that are sent to their pairs, at most; each has over one in SENT of all pairs.
+SENT = 200
 
 
 def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
     """The sorted distinct hashes of a text's shingles."""
-    words = (text or "").encode("utf-8", "replace").lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    digest, n = xxhash.xxh64_intdigest, max(1, len(words) - width + 1)
-    return np.unique(np.fromiter((digest(b" ".join(words[i : i + width]), SEED) for i in range(n)), np.uint64, n))
+    return np.unique(simhash.shingles(text, width))
 
 
 def name_of(own: np.ndarray) -> int:
@@ -48,72 +54,100 @@ def name_of(own: np.ndarray) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def first_ones(n: int) -> int:
-    """How many of a set's shingles must hold one of any set that is alike enough."""
-    return n - -(-4 * n // 5) + 1
+class Measure:
+    """The least similarity as a fraction, and what it implies."""
 
+    def __init__(self, similarity: float):
+        if not 0.8 <= similarity <= 1:
+            raise ValueError("fingerprints tell pairs of a similarity from 0.8 to 1")
+        of = Fraction(similarity).limit_denominator(1000)
+        self.num, self.den = of.numerator, of.denominator
 
-def alike(a: np.ndarray, b: np.ndarray) -> bool:
-    if not len(a) or not len(b):
-        return len(a) == len(b)
-    if 5 * min(len(a), len(b)) < 4 * max(len(a), len(b)):
-        return False
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return 5 * both >= 4 * (len(a) + len(b) - both)
+    def first_ones(self, n: int) -> int:
+        """How many of a set's shingles must hold one of any set that is alike enough."""
+        return n - -(-self.num * n // self.den) + 1
 
+    def largest(self, n):
+        """The size of the largest set that one of n can be alike to."""
+        return n * self.den // self.num
 
-def _named(docs: DataFrame, text: str) -> DataFrame:
-    """(doc_id, name, cell, times): the set of every row, and rows of a null name with crowded cells of the sketch; settled."""
+    def possible(self, n1, place1, n2, place2):
+        """Whether sets may be alike whose first common shingle has these places."""
+        most = np.minimum(np.minimum(place1, place2) + 1 + np.minimum(n1 - place1 - 1, n2 - place2 - 1), np.minimum(n1, n2))
+        return (self.num + self.den) * most >= self.num * (n1 + n2)
+
+    def alike(self, a: np.ndarray, b: np.ndarray) -> bool:
+        if not len(a) or not len(b):
+            return len(a) == len(b)
+        if self.den * min(len(a), len(b)) < self.num * max(len(a), len(b)):
+            return False
+        both = len(np.intersect1d(a, b, assume_unique=True))
+        return self.den * both >= self.num * (len(a) + len(b) - both)
+
+
+def _named(docs: DataFrame, text: str, width: int) -> DataFrame:
+    """(doc_id, name, fp, cell, times): the set of every row, and rows of a null name with crowded cells of the sketch; settled."""
+    names = ["doc_id", "name", "fp", "cell", "times"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch, seen, kind = np.zeros(CELLS, np.int32), set(), None
+        sketch, seen, kind = np.zeros(CELLS, np.int32), {}, None
         for b in batches:
-            kind, names = b.column(0).type, []
+            kind, found, prints = b.column(0).type, [], []
             for x in b.column(1):
-                own = shingles(x.as_py())
-                names.append(name_of(own))
-                if names[-1] not in seen:
-                    if len(seen) < REMEMBERED:
-                        seen.add(names[-1])
+                own = shingles(x.as_py(), width)
+                name = name_of(own)
+                fp = seen.get(name)
+                if fp is None:
+                    fp = simhash.majority(own)
                     np.add.at(sketch, own & np.uint64(CELLS - 1), 1)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names, pa.int64()), pa.nulls(len(names), pa.int32()), pa.nulls(len(names), pa.int64())], ["doc_id", "name", "cell", "times"])
+                    if len(seen) < REMEMBERED:
+                        seen[name] = fp
+                found.append(name)
+                prints.append(fp)
+            n = len(found)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.int64()), pa.array(np.array(prints, np.uint64).view(np.int64)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64())], names)
         cells = np.flatnonzero(sketch >= max(CROWDED, 4 * sketch.mean())).astype(np.int32)
         if len(cells):
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(cells), kind), pa.nulls(len(cells), pa.int64()), pa.array(cells), pa.array(sketch[cells].astype(np.int64))], ["doc_id", "name", "cell", "times"])
+            n = len(cells)
+            yield pa.RecordBatch.from_arrays([pa.nulls(n, kind), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array(cells), pa.array(sketch[cells].astype(np.int64))], names)
 
-    schema = T.StructType([docs.schema["doc_id"], T.StructField("name", T.LongType()), T.StructField("cell", T.IntegerType()), T.StructField("times", T.LongType())])
+    long = T.LongType()
+    schema = T.StructType([docs.schema["doc_id"], *[T.StructField(n, t) for n, t in (("name", long), ("fp", long), ("cell", T.IntegerType()), ("times", long))]])
     return settle(docs.select("doc_id", text).mapInArrow(run, schema))
 
 
-_FIRST = "shingle long, name long, n int, place int"
+_ROW = "shingle long, part int, name long, fp long, n int, place int, parts int"
+_NAMES = [x.split()[0] for x in _ROW.split(", ")]
 
 
-def _dealt(docs: DataFrame, text: str, crowd: np.ndarray) -> DataFrame:
-    """(shingle, name, n, place) of the first shingles of every set."""
-    names = [x.split()[0] for x in _FIRST.split(", ")]
+def _dealt(docs: DataFrame, text: str, width: int, crowd: np.ndarray, measure: Measure) -> DataFrame:
+    """The first shingles of every set; `part` is the set's part in a group of `parts`."""
     sent = docs.sparkSession.sparkContext.broadcast(crowd)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         crowd, seen = sent.value, set()
         for b in batches:
-            parts = []
+            rows = []
             for x in b.column(0):
-                own = shingles(x.as_py())
+                own = shingles(x.as_py(), width)
                 if not len(own) or (name := name_of(own)) in seen:
                     continue
                 if len(seen) < REMEMBERED:
                     seen.add(name)
-                p = first_ones(len(own))
-                some = own[np.lexsort((own, crowd[own & np.uint64(CELLS - 1)]))[:p]]
-                parts.append((some.view(np.int64), np.full(p, name), np.full(p, len(own), np.int32), np.arange(p, dtype=np.int32)))
-            if parts:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)], names)
+                p = measure.first_ones(len(own))
+                times = crowd[own & np.uint64(CELLS - 1)]
+                first = np.lexsort((own, times))[:p]
+                parts = (times[first] // PART + 1).astype(np.int32)
+                fp = np.full(p, simhash.majority(own), np.uint64).view(np.int64)
+                rows.append((own[first].view(np.int64), (np.int64(name) % parts).astype(np.int32), np.full(p, name), fp, np.full(p, len(own), np.int32), np.arange(p, dtype=np.int32), parts))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*rows, strict=True)], _NAMES)
 
-    return docs.select(text).mapInArrow(run, _FIRST)
+    return docs.select(text).mapInArrow(run, _ROW)
 
 
-def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
-    """Columns of sorted rows, in blocks that hold whole groups of the first column."""
+def _whole_groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[np.ndarray]]:
+    """Columns of sorted rows, in blocks that hold whole groups of the first `keys` columns."""
     held: list[pa.RecordBatch] = []
     rows = 0
 
@@ -127,8 +161,8 @@ def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray
         rows += b.num_rows
         if rows < 1 << 16:
             continue
-        key = b.column(0).to_numpy(zero_copy_only=False)
-        last = np.flatnonzero(key != key[-1])
+        key = [b.column(k).to_numpy(zero_copy_only=False) for k in range(keys)]
+        last = np.flatnonzero(np.any([k != k[-1] for k in key], axis=0))
         if len(last):  # the last group may go on in the next batch
             held[-1] = b.slice(0, int(last[-1]) + 1)
             yield columns()
@@ -138,47 +172,65 @@ def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray
         yield columns()
 
 
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of groups of two or more sets, each set once, with the set it is compared with first."""
-    for shingle, name, n, place in _whole_groups(batches):
-        new = np.r_[True, (shingle[1:] != shingle[:-1]) | (name[1:] != name[:-1])]
-        shingle, name, n, place = (x[new] for x in (shingle, name, n, place))
-        starts = np.flatnonzero(np.r_[True, shingle[1:] != shingle[:-1]])
-        sizes = np.diff(np.r_[starts, len(shingle)])
-        lead = name.copy()
-        for a, m in zip(starts[sizes > 1], sizes[sizes > 1], strict=True):
-            at, own = a, n[a : a + m]
-            while at < a + m:
-                end = a + int(np.searchsorted(own, int(n[at]) * 5 // 4, "right"))
-                lead[at:end] = name[at]
-                at = end
-        ok = np.repeat(sizes > 1, sizes)
-        yield pa.RecordBatch.from_arrays([pa.array(x[ok]) for x in (shingle, name, n, place, lead)], ["shingle", "name", "n", "place", "lead"])
-
-
-def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of sets of a group that are in two classes and may be alike by size and place."""
-    for shingle, name, n, place, root in _whole_groups(batches):
-        cuts = np.flatnonzero(np.r_[True, shingle[1:] != shingle[:-1], True])
-        for a, z in zip(cuts[:-1], cuts[1:], strict=True):
-            if (root[a:z] == root[a]).all():
+def _new(*columns: np.ndarray) -> np.ndarray:
+    """Where any of the sorted columns changes."""
+    return np.r_[True, np.any([c[1:] != c[:-1] for c in columns], axis=0)]
+
+
+def _few(n: np.ndarray) -> np.ndarray:
+    """The limit of bits for sets of n shingles."""
+    return np.where(n < FEW, 64, LIMIT)
+
+
+def _groups(measure: Measure):
+    """Rows of groups of two or more sets, and of groups in parts, each set once: with the set it meets first, and whether they are near."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in _whole_groups(batches, 2):
+            once = _new(block[0], block[1], block[2])
+            shingle, part, name, fp, n, place, parts = (x[once] for x in block)
+            starts = np.flatnonzero(_new(shingle, part))
+            sizes = np.diff(np.r_[starts, len(shingle)])
+            lead = np.arange(len(name))
+            for a, m in zip(starts[sizes > 1], sizes[sizes > 1], strict=True):
+                at, own = a, n[a : a + m]
+                while at < a + m:
+                    end = a + int(np.searchsorted(own, measure.largest(int(n[at])), "right"))
+                    lead[at:end] = at
+                    at = end
+            near = (lead != np.arange(len(name))) & measure.possible(n, place, n[lead], place[lead]) & (np.bitwise_count((fp ^ fp[lead]).view(np.uint64)) <= _few(n))
+            ok = np.repeat(sizes > 1, sizes) | (parts > 1)
+            yield pa.RecordBatch.from_arrays([pa.array(x[ok]) for x in (shingle, part, name, fp, n, place, parts, name[lead], near)], [*_NAMES, "lead", "near"])
+
+    return run
+
+
+def _pairs(measure: Measure):
+    """Pairs of sets of a group that are in two classes, near by fingerprint, and may be alike by size and place."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in _whole_groups(batches, 3):
+            once = _new(block[0], block[1], block[2], block[3])
+            shingle, one, other, name, fp, n, place, root = (x[once] for x in block)
+            starts = np.flatnonzero(_new(shingle, one, other))
+            sizes = np.diff(np.r_[starts, len(shingle)])
+            open_ = np.repeat(np.minimum.reduceat(root, starts) != np.maximum.reduceat(root, starts), sizes)
+            if not open_.any():
                 continue
-            own = n[a:z].astype(np.int64)
-            left = own - place[a:z] - 1  # shingles after this one
-            upto = np.searchsorted(own, own * 5 // 4, "right")
-            step = max(1, AT_ONCE // (z - a))
-            for lo in range(0, z - a, step):
-                count = np.maximum(upto[lo : lo + step] - np.arange(lo, min(lo + step, z - a)) - 1, 0)
-                i = np.repeat(np.arange(lo, lo + len(count)), count)
-                j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(count) - count, count)
-                most = np.minimum(np.minimum(place[a + i], place[a + j]) + 1 + np.minimum(left[i], left[j]), own[i])
-                ok = (root[a + i] != root[a + j]) & (9 * most >= 4 * (own[i] + own[j]))
-                u, v = name[a + i[ok]], name[a + j[ok]]
+            group = np.repeat(np.arange(len(starts)), sizes)[open_]
+            name, fp, n, place, root = (x[open_] for x in (name, fp, n.astype(np.int64), place, root))
+            index = simhash.GrayIndex(group, fp.view(np.uint64), np.unique(root, return_inverse=True)[1])
+            n, place, name = n[index.order], place[index.order], name[index.order]
+            for i, j in index.near(_few(n)):
+                ok = (np.maximum(n[i], n[j]) <= measure.largest(np.minimum(n[i], n[j]))) & measure.possible(n[i], place[i], n[j], place[j])
+                u, v = name[i[ok]], name[j[ok]]
                 if len(u):
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], ["u", "v"])
 
+    return run
+
 
-def _verified(pairs: DataFrame, docs: DataFrame, named: DataFrame, text: str) -> DataFrame:
+def _verified(pairs: DataFrame, docs: DataFrame, named: DataFrame, text: str, width: int, measure: Measure) -> DataFrame:
     """Those of the settled distinct pairs (u, v) that are alike, settled."""
     own = docs.select("doc_id", text_of(text).alias("t"))
     ends = settle(pairs.select(F.explode(F.array("u", "v")).alias("name")).groupBy("name").agg(F.count("*").alias("n")))
@@ -186,45 +238,58 @@ def _verified(pairs: DataFrame, docs: DataFrame, named: DataFrame, text: str) ->
     some = own.join(ids, "doc_id", "left_semi").unionByName(own.where("doc_id is null"))
 
     def name_them(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeeze = zstandard.ZstdCompressor().compress
         for b in batches:
-            sets = [shingles(x.as_py()) for x in b.column(0)]
-            yield pa.RecordBatch.from_arrays([pa.array([name_of(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["name", "own"])
+            texts = b.column(0).to_pylist()
+            yield pa.RecordBatch.from_arrays([pa.array([name_of(shingles(t, width)) for t in texts], pa.int64()), pa.array([squeeze(t.encode("utf-8", "replace")) for t in texts], pa.binary())], ["name", "own"])
 
-    sets = some.select("t").mapInArrow(name_them, "name long, own binary").join(ends, "name").dropDuplicates(["name"])
-    sets = settle(sets)
+    texts = settle(some.select("t").mapInArrow(name_them, "name long, own binary").join(ends, "name").dropDuplicates(["name"]))
     total = pairs.count()
-    of = lambda end: sets.select(F.col("name").alias(end), F.col("own").alias(f"own_{end}"), "n")
+    of = lambda end: texts.select(F.col("name").alias(end), F.col("own").alias(f"own_{end}"), "n")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own_set = lru_cache(64)(lambda x: shingles(zstandard.decompress(x).decode(), width))
         for b in batches:
-            ok = [alike(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)) for x, y in zip(b.column(2), b.column(3), strict=True)]
+            ok = [measure.alike(own_set(x.as_py()), own_set(y.as_py())) for x, y in zip(b.column(2), b.column(3), strict=True)]
             yield pa.RecordBatch.from_arrays(b.columns[:2], ["u", "v"]).filter(pa.array(ok, pa.bool_()))
 
-    both = meet(meet(pairs, of("u"), "u", total), of("v"), "v", total)
+    both = meet(meet(pairs, of("u"), "u", total, SENT), of("v"), "v", total, SENT)
     return settle(both.select("u", "v", "own_u", "own_v").mapInArrow(run, "u long, v long"))
 
 
-def similar_documents(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Per row of docs: doc_id, name (long) of its set, component_id: the least doc_id of its class."""
+def similar_documents(docs: DataFrame, text: str = "text", width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
+    """Per row of docs: doc_id, fp (long) of its set, component_id: the least doc_id of its class."""
+    measure = Measure(similarity)
     with_workers(docs.sparkSession)
-    named = _named(docs, text)
+    named = _named(docs, text, width)
     crowd = np.zeros(CELLS, np.int64)
     for r in named.where("cell is not null").groupBy("cell").agg(F.sum("times").alias("n")).toLocalIterator():
         crowd[r["cell"]] = r["n"]
-    named = named.where("name is not null").select("doc_id", "name")
-    groups = _dealt(docs, text, crowd).repartition("shingle").sortWithinPartitions("shingle", "n", "name")
-    groups = settle(groups.mapInArrow(_groups, f"{_FIRST}, lead long"))
-    first = settle(groups.where("name <> lead").select(F.least("name", "lead").alias("u"), F.greatest("name", "lead").alias("v")).distinct())
-    links = _verified(first, docs, named, text)
-    root = settle(components(links))
-    sizes = root.groupBy("node").agg(F.first("root").alias("root"))
-    open_groups = groups.join(sizes, groups["name"] == sizes["node"], "left").select("shingle", "name", "n", "place", F.coalesce("root", "name").alias("root"))
-    rest = open_groups.repartition("shingle").sortWithinPartitions("shingle", "n", "name").mapInArrow(_pairs, "u long, v long")
+    named = named.where("name is not null").select("doc_id", "name", "fp")
+    groups = _dealt(docs, text, width, crowd, measure).repartition("shingle", "part").sortWithinPartitions("shingle", "part", "n", "name")
+    groups = settle(groups.mapInArrow(_groups(measure), f"{_ROW}, lead long, near boolean"))
+    pair = lambda a, b: (F.least(a, b).alias("u"), F.greatest(a, b).alias("v"))
+    first = groups.where("near").select(*pair("name", "lead"))
+    # The first sets of a group's parts meet the smallest of them.
+    leads = groups.where("parts > 1 and name = lead").select("shingle", "name", "fp", "n")
+    least = leads.groupBy("shingle").agg(F.min(F.struct("n", "name", "fp")).alias("to")).where("to is not null")
+    leads = leads.join(least, "shingle").where((F.col("name") != F.col("to.name")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("to.fp"))) <= LIMIT))
+    first = settle(first.unionByName(leads.select(*pair("name", F.col("to.name")))).distinct())
+    links = _verified(first, docs, named, text, width, measure)
+    root = settle(components(links)).groupBy("node").agg(F.first("root").alias("root"))
+    rest = groups.join(root, groups["name"] == root["node"], "left").withColumn("root", F.coalesce("root", "name"))
+    # Every two parts of a group that isn't in one class by now.
+    several = rest.where("parts > 1").groupBy("shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("shingle")
+    own = ["name", "fp", "n", "place", "root"]
+    many = rest.where("parts > 1").join(several, "shingle", "left_semi").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    many = many.select("shingle", F.least("part", "other").alias("one"), F.greatest("part", "other").alias("other"), *own)
+    rest = rest.where("parts = 1").select("shingle", F.lit(0).alias("one"), F.lit(0).alias("other"), *own).unionByName(many)
+    rest = rest.repartition("shingle", "one", "other").sortWithinPartitions("shingle", "one", "other", "name").mapInArrow(_pairs(measure), "u long, v long")
     rest = settle(rest.distinct().join(first, ["u", "v"], "left_anti"))
-    links = links.unionByName(_verified(rest, docs, named, text))
+    links = links.unionByName(_verified(rest, docs, named, text, width, measure))
     least = settle(named.groupBy("name").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")))
     ids = components(links).withColumnRenamed("node", "name").join(least, "name")
     part_id = ids.groupBy("root").agg(F.min("first_id").alias("part_id"))
     of_name = least.join(ids.select("name", "root").join(part_id, "root").select("name", "part_id"), "name", "left")
     of_name = settle(of_name.select("name", "n", F.coalesce("part_id", "first_id").alias("component_id")))
-    return meet(named, of_name, "name", named.count()).select("doc_id", "name", "component_id")
+    return meet(named, of_name, "name", named.count()).select("doc_id", "fp", "component_id")
