@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenry.llm import bpe, mixing, quality_rules, secret_scan, similar
+from lumenry.llm import bpe, mixing, quality_rules, secret_scan, simhash
 from lumenry.llm.common import shared_folder, table
 
 #: SQL has no learned rules, SimHash classes or byte-pair merges; tests compare with brute force instead.
@@ -36,7 +36,7 @@ def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Rows without doc_id stay.
     """
-    found = similar.similar_documents(docs)
+    found = simhash.near_duplicates(docs, width=5, similarity=0.8)
     gone = found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
     twice = found.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 and doc_id is not null").select("doc_id")
     left = docs.join(gone, "doc_id", "left_anti")
