@@ -1,8 +1,9 @@
 """Quality rules: an ordered decision list learned by sequential covering.
 
 Every figure of a text is a native expression. Rules are conjunctions of thresholds on these figures; they are
-grown by information gain and pruned on a held-out third of the labelled rows, from counts that Spark aggregates
-by (figure, bin). The driver sees those counts only, at most figures x bins rows.
+grown by information gain and pruned on a held-out third of the labelled rows that pass the base rule, from counts that Spark
+aggregates by (figure, bin). The driver sees those counts only, at most figures x (TOP x GRID + 1) rows. A threshold lies midway
+between the values on its two sides.
 
 Null texts count as empty. A text without words has all figures 0 and fails the base rule. Rows that repeat are
 judged alike, each by its own text; an empty table gives an empty result; input columns that share a name with a
@@ -16,6 +17,7 @@ import math
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,8 +25,11 @@ from lumenry.llm.common import SPACE, WORD, settle, text_of
 
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 #: What the learned thresholds compare; each is null-free.
-FIGURES = ("symbol_rate", "dup_line_rate", "repeat_rate", "mean_length", "capital_rate", "exclaim_rate")
-BINS = 40
+FIGURES = ("symbol_rate", "dup_line_rate", "repeat_rate", "mean_length", "capital_rate", "sentence_rate", "line_words")
+#: Bins to one unit of a figure, and the value from which all share the last bin.
+GRID, TOP = 1000, 64
+#: Labelled ids that may be broadcast (8 bytes each); with more, documents are joined by shuffle.
+MANY_IDS = 4_000_000
 
 
 def measured(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -39,7 +44,7 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
             "word_chars": F.length(F.regexp_replace(t, SPACE, "")).cast("long"),
             "n_symbols": F.regexp_count(t, F.lit(r"[#*$%&|<>]")).cast("long"),
             "_q_capital": F.regexp_count(t, F.lit(r"\p{Lu}")),
-            "_q_exclaim": F.regexp_count(t, F.lit("!")),
+            "_q_sentences": F.regexp_count(t, F.lit(r"[.!?](?=[\x20\x09-\x0D]|$)")),
         }
     )
     df = df.withColumn("_q_n", F.size("_q_words"))
@@ -72,9 +77,10 @@ def figures(df: DataFrame) -> DataFrame:
             "repeat_rate": rate("n_repeat_words", "n_words"),
             "mean_length": rate("word_chars", "n_words"),
             "capital_rate": rate("_q_capital", "word_chars"),
-            "exclaim_rate": rate("_q_exclaim", "n_words"),
+            "sentence_rate": rate("_q_sentences", "n_words"),
+            "line_words": rate("n_words", "_q_n_lines"),
         }
-    ).drop("_q_capital", "_q_exclaim", "_q_n_lines")
+    ).drop("_q_capital", "_q_sentences", "_q_n_lines")
 
 
 def base_failed() -> Column:
@@ -116,17 +122,6 @@ def rule_number(rules: list[Rule]) -> Column:
     return out
 
 
-def _thresholds(rows: DataFrame) -> dict[str, list[float]]:
-    """Candidate thresholds: up to BINS - 1 quantiles of each figure over both classes together and over the bad class.
-
-    They are rounded, so that the order in which sketches of quantiles are merged doesn't show.
-    """
-    probs = F.array(*[F.lit(k / BINS) for k in range(1, BINS)])
-    aggs = [F.percentile_approx(F.when(w, F.col(f)), probs, F.lit(10000)).alias(f"{f}_{k}") for f in FIGURES for k, w in (("all", F.lit(True)), ("bad", F.col("bad") == 1))]
-    got = rows.agg(*aggs).first()
-    return {f: sorted({round(x, 3) for k in ("all", "bad") for x in got[f"{f}_{k}"] or []}) for f in FIGURES}
-
-
 def learn(labelled: DataFrame, max_rules: int = 8, max_conditions: int = 3, least_precision: float = 0.9, least_share: float = 0.002) -> list[Rule]:
     """Sequential covering over labelled (doc_id, bad 0/1, FIGURES...).
 
@@ -137,7 +132,6 @@ def learn(labelled: DataFrame, max_rules: int = 8, max_conditions: int = 3, leas
     total = rows.agg(F.sum("bad").alias("bad"), F.count("*").alias("n")).first()
     if not total["bad"] or total["bad"] == total["n"]:
         return []
-    cuts = _thresholds(rows)
     rules: list[Rule] = []
     least = max(3, least_share * total["bad"])
     for _ in range(max_rules):
@@ -147,7 +141,7 @@ def learn(labelled: DataFrame, max_rules: int = 8, max_conditions: int = 3, leas
             grow = left.where(~F.col("held"))
             if conditions:
                 grow = grow.where(Rule(tuple(conditions)).column())
-            best = _best(grow, cuts, least)
+            best = best_condition(histograms(grow), least)
             if best is None:
                 break
             conditions.append(best[0])
@@ -160,24 +154,29 @@ def learn(labelled: DataFrame, max_rules: int = 8, max_conditions: int = 3, leas
     return rules
 
 
-def _best(grow: DataFrame, cuts: dict[str, list[float]], least: float) -> tuple[Condition, bool] | None:
-    """The condition with the greatest information gain, from one aggregation by (figure, bin)."""
-    bins = [F.struct(F.lit(f).alias("figure"), reduce(lambda a, b: a + b, [(F.col(f) >= c).cast("int") for c in cuts[f]], F.lit(0)).alias("bin")) for f in FIGURES if cuts[f]]
-    counted = grow.select("bad", F.explode(F.array(*bins)).alias("b")).groupBy("b.figure", "b.bin").agg(F.sum("bad").alias("bad"), F.count("*").alias("n")).collect()
+def histograms(grow: DataFrame) -> dict[str, np.ndarray]:
+    """For each figure its bins in order: bad rows, all rows, least and greatest value."""
+    bins = [F.struct(F.lit(f).alias("figure"), F.col(f).alias("x")) for f in FIGURES]
+    of = F.floor(F.least(F.col("b.x"), F.lit(float(TOP))) * GRID)
+    counted = grow.select("bad", F.explode(F.array(*bins)).alias("b")).groupBy("b.figure", of.alias("bin")).agg(F.sum("bad"), F.count("*"), F.min("b.x"), F.max("b.x")).collect()
+    return {f: np.array([r[2:] for r in sorted((r for r in counted if r[0] == f), key=lambda r: r[1])], float).reshape(-1, 4) for f in FIGURES}
+
+
+def best_condition(counted: dict[str, np.ndarray], least: float) -> tuple[Condition, bool] | None:
+    """The condition with the greatest information gain, and whether it covers bad rows only; ties go by the order of figures and bins."""
     found = None
-    for f in FIGURES:
-        mine = {r["bin"]: (r["bad"], r["n"]) for r in counted if r["figure"] == f}
-        bad, n = sum(x[0] for x in mine.values()), sum(x[1] for x in mine.values())
-        if not bad:
+    for f, (bad, n, low, high) in ((f, h.T) for f, h in counted.items()):
+        if len(n) < 2 or not bad.sum():
             continue
-        before = math.log2(bad / n)
-        for k, cut in enumerate(cuts[f], 1):
-            hi = [sum(x[i] for b, x in mine.items() if b >= k) for i in (0, 1)]
-            for above, (p, m) in ((True, hi), (False, [bad - hi[0], n - hi[1]])):
-                if p >= max(2, least * 2 / 3) and m < n:
-                    gain = p * (math.log2((p + 0.0) / (m + 0.5)) - before)
-                    if gain > 1e-9 and (found is None or gain > found[0]):
-                        found = (gain, Condition(f, above, cut), p == m)
+        before = math.log2(bad.sum() / n.sum())
+        for above in (True, False):
+            p, m = (np.cumsum(c)[:-1] for c in (bad, n))
+            if above:
+                p, m = bad.sum() - p, n.sum() - m
+            gain = np.where(p >= max(2, least * 2 / 3), p * (np.log2(np.maximum(p, 1) / (m + 0.5)) - before), 0)
+            k = int(gain.argmax())
+            if gain[k] > 1e-9 and (found is None or gain[k] > found[0] + 1e-9):
+                found = (gain[k], Condition(f, above, float(high[k] + low[k + 1]) / 2), bool(p[k] == m[k]))
     return found and found[1:]
 
 
@@ -200,9 +199,15 @@ def _prune(left: DataFrame, conditions: list[Condition], least_precision: float,
 
 
 def fit(measures: DataFrame, labels: DataFrame, **how) -> list[Rule]:
-    """The list learned from the labelled documents (quality 0 is bad), all of them."""
+    """The list learned from the labelled documents (quality 0 is bad) that pass the base rule, all of them."""
     bad = labels.where(F.col("quality").isNotNull()).groupBy("doc_id").agg(F.max(F.when(F.col("quality") == 0, 1).otherwise(0)).alias("bad"))
-    return learn(measures.join(bad, "doc_id"), **how)
+    return learn(measures.where(~base_failed()).join(bad, "doc_id"), **how)
+
+
+def labelled_only(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The documents that have a label; what a list is learned from needs no others."""
+    ids = settle(labels.where("quality is not null and doc_id is not null").select("doc_id").distinct())
+    return docs.join(F.broadcast(ids) if ids.count() <= MANY_IDS else ids, "doc_id", "left_semi")
 
 
 def judge(measures: DataFrame, rules: list[Rule]) -> DataFrame:
