@@ -36,6 +36,7 @@ class Codec:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks = ranks
         self.size = max(ranks.values()) + 1
+        self.longest = max(map(len, ranks))
         self.bytes_of: list[bytes] = [b""] * self.size
         for b, i in ranks.items():
             self.bytes_of[i] = b
@@ -103,7 +104,7 @@ class Codec:
                 return True
 
     def _longest(self, s: str, at: int) -> int:
-        end = at + self.trie.longest_prefix(s[at : at + 256]) if at < len(s) else at
+        end = at + self.trie.longest_prefix(s[at : at + self.longest]) if at < len(s) else at
         while end > at:
             t = self.trie.get(s[at:end], -1)
             if t >= 0:

@@ -1,6 +1,6 @@
 """Chat formatting: conversations as training windows with a loss mask, and reading them back.
 
-A window is a run of whole turns within a token budget. Prefix sums of turn tokens choose where it ends and which of its last turns the
+A window is a run of whole turns within a budget of byte-pair tokens. Prefix sums of turn tokens choose where it ends and which of its last turns the
 next window repeats as history; a leading system turn is repeated in every window. Loss falls on each assistant text
 once, in the window where it is new; repeated turns are masked. A turn above the budget stands whole in a window of its
 own. Turns are marked by control strings; in texts and roles, a backslash goes into every `<|`, so that
@@ -18,6 +18,7 @@ import re
 from bisect import bisect_left
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 from typing import Any
 
 import pyarrow as pa
@@ -25,13 +26,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lumenry.llm import bpe
 from lumenry.llm.common import with_workers
 
 START, END, LINE = "<|im_start|>", "<|im_end|>", "<|nl|>"
 _ESCAPE, _UNESCAPE = re.compile(r"<(\\*)\|"), re.compile(r"<\\(\\*)\|")
 _TURN = re.compile(r"<\|im_start\|>(.*?)\n(.*?)<\|im_end\|>\n", re.S)
-_TOKEN = re.compile(r"\w{1,6}|[^\w\s]")
-#: Tokens that a turn's marks cost.
+#: Tokens that a turn's marks cost: its start, the line end after the role, its end, and the line end after that.
 MARKS = 4
 
 
@@ -44,11 +45,6 @@ def unescape(text: str) -> str:
     return _UNESCAPE.sub(r"<\1|", text)
 
 
-def count_tokens(text: str) -> int:
-    """A tokenizer-free estimate: pieces of up to six letters or digits, and signs."""
-    return sum(1 for _ in _TOKEN.finditer(text))
-
-
 @dataclass
 class Turn:
     role: str
@@ -133,19 +129,24 @@ def _batched(rows: Iterator[tuple], schema: pa.Schema, at_once: int = 256) -> It
 _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
-def format_windows(conversations: DataFrame, budget: int = 1024, history: int = 192, tokens: Callable[[str], int] = count_tokens) -> DataFrame:
-    """(conv_id, window, text, n_turns, n_repeated, n_tokens, loss_spans) of conversations (conv_id, turn, role, text)."""
+def format_windows(conversations: DataFrame, budget: int = 1024, history: int = 192, tokens: Callable[[str], int] | None = None) -> DataFrame:
+    """(conv_id, window, text, n_turns, n_repeated, n_tokens, loss_spans) of conversations (conv_id, turn, role, text).
+
+    tokens counts those of a text; by default it is the byte-level BPE of the machine's public vocabulary, over roles and texts as they are written.
+    """
+    path, pattern = bpe.vocabulary() if tokens is None else ("", "")
     with_workers(conversations.sparkSession)
     kind = conversations.schema["conv_id"].dataType
     rows = conversations.select("conv_id", F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), "turn")
     rows = rows.repartition("conv_id").sortWithinPartitions("conv_id", F.col("turn").asc_nulls_last(), "role", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = None
+        count = tokens or (lambda text: len(bpe.codec(path, pattern).encode(text)) // 4)
+        of_role = lru_cache(1 << 10)(lambda role: count(escape(role).replace("\n", LINE)) + MARKS)
 
         def made(it: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
             for conv, group in _groups(it):
-                turns = (Turn(r, t, tokens(t) + MARKS) for _, r, t, _ in group)
+                turns = (Turn(r, t, of_role(r) + count(escape(t))) for _, r, t, _ in group)
                 for k, w in enumerate(windows(turns, budget, history)):
                     yield conv, k, w.text, w.turns, w.repeated, w.tokens, [{"start": a, "end": b} for a, b in w.spans]
 
