@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Words are runs of anything but ASCII white space.
@@ -68,3 +68,12 @@ def meet(rows: DataFrame, facts: DataFrame, key: str, total: int, most: int = MO
     sent = F.broadcast(facts.where(heavy).drop("n"))
     light = rows.join(sent.select(key), key, "left_anti").join(facts.where(~heavy).drop("n"), key)
     return rows.join(sent, key).unionByName(light)
+
+
+def numbered(df: DataFrame, name: str, *order: Column) -> DataFrame:
+    """df with the place of each row, from 0, in the order: rows are sorted by ranges, and only a count of each range is looked at together."""
+    dealt = settle(df.repartitionByRange(*order).withColumn("_o_part", F.spark_partition_id()))
+    before = F.sum("n").over(Window.orderBy("_o_part").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = dealt.groupBy("_o_part").agg(F.count("*").alias("n")).select("_o_part", F.coalesce(before, F.lit(0)).alias("_o_before"))
+    inside = F.row_number().over(Window.partitionBy("_o_part").orderBy(*order)) - 1
+    return dealt.withColumn(name, inside).join(F.broadcast(sizes), "_o_part").withColumn(name, (F.col(name) + F.col("_o_before")).cast("long")).drop("_o_part", "_o_before")
