@@ -1,11 +1,11 @@
 """Mixing sources to target weights by entropy balancing.
 
 Sources get targets in tokens: weights share the total, each target stops at `cap` times its source, and the excess is
-shared again; that is one water level, found over the sources in order of the level at which each stops. Within a
+shared again until no source is above its limit. Within a
 source the document rates stay as close to 1 as they can (in relative entropy) while their tokens meet the target:
 rate = min(cap, exp(lambda * size / largest size)). The dual in lambda is convex; its Newton steps, kept within a
 bracket, run for all sources at once over the counts by (source, size). Rates become copies in two steps: running
-sums over sizes round each (source, size) cell, and a few passes move single copies until the tokens meet
+sums over sizes round each (source, size) cell, and passes move single copies until the tokens meet
 the target as nearly as sizes allow. Cells deal their copies to documents by hash, in buckets that are as many as the root
 of the row count, so no cell's documents meet in one task.
 
@@ -21,7 +21,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenry.llm.common import WORD, settle, text_of
+from lumenry.llm.common import WORD, numbered, settle, text_of
 
 MICRO = 1_000_000
 
@@ -32,28 +32,31 @@ def sized(docs: DataFrame, source: str = "source", text: str = "text") -> DataFr
 
 
 def targets(rows: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0) -> DataFrame:
-    """(rank, source, source_size, target) of each source of sized rows; a row for each source."""
+    """(rank, source, source_size, target) of each source of sized rows, settled; a row for each source.
+
+    The level falls on sources above their limit one aggregation after another, until none is above: each stops at least one more source.
+    """
     by = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
-    by = by.withColumn("rank", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1)
+    by = numbered(by, "rank", F.col("source").asc_nulls_last())
     by = by.withColumn("w", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("rank") % len(weights) + 1).cast("int")))
-    by = by.withColumn("limit", F.col("source_size") * F.lit(float(cap)))
-    stops = Window.orderBy(F.col("limit") / F.col("w"), "rank")
-    everything = Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    by = by.withColumns(
-        {
-            "total": F.sum("source_size").over(everything) * F.lit(float(share)),
-            "stopped": F.coalesce(F.sum("limit").over(stops.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)),
-            "open_w": F.sum("w").over(stops.rowsBetween(0, Window.unboundedFollowing)),
-        }
-    )
-    level = (F.col("total") - F.col("stopped")) / F.col("open_w")
-    by = by.withColumn("level", F.when(F.col("limit") / F.col("w") >= level, level))
-    by = by.withColumn("level", F.first("level", ignorenulls=True).over(stops.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    return by.select("rank", "source", "source_size", F.coalesce(F.least("limit", F.col("level") * F.col("w")), F.col("limit")).alias("target"))
+    by = settle(by.withColumn("limit", F.col("source_size") * F.lit(float(cap))))
+    left, stopped = float(by.agg(F.sum("source_size")).first()[0] or 0) * share, -1
+    level = math.inf
+    while True:
+        held = F.col("limit") < F.lit(level) * F.col("w") if level < math.inf else F.lit(False)
+        now = by.agg(F.count_if(held).alias("stopped"), F.sum(F.when(held, F.col("limit"))).alias("given"), F.sum(F.when(~held, F.col("w"))).alias("w")).first()
+        if now["stopped"] == stopped or not now["w"]:
+            break
+        stopped = now["stopped"]
+        level = (left - (now["given"] or 0.0)) / now["w"]
+    return by.select("rank", "source", "source_size", F.least(F.col("limit"), F.lit(level) * F.col("w")).alias("target"))
 
 
-def _tilts(cells: DataFrame, cap: float, steps: int = 4, most: int = 40) -> DataFrame:
-    """(rank, tilt) by Newton steps on the dual of each source that isn't at its cap or empty."""
+def _tilts(cells: DataFrame, cap: float, steps: int = 4, most: int = 400) -> DataFrame:
+    """(rank, tilt) by Newton steps on the dual of each source that isn't at its cap or empty.
+
+    Steps that leave the bracket halve it, so a few dozen meet any target; that `most` do not is an error.
+    """
     state = cells.select("rank").distinct().select("rank", F.lit(0.0).alias("tilt"), F.lit(None).cast("double").alias("lo"), F.lit(None).cast("double").alias("hi"))
     for _ in range(math.ceil(most / steps)):
         for _ in range(steps):
@@ -74,8 +77,8 @@ def _tilts(cells: DataFrame, cap: float, steps: int = 4, most: int = 40) -> Data
         last = settle(last)
         state = last.drop("met")
         if last.where(~F.col("met")).isEmpty():
-            break
-    return state.select("rank", "tilt")
+            return state.select("rank", "tilt")
+    raise RuntimeError(f"a source's target isn't met within {most} steps")
 
 
 def rates(rows: DataFrame, goals: DataFrame, cap: float = 2.0) -> DataFrame:
@@ -91,31 +94,36 @@ def rates(rows: DataFrame, goals: DataFrame, cap: float = 2.0) -> DataFrame:
     return cells.join(tilt, "rank", "left").withColumn("rate", F.when(F.col("size") > 0, F.round(rate * MICRO).cast("long")).otherwise(F.lit(0).cast("long"))).select("rank", "source", "source_size", "target", "size", "n", "rate")
 
 
-def copies_by_cell(cells: DataFrame, cap: int = 2, passes: int = 8) -> DataFrame:
-    """Adds m, the copies that a cell's n documents have together."""
+def copies_by_cell(cells: DataFrame, cap: int = 2) -> DataFrame:
+    """Adds m, the copies that a cell's n documents have together, settled.
+
+    Each pass brings a source nearer to its target by copies of the largest size that fits; passes end when none fits any more.
+    """
     along = Window.partitionBy("rank").orderBy(F.desc("size"))
     upto = F.sum(F.col("n") * F.col("rate")).over(along.rowsBetween(Window.unboundedPreceding, 0))
     whole = lambda c: F.floor((c + MICRO // 2) / MICRO)
     out = cells.withColumn("upto", upto).withColumn("m", F.greatest(F.lit(0), F.least(whole(F.col("upto")) - whole(F.col("upto") - F.col("n") * F.col("rate")), cap * F.col("n"))))
     out = out.drop("upto")
-    for k in range(passes):
-        of_source = Window.partitionBy("rank")
-        out = out.withColumn("left", F.col("target") - F.sum(F.col("m") * F.col("size")).over(of_source))
-        fits = (F.col("size") > 0) & (F.col("size") <= F.abs("left")) & F.when(F.col("left") > 0, F.col("m") < cap * F.col("n")).otherwise(F.col("m") > 0)
-        out = out.withColumn("pick", F.max(F.when(fits, F.col("size"))).over(of_source))
-        units = F.floor(F.abs("left") / F.col("size"))
-        more, less = F.least(units, cap * F.col("n") - F.col("m")), F.least(units, F.col("m"))
-        out = out.withColumn("m", F.when(F.col("size") == F.col("pick"), F.when(F.col("left") > 0, F.col("m") + more).otherwise(F.col("m") - less)).otherwise(F.col("m")))
+    of_source = Window.partitionBy("rank")
+    moved = True
+    while moved:
+        for _ in range(2):
+            out = out.withColumn("left", F.col("target") - F.sum(F.col("m") * F.col("size")).over(of_source))
+            fits = (F.col("size") > 0) & (F.col("size") <= F.abs("left")) & F.when(F.col("left") > 0, F.col("m") < cap * F.col("n")).otherwise(F.col("m") > 0)
+            out = out.withColumn("pick", F.max(F.when(fits, F.col("size"))).over(of_source))
+            units = F.floor(F.abs("left") / F.col("size"))
+            more, less = F.least(units, cap * F.col("n") - F.col("m")), F.least(units, F.col("m"))
+            out = out.withColumn("m", F.when(F.col("size") == F.col("pick"), F.when(F.col("left") > 0, F.col("m") + more).otherwise(F.col("m") - less)).otherwise(F.col("m")))
+        out = settle(out)
+        moved = not out.where("pick is not null").isEmpty()
         out = out.drop("left", "pick")
-        if k % 2:
-            out = settle(out)
     return out
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, cap: int = 2, source: str = "source", text: str = "text") -> DataFrame:
     """Per row of docs: doc_id, source, size, source_size, target, copies (0 to cap), taken (copies * size)."""
     rows = sized(docs, source, text)
-    cells = settle(copies_by_cell(rates(rows, targets(rows, weights, share, cap), cap), cap))
+    cells = copies_by_cell(rates(rows, targets(rows, weights, share, cap), cap), cap)
     buckets = max(1, math.isqrt(rows.count()))
     rows = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)))
     dealt = rows.groupBy("source", "size", "bucket").agg(F.count("*").alias("here"))
