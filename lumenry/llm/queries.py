@@ -89,15 +89,17 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def _kind_sql(number: int, regex: str) -> str:
     r = "'" + regex.replace("'", "''") + "'"
-    return f"SELECT r, source, {number} AS kind, {'regexp_extract(m, ' + r + ', 2)' if not number else 'm'} AS v, m, g, i FROM (SELECT r, source, unnest(ms) AS m, unnest(gs[:len(ms)]) AS g, generate_subscripts(ms, 1) AS i FROM (SELECT r, source, regexp_extract_all(t, {r}) AS ms, regexp_split_to_array(t, {r}) AS gs FROM d) WHERE len(ms) > 0)"
+    return f"SELECT r, {number} AS kind, {'regexp_extract(m, ' + r + ', 2)' if not number else 'm'} AS v, m, g, i FROM (SELECT r, unnest(ms) AS m, unnest(gs[:len(ms)]) AS g, generate_subscripts(ms, 1) AS i FROM (SELECT r, regexp_extract_all(t, {r}) AS ms, regexp_split_to_array(t, {r}) AS gs FROM d) WHERE len(ms) > 0)"
 
 
-SECRETS_SQL = f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, coalesce(source, '(none)') AS source FROM documents),
+SECRETS_SQL = f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, coalesce(source, '{secret_scan.NO_OWNER}') AS source FROM documents),
     x AS ({" UNION ALL ".join(_kind_sql(k, e) for k, e in enumerate((secret_scan.ASSIGN, secret_scan.ACCESS, secret_scan.HEX, secret_scan.TOKEN)))}),
     p AS (SELECT *, sum(length(g) + length(m)) OVER (PARTITION BY r, kind ORDER BY i) AS e FROM x),
-    k AS (SELECT r, source, kind, v, CAST(e - length(m) AS BIGINT) AS s, CAST(e AS BIGINT) AS e FROM p
+    k AS (SELECT r, kind, v, CAST(e - length(m) AS BIGINT) AS s, CAST(e AS BIGINT) AS e FROM p
         WHERE CASE kind WHEN 0 THEN length(v) >= 6 WHEN 3 THEN regexp_matches(v, '[a-z]') AND regexp_matches(v, '[A-Z]') AND regexp_matches(v, '[0-9]') ELSE true END),
-    o AS (SELECT v, count(DISTINCT source) >= {secret_scan.COMMON_OWNERS} AS common FROM k GROUP BY v),
+    u AS (SELECT v, t, min(source) AS owner FROM k JOIN d USING (r) GROUP BY v, t),
+    w AS (SELECT v, owner, count(*) AS n FROM u GROUP BY v, owner),
+    o AS (SELECT v, count(*) >= {secret_scan.COMMON_OWNERS} AND 2 * max(n) <= sum(n) AS common FROM w GROUP BY v),
     f AS (SELECT r, kind, s, e, common, ['assign', 'access', 'hex', 'token'][kind + 1] || ':' || s || ':' || e AS span FROM k JOIN o USING (v) WHERE kind < 3 OR NOT common),
     a AS (SELECT r, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex, count(*) FILTER (kind = 3) AS n_token,
         string_agg(span, ',' ORDER BY s, kind, e) FILTER (kind < 3) AS base, string_agg(span, ',' ORDER BY s, kind, e) AS spans, count(*) FILTER (NOT common) AS n_live, count(*) FILTER (common) AS n_common FROM f GROUP BY r)

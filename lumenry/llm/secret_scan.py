@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenry.llm.common import settle, text_of
+from lumenry.llm.common import meet, settle, text_of
 
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"
@@ -24,6 +24,10 @@ HEX = r"[0-9a-f]{24,}"
 TOKEN = r"[A-Za-z0-9+/_-]{28,}"
 KINDS = ("assign", "access", "hex", "token")
 COMMON_OWNERS = 3
+#: Stands for a null owner.
+NO_OWNER = "(none)"
+#: Documents with live-looking spans whose spans may be broadcast; with more, they are joined by shuffle.
+MANY_CUT = 1_000_000
 
 
 def _of_kind(number: int, regex: str, value: Column | None, keep) -> Column:
@@ -40,10 +44,10 @@ def _of_kind(number: int, regex: str, value: Column | None, keep) -> Column:
     return F.transform(F.filter(pairs, lambda x: x["m"].isNotNull()), one)
 
 
-def candidates(docs: DataFrame, owner: str = "source", repository: str = "doc_id", text: str = "text") -> DataFrame:
+def candidates(docs: DataFrame, owner: str = "source", repository: str | None = None, text: str = "text") -> DataFrame:
     """(doc_id, text_hash, owner, repository, parts) of every row, settled; parts lists all matches."""
     t = F.col("_s_text")
-    df = docs.select(F.col("doc_id"), F.col(owner).cast("string").alias("owner"), F.col(repository).cast("string").alias("repository"), text_of(text).alias("_s_text"))
+    df = docs.select(F.col("doc_id"), F.col(owner).cast("string").alias("owner"), text_of(text).alias("_s_text"), *([F.col(repository).cast("string").alias("repository")] if repository else []))
     mixed = lambda x: x.rlike("[a-z]") & x.rlike("[A-Z]") & x.rlike("[0-9]")
     kinds = [
         F.when(t.rlike(ASSIGN), _of_kind(0, ASSIGN, F.lit(2), lambda x: F.length(x) >= 6)),
@@ -53,15 +57,18 @@ def candidates(docs: DataFrame, owner: str = "source", repository: str = "doc_id
     ]
     none = F.lit([]).cast("array<struct<kind:int,i:int,gap:int,len:int,digest:string>>")
     parts = F.concat(*[F.coalesce(k.cast("array<struct<kind:int,i:int,gap:int,len:int,digest:string>>"), none) for k in kinds])
-    return settle(df.select("doc_id", F.xxhash64("_s_text").alias("text_hash"), "owner", "repository", parts.alias("parts")))
+    of = F.col("repository") if repository else F.xxhash64("_s_text").cast("string")
+    return settle(df.select("doc_id", F.xxhash64("_s_text").alias("text_hash"), "owner", of.alias("repository"), parts.alias("parts")))
 
 
 def ownership(found: DataFrame, common_owners: int = COMMON_OWNERS) -> DataFrame:
-    """(digest, n_owners, n_repositories, common) of every value in candidates()."""
+    """(digest, n, n_owners, n_repositories, common) of every value in candidates(), settled; n is its number of matches."""
     one = found.where(F.size("parts") > 0).select("owner", "repository", F.explode("parts").alias("p")).where("p.digest is not null")
-    held = one.select(F.col("p.digest").alias("digest"), "owner", "repository").distinct()
-    by_owner = held.groupBy("digest", "owner").agg(F.count("*").alias("n"))
-    return by_owner.groupBy("digest").agg(F.count("*").alias("n_owners"), F.sum("n").alias("n_repositories")).withColumn("common", F.col("n_owners") >= common_owners)
+    held = one.groupBy(F.col("p.digest").alias("digest"), "repository").agg(F.min(F.coalesce("owner", F.lit(NO_OWNER))).alias("owner"), F.count("*").alias("n"))
+    by_owner = held.groupBy("digest", "owner").agg(F.count("*").alias("repositories"), F.sum("n").alias("n"))
+    of = by_owner.groupBy("digest").agg(F.sum("n").alias("n"), F.count("*").alias("n_owners"), F.sum("repositories").alias("n_repositories"), F.max("repositories").alias("most"))
+    common = (F.col("n_owners") >= common_owners) & (2 * F.col("most") <= F.col("n_repositories"))
+    return settle(of.withColumn("common", common).drop("most"), narrow=True)
 
 
 def spans(found: DataFrame, owned: DataFrame) -> DataFrame:
@@ -70,7 +77,7 @@ def spans(found: DataFrame, owned: DataFrame) -> DataFrame:
     p = one.select("doc_id", "text_hash", F.explode("parts").alias("p")).select("doc_id", "text_hash", "p.*")
     end = F.sum(F.col("gap") + F.col("len")).over(Window.partitionBy("doc_id", "text_hash", "kind").orderBy("i").rowsBetween(Window.unboundedPreceding, 0))
     p = p.withColumn("end", end).where(F.col("digest").isNotNull()).withColumn("start", F.col("end") - F.col("len"))
-    out = p.join(owned.select("digest", "common"), "digest")
+    out = meet(p, owned.select("digest", "n", "common"), "digest", owned.agg(F.sum("n")).first()[0] or 0)
     return out.where((F.col("kind") < 3) | ~F.col("common")).select("doc_id", "text_hash", "kind", "start", "end", "common")
 
 
@@ -111,6 +118,8 @@ def redact(docs: DataFrame, mask: str = "<secret>", text: str = "text", **how) -
     parts = parts.groupBy("doc_id", "text_hash", "part").agg(F.min("start").alias("start"), F.max("end").alias("end"))
     until = F.coalesce(F.lead("start").over(Window.partitionBy("doc_id", "text_hash").orderBy("start")), F.lit(2**31 - 1))
     cuts = parts.withColumn("until", until).groupBy(F.col("doc_id").alias("_s_d"), F.col("text_hash").alias("_s_h")).agg(F.sort_array(F.collect_list(F.struct("start", "end", "until"))).alias("_s_cuts"))
+    cuts = settle(cuts, narrow=True)
+    cuts = F.broadcast(cuts) if cuts.count() <= MANY_CUT else cuts
     joined = docs.withColumn("_s_text", text_of(text)).withColumn("_s_hash", F.xxhash64("_s_text"))
     joined = joined.join(cuts, F.col("doc_id").eqNullSafe(F.col("_s_d")) & (F.col("_s_hash") == F.col("_s_h")), "left")
     t = F.col("_s_text")
