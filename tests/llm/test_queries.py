@@ -42,6 +42,23 @@ def test_op1(spark, edge_dir):
     assert max(r.n_windows for r in rows) > 3
 
 
+def test_op1_windows_keep_their_budget(spark, edge_dir):
+    """No window of several turns has more tokens than the budget by another encoder, each mark counted as one."""
+    import tiktoken
+
+    from lumenry.llm import bpe, chat_format
+
+    path, pattern = bpe.vocabulary()
+    enc = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=bpe.codec(path, pattern).ranks, special_tokens={})
+    rows = [(1, k, "user" if k % 2 == 0 else "assistant", "数据处理需要很多步骤。" * (3 + k % 5) + " é<|😀" * (k % 4)) for k in range(60)]
+    rows += [(2, 0, "system", "short rules")] + [(2, 1 + k, "user" if k % 2 == 0 else "assistant", f"{k} words of {k * k} turns, " * 12) for k in range(30)]
+    made = chat_format.format_windows(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), budget=300, history=80).collect()
+    assert len(made) > 10 and all(r.n_turns > 1 for r in made)
+    for r in made:
+        pieces = [x for m in chat_format._TURN.finditer(r.text) for x in m.groups()]
+        assert sum(len(enc.encode_ordinary(x)) for x in pieces) + 4 * r.n_turns == r.n_tokens <= 300
+
+
 def test_op2(spark, edge_dir):
     rows = q.op2_mixing(spark, edge_dir).collect()
     assert rows and Counter((r.doc_id, r.size) for r in rows) == Counter((d[0], len(words(d[1]))) for d in DOCS)
@@ -96,6 +113,26 @@ def test_op3(spark, edge_dir):
     assert all(sorted(v) == list(range(len(v))) for v in slots.values()) and set(slots) <= set(range(8))
 
 
+def test_op3_slots_follow_one_order(spark):
+    """Slots of all shards, one after another, are the order of (text hash, doc_id); equal texts are together but where a splitter parts them."""
+    from pyspark.sql import functions as F
+
+    from lumenry.llm import sharding
+
+    docs = spark.range(4000).selectExpr("IF(id % 50 = 0, 7, id) AS doc_id", "IF(id % 3 = 0, 'hot text', concat('t', id % 700)) AS text").repartition(7)
+    keys = docs.select("doc_id", F.xxhash64("text").alias("h")).collect()
+    crc = {r.doc_id: r for r in docs.selectExpr("doc_id", "crc32(text) AS c").distinct().collect()}
+    order = sorted((r.h % 2**64, r.doc_id) for r in keys)
+    got = sharding.shard(docs, 5).orderBy("shard", "slot").collect()
+    assert [r.doc_id for r in got] == [i for _, i in order] and crc
+    for s in range(5):
+        assert [r.slot for r in got if r.shard == s] == list(range(sum(r.shard == s for r in got)))
+    where = defaultdict(set)
+    for r in got:
+        where[r.text_crc32].add(r.shard)
+    assert sum(len(v) > 1 for v in where.values()) <= 4
+
+
 def test_op3_bytes_are_near_equal(spark):
     from lumenry.llm import sharding
 
@@ -208,6 +245,54 @@ def test_op7(spark, edge_dir):
     assert all(not r.kept for r in rows if r.base_failed)
 
 
+def test_op7_conditions_are_the_best(spark):
+    """The condition with the greatest gain over all figures, cuts and directions, by trying each on the rows."""
+    import math
+    import random
+
+    from lumenry.llm import quality_rules as Q
+
+    rnd = random.Random(8)
+    for _ in range(3):
+        rows = [(int(rnd.random() < 0.3), *[round(rnd.random() * 3, 2) for _ in Q.FIGURES]) for _ in range(60)]
+        rows = [(b, *(round(x + b * (k == 2), 2) for k, x in enumerate(v))) for b, *v in rows]
+        bad, n = sum(r[0] for r in rows), len(rows)
+        best = 0.0
+        for k, f in enumerate(Q.FIGURES, 1):
+            values = sorted({r[k] for r in rows})
+            for a, b in zip(values, values[1:], strict=False):
+                for above in (True, False):
+                    some = [r[0] for r in rows if (r[k] >= (a + b) / 2) == above]
+                    if sum(some) >= 2:
+                        best = max(best, sum(some) * (math.log2(sum(some) / (len(some) + 0.5)) - math.log2(bad / n)))
+        got, _ = Q.best_condition(Q.histograms(spark.createDataFrame(rows, ["bad", *Q.FIGURES])), 1)
+        some = [r[0] for r in rows if (r[1 + Q.FIGURES.index(got.figure)] >= got.threshold) == got.above]
+        assert abs(sum(some) * (math.log2(sum(some) / (len(some) + 0.5)) - math.log2(bad / n)) - best) < 1e-9
+
+
+def test_op7_learns_conjunctions(spark):
+    """Two kinds of bad rows: one that only two conditions together tell, one that a single condition tells. Labels of rows that the base rule rejects don't count."""
+    import random
+
+    from lumenry.llm import quality_rules as Q
+
+    rnd = random.Random(9)
+    rows = []
+    for k in range(3000):
+        f = {x: rnd.random() for x in Q.FIGURES}
+        bad = int((f["symbol_rate"] > 0.7 and f["capital_rate"] < 0.3) or f["sentence_rate"] > 0.95)
+        rows.append((k, *[200 if b == "n_words" else 0 for b in Q.BASE], *f.values(), bad))
+    rows += [(3000 + k, *[5 if b == "n_words" else 0 for b in Q.BASE], *[0.5] * len(Q.FIGURES), 1) for k in range(2000)]
+    names = ["doc_id", *Q.BASE, *Q.FIGURES]
+    measures = spark.createDataFrame([r[:-1] for r in rows], names)
+    labels = spark.createDataFrame([(r[0], 1 - r[-1]) for r in rows], ["doc_id", "quality"])
+    rules = Q.fit(measures, labels)
+    assert sorted(sorted(c.figure for c in r.conditions) for r in rules) == [["capital_rate", "symbol_rate"], ["sentence_rate"]]
+    judged = {r.doc_id: r.kept for r in Q.judge(measures, rules).collect()}
+    wrong = sum(judged[r[0]] == bool(r[-1]) for r in rows[:3000])
+    assert wrong < 20
+
+
 def test_op8(spark, edge_dir):
     rows = q.op8_merkle_fingerprints(spark, edge_dir).collect()
     assert len(rows) == len(DOCS)
@@ -264,10 +349,14 @@ def test_op9_ownership_and_masks(spark):
     from lumenry.llm import secret_scan
 
     key = "token=Abcdef123456"
-    docs = spark.createDataFrame([(k, f"see {key} é", f"o{k}", 0) for k in range(3)] + [(9, "x secret=only1owner y token = zzzzzz", "o1", 5), (9, "x secret=only1owner y token = zzzzzz", "o1", 5), (10, None, None, None)], "doc_id long, text string, source string, n_chars long")
+    docs = spark.createDataFrame([(k, f"see {key} é" + " " * k, f"o{k}", 0) for k in range(3)] + [(9, "x secret=only1owner y token = zzzzzz", "o1", 5), (9, "x secret=only1owner y token = zzzzzz", "o1", 5), (10, None, None, None)], "doc_id long, text string, source string, n_chars long")
     rows = {r.doc_id: r for r in secret_scan.scan(docs).collect()}
     assert (rows[0].n_common, rows[0].n_live, rows[9].n_live) == (1, 0, 2)
     out = sorted(((r.doc_id, r.text, r.n_chars) for r in secret_scan.redact(docs).collect()), key=str)
+    copied = [(k, "key token=Zcdefg123456", f"o{k}", 0) for k in range(5)]
+    one_owner = [(10 + k, f"v{k} secret=Abcdef123456", "o1" if k > 1 else f"p{k}", 0) for k in range(6)]
+    rows_ = secret_scan.scan(spark.createDataFrame(copied + one_owner, "doc_id long, text string, source string, n_chars long")).collect()
+    assert all((r.n_live, r.n_common) == (1, 0) for r in rows_)  # copies of one text, and a value that one owner has most of, aren't common
     assert ("x <secret> y <secret>" in {t for i, t, _ in out if i == 9}) and (0, f"see {key} é", 0) in out and (10, None, None) in out and len(out) == 6
 
 
