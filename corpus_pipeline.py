@@ -25,7 +25,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rules are learned from the labelled documents among docs. The verdict is computed in the pass that reads the texts; the row mark in
     the filter keeps the optimizer from computing the figures a second time inside it.
     """
-    rules = quality_rules.fit(quality_rules.measure_table(docs), table(spark, sf_dir, "labels"))
+    labels = table(spark, sf_dir, "labels")
+    rules = quality_rules.fit(quality_rules.measure_table(quality_rules.labelled_only(docs, labels)), labels)
     whole = docs.select(F.struct(*docs.columns).alias("_doc"), "doc_id", "text")
     measures = quality_rules.figures(quality_rules.measured(whole)).withColumn("_q_row", F.monotonically_increasing_id())
     return quality_rules.judge(measures, rules).where(F.col("kept") & (F.col("_q_row") >= 0)).select("_doc.*")
