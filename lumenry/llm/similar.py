@@ -5,8 +5,11 @@ fixed order, those of crowded cells of a sketch last, then by hash; sets alike e
 are dealt. Within a group that shares a shingle, fingerprints of the sets tell which pairs are compared: those of LIMIT bits or
 fewer (two sets alike enough exceed that about once in a million; sets of fewer than FEW shingles have no limit). First
 each set meets the smallest one of its group, or the next one that is too large for that one. Groups that are then in one class are done; in others a
-Gray-order index, in which nodes of one class are dropped whole for its members, finds the near pairs of two classes. Pairs are then compared exactly by their
-sets. The sketch only orders, and tells crowded groups, which are dealt in parts of about PART rows, every two parts meeting.
+Gray-order index, in which nodes of one class are dropped whole for its members, finds the near pairs of two classes. Of these, those count that are near by
+EXTRA longer fingerprints too (again but one in a million). Twice each set meets only its nearest one, so that most classes grow together.
+At last the sets that have a near one of another class are dealt once more, with their texts, by the component of such pairs they are in; their index
+finds the pairs there, which are compared where they stand, so only links leave. Pairs are always compared exactly by their sets. The sketch only orders, and tells crowded groups, which are dealt in parts of
+about PART rows, as large components are by their sets and shingles, every two parts meeting.
 
 Words are those of simhash. Texts shorter than a shingle are one shingle; null texts and texts without words are alike. Equal sets count as one; a null
 doc_id keeps its row.
@@ -16,7 +19,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from fractions import Fraction
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,10 +35,16 @@ from lumenry.llm.components import components
 WIDTH, SIMILARITY, SEED = 5, 0.8, 42
 #: Bits in which fingerprints of alike sets may differ; from how many shingles on that holds.
 LIMIT, FEW = 24, 40
+#: Further fingerprints, by other hashes of the shingles, and the bits in which all together may differ.
+EXTRA, LIMIT_ALL = 4, 80
 #: Cells of the sketch (a power of two), and the count from which a task reports one.
 CELLS, CROWDED = 1 << 20, 8
 #: Rows of a group that are dealt together.
 PART = 1 << 14
+#: Sets and shingles of a component that are dealt together.
+PART_SETS, PART_SHINGLES = 1 << 10, 1 << 20
+#: Rows and bytes of a block of groups, after which it ends with its group.
+BLOCK_ROWS, BLOCK_BYTES = 1 << 16, 1 << 25
 #: Sets that a task remembers to leave out their copies; copies beyond meet in their group.
 REMEMBERED = 1 << 18
 #: Texts that are sent to their pairs, at most; each has over one in SENT of all pairs.
@@ -54,6 +62,16 @@ def name_of(own: np.ndarray) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+def longer(own: np.ndarray) -> bytes:
+    """EXTRA further fingerprints of a set."""
+    out = []
+    for k in range(1, EXTRA + 1):
+        x = own + np.uint64(k) * np.uint64(0x9E3779B97F4A7C15)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        out.append(simhash.majority(x ^ (x >> np.uint64(27))))
+    return np.array(out, "<u8").tobytes()
+
+
 class Measure:
     """The least similarity as a fraction, and what it implies."""
 
@@ -86,33 +104,34 @@ class Measure:
 
 
 def _named(docs: DataFrame, text: str, width: int) -> DataFrame:
-    """(doc_id, name, fp, cell, times): the set of every row, and rows of a null name with crowded cells of the sketch; settled."""
-    names = ["doc_id", "name", "fp", "cell", "times"]
+    """(doc_id, name, fp, more, cell, times): the set of every row, and rows of a null name with crowded cells of the sketch; settled."""
+    names = ["doc_id", "name", "fp", "more", "cell", "times"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch, seen, kind = np.zeros(CELLS, np.int32), {}, None
         for b in batches:
-            kind, found, prints = b.column(0).type, [], []
+            kind, found, prints, further = b.column(0).type, [], [], []
             for x in b.column(1):
                 own = shingles(x.as_py(), width)
                 name = name_of(own)
                 fp = seen.get(name)
                 if fp is None:
-                    fp = simhash.majority(own)
+                    fp = simhash.majority(own), longer(own)
                     np.add.at(sketch, own & np.uint64(CELLS - 1), 1)
                     if len(seen) < REMEMBERED:
                         seen[name] = fp
                 found.append(name)
-                prints.append(fp)
+                prints.append(fp[0])
+                further.append(fp[1])
             n = len(found)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.int64()), pa.array(np.array(prints, np.uint64).view(np.int64)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64())], names)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.int64()), pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array(further, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64())], names)
         cells = np.flatnonzero(sketch >= max(CROWDED, 4 * sketch.mean())).astype(np.int32)
         if len(cells):
             n = len(cells)
-            yield pa.RecordBatch.from_arrays([pa.nulls(n, kind), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array(cells), pa.array(sketch[cells].astype(np.int64))], names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(n, kind), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.array(cells), pa.array(sketch[cells].astype(np.int64))], names)
 
     long = T.LongType()
-    schema = T.StructType([docs.schema["doc_id"], *[T.StructField(n, t) for n, t in (("name", long), ("fp", long), ("cell", T.IntegerType()), ("times", long))]])
+    schema = T.StructType([docs.schema["doc_id"], *[T.StructField(n, t) for n, t in (("name", long), ("fp", long), ("more", T.BinaryType()), ("cell", T.IntegerType()), ("times", long))]])
     return settle(docs.select("doc_id", text).mapInArrow(run, schema))
 
 
@@ -149,7 +168,7 @@ def _dealt(docs: DataFrame, text: str, width: int, crowd: np.ndarray, measure: M
 def _whole_groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[np.ndarray]]:
     """Columns of sorted rows, in blocks that hold whole groups of the first `keys` columns."""
     held: list[pa.RecordBatch] = []
-    rows = 0
+    rows = size = 0
 
     def columns() -> list[np.ndarray]:
         return [np.concatenate([b.column(k).to_numpy(zero_copy_only=False) for b in held]) for k in range(held[0].num_columns)]
@@ -158,8 +177,8 @@ def _whole_groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list
         if not b.num_rows:
             continue
         held.append(b)
-        rows += b.num_rows
-        if rows < 1 << 16:
+        rows, size = rows + b.num_rows, size + b.nbytes
+        if rows < BLOCK_ROWS and size < BLOCK_BYTES:
             continue
         key = [b.column(k).to_numpy(zero_copy_only=False) for k in range(keys)]
         last = np.flatnonzero(np.any([k != k[-1] for k in key], axis=0))
@@ -167,7 +186,7 @@ def _whole_groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list
             held[-1] = b.slice(0, int(last[-1]) + 1)
             yield columns()
             held = [b.slice(int(last[-1]) + 1)]
-            rows = held[0].num_rows
+            rows, size = held[0].num_rows, held[0].nbytes
     if held:
         yield columns()
 
@@ -205,53 +224,147 @@ def _groups(measure: Measure):
     return run
 
 
-def _pairs(measure: Measure):
-    """Pairs of sets of a group that are in two classes, near by fingerprint, and may be alike by size and place."""
+def _candidates(measure: Measure, columns: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(row, other row, differing bits) of sets of one group that are in two classes, near by fingerprints, and may be alike by size and place."""
+    shingle, one, other, name, fp, n, place, root, more = columns[:9]
+    starts = np.flatnonzero(_new(shingle, one, other))
+    sizes = np.diff(np.r_[starts, len(shingle)])
+    rows = np.flatnonzero(np.repeat(np.minimum.reduceat(root, starts) != np.maximum.reduceat(root, starts), sizes))
+    if not len(rows):
+        return
+    group = np.repeat(np.arange(len(starts)), sizes)[rows]
+    index = simhash.GrayIndex(group, fp[rows].view(np.uint64), np.unique(root[rows], return_inverse=True)[1])
+    rows = rows[index.order]
+    n, place = n[rows].astype(np.int64), place[rows]
+    further = np.frombuffer(b"".join(more[rows]), np.uint64).reshape(-1, EXTRA)
+    for i, j in index.near(_few(n)):
+        ok = (np.maximum(n[i], n[j]) <= measure.largest(np.minimum(n[i], n[j]))) & measure.possible(n[i], place[i], n[j], place[j])
+        i, j = i[ok], j[ok]
+        apart = np.bitwise_count(index.fps[i] ^ index.fps[j]).astype(np.int32) + np.bitwise_count(further[i] ^ further[j]).sum(axis=1, dtype=np.int32)
+        ok = (apart <= LIMIT_ALL) | (n[i] < FEW)
+        yield rows[i[ok]], rows[j[ok]], apart[ok]
+
+
+def _nearest(measure: Measure):
+    """For each set of a group only its nearest one of another class, with their difference."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in _whole_groups(batches, 3):
-            once = _new(block[0], block[1], block[2], block[3])
-            shingle, one, other, name, fp, n, place, root = (x[once] for x in block)
-            starts = np.flatnonzero(_new(shingle, one, other))
-            sizes = np.diff(np.r_[starts, len(shingle)])
-            open_ = np.repeat(np.minimum.reduceat(root, starts) != np.maximum.reduceat(root, starts), sizes)
-            if not open_.any():
-                continue
-            group = np.repeat(np.arange(len(starts)), sizes)[open_]
-            name, fp, n, place, root = (x[open_] for x in (name, fp, n.astype(np.int64), place, root))
-            index = simhash.GrayIndex(group, fp.view(np.uint64), np.unique(root, return_inverse=True)[1])
-            n, place, name = n[index.order], place[index.order], name[index.order]
-            for i, j in index.near(_few(n)):
-                ok = (np.maximum(n[i], n[j]) <= measure.largest(np.minimum(n[i], n[j]))) & measure.possible(n[i], place[i], n[j], place[j])
-                u, v = name[i[ok]], name[j[ok]]
-                if len(u):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], ["u", "v"])
+            block = [x[once] for once in [_new(*block[:4])] for x in block]
+            name = block[3]
+            for i, j, apart in _candidates(measure, block):
+                i, j, apart = np.r_[i, j], np.r_[j, i], np.r_[apart, apart]
+                order = np.lexsort((name[j], apart, i))
+                if len(order):
+                    order = order[_new(i[order])]
+                    yield pa.RecordBatch.from_arrays([pa.array(name[i[order]]), pa.array(name[j[order]]), pa.array(apart[order])], ["u", "v", "apart"])
 
     return run
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, named: DataFrame, text: str, width: int, measure: Measure) -> DataFrame:
-    """Those of the settled distinct pairs (u, v) that are alike, settled."""
+class _Classes:
+    """Classes of values that are joined one pair after another; each is named by its least value."""
+
+    def __init__(self) -> None:
+        self.up: dict[int, int] = {}
+
+    def of(self, x: int) -> int:
+        while (y := self.up.get(x, x)) != x:
+            self.up[x] = up = self.up.get(y, y)
+            x = up
+        return x
+
+    def join(self, x: int, y: int) -> bool:
+        """Whether they weren't joined yet."""
+        x, y = self.of(x), self.of(y)
+        if x != y:
+            self.up[max(x, y)] = min(x, y)
+        return x != y
+
+
+def _spanning(measure: Measure):
+    """Pairs (u, v) of candidates of a group, as many as join its sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in _whole_groups(batches, 3):
+            block = [x[once] for once in [_new(*block[:4])] for x in block]
+            name, joined, found = block[3], _Classes(), []
+            for i, j, _ in _candidates(measure, block):
+                found += [x for x in zip(name[i].tolist(), name[j].tolist(), strict=True) if joined.join(*x)]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], ["u", "v"])
+
+    return run
+
+
+def _linked(measure: Measure, width: int):
+    """Links (u, v) of sets of a component that are alike, as many as join their classes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in _whole_groups(batches, 3):
+            name, root, own = block[3].tolist(), block[7].tolist(), block[9]
+            sets: dict[int, np.ndarray] = {}
+            joined, found = _Classes(), []
+
+            def opened(k: int) -> np.ndarray:
+                if k not in sets:
+                    sets[k] = shingles(zstandard.decompress(own[k]).decode(), width)
+                return sets[k]
+
+            for i, j, _ in _candidates(measure, block):
+                for a, b in zip(i.tolist(), j.tolist(), strict=True):
+                    if joined.of(root[a]) != joined.of(root[b]) and measure.alike(opened(a), opened(b)):
+                        joined.join(root[a], root[b])
+                        found.append((name[a], name[b]))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], ["u", "v"])
+
+    return run
+
+
+_KEY = ["shingle", "one", "other"]
+
+
+def _regrouped(groups: DataFrame, facts: DataFrame, links: DataFrame) -> DataFrame:
+    """Rows of groups with the class of each set by now and its further fingerprints; of a group in parts that isn't in one class, every two parts."""
+    root = settle(components(links)).groupBy("node").agg(F.first("root").alias("root"))
+    facts = facts.join(root, facts["name"] == root["node"], "left").select("name", "more", F.coalesce("root", "name").alias("root"))
+    rest = groups.join(facts, "name")
+    several = rest.where("parts > 1").groupBy("shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("shingle")
+    own = ["name", "fp", "n", "place", "root", "more"]
+    many = rest.where("parts > 1").join(several, "shingle", "left_semi").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    many = many.select("shingle", F.least("part", "other").alias("one"), F.greatest("part", "other").alias("other"), *own)
+    rest = rest.where("parts = 1").select("shingle", F.lit(0).alias("one"), F.lit(0).alias("other"), *own).unionByName(many)
+    return rest.repartition(*_KEY).sortWithinPartitions(*_KEY, "name")
+
+
+def _texts(names: DataFrame, docs: DataFrame, named: DataFrame, text: str, width: int) -> DataFrame:
+    """(name, own, fp, n_shingles, ...) of the settled names: a compressed text of each set, its fingerprint and size; settled."""
     own = docs.select("doc_id", text_of(text).alias("t"))
-    ends = settle(pairs.select(F.explode(F.array("u", "v")).alias("name")).groupBy("name").agg(F.count("*").alias("n")))
-    ids = named.where("doc_id is not null").join(ends.select("name"), "name", "left_semi").groupBy("name").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
+    ids = named.where("doc_id is not null").join(names.select("name"), "name", "left_semi").groupBy("name").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
     some = own.join(ids, "doc_id", "left_semi").unionByName(own.where("doc_id is null"))
 
     def name_them(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor().compress
         for b in batches:
             texts = b.column(0).to_pylist()
-            yield pa.RecordBatch.from_arrays([pa.array([name_of(shingles(t, width)) for t in texts], pa.int64()), pa.array([squeeze(t.encode("utf-8", "replace")) for t in texts], pa.binary())], ["name", "own"])
+            rows = [(name_of(x), squeeze(t.encode("utf-8", "replace")), simhash.majority(x), len(x)) for t in texts for x in [shingles(t, width)]]
+            names, own, fps, n = zip(*rows, strict=True) if rows else [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(own, pa.binary()), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(n, pa.int32())], ["name", "own", "fp", "n_shingles"])
+
+    return settle(some.select("t").mapInArrow(name_them, "name long, own binary, fp long, n_shingles int").join(names, "name").dropDuplicates(["name"]))
+
 
-    texts = settle(some.select("t").mapInArrow(name_them, "name long, own binary").join(ends, "name").dropDuplicates(["name"]))
-    total = pairs.count()
+def _verified(pairs: DataFrame, docs: DataFrame, named: DataFrame, text: str, width: int, measure: Measure) -> DataFrame:
+    """Those of the settled distinct pairs (u, v) that are alike, settled."""
+    ends = settle(pairs.select(F.explode(F.array("u", "v")).alias("name")).groupBy("name").agg(F.count("*").alias("n")))
+    texts, total = _texts(ends, docs, named, text, width), pairs.count()
     of = lambda end: texts.select(F.col("name").alias(end), F.col("own").alias(f"own_{end}"), "n")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own_set = lru_cache(64)(lambda x: shingles(zstandard.decompress(x).decode(), width))
         for b in batches:
-            ok = [measure.alike(own_set(x.as_py()), own_set(y.as_py())) for x, y in zip(b.column(2), b.column(3), strict=True)]
-            yield pa.RecordBatch.from_arrays(b.columns[:2], ["u", "v"]).filter(pa.array(ok, pa.bool_()))
+            sets = [[shingles(zstandard.decompress(x.as_py()).decode(), width) for x in b.column(k)] for k in (2, 3)]
+            yield pa.RecordBatch.from_arrays(b.columns[:2], ["u", "v"]).filter(pa.array([measure.alike(x, y) for x, y in zip(*sets, strict=True)], pa.bool_()))
 
     both = meet(meet(pairs, of("u"), "u", total, SENT), of("v"), "v", total, SENT)
     return settle(both.select("u", "v", "own_u", "own_v").mapInArrow(run, "u long, v long"))
@@ -265,7 +378,7 @@ def similar_documents(docs: DataFrame, text: str = "text", width: int = WIDTH, s
     crowd = np.zeros(CELLS, np.int64)
     for r in named.where("cell is not null").groupBy("cell").agg(F.sum("times").alias("n")).toLocalIterator():
         crowd[r["cell"]] = r["n"]
-    named = named.where("name is not null").select("doc_id", "name", "fp")
+    named = named.where("name is not null").select("doc_id", "name", "fp", "more")
     groups = _dealt(docs, text, width, crowd, measure).repartition("shingle", "part").sortWithinPartitions("shingle", "part", "n", "name")
     groups = settle(groups.mapInArrow(_groups(measure), f"{_ROW}, lead long, near boolean"))
     pair = lambda a, b: (F.least(a, b).alias("u"), F.greatest(a, b).alias("v"))
@@ -276,17 +389,25 @@ def similar_documents(docs: DataFrame, text: str = "text", width: int = WIDTH, s
     leads = leads.join(least, "shingle").where((F.col("name") != F.col("to.name")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("to.fp"))) <= LIMIT))
     first = settle(first.unionByName(leads.select(*pair("name", F.col("to.name")))).distinct())
     links = _verified(first, docs, named, text, width, measure)
-    root = settle(components(links)).groupBy("node").agg(F.first("root").alias("root"))
-    rest = groups.join(root, groups["name"] == root["node"], "left").withColumn("root", F.coalesce("root", "name"))
-    # Every two parts of a group that isn't in one class by now.
-    several = rest.where("parts > 1").groupBy("shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("shingle")
-    own = ["name", "fp", "n", "place", "root"]
-    many = rest.where("parts > 1").join(several, "shingle", "left_semi").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    many = many.select("shingle", F.least("part", "other").alias("one"), F.greatest("part", "other").alias("other"), *own)
-    rest = rest.where("parts = 1").select("shingle", F.lit(0).alias("one"), F.lit(0).alias("other"), *own).unionByName(many)
-    rest = rest.repartition("shingle", "one", "other").sortWithinPartitions("shingle", "one", "other", "name").mapInArrow(_pairs(measure), "u long, v long")
-    rest = settle(rest.distinct().join(first, ["u", "v"], "left_anti"))
-    links = links.unionByName(_verified(rest, docs, named, text, width, measure))
+    facts = settle(named.groupBy("name").agg(F.first("more").alias("more")))
+    tried = first
+    for _ in range(2):
+        near = _regrouped(groups, facts, links).mapInArrow(_nearest(measure), "u long, v long, apart int")
+        near = near.groupBy("u").agg(F.min(F.struct("apart", "v"))["v"].alias("v")).select(*pair("u", "v")).distinct()
+        near = settle(near.join(tried, ["u", "v"], "left_anti"))
+        links, tried = links.unionByName(_verified(near, docs, named, text, width, measure)), tried.unionByName(near)
+    met = settle(_regrouped(groups, facts, links).mapInArrow(_spanning(measure), "u long, v long"))
+    part_of = settle(components(met).withColumnRenamed("root", "component"))
+    texts = _texts(part_of.withColumnRenamed("node", "name"), docs, named, text, width)
+    root = components(links).withColumnRenamed("node", "name")
+    sizes = texts.groupBy("component").agg(F.ceil(F.greatest(F.count("*") / PART_SETS, F.sum("n_shingles") / PART_SHINGLES)).cast("int").alias("parts"))
+    sets = texts.join(sizes, "component").join(facts, "name").join(root, "name", "left").withColumn("part", F.pmod("name", "parts").cast("int"))
+    sets = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(
+        F.col("component").alias("shingle"), F.least("part", "other").alias("one"), F.greatest("part", "other").alias("other"),
+        "name", "fp", F.col("n_shingles").alias("n"), F.lit(0).alias("place"), F.coalesce("root", "name").alias("root"), "more", "own",
+    )
+    sets = sets.repartition(*_KEY).sortWithinPartitions(*_KEY, "name").mapInArrow(_linked(measure, width), "u long, v long")
+    links = links.unionByName(settle(sets.distinct()))
     least = settle(named.groupBy("name").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")))
     ids = components(links).withColumnRenamed("node", "name").join(least, "name")
     part_id = ids.groupBy("root").agg(F.min("first_id").alias("part_id"))
