@@ -1,12 +1,15 @@
 """Quality classifier: an interpolated modified Kneser-Ney bigram model of trusted text, and language-wise thresholds.
 
-Words are tokens between ASCII white space; the VOCABULARY most frequent words of trusted text are known, others are the
-unknown word, spelled out by a byte model of the same kind. Counts are joined by shards of word pairs. A task turns a block of
-documents into sorted (pair, document, times), packed for each shard; the shard's task has the pair's trusted counts, and
-answers with a sum of log probabilities for each document of the block; answers meet by block. What is held at once is a
-block, a packed answer, and one shard's counts (at most VOCABULARY^2 / shards pairs); what is broadcast are figures by
-word, at most VOCABULARY rows, and 65,536 byte pairs. A block is named by its input partition and number there, so a
-task that runs again gives the same; documents must come from files or a written table, whose rows keep their order.
+Words are tokens between ASCII white space; all words of trusted text are known, each by a 32-bit hash. Under the bigrams stand the numbers of distinct words
+before a word, and under these a byte model of the same kind that spells words, so any text has a probability. Counts are joined by shards, which
+are ranges of hashed pairs and of words. A task turns a block of documents into its distinct pairs and words, sorted, and asks each shard for
+its part of them; the shard's task holds the counts of its range and answers in their order; answers meet with the block's words,
+which travel as places in its own word list. What is held at once is a block, an answer, and one shard's counts; what comes to the driver are
+totals and 65,536 byte pairs. Blocks grow with the number of shards, so that what a block asks of a shard doesn't shrink. A block is named by its
+input partition and number there, so a task that runs again gives the same; documents must come from files or a written table, whose
+rows keep their order. Neither shards nor blocks show in the results.
+
+Pairs are compared by as many bits of a hash as the size of documents has, and PAIR_BITS more, at most 64.
 
 Trusted documents are those labelled good (quality 1, toxic 0). One in HELD_OUT of them, by hash of doc_id, only sets
 thresholds: each language's quantile of their perplexities, from exact counts by thousandths of its logarithm; a
@@ -18,22 +21,31 @@ alike; an empty table gives an empty result. Extra columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-
-from lumenry.llm.common import WORD, settle, text_of, with_workers
-
-VOCABULARY, LONGEST, BINS = 32768, 64, 64
-UNKNOWN, BEGIN, END, FIRST = 0, 1, 2, 3
-BLOCK_TOKENS, BLOCK_DOCS = 1 << 18, 1 << 15
+from pyspark.sql.pandas.types import to_arrow_type
+
+from lumenry.llm.common import settle, text_of, with_workers
+
+U = np.uint64
+BEGIN, END = 0, 1
+#: Bits of a pair's hash beyond those of the documents' size.
+PAIR_BITS = 10
+#: Tokens of a block: at least, for each shard, and at most; and its documents at most.
+LEAST_TOKENS, SHARD_TOKENS, MOST_TOKENS, BLOCK_DOCS = 1 << 20, 1 << 12, 1 << 22, 1 << 16
+#: Log probabilities of bytes are whole parts of one.
+FINE = 1000
 HELD_OUT, QUANTILE, COARSE = 5, 0.995, 256
 #: Trusted ids that may be broadcast (8 bytes each); with more, documents are joined by shuffle.
 MANY_IDS = 4_000_000
@@ -42,27 +54,54 @@ MANY_IDS = 4_000_000
 # --- packing -------------------------------------------------------------------------------------
 
 
-def _pack(pairs: np.ndarray, *more: np.ndarray) -> bytes:
-    """Sorted pairs as differences, and columns beside them, compressed by byte planes."""
-    planes = [len(pairs).to_bytes(8, "little")]
-    for column in (np.diff(pairs, prepend=np.uint32(0)), *more):
-        column = column.astype("<u4")
-        planes.append(column.view(np.uint8).reshape(-1, 4).T.tobytes())
-    return zstandard.compress(b"".join(planes), 3)
+def _pack(*columns: np.ndarray, rising: bool = True) -> bytes:
+    """Columns of whole numbers, the first as differences if it rises, compressed by byte planes."""
+    parts = [len(columns[0]).to_bytes(8, "little")]
+    for k, c in enumerate(columns):
+        c = np.diff(c.astype("<u8"), prepend=U(0)) if rising and k == 0 else c.astype("<u8")
+        planes = max(1, (int(c.max()).bit_length() + 7) // 8) if len(c) else 1
+        parts += [bytes([planes]), c.view(np.uint8).reshape(-1, 8)[:, :planes].T.tobytes()]
+    return zstandard.compress(b"".join(parts), 3)
 
 
-def _unpack(payload: bytes, columns: int) -> list[np.ndarray]:
+def _unpack(payload: bytes, rising: bool = True) -> list[np.ndarray]:
     raw = zstandard.decompress(payload)
-    n = int.from_bytes(raw[:8], "little")
-    planes = np.frombuffer(raw, np.uint8, offset=8).reshape(columns, 4, n)
-    out = [np.ascontiguousarray(p.T).view("<u4").reshape(-1) for p in planes]
-    out[0] = np.cumsum(out[0], dtype=np.uint32)
+    n, at, out = int.from_bytes(raw[:8], "little"), 8, []
+    while at < len(raw):
+        planes = raw[at]
+        c = np.zeros((n, 8), np.uint8)
+        c[:, :planes] = np.frombuffer(raw, np.uint8, n * planes, at + 1).reshape(planes, n).T
+        c = c.view("<u8").reshape(-1)
+        out.append(np.cumsum(c, dtype=U) if rising and not out else c)
+        at += 1 + n * planes
     return out
 
 
-def _shard_of(pairs: np.ndarray, shards: int) -> np.ndarray:
-    mixed = pairs.astype(np.uint64) * np.uint64(2654435761) & np.uint64(0xFFFFFFFF)
-    return (mixed * np.uint64(shards) >> np.uint64(32)).astype(np.int32)
+def _bounds(bits: int, shards: int) -> np.ndarray:
+    """The least value of each shard; shards are equal ranges of values of so many bits."""
+    return np.array([-(-(s << bits) // shards) for s in range(shards)], U)
+
+
+def _cuts(values: np.ndarray, bits: int, shards: int) -> list[int]:
+    """Where the sorted values part into shards."""
+    return [*np.searchsorted(values, _bounds(bits, shards), "left").tolist(), len(values)]
+
+
+def pair_key(pairs: np.ndarray, bits: int) -> np.ndarray:
+    """The leading bits of the hash of pairs of words (first << 32 | second): a bijective mix of 64 bits."""
+    x = pairs.astype(U)
+    for m in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB):
+        x = (x ^ (x >> U(31))) * U(m)
+    return (x ^ (x >> U(29))) >> U(64 - bits)
+
+
+def _looked_up(keys: np.ndarray, columns: list[np.ndarray], asked: np.ndarray) -> list[np.ndarray]:
+    """The columns at the asked keys, 0 where a key isn't there."""
+    if not len(keys):
+        return [np.zeros(len(asked), U) for _ in columns]
+    at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
+    there = keys[at] == asked
+    return [np.where(there, c[at], U(0)) for c in columns]
 
 
 # --- estimation ----------------------------------------------------------------------------------
@@ -77,289 +116,324 @@ def discounts(n: list[int]) -> np.ndarray:
     return np.array([0.0, np.clip(1 - 2 * y * n2 / n1, 0.01, 0.99), np.clip(2 - 3 * y * n3 / n2, 0.01, 1.99), np.clip(3 - 4 * y * n4 / n3, 0.01, 2.99) if n3 else 1.0])
 
 
+def _classes(counts: np.ndarray, upto: int = 4) -> list[int]:
+    return [int((counts == k).sum()) for k in range(1, upto + 1)]
+
+
+def spelling(counts: np.ndarray) -> np.ndarray:
+    """Log probabilities (256 x 256) of a byte after another, from the counts of byte pairs in words; byte 32 ends a word."""
+    c = counts.reshape(256, 256).astype(np.float64)
+    d, total = discounts(_classes(c)), c.sum(axis=1)
+    backoff = np.where(total > 0, (d[1] * (c == 1).sum(axis=1) + d[2] * (c == 2).sum(axis=1) + d[3] * (c > 2).sum(axis=1)) / np.maximum(total, 1), 1.0)
+    before = (c > 0).sum(axis=0)
+    lower = np.full(256, 1 / 256)
+    if before.sum():
+        e = discounts(_classes(before))[np.minimum(before, 3)]
+        lower = np.maximum(before - e, 0) / before.sum() + e.sum() / before.sum() / 256
+    return np.log(np.maximum(c - d[np.minimum(c, 3).astype(int)], 0) / np.maximum(total, 1)[:, None] + backoff[:, None] * lower)
+
+
 @dataclass
 class Model:
-    """What a bigram's probability needs beside its own count: discounts, and for each word its total as a context, the weight it backs off with, and its lower-order probability."""
+    """What holds for all words: discounts of pairs and of words, the number of types of pairs, and the log probabilities of bytes."""
 
-    d: np.ndarray
-    total: np.ndarray
-    backoff: np.ndarray
-    lower: np.ndarray
+    pairs: np.ndarray
+    words: np.ndarray
+    types: int
+    rest: float
+    letters: np.ndarray
 
-    def log_probability(self, first: np.ndarray, second: np.ndarray, count: np.ndarray) -> np.ndarray:
-        c = count.astype(np.float64)
-        seen = np.maximum(c - self.d[np.minimum(count, 3)], 0) / np.maximum(self.total[first], 1)
-        return np.log(seen + self.backoff[first] * self.lower[second])
+    def spelled(self, words: list[bytes]) -> np.ndarray:
+        """The log probability of each word by its bytes."""
+        raw = np.frombuffer(b" " + b" ".join(words) + b" ", np.uint8)
+        ends = np.cumsum([len(w) + 1 for w in words])
+        return np.add.reduceat(self.letters[raw[:-1], raw[1:]], np.r_[0, ends[:-1]]) if words else np.zeros(0)
 
+    def lower(self, before: np.ndarray, spelled: np.ndarray) -> np.ndarray:
+        """The probability of words by the numbers of words before them."""
+        if not self.types:
+            return np.exp(spelled)
+        b = before.astype(np.float64)
+        return np.maximum(b - self.words[np.minimum(before, U(3)).astype(int)], 0) / self.types + self.rest * np.exp(spelled)
 
-def estimate(size: int, start: int, total: np.ndarray, once: np.ndarray, twice: np.ndarray, more: np.ndarray, before: np.ndarray, n: list[int]) -> Model:
-    """The model from sums by word: tokens after it, types after it seen once, twice and more, types before it; and types seen 1 to 4 times.
+    def backoff(self, total: np.ndarray, once: np.ndarray, twice: np.ndarray, more: np.ndarray) -> np.ndarray:
+        _, d1, d2, d3 = self.pairs
+        return np.where(total > 0, (d1 * once + d2 * twice + d3 * more) / np.maximum(total, U(1)), 1.0)
 
-    `start` is never predicted. The lower order is discounted in the same way, and interpolated with equal shares.
-    """
-    d = discounts(n)
-    backoff = np.where(total > 0, (d[1] * once + d[2] * twice + d[3] * more) / np.maximum(total, 1), 1.0)
-    before = before.copy()
-    if 0 <= start < size:
-        before[start] = 0
-    all_types, words = before.sum(), size - (0 <= start < size)
-    if not all_types:
-        return Model(d, total, backoff, np.full(size, 1.0 / words))
-    e = discounts([int((before == k).sum()) for k in (1, 2, 3, 4)])[np.minimum(before, 3).astype(np.int64)]
-    return Model(d, total, backoff, np.maximum(before - e, 0) / all_types + e.sum() / all_types / words)
+    def log_probability(self, count: np.ndarray, total: np.ndarray, backoff: np.ndarray, lower: np.ndarray) -> np.ndarray:
+        seen = np.maximum(count - self.pairs[np.minimum(count, U(3)).astype(int)], 0) / np.maximum(total, U(1))
+        return np.log(seen + backoff * lower)
 
 
-def spelling(counts: np.ndarray) -> np.ndarray:
-    """Log probabilities (256 x 256) of a byte after another, from the counts of byte pairs in unknown words; byte 32 ends a word."""
-    c = counts.reshape(256, 256)
-    by = lambda k: (c == k).sum(axis=1)
-    m = estimate(256, -1, c.sum(axis=1), by(1), by(2), (c > 2).sum(axis=1), (c > 0).sum(axis=0), [int((c == k).sum()) for k in (1, 2, 3, 4)])
-    a, b = np.divmod(np.arange(1 << 16), 256)
-    return m.log_probability(a, b, c.reshape(-1)).reshape(256, 256)
+# --- documents to blocks -------------------------------------------------------------------------
 
 
-# --- documents to blocks -------------------------------------------------------------------------
+@lru_cache(1 << 18)
+def word_id(word: bytes) -> int:
+    return max(xxhash.xxh32_intdigest(word), END + 1)
 
 
 class Block:
-    """Documents until BLOCK_TOKENS tokens."""
+    """Documents until so many tokens. Their words are places in the block's list of words, frequent ones first; 0 and 1 begin and end a document."""
 
     def __init__(self) -> None:
         self.rows: list[tuple] = []
-        self.ids: list[np.ndarray] = []
-        self.unknown: list[bytes] = []
-        self.n_unknown: list[int] = []
+        self.places: dict[bytes, int] = {b" ": BEGIN, b"": END}
+        self.docs: list[np.ndarray] = []
         self.tokens = 0
 
-    def add(self, row: tuple, text: str, known: dict[bytes, int]) -> None:
+    def add(self, row: tuple, text: str) -> None:
         words = text.encode("utf-8", "replace").split()
-        ids = np.fromiter((known.get(w, UNKNOWN) for w in words), np.uint32, len(words))
-        out = [words[k] for k in np.flatnonzero(ids == UNKNOWN)]
-        self.unknown += out
-        self.n_unknown.append(len(out))
-        self.ids.append(np.r_[np.uint32(BEGIN), ids, np.uint32(END)])
+        place = self.places.setdefault
+        self.docs.append(np.fromiter((place(w, len(self.places)) for w in words), np.uint32, len(words)))
         self.rows.append((*row, len(words)))
         self.tokens += len(words) + 1
 
-    def full(self) -> bool:
-        return self.tokens >= BLOCK_TOKENS or len(self.rows) >= BLOCK_DOCS
+    def words(self) -> list[bytes]:
+        return list(self.places)[2:]
+
+    def ids(self) -> np.ndarray:
+        """The id of each place."""
+        return np.fromiter((BEGIN, END, *map(word_id, self.words())), np.uint32, len(self.places))
 
-    def byte_pairs(self) -> np.ndarray:
-        """Indexes of all byte pairs of the unknown words in order, each word within spaces."""
-        raw = np.frombuffer(b" " + b" ".join(self.unknown) + b" ", np.uint8).astype(np.int32)
-        return raw[:-1] * 256 + raw[1:] if self.unknown else np.zeros(0, np.int32)
+    def sequence(self) -> np.ndarray:
+        """Places of all documents: each begins with 0, and its end is told by the next 0."""
+        return np.concatenate([x for d in self.docs for x in (np.zeros(1, np.uint32), d)]) if self.docs else np.zeros(0, np.uint32)
 
-    def spelled(self, table: np.ndarray) -> np.ndarray:
-        """The sum of spelling log probabilities of each document."""
-        pairs = self.byte_pairs()
-        sizes = np.fromiter((len(w) + 1 for w in self.unknown), np.int64, len(self.unknown))
-        doc = np.repeat(np.repeat(np.arange(len(self.rows)), self.n_unknown), sizes)
-        return np.bincount(doc, table.reshape(-1)[pairs], len(self.rows))
 
-    def entries(self, with_docs: bool) -> list[np.ndarray]:
-        """Distinct pairs (with the document's place) and their times, sorted."""
-        pairs = np.concatenate([i[:-1] << np.uint32(16) | i[1:] for i in self.ids])
-        if not with_docs:
-            return list(np.unique(pairs, return_counts=True))
-        doc = np.repeat(np.arange(len(self.ids)), [len(i) - 1 for i in self.ids])
-        both, times = np.unique(pairs.astype(np.uint64) << np.uint64(16) | doc.astype(np.uint64), return_counts=True)
-        return [(both >> np.uint64(16)).astype(np.uint32), (both & np.uint64(0xFFFF)).astype(np.uint32), times]
+def pairs_of(sequence: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """The pairs of each position of a block's sequence: a word and the next one, or a document's last and its end."""
+    second = np.r_[sequence[1:], np.uint32(BEGIN)]
+    second = np.where(second == BEGIN, np.uint32(END), second)
+    return ids[sequence].astype(U) << U(32) | ids[second].astype(U)
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], known: dict[bytes, int]) -> Iterator[Block]:
+def _blocks(batches: Iterator[pa.RecordBatch], tokens: int) -> Iterator[Block]:
     """Blocks of the rows (..., text)."""
     block = Block()
     for b in batches:
         for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            block.add(row[:-1], row[-1], known)
-            if block.full():
+            block.add(row[:-1], row[-1])
+            if block.tokens >= tokens or len(block.rows) >= BLOCK_DOCS:
                 yield block
                 block = Block()
     if block.rows:
         yield block
 
 
-def _by_shard(entries: list[np.ndarray], shards: int) -> Iterator[tuple[int, bytes]]:
-    of = _shard_of(entries[0], shards)
-    order = np.argsort(of, kind="stable")
-    cuts = np.searchsorted(of[order], np.arange(shards + 1))
-    for s in range(shards):
-        mine = order[cuts[s] : cuts[s + 1]]
-        if len(mine):
-            yield s, _pack(*(e[mine] for e in entries))
+def _merged(held: list[list[np.ndarray]]) -> list[np.ndarray]:
+    """Distinct keys, sorted, and the sums of the columns beside them."""
+    keys, places = np.unique(np.concatenate([h[0] for h in held]), return_inverse=True)
+    out = [keys]
+    for k in range(1, len(held[0])):
+        c = np.zeros(len(keys), U)
+        np.add.at(c, places, np.concatenate([h[k] for h in held]))
+        out.append(c)
+    return out
+
+
+class _Sums:
+    """Sums by key of payloads that come one after another; holds about twice the distinct keys."""
+
+    def __init__(self) -> None:
+        self.held: list[list[np.ndarray]] = []
+        self.weight = 0
+
+    def add(self, columns: list[np.ndarray]) -> None:
+        self.held.append(columns)
+        self.weight += len(columns[0])
+        if len(self.held) > 1 and self.weight > 2 * len(self.held[0][0]) + (1 << 20):
+            self.held = [self.whole()]
+            self.weight = len(self.held[0][0])
+
+    def whole(self) -> list[np.ndarray]:
+        return _merged(self.held)
 
 
 # --- training ------------------------------------------------------------------------------------
 
+PAIRS, WORDS, LETTERS, ASKED, HEADER, ANSWER = range(6)
+_PACKED = T.StructType([T.StructField("shard", T.IntegerType()), T.StructField("what", T.IntegerType()), T.StructField("payload", T.BinaryType()), T.StructField("types", T.ArrayType(T.LongType()))])
+
 
-def vocabulary(trusted: DataFrame, size: int = VOCABULARY) -> dict[bytes, int]:
-    """Ids of the most frequent words of trusted (text): at most size - FIRST short ones seen twice or more.
+def _rows(rows: list[tuple]) -> pa.RecordBatch:
+    types = [pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int64())]
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], _PACKED.names)
 
-    The least count is found from numbers of words by the logarithm of their count, so no more than the words chosen come to the driver; words
-    about as frequent are taken together or left together.
-    """
-    words = trusted.select(F.explode(F.regexp_extract_all("text", F.lit(WORD), F.lit(0))).alias("w"))
-    counts = settle(words.groupBy("w").agg(F.count("*").alias("n")).where((F.col("n") > 1) & (F.octet_length("w") <= LONGEST)).withColumn("bin", F.floor(F.log("n") * BINS)))
-    room, least = size - FIRST, None
-    for r in sorted(counts.groupBy("bin").agg(F.count("*").alias("words")).collect(), key=lambda r: -r["bin"]):
-        room -= r["words"]
-        if room < 0:
-            break
-        least = r["bin"]
-    top = counts.where(F.col("bin") >= least).select("w", "n").collect() if least is not None else []
-    return {r["w"].encode(): k for k, r in enumerate(sorted(top, key=lambda r: (-r["n"], r["w"])), FIRST)}
 
+def _parted(what: int, columns: list[np.ndarray], by: np.ndarray, bits: int, shards: int) -> list[tuple]:
+    """Payloads of the columns for each shard of the sorted values `by` that has any."""
+    cuts = _cuts(by, bits, shards)
+    return [(s, what, _pack(*(c[a:z] for c in columns)), None) for s, (a, z) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if z > a]
 
-_COUNTS = T.StructType([T.StructField("shard", T.IntegerType()), T.StructField("part", T.IntegerType()), T.StructField("payload", T.BinaryType())])
-_SUMS = ("total", "once", "twice", "more", "before")
-_COUNTED = T.StructType([*_COUNTS.fields, *[T.StructField(n, T.ArrayType(T.LongType())) for n in ("word", *_SUMS, "types")]])
 
+def dealt(df: DataFrame, shards: int, by: str = "shard", *order: str) -> DataFrame:
+    """Each shard in the partition of its number."""
+    return df.repartitionById(shards, F.col(by)).sortWithinPartitions(by, *order)
 
-def count_pairs(trusted: DataFrame, known: dict[bytes, int], shards: int) -> DataFrame:
-    """Packed counts of word pairs, a row for each shard, with its sums by word; shard -1 has the byte pairs of unknown words."""
-    names = [f.name for f in _COUNTED]
+
+def _merging(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, list[np.ndarray]]]:
+    """(shard, what, sums) of each run of rows."""
+    now, sums = None, _Sums()
+    for b in batches:
+        for shard, what, payload in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
+            if (shard, what) != now:
+                if now is not None:
+                    yield *now, sums.whole()
+                now, sums = (shard, what), _Sums()
+            sums.add(_unpack(payload))
+    if now is not None:
+        yield *now, sums.whole()
+
+
+def count_pairs(trusted: DataFrame, shards: int, bits: int, tokens: int) -> DataFrame:
+    """What trusted (text) holds, packed by shard: PAIRS (hash of pair, times), WORDS in parts (word; tokens after it, types after it seen once, twice and more, types before it), LETTERS (byte pair, times); settled."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spelled = np.zeros(1 << 16, np.int64)
-        for block in _blocks(batches, known):
-            np.add.at(spelled, block.byte_pairs(), 1)
-            rows = list(_by_shard(block.entries(False), shards))
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([0] * len(rows), pa.int32()), pa.array([r[1] for r in rows], pa.binary())], _COUNTS.names)
-        at = np.flatnonzero(spelled).astype(np.uint32)
-        yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([0], pa.int32()), pa.array([_pack(at, spelled[at])], pa.binary())], _COUNTS.names)
+        letters = np.zeros(1 << 16, np.int64)
+        for block in _blocks(batches, tokens):
+            sequence, words = block.sequence(), block.words()
+            times = np.bincount(sequence, minlength=len(block.places))[2:]
+            raw = np.frombuffer(b" " + b" ".join(words) + b" ", np.uint8).astype(np.int64)
+            if words:
+                letters += np.bincount(raw[:-1] * 256 + raw[1:], np.repeat(times, [len(w) + 1 for w in words]), 1 << 16).astype(np.int64)
+            pairs, times = np.unique(pairs_of(sequence, block.ids()), return_counts=True)
+            shard = np.searchsorted(_bounds(bits, shards), pair_key(pairs, bits), "right") - 1
+            order = np.argsort(shard, kind="stable")
+            cuts = np.searchsorted(shard[order], np.arange(shards + 1))
+            yield _rows([(s, PAIRS, _pack(pairs[mine], times[mine]), None) for s in range(shards) if len(mine := order[cuts[s] : cuts[s + 1]])])
+        at = np.flatnonzero(letters)
+        if len(at):
+            yield _rows(_parted(LETTERS, [at, letters[at]], at.astype(U), 16, shards))
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = []
-        now, weight = None, 0
+        for shard, what, (keys, c) in _merging(batches):
+            if what == LETTERS:
+                yield _rows([(shard, what, _pack(keys, c), None)])
+                continue
+            first, second, ones = keys >> U(32), keys & U(0xFFFFFFFF), np.ones(len(keys), U)
+            none = np.zeros(len(keys), U)
+            after = [first, c, *((m).astype(U) for m in (c == 1, c == 2, c > 2)), none]
+            words = _merged([after, [second, none, none, none, none, ones]])
+            key = pair_key(keys, bits)
+            order = np.argsort(key)
+            yield _rows([(shard, PAIRS, _pack(key[order], c[order]), _classes(c)), *_parted(WORDS, words, words[0], 32, shards)])
 
-        def merged() -> list[np.ndarray]:
-            pairs, places = np.unique(np.concatenate([h[0] for h in held]), return_inverse=True)
-            return [pairs, np.bincount(places, np.concatenate([h[1] for h in held])).astype(np.int64)]
+    return settle(dealt(trusted.select("text").mapInArrow(emit, _PACKED), shards, "shard", "what").mapInArrow(merge, _PACKED))
 
-        def done() -> pa.RecordBatch:
-            pairs, c = merged()
-            lists = [[]] * 7
-            if now >= 0:
-                first, second, size = (pairs >> 16).astype(np.int64), (pairs & 0xFFFF).astype(np.int64), 1 << 16
-                sums = [np.bincount(first, c, size), *(np.bincount(first[m], minlength=size) for m in (c == 1, c == 2, c > 2)), np.bincount(second, minlength=size)]
-                at = np.flatnonzero(sums[0] + sums[4])
-                lists = [at.tolist(), *(s[at].astype(np.int64).tolist() for s in sums), [int((c == k).sum()) for k in (1, 2, 3, 4)]]
-            return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([0], pa.int32()), pa.array([_pack(pairs, c)], pa.binary()), *(pa.array([x], pa.list_(pa.int64())) for x in lists)], names)
 
-        for b in batches:
-            for shard, payload in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True):
-                if shard != now and now is not None:
-                    yield done()
-                    held, weight = [], 0
-                now = shard
-                held.append(_unpack(payload, 2))
-                weight += len(held[-1][0])
-                if len(held) > 1 and weight > 2 * len(held[0][0]) + (1 << 20):  # never more than about twice the distinct pairs
-                    held = [merged()]
-                    weight = len(held[0][0])
-        if now is not None:
-            yield done()
+def count_words(counted: DataFrame, shards: int) -> DataFrame:
+    """WORDS of count_pairs in one payload a shard, with the numbers of words by types before them (1 to 4) and all these types; settled."""
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for shard, what, words in _merging(batches):
+            yield _rows([(shard, what, _pack(*words), [*_classes(words[5]), int(words[5].sum()), int((words[5] > 2).sum())])])
+
+    return settle(dealt(counted.where(F.col("what") == WORDS), shards).mapInArrow(merge, _PACKED))
 
-    return settle(trusted.select("text").mapInArrow(emit, _COUNTS).repartition("shard").sortWithinPartitions("shard").mapInArrow(merge, _COUNTED))
-
-
-def fit(counted: DataFrame) -> tuple[Model, np.ndarray]:
-    """The word model and the spelling table, from sums by word over all shards (at most 65,536 rows to the driver)."""
-    size = 1 << 16
-    by_word = counted.where("shard >= 0").select(F.explode(F.arrays_zip("word", *_SUMS)).alias("x")).select("x.*").groupBy("word").agg(*[F.sum(c).alias(c) for c in _SUMS]).collect()
-    sums = {c: np.zeros(size, np.int64) for c in _SUMS}
-    for r in by_word:
-        for c in _SUMS:
-            sums[c][r["word"]] = r[c]
-    n = counted.where("shard >= 0").agg(*[F.sum(F.get("types", F.lit(k))).alias(f"n{k}") for k in range(4)]).first()
-    used = int(max([FIRST - 1, *np.flatnonzero(sums["total"] + sums["before"])])) + 1
-    model = estimate(used, BEGIN, *(sums[c][:used] for c in _SUMS), [x or 0 for x in n])
-    pad = size - used  # words of the vocabulary that only held-out text could hold don't occur here
-    model = Model(model.d, np.pad(model.total, (0, pad)), np.pad(model.backoff, (0, pad), constant_values=1.0), np.pad(model.lower, (0, pad), constant_values=model.lower.min()))
-    letters = np.zeros(size, np.int64)
-    for r in counted.where("shard = -1").select("payload").collect():
-        at, c = _unpack(r["payload"], 2)
-        letters[at] += c
-    return model, spelling(letters)
+
+def fit(counted: DataFrame, words: DataFrame) -> Model:
+    """The totals of all shards; a row for each shard has byte pairs, 65,536 at most in all."""
+    sums = lambda df, n: [df.agg(*[F.sum(F.get("types", F.lit(k))) for k in range(n)]).first()[k] or 0 for k in range(n)]
+    of_pairs = sums(counted.where(F.col("what") == PAIRS), 4)
+    *of_words, types, more = sums(words, 6)
+    letters = np.zeros(1 << 16, np.int64)
+    for r in counted.where(F.col("what") == LETTERS).select("payload").toLocalIterator():
+        at, c = _unpack(r["payload"])
+        letters[at.astype(np.int64)] += c.astype(np.int64)
+    e = discounts(of_words)
+    rest = float(e[1] * of_words[0] + e[2] * of_words[1] + e[3] * more) / types if types else 1.0
+    return Model(discounts(of_pairs), e, types, rest, spelling(letters))
 
 
 # --- scoring -------------------------------------------------------------------------------------
 
 
-def score(docs: DataFrame, known: dict[bytes, int], counted: DataFrame, model: Model, letters: np.ndarray, shards: int) -> DataFrame:
+def score(docs: DataFrame, counted: DataFrame, words: DataFrame, model: Model, shards: int, bits: int, tokens: int) -> DataFrame:
     """(doc_id, lang, n_words, perplexity) of every row, settled; perplexity is by word, its end included."""
     kind = docs.schema["doc_id"].dataType
-    from pyspark.sql.pandas.types import to_arrow_type
-
     id_type = to_arrow_type(kind)
-    fields = [T.StructField("shard", T.IntegerType()), T.StructField("what", T.IntegerType()), T.StructField("block", T.LongType()), T.StructField("payload", T.BinaryType())]
-    fields += [T.StructField("ids", T.ArrayType(kind)), T.StructField("langs", T.ArrayType(T.StringType())), T.StructField("words", T.ArrayType(T.LongType())), T.StructField("spelled", T.ArrayType(T.DoubleType()))]
-    schema = T.StructType(fields)
-    HEADER, COUNTS, PAIRS, ANSWER = 0, 1, 2, 3
-    types = [pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.list_(id_type), pa.list_(pa.string()), pa.list_(pa.int64()), pa.list_(pa.float64())]
-    none = (None, None, None, None)
+    integer, long, binary = T.IntegerType(), T.LongType(), T.BinaryType()
+    fields = [T.StructField(n, t) for n, t in (("shard", integer), ("what", integer), ("block", long), ("home", integer), ("payload", binary), ("words", binary))]
+    schema = T.StructType([*fields, T.StructField("ids", T.ArrayType(kind)), T.StructField("langs", T.ArrayType(T.StringType())), T.StructField("sizes", T.ArrayType(long))])
+    types = [pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.list_(id_type), pa.list_(pa.string()), pa.list_(pa.int64())]
+    sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def batch(rows: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], schema.names)
-
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base = TaskContext.get().partitionId() << 24
-        for k, block in enumerate(_blocks(batches, known)):
-            name = base + k
-            ids, langs, words = (list(c) for c in zip(*block.rows, strict=True))
-            yield batch([(k % shards, HEADER, name, None, ids, langs, words, block.spelled(letters).tolist())])
-            yield batch([(s, PAIRS, name, payload, *none) for s, payload in _by_shard(block.entries(True), shards)])
+        return pa.RecordBatch.from_arrays([pa.array([r[k] if k < len(r) else None for r in rows], t) for k, t in enumerate(types)], schema.names)
+
+    def asked(sequence: np.ndarray, ids: np.ndarray) -> tuple[list, list]:
+        """(values, place of each in its list, bits) of pairs and of words, in the order in which shards answer."""
+        return np.unique(pair_key(pairs_of(sequence, ids), bits), return_inverse=True), np.unique(ids, return_inverse=True)
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, Block]]:
+        of = TaskContext.get().partitionId()  # documents are the first part of the unions below
+        for k, block in enumerate(_blocks(batches, tokens)):
+            yield (of << 24) + k, (of * 7919 + k) % shards, block
+
+    def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = sent.value
+        for name, home, block in named(batches):
+            spelled = np.r_[0.0, model.letters[32, 32], model.spelled(block.words())]  # the end is the word without letters
+            words = _pack(block.ids(), np.round(-FINE * spelled).astype(np.int64), rising=False)
+            yield batch([(home, HEADER, name, home, _pack(block.sequence(), rising=False), words, *(list(c) for c in zip(*block.rows, strict=True)))])
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for name, home, block in named(batches):
+            (pairs, _), (own, _) = asked(block.sequence(), block.ids())
+            p, w = _cuts(pairs, bits, shards), _cuts(own.astype(U), 32, shards)
+            yield batch([(s, ASKED, name, home, _pack(pairs[p[s] : p[s + 1]]), _pack(own[w[s] : w[s + 1]])) for s in range(shards) if p[s + 1] > p[s] or w[s + 1] > w[s]])
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, pairs, counts = None, np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        nothing = [np.zeros(0, U)] * 6
+        pairs, own = nothing[:2], nothing
         for b in batches:
             for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                shard, what, block, payload = row[:4]
-                if what == HEADER:
-                    yield batch([row])
-                    continue
-                if shard != at:
-                    at, pairs, counts = shard, np.zeros(0, np.uint32), np.zeros(0, np.int64)
-                if what == COUNTS:
-                    pairs, counts = _unpack(payload, 2)
-                    counts = counts.astype(np.int64)
-                    continue
-                p, doc, times = _unpack(payload, 3)
-                c = np.zeros(len(p), np.int64)
-                if len(pairs):
-                    k = np.minimum(np.searchsorted(pairs, p), len(pairs) - 1)
-                    c = np.where(pairs[k] == p, counts[k], 0)
-                logs = model.log_probability((p >> 16).astype(np.int64), (p & 0xFFFF).astype(np.int64), c) * times
-                sums = np.bincount(doc, logs)
-                yield batch([(shard, ANSWER, block, zstandard.compress(sums.astype("<f4").tobytes(), 1), *none)])
+                if row[1] == PAIRS:
+                    pairs = _unpack(row[4])
+                elif row[1] == WORDS:
+                    own = _unpack(row[4])
+                else:
+                    shard, _, name, home, p, w = row[:6]
+                    yield batch([(shard, ANSWER, name, home, _pack(*_looked_up(pairs[0], pairs[1:], _unpack(p)[0]), rising=False), _pack(*_looked_up(own[0], own[1:], _unpack(w)[0]), rising=False))])
 
     out = T.StructType([T.StructField("doc_id", kind), T.StructField("lang", T.StringType()), T.StructField("n_words", T.LongType()), T.StructField("perplexity", T.DoubleType())])
 
     def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head, sums = None, np.zeros(0)
+        head, answers, model = None, [], sent.value
 
         def done() -> pa.RecordBatch:
-            words = np.array(head[6], np.int64)
-            perplexity = np.round(np.exp(-(sums + np.array(head[7])) / (words + 1)), 4)
-            return pa.RecordBatch.from_arrays([pa.array(head[4], id_type), pa.array(head[5], pa.string()), pa.array(words), pa.array(perplexity)], out.names)
+            sequence = _unpack(head[4], rising=False)[0].astype(np.int64)
+            ids, spelled = _unpack(head[5], rising=False)
+            spelled = spelled.astype(np.float64) / -FINE
+            (_, of_pair), (_, of_word) = asked(sequence, ids)
+            count = np.concatenate([_unpack(p, rising=False)[0] for p, _ in answers])[of_pair]
+            total, once, twice, more, before = (np.concatenate(c)[of_word] for c in zip(*(_unpack(w, rising=False) for _, w in answers), strict=True))
+            lower, backoff = model.lower(before, spelled), model.backoff(total, once, twice, more)
+            second = np.r_[sequence[1:], BEGIN]
+            second[second == BEGIN] = END
+            logs = model.log_probability(count, total[sequence], backoff[sequence], lower[second])
+            sums = np.add.reduceat(logs, np.flatnonzero(sequence == BEGIN))
+            perplexity = np.round(np.exp(-sums / (np.array(head[8]) + 1)), 4)
+            return pa.RecordBatch.from_arrays([pa.array(head[6], id_type), pa.array(head[7], pa.string()), pa.array(head[8], pa.int64()), pa.array(perplexity)], out.names)
 
         for b in batches:
             for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if row[1] == HEADER:
                     if head is not None:
                         yield done()
-                    head, sums = row, np.zeros(len(row[4]))
+                    head, answers = row, []
                 else:
-                    part = np.frombuffer(zstandard.decompress(row[3]), "<f4")
-                    sums[: len(part)] += part
+                    answers.append((row[4], row[5]))
         if head is not None:
             yield done()
 
-    empty = [F.lit(None).cast(f.dataType).alias(f.name) for f in fields[4:]]
-    counts = counted.where("shard >= 0").select("shard", F.lit(COUNTS).alias("what"), F.lit(-1).cast("long").alias("block"), "payload", *empty)
-    rows = docs.select("doc_id", "lang", "text").mapInArrow(emit, schema).unionByName(counts)
-    answers = rows.repartition("shard").sortWithinPartitions("shard", "what", "block").mapInArrow(answer, schema)
-    return settle(answers.repartition("block").sortWithinPartitions("block", "what", "shard").mapInArrow(add_up, out))
+    none = [F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields]
+    tables = counted.where(F.col("what") == PAIRS).unionByName(words).select("shard", "what", F.lit(-1).cast("long").alias("block"), none[3], "payload", *none[5:])
+    # Documents are read twice, once for what is asked and once for what the answers meet: only the answers move twice.
+    own = docs.select("doc_id", "lang", "text")
+    answers = dealt(own.mapInArrow(ask, schema).unionByName(tables), shards, "shard", "what", "block").mapInArrow(answer, schema)
+    return settle(dealt(own.mapInArrow(heads, schema).unionByName(answers), shards, "home", "block", "what", "shard").mapInArrow(add_up, out))
 
 
 def thresholds(scored: DataFrame, held: DataFrame, quantile: float = QUANTILE) -> DataFrame:
@@ -380,21 +454,21 @@ def _bin():
     return F.floor(F.log(F.greatest(F.col("perplexity"), F.lit(1e-9))) * 1000)
 
 
-def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, shards: int | None = None, size: int = VOCABULARY) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, shards: int | None = None, tokens: int | None = None) -> DataFrame:
     """Per row of docs: doc_id, lang, n_words, perplexity, threshold (of its language; null if nothing is trusted), kept."""
     spark = docs.sparkSession
     with_workers(spark)
     shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    tokens = tokens or min(MOST_TOKENS, max(LEAST_TOKENS, shards * SHARD_TOKENS))
+    bits = min(64, PAIR_BITS + max(32, math.ceil(math.log2(1 + int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())))))
     own = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), text_of().alias("text"))
     ids = settle(labels.where("quality = 1 and coalesce(toxic, 0) = 0 and doc_id is not null").select("doc_id").distinct())
     is_held = F.pmod(F.xxhash64("doc_id"), F.lit(HELD_OUT)) == 0
     training = ids.where(~is_held)
     training = F.broadcast(training) if training.count() <= MANY_IDS else training
-    trusted = own.join(training, "doc_id", "left_semi").select("text")
-    known = vocabulary(trusted, size)
-    counted = count_pairs(trusted, known, shards)
-    model, letters = fit(counted)
-    scored = score(own, known, counted, model, letters, shards)
+    counted = count_pairs(own.join(training, "doc_id", "left_semi"), shards, bits, tokens)
+    words = count_words(counted, shards)
+    scored = score(own, counted, words, fit(counted, words), shards, bits, tokens)
     limits = settle(thresholds(scored, ids.where(is_held), quantile))
     every = limits.where("every").select("most").first()
     all_most = F.lit(every["most"] if every else None).cast("long")

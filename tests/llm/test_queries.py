@@ -361,7 +361,7 @@ def test_op9_ownership_and_masks(spark):
 
 
 def test_op10_model(spark):
-    """Perplexities against a direct count of the same model."""
+    """Perplexities against a direct count of the same model; shards and blocks don't show."""
     import math
 
     import numpy as np
@@ -369,20 +369,15 @@ def test_op10_model(spark):
     from lumenry.llm import kneser_ney as kn
 
     rng = np.random.default_rng(2)
-    texts = [" ".join(f"v{x}" for x in rng.zipf(1.6, 60) if x < 40) for _ in range(80)]
+    texts = [" ".join(f"v{x}" for x in rng.zipf(1.6, 60) if x < 40 or x > 3000) for _ in range(80)]
     docs = spark.createDataFrame([(k, t, "en", "clash") for k, t in enumerate(texts)], "doc_id long, text string, lang string, n_words string").repartition(5)
     labels = spark.createDataFrame([(k, 1, 0) for k in range(60)], "doc_id long, quality int, toxic int")
-    got = {r.doc_id: r for r in kn.classify(docs, labels, shards=3, size=23).collect()}
+    got = {r.doc_id: r for r in kn.classify(docs, labels, shards=3).collect()}
+    for how in ({"shards": 7}, {"shards": 1, "tokens": 200}):
+        assert {r.doc_id: r for r in kn.classify(docs, labels, **how).collect()} == got
     held = {r.doc_id for r in labels.selectExpr("doc_id", f"pmod(xxhash64(doc_id), {kn.HELD_OUT}) = 0 AS h").collect() if r.h}
     train = [texts[k].split() for k in range(60) if k not in held]
-    count = Counter(w for t in train for w in t)
-    level = {w: math.floor(math.log(n) * kn.BINS) for w, n in count.items() if n > 1}
-    least = min(x for x in level.values() if sum(y >= x for y in level.values()) <= 20)
-    vocab = {w: 3 + k for k, w in enumerate(sorted((w for w in level if level[w] >= least), key=lambda w: (-count[w], w)))}
-    assert 10 <= len(vocab) <= 20
-    ids = lambda t: [1, *(vocab.get(w, 0) for w in t), 2]
-    pairs = Counter(p for t in train for p in zip(ids(t), ids(t)[1:], strict=False))
-    size = 1 + max(max(p) for p in pairs)
+    pairs = Counter(p for t in train for p in zip(["<", *t], [*t, ">"], strict=True))
 
     def disc(values):
         n = [sum(v == k for v in values) for k in (1, 2, 3, 4)]
@@ -391,11 +386,19 @@ def test_op10_model(spark):
         y = n[0] / (n[0] + 2 * n[1])
         return [0, min(max(1 - 2 * y * n[1] / n[0], 0.01), 0.99), min(max(2 - 3 * y * n[2] / n[1], 0.01), 1.99), min(max(3 - 4 * y * n[3] / n[2], 0.01), 2.99) if n[2] else 1.0]
 
-    d = disc(pairs.values())
-    before = Counter(b for _, b in pairs)
-    e, types = disc(before.values()), sum(before.values())
-    rest = sum(e[min(v, 3)] for v in before.values())
-    lower = lambda w: max(before[w] - e[min(before[w], 3)], 0) / types + rest / types / (size - 1)
+    letters = np.zeros(1 << 16, np.int64)
+    for t in train:
+        for w in t:
+            b = f" {w} ".encode()
+            for x, y in zip(b, b[1:], strict=False):
+                letters[x * 256 + y] += 1
+    table = kn.spelling(letters)
+    assert abs(np.exp(table).sum(axis=1) - 1).max() < 1e-9
+    spell = lambda w: math.exp(sum(table[x, y] for b in [f" {w} ".encode()] for x, y in zip(b, b[1:], strict=False)))
+    d, before = disc(pairs.values()), Counter(b for _, b in pairs)
+    e, types = disc(before.values()), len(pairs)
+    rest = sum(e[min(v, 3)] for v in before.values()) / types
+    lower = lambda w: max(before[w] - e[min(before[w], 3)], 0) / types + rest * spell("" if w == ">" else w)
     total, back = Counter(), Counter()
     for (a, _), c in pairs.items():
         total[a] += c
@@ -405,20 +408,13 @@ def test_op10_model(spark):
         c = pairs[a, b]
         return max(c - d[min(c, 3)], 0) / max(total[a], 1) + (back[a] / total[a] if total[a] else 1) * lower(b)
 
-    spelled = np.zeros(1 << 16, np.int64)
-    for t in train:
-        for w in t:
-            if w not in vocab:
-                b = f" {w} ".encode()
-                for x, y in zip(b, b[1:], strict=False):
-                    spelled[x * 256 + y] += 1
-    table = kn.spelling(spelled)
-    assert abs(np.exp(table).sum(axis=1) - 1).max() < 1e-9 and abs(sum(p(3, b) for b in range(size) if b != 1) - 1) < 1e-9
+    unknown = 0
     for k, t in enumerate(texts):
-        i = ids(t.split())
-        log = sum(math.log(p(a, b)) for a, b in zip(i, i[1:], strict=False))
-        log += sum(table[x, y] for w in t.split() if w not in vocab for b in [f" {w} ".encode()] for x, y in zip(b, b[1:], strict=False))
-        assert abs(math.exp(-log / (len(i) - 1)) / got[k].perplexity - 1) < 1e-4
+        w = t.split()
+        unknown += sum(x not in before for x in w)
+        log = sum(math.log(p(a, b)) for a, b in zip(["<", *w], [*w, ">"], strict=True))
+        assert abs(math.exp(-log / (len(w) + 1)) / got[k].perplexity - 1) < 1e-4
+    assert unknown > 10
 
 
 def test_op10(spark, edge_dir):
