@@ -5,8 +5,8 @@ for menus, headers, footers, adverts, forms, comments and the like; and `open` w
 chunks of up to CHUNK; the tokens of the blocks outside articles are concatenated page by page, their suffixes sorted to a depth of
 `least` tokens, and runs that begin suffixes of two or more distinct pages are boilerplate. For a host of several chunks, 64-bit hashes of all its windows of
 `least` tokens are counted by page as well, and each chunk gets those of its own that pages of other chunks hold, so the result is that of the whole host. Blocks aside go; open
-blocks go where runs cover them, unless nothing else would be left; unique runs and articles stay whole, since copied
-pages repeat articles too. Pages of a host with the same open blocks count as one page.
+blocks go where runs cover MOSTLY of them, and of others the covered runs of LONG or more tokens go, so that their unique runs stay; where nothing would be left, the
+open blocks stay. Articles stay whole, since pages quote each other's articles. Pages of a host with the same open blocks count as one page.
 
 Null html counts as empty and gives an empty text; a null url is a host of its own; unclosed and cut-off markup is read as browsers
 do, up to the end. Repeated rows give equal rows; pages of any length are read whole; an empty table gives an empty
@@ -16,6 +16,7 @@ result. Extra columns are ignored.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 from itertools import groupby
@@ -34,6 +35,8 @@ INSIDE, OPEN, ASIDE = 0, 3, 4
 MAIN, NAMED = 1, 2
 #: Most pages of a host whose suffixes are sorted together, and tokens that make a run long.
 CHUNK, LEAST = 256, 8
+#: The share of an open block's tokens that makes it boilerplate, and the tokens of a run that goes from within a block.
+MOSTLY, LONG = 0.8, 24
 #: Hosts above CHUNK pages that may be broadcast; with more, they are joined by shuffle.
 MANY_HOSTS = 100_000
 
@@ -94,21 +97,28 @@ def blocks(html: str) -> list[tuple[int, str]]:
     """(zone, text) of the page's blocks in order; texts are decoded, their white space is single spaces, none is empty."""
     out: list[tuple[int, str]] = []
     held: list[str] = []
-    stack: list[tuple[str, int, bool]] = []  # open elements: tag, zone, whether it is firm
+    stack: list[tuple[str, int, bool, int]] = []  # open elements: tag, zone, whether it is firm, the place of the innermost block
+    is_open: Counter[str] = Counter()
     zone, firm, at, size = OPEN, False, 0, len(html)
     side: list[str] = []  # text of inline elements that are aside, within a block that isn't
     of_block = zone
 
+    def ended(k: int) -> tuple[int, bool]:
+        """Ends the elements from place k on; the zone and firmness outside them."""
+        is_open.subtract(x[0] for x in stack[k:])
+        del stack[k:]
+        return stack[-1][1:3] if stack else (OPEN, False)
+
     def end_block() -> None:
         for parts, z in ((held, of_block), (side, ASIDE)):
-            text = " ".join(unescape("".join(parts)).split())
+            text = " ".join("".join(parts).split())
             if text:
                 out.append((z, text))
             parts.clear()
 
     while at < size:
         m = _MARK.search(html, at)
-        (side if zone == ASIDE != of_block else held).append(html[at : m.start() if m else size])
+        (side if zone == ASIDE != of_block else held).append(unescape(html[at : m.start() if m else size]))
         if m is None:
             break
         at = m.end()
@@ -122,25 +132,22 @@ def blocks(html: str) -> list[tuple[int, str]]:
         if tag in _BLOCK:
             end_block()
         if closes:
-            k = len(stack) - 1
-            while k >= 0 and stack[k][0] != tag:
-                k -= 1
-            if k >= 0:
-                del stack[k:]
-                _, zone, firm = stack[-1] if stack else ("", OPEN, False)
+            if is_open[tag] > 0:
+                k = len(stack) - 1
+                while stack[k][0] != tag:
+                    k -= 1
+                zone, firm = ended(k)
         elif tag in _RAW:
             close = re.compile(rf"</{re.escape(tag)}\b[^>]*(?:>|$)", re.I).search(html, at)
             at = close.end() if close else size
         elif tag not in _VOID and not attributes.endswith("/"):
-            if tag == "p":  # a paragraph ends the one before it
-                k = len(stack) - 1
-                while k >= 0 and stack[k][0] not in _BLOCK:
-                    k -= 1
-                if k >= 0 and stack[k][0] == "p":
-                    del stack[k:]
-                    _, zone, firm = stack[-1] if stack else ("", OPEN, False)
+            inner = stack[-1][3] if stack else -1
+            if tag == "p" and inner >= 0 and stack[inner][0] == "p":  # a paragraph ends the one before it
+                zone, firm = ended(inner)
+                inner = stack[-1][3] if stack else -1
             zone, firm = _zone(tag, attributes, zone, firm)
-            stack.append((tag, zone, firm))
+            is_open[tag] += 1
+            stack.append((tag, zone, firm, len(stack) if tag in _BLOCK else inner))
         if tag in _BLOCK:
             of_block = zone
     end_block()
@@ -186,6 +193,15 @@ def repeated(streams: list[list[str]], least: int = LEAST, owners: np.ndarray |
     return np.split(np.cumsum(mark[:-1]) > 0, ends[:-1])
 
 
+def unique_runs(text: str, covered: np.ndarray) -> str:
+    """A block without its covered runs of LONG or more tokens."""
+    edges = np.flatnonzero(np.diff(np.r_[0, covered.astype(np.int8), 0]))
+    keep = np.ones(len(covered), bool)
+    for a, z in edges.reshape(-1, 2):
+        keep[a:z] = z - a < LONG
+    return text if keep.all() else " ".join(t for t, k in zip(text.split(" "), keep.tolist(), strict=True) if k)
+
+
 def stream(page: list[tuple[int, str]]) -> list[str]:
     """The tokens of a page's blocks outside articles."""
     return [t for z, text in page if z != INSIDE for t in text.split(" ")]
@@ -225,7 +241,9 @@ def main_texts(pages: list[list[tuple[int, str]]], least: int = LEAST, elsewhere
             part = covered[at : at + n].mean()
             at += n
             if z == OPEN:
-                (kept if part < 0.8 else spare).append(text)
+                spare.append(text)
+                if part < MOSTLY:
+                    kept.append(unique_runs(text, covered[at - n : at]))
         out.append(("\n\n".join(kept or spare), int(covered.sum())))
     return out
 
@@ -238,8 +256,8 @@ def extract(pages: DataFrame, least: int = LEAST, chunk: int = CHUNK) -> DataFra
     sizes = pages.select(host.alias("host")).groupBy("host").agg(F.count("*").alias("n")).where(F.col("n") > chunk).select("host", F.ceil(F.col("n") / chunk).alias("parts"))
     split = sizes.count()
     sizes = F.broadcast(sizes) if split <= MANY_HOSTS else sizes
-    rows = pages.select("page_id", F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"), host.alias("host"))
-    rows = rows.join(sizes, "host", "left").withColumn("part", F.pmod(F.xxhash64("page_id", "url"), F.coalesce("parts", F.lit(1))).cast("int")).select("page_id", "url", "host", "part", "html", "parts")
+    rows = pages.select("page_id", F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"), host.alias("host"), F.monotonically_increasing_id().alias("row"))
+    rows = rows.join(sizes, "host", "left").withColumn("part", F.pmod(F.xxhash64("row"), F.coalesce("parts", F.lit(1))).cast("int")).select("page_id", "url", "host", "part", "html", "parts")
     head = [T.StructField("page_id", kind), T.StructField("url", T.StringType())]
     cut = T.StructType([*head, T.StructField("host", T.StringType()), T.StructField("part", T.IntegerType()), T.StructField("zones", T.BinaryType()), T.StructField("texts", T.ArrayType(T.StringType()))])
 

@@ -573,6 +573,81 @@ def test_pipeline_dedup_is_by_jaccard(spark):
     assert sorted(r.doc_id for r in left) == sorted(set(root))
 
 
+def test_op5_markup_is_read_in_linear_time():
+    """Unclosed and unopened elements in numbers; references are decoded by text node."""
+    import time
+
+    from lumenry.llm import html_extract as h
+
+    began = time.time()
+    for page in ("<div>" * 60_000 + "</span>" * 60_000, "<div>" + "<b>" * 60_000 + "<p>x</p>" * 60_000, "<p>" * 100_000, "</div>" * 100_000):
+        h.blocks(page)
+    assert time.time() - began < 30
+    assert [t for _, t in h.blocks("<p>&am<b></b>p; &amp;lt; &eacute;t&eacute</p>")] == ["&amp; &lt; été"]
+
+
+def test_op5_against_brute_force(spark):
+    """The whole query, from blocks on: runs by sets of token windows of each host, for any chunks."""
+    import random
+
+    from lumenry.llm import html_extract as h
+
+    rnd = random.Random(6)
+    word = lambda: f"w{rnd.randrange(5000)}"
+    many = lambda n: " ".join(word() for _ in range(n))
+    shared = {g: [many(rnd.choice((9, 12, 30, 40))) for _ in range(6)] for g in range(3)}
+    rows = []
+    for k in range(60):
+        g = rnd.randrange(3)
+        parts = [many(rnd.randrange(1, 60)) for _ in range(rnd.randrange(1, 5))] + rnd.sample(shared[g], rnd.randrange(0, 4))
+        parts += [f"{many(20)} {rnd.choice(shared[g])} {many(rnd.choice((2, 20)))}"]
+        rnd.shuffle(parts)
+        body = "".join(f"<p>{x}</p>" if rnd.random() < 0.8 else f"<footer>{x}</footer>" for x in parts)
+        rows.append((k, f"http://h{g}.example/{k}", f"<article>{body}</article>{body}" if k % 9 == 0 else body))
+    rows += [(100 + k, f"http://h0.example/{k}", rows[1][2]) for k in range(3)] + [(rows[2][0], rows[2][1], rows[2][2])]
+    expected = Counter()
+    pages = [(i, u, h.blocks(x)) for i, u, x in rows]
+    for i, u, own in pages:
+        host, streams = u.split("/")[2], []
+        for n, (_, v, p) in enumerate(pages):
+            if v.split("/")[2] == host:
+                opened = tuple(t for z, t in p if z == h.OPEN)
+                tokens = [t for z, b in p if z != h.INSIDE for t in b.split(" ")]
+                streams.append((opened or n, {tuple(tokens[k : k + 8]) for k in range(len(tokens) - 7)}))
+        mine = tuple(t for z, t in own if z == h.OPEN)
+        if not mine:  # a marked page counts as itself: the first of its equals stands for it
+            mine = next(n for n, x in enumerate(pages) if x[2] is own)
+        others = set().union(*(w for o, w in streams if o != mine))
+        tokens = [t for z, b in own if z != h.INSIDE for t in b.split(" ")]
+        hit = [False] * len(tokens)
+        for k in range(len(tokens) - 7):
+            if tuple(tokens[k : k + 8]) in others:
+                hit[k : k + 8] = [True] * 8
+        kept, spare, at = [], [], 0
+        for z, b in own:
+            if z == h.INSIDE:
+                kept.append(b)
+                continue
+            n = len(b.split(" "))
+            c, at = hit[at : at + n], at + n
+            if z == h.OPEN:
+                spare.append(b)
+                if sum(c) / n < 0.8:
+                    out, run = [], []
+                    for t, x in [*zip(b.split(" "), c, strict=True), (None, False)]:
+                        if x:
+                            run.append(t)
+                        else:
+                            out += run * (len(run) < 24) + [t]
+                            run = []
+                    kept.append(" ".join(out[:-1]))
+        expected[i, u, "\n\n".join(kept or spare), sum(hit)] += 1
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    assert any(len(e[2]) for e in expected) and sum(e[3] > 0 for e in expected) > 20
+    for chunk in (h.CHUNK, 5):
+        assert Counter((r.page_id, r.url, r.text, r.n_boilerplate) for r in h.extract(df, chunk=chunk).collect()) == expected
+
+
 def test_op5_runs_are_found_across_chunks(spark):
     """Runs that two pages of a host share, whichever chunks they are in, and none that hosts share."""
     from lumenry.llm import html_extract as h
