@@ -3,8 +3,9 @@
 A section ends after a blank line, a paragraph after a line end, a piece after a sentence's end or 80 code points;
 nothing of the text is left out, so the pieces joined are the text. A piece's hash is SHA-256 of its bytes; a
 paragraph's, section's and the root's are SHA-256 of its children's. The fingerprint string holds the root (64
-hex digits) and the tree's leaves, 8 digits each: `root:leaves-leaves/leaves`, with `-` between paragraphs and `/`
-between sections. Roots test equality; unlike branches locate edits.
+hex digits) and of all other nodes 8 digits: `root:section=paragraph~leaves-paragraph~leaves/section=...`, with `-` between paragraphs and `/`
+between sections. Roots test equality; where they differ, branches are compared downwards: only those unlike are opened, which gives the likeness of two
+texts and locates edits.
 
 Null texts count as empty; the empty text has a root of its own and no leaves. Repeated rows are equal in all results; a
 null doc_id comes last in descending order; an empty table gives an empty result; a single document is its own
@@ -33,41 +34,71 @@ def tree(text: Column) -> Column:
     return F.filter(F.transform(F.split(text, r"(?<=\n\n)(?!\n)", -1), lambda s: F.filter(paragraphs(s), lambda p: F.size(p) > 0)), lambda s: F.size(s) > 0)
 
 
-def serialised(of_tree: Column) -> Column:
-    """The fingerprint of a tree column; give it a column, not an expression, as it is used twice."""
-    node = lambda children: _sha(F.array_join(children, ""))
-    root = node(F.transform(of_tree, lambda s: node(F.transform(s, node))))
-    leaves = F.transform(of_tree, lambda s: F.array_join(F.transform(s, lambda p: F.array_join(F.transform(p, lambda h: F.substring(h, 1, LEAF)), "")), "-"))
-    return F.concat(root, F.lit(":"), F.array_join(leaves, "/"))
+def likeness(df: DataFrame, a: str, b: str, name: str) -> DataFrame:
+    """df with the likeness of fingerprints a and b, 0 to 1: twice the leaves they share by the sum of both; 1 if the roots are equal.
 
-
-def likeness(a: Column, b: Column) -> Column:
-    """0 to 1 from two fingerprints: twice the distinct leaves they share by the sum of their distinct leaves; 1 if the roots are equal."""
-    leaves = lambda c: F.array_distinct(F.regexp_extract_all(F.substring(c, 66, 2**31 - 1), F.lit(f"[0-9a-f]{{{LEAF}}}"), F.lit(0)))
-    x, y = leaves(a), leaves(b)
-    return F.when(F.substring(a, 1, 64) == F.substring(b, 1, 64), F.lit(1.0)).otherwise(2.0 * F.size(F.array_intersect(x, y)) / (F.size(x) + F.size(y)))
+    Leaves of equal sections count together, then, within the unlike ones, those of equal paragraphs, then distinct equal leaves.
+    """
+    sections = lambda c: F.when(F.length(c) > 65, F.array_distinct(F.split(F.substring(c, 66, 2**31 - 1), "/"))).otherwise(F.array().cast("array<string>"))
+    paragraphs = lambda c: F.array_distinct(F.flatten(F.transform(c, lambda s: F.split(F.substring(s, LEAF + 2, 2**31 - 1), "-"))))
+    leaves = lambda c: F.array_distinct(F.flatten(F.transform(c, lambda x: F.regexp_extract_all(F.substring(x, LEAF + 2, 2**31 - 1), F.lit(f"[0-9a-f]{{{LEAF}}}"), F.lit(0)))))
+    of = lambda c: F.aggregate(c, F.lit(0.0), lambda n, x: n + (F.length(x) - (LEAF + 1)) / LEAF)
+    x, y = (F.col(f"_f_{c}") for c in "xy")
+    df = df.withColumns({"_f_x": sections(F.col(a)), "_f_y": sections(F.col(b))})
+    df = df.withColumns({"_f_same": F.flatten(F.transform(F.array_intersect(x, y), lambda s: F.split(F.substring(s, LEAF + 2, 2**31 - 1), "-"))), "_f_x": paragraphs(F.array_except(x, y)), "_f_y": paragraphs(F.array_except(y, x))})
+    df = df.withColumns({"_f_same": of(F.col("_f_same")) + of(F.array_intersect(x, y)), "_f_x": leaves(F.array_except(x, y)), "_f_y": leaves(F.array_except(y, x))})
+    shared = F.col("_f_same") + F.size(F.array_intersect(x, y))
+    whole = 2 * F.col("_f_same") + F.size(x) + F.size(y)
+    equal = F.substring(F.col(a), 1, 64) == F.substring(F.col(b), 1, 64)
+    return df.withColumn(name, F.when(equal, F.lit(1.0)).otherwise(F.coalesce(2.0 * shared / F.nullif(whole, F.lit(0.0)), F.lit(0.0)))).drop("_f_same", "_f_x", "_f_y")
+
+
+def _first_unlike(a: Column, b: Column) -> Column:
+    """The first place at which two arrays differ, from 0; null if they don't."""
+    return F.get(F.filter(F.sequence(F.lit(0), F.greatest(F.size(a), F.size(b))), lambda i: ~F.get(a, i).eqNullSafe(F.get(b, i))), F.lit(0))
+
+
+def first_edit(df: DataFrame, a: str, b: str) -> DataFrame:
+    """df with edit_section, edit_paragraph and edit_leaf (int): where fingerprint b first differs from a, by opening the first unlike branch of each level; null if the roots are equal."""
+    body = lambda c: F.when(F.substring(F.col(a), 1, 64) != F.substring(F.col(b), 1, 64), F.split(F.substring(F.col(c), 66, 2**31 - 1), "/"))
+    x, y = (F.col(f"_f_{c}") for c in "xy")
+    inside = lambda c, at, mark: F.split(F.substring(F.coalesce(F.get(c, F.col(at)), F.lit("")), LEAF + 2, 2**31 - 1), mark)
+    leaves = lambda c, at: F.regexp_extract_all(F.substring(F.coalesce(F.get(c, F.col(at)), F.lit("")), LEAF + 2, 2**31 - 1), F.lit(f"[0-9a-f]{{{LEAF}}}"), F.lit(0))
+    df = df.withColumns({"_f_x": body(a), "_f_y": body(b)}).withColumn("edit_section", _first_unlike(x, y))
+    df = df.withColumns({f"_f_{c}": inside(F.col(f"_f_{c}"), "edit_section", "-") for c in "xy"}).withColumn("edit_paragraph", F.when(F.col("edit_section").isNotNull(), _first_unlike(x, y)))
+    df = df.withColumns({f"_f_{c}": leaves(F.col(f"_f_{c}"), "edit_paragraph") for c in "xy"})
+    return df.withColumn("edit_leaf", F.when(F.col("edit_section").isNotNull(), _first_unlike(x, y))).drop("_f_x", "_f_y")
 
 
 def edits(a: Column, b: Column) -> Column:
     """Where fingerprint b differs from a: (section, paragraph) numbers from 0 of b's paragraphs that are not at that place in a.
 
-    Sections whose leaves are equal are passed over whole.
+    Sections whose hashes are equal are passed over whole.
     """
     sections = lambda c: F.split(F.substring(c, 66, 2**31 - 1), "/")
-    paragraphs = lambda s: F.split(F.coalesce(s, F.lit("")), "-")
+    paragraphs = lambda s: F.split(F.substring(F.coalesce(s, F.lit("")), LEAF + 2, 2**31 - 1), "-")
     old = sections(a)
 
     def within(s: Column, i: Column) -> Column:
         was = paragraphs(F.get(old, i))
         changed = F.filter(F.transform(paragraphs(s), lambda p, j: F.struct(i.alias("section"), j.alias("paragraph"), (~p.eqNullSafe(F.get(was, j))).alias("new"))), lambda x: x["new"])
-        return F.when(s.eqNullSafe(F.get(old, i)), F.lit([]).cast("array<struct<section:int,paragraph:int>>")).otherwise(F.transform(changed, lambda x: F.struct(x["section"].alias("section"), x["paragraph"].alias("paragraph"))))
+        same = F.coalesce(F.substring(s, 1, LEAF) == F.substring(F.get(old, i), 1, LEAF), F.lit(False))
+        return F.when(same, F.lit([]).cast("array<struct<section:int,paragraph:int>>")).otherwise(F.transform(changed, lambda x: F.struct(x["section"].alias("section"), x["paragraph"].alias("paragraph"))))
 
     return F.flatten(F.transform(sections(b), within))
 
 
 def fingerprints(docs: DataFrame, text: str = "text", name: str = "fingerprint") -> DataFrame:
     """docs with the fingerprint of each text."""
-    return docs.withColumn("_f_tree", tree(text_of(text))).withColumn(name, serialised(F.col("_f_tree"))).drop("_f_tree")
+    short = lambda h: F.substring(h, 1, LEAF)
+    joined = lambda c, f, mark="": F.array_join(F.transform(c, f), mark)
+    paragraph = lambda p: F.struct(_sha(F.array_join(p, "")).alias("h"), joined(p, short).alias("leaves"))
+    section = lambda s: F.struct(_sha(joined(s, lambda p: p["h"])).alias("h"), joined(s, lambda p: F.concat(short(p["h"]), F.lit("~"), p["leaves"]), "-").alias("inner"))
+    df = docs.withColumn("_f_tree", tree(text_of(text)))
+    df = df.withColumn("_f_tree", F.transform("_f_tree", lambda s: F.transform(s, paragraph)))
+    df = df.withColumn("_f_tree", F.transform("_f_tree", section))
+    whole = F.concat(_sha(joined("_f_tree", lambda s: s["h"])), F.lit(":"), joined("_f_tree", lambda s: F.concat(short(s["h"]), F.lit("="), s["inner"]), "/"))
+    return df.withColumn(name, whole).drop("_f_tree")
 
 
 def _followers(keys: DataFrame) -> DataFrame:
@@ -90,7 +121,7 @@ def _followers(keys: DataFrame) -> DataFrame:
 
 
 def edited_with_next(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Per row: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
+    """Per row: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, and where the edit begins: edit_section, edit_paragraph, edit_leaf.
 
     The edited text is the text whose last floor(n_chars / 2) code points are replaced by the first as many (or all) of the next document's in descending
     doc_id (after the last: the first). Texts move once by their own key, and once as the beginnings that edits need.
@@ -110,12 +141,6 @@ def edited_with_next(docs: DataFrame, text: str = "text") -> DataFrame:
     n = F.length("t")
     out = out.withColumns({"n_chars": n.cast("long"), "edited": F.concat(F.substring(F.col("t"), F.lit(1), (n - F.floor(n / 2)).cast("int")), F.col("head"))})
     out = fingerprints(fingerprints(out, "t"), "edited", "edited_fingerprint")
-    return out.select(
-        "doc_id",
-        "n_chars",
-        _sha(F.col("edited")).alias("edited_sha256"),
-        "fingerprint",
-        "edited_fingerprint",
-        likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
-        likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"),
-    )
+    out = out.select("doc_id", "n_chars", _sha(F.col("edited")).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "next_fingerprint")
+    out = likeness(likeness(out, "fingerprint", "edited_fingerprint", "near_edited"), "fingerprint", "next_fingerprint", "near_next")
+    return first_edit(out, "fingerprint", "edited_fingerprint").drop("next_fingerprint")

@@ -313,6 +313,61 @@ def test_op8(spark, edge_dir):
     assert by_id[5].near_edited > 0.3 > by_id[5].near_next
 
 
+def merkle_of(t):
+    """The fingerprint and tree of a text, step by step."""
+    tree = []
+    for s in re.split(r"(?<=\n\n)(?!\n)", t):
+        own = [[sha(x) for x in re.findall(r"(?s).{0,79}?[.!?]\s+|.{1,80}", p, re.A)] for p in re.split(r"(?<=\n)", s)]
+        if any(own):
+            tree.append([p for p in own if p])
+    par = [[(sha("".join(p)), p) for p in s] for s in tree]
+    sec = [(sha("".join(h for h, _ in s)), s) for s in par]
+    return sha("".join(h for h, _ in sec)) + ":" + "/".join(f"{h[:8]}=" + "-".join(f"{q[:8]}~" + "".join(x[:8] for x in p) for q, p in s) for h, s in sec)
+
+
+def opened(f):
+    """Sections of a fingerprint as (text, paragraphs), each of these as (text, leaves)."""
+    return [(s, [(p, re.findall("[0-9a-f]{8}", p[9:])) for p in s[9:].split("-")]) for s in f[65:].split("/")] if f[65:] else []
+
+
+def merkle_likeness(f, g):
+    if f[:64] == g[:64]:
+        return 1.0
+    a, b = dict(opened(f)), dict(opened(g))
+    same = sum(len(x) for s in a.keys() & b.keys() for _, x in a[s])
+    pa, pb = ({p: x for s in own.keys() - other.keys() for p, x in own[s]} for own, other in ((a, b), (b, a)))
+    same += sum(len(pa[p]) for p in pa.keys() & pb.keys())
+    la, lb = ({x for p in own.keys() - other.keys() for x in own[p]} for own, other in ((pa, pb), (pb, pa)))
+    whole = 2 * same + len(la) + len(lb)
+    return 2 * (same + len(la & lb)) / whole if whole else 0.0
+
+
+def test_op8_against_brute_force(spark):
+    """Fingerprints, likeness and the place of the edit, for every row."""
+    import random
+
+    from lumenry.llm import merkle
+
+    rnd = random.Random(12)
+    some = lambda: rnd.choice(["Word and word. ", "no end here ", "x" * 95, "Ends!\n", "é😀. ", "\n\n", "\n", "? "])
+    texts = ["".join(some() for _ in range(rnd.randrange(0, 40))) for _ in range(40)]
+    texts += [texts[3], "", None, texts[5] + "tail", "a\n\n\n\nb. c"]
+    rows = merkle.edited_with_next(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        t, n = texts[r.doc_id] or "", texts[r.doc_id - 1] or ""
+        edited = t[: len(t) - len(t) // 2] + n[: len(t) // 2]
+        assert (r.fingerprint, r.edited_fingerprint) == (merkle_of(t), merkle_of(edited))
+        assert abs(r.near_edited - merkle_likeness(merkle_of(t), merkle_of(edited))) < 1e-12
+        assert abs(r.near_next - merkle_likeness(merkle_of(t), merkle_of(n))) < 1e-12
+        if t == edited:
+            assert r.edit_section is None and r.edit_leaf is None
+            continue
+        a, b = ([(s, p, x, h) for s, (_, ps) in enumerate(opened(f)) for p, (_, xs) in enumerate(ps) for x, h in enumerate(xs)] for f in (r.fingerprint, r.edited_fingerprint))
+        unlike = min(x[:3] for x in set(a) ^ set(b))
+        assert (r.edit_section, r.edit_paragraph, r.edit_leaf) == unlike
+
+
 def test_op8_edits_are_located(spark):
     from pyspark.sql import functions as F
 
