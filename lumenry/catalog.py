@@ -86,10 +86,9 @@ def firm_coverage(spark, sf_dir):
     return reports.coverage(scored(spark, sf_dir)[0], 0.3, ["company"])
 
 
-@query(f"{P_SQL} SELECT company, year, total_rows FROM ({COVER_SQL.format(by='company, year', theta=0.4, where='sentence_id >= 46')}) WHERE selected = 0")
+@query(f"{P_SQL} SELECT company, year, total_rows FROM ({COVER_SQL.format(by='company, year', theta=0.4, where='true')}) WHERE selected = 0")
 def firms_zero_coverage(spark, sf_dir):
-    rows = scored(spark, sf_dir)[0].where(F.col("sentence_id") >= N_REFS)
-    return reports.uncovered(reports.coverage(rows, 0.4, ["company", "year"])).select("company", "year", "total_rows")
+    return reports.uncovered(reports.coverage(scored(spark, sf_dir)[0], 0.4, ["company", "year"])).select("company", "year", "total_rows")
 
 
 @query(f"{P_SQL} SELECT company, selected FROM ({COVER_SQL.format(by='company', theta=0.3, where='true')}) ORDER BY selected DESC, company LIMIT 10")
@@ -116,26 +115,33 @@ def argmax_ref(spark, sf_dir):
     return reports.best_reference(rows, keys).select("sentence_id", "ref_key", "score")
 
 
-@query(
-    f"""{P_SQL}, g AS (SELECT p.sentence_id, company, year, bool_or(score > 0.2) AND bool_or(score < 0.4) AS low, bool_or(score >= 0.4) AS high, arg_max(ref_key, score * 1000 - ord / 1000.0) AS ref_key, max(score) AS score
+PICKS_SQL = f"""{P_SQL}, g AS (SELECT p.sentence_id, company, year, bool_or(score > 0.2) AND bool_or(score < 0.4) AS low, bool_or(score >= 0.4) AS high, arg_max(ref_key, score * 1000 - ord / 1000.0) AS ref_key, max(score) AS score
     FROM p JOIN documents d ON d.doc_id = p.sentence_id WHERE coalesce(d.text, '') <> '' GROUP BY ALL),
     f AS (SELECT *, min(CASE WHEN low THEN sentence_id END) OVER u AS fl, min(CASE WHEN high THEN sentence_id END) OVER u AS fh FROM g WHERE low OR high WINDOW u AS (PARTITION BY company, year)),
     k AS (SELECT *, CASE WHEN sentence_id = fl THEN 0 WHEN sentence_id = fh THEN 1 ELSE 2 END AS kind FROM f),
-    o AS (SELECT *, row_number() OVER (PARTITION BY company, year ORDER BY kind, sentence_id) AS rank FROM k)
-    SELECT company, year, CAST(rank AS INTEGER) AS rank, CASE kind WHEN 0 THEN '0.2<score<0.4' WHEN 1 THEN 'score>=0.4' ELSE CASE WHEN high THEN 'score>=0.4' ELSE '0.2<score<0.4' END END AS bucket, sentence_id, ref_key, score FROM o WHERE rank <= 2"""
-)
+    o AS (SELECT *, row_number() OVER (PARTITION BY company, year ORDER BY kind, sentence_id) AS rank FROM k),
+    z AS (SELECT company, year, CAST(rank AS INTEGER) AS rank, CASE kind WHEN 0 THEN '0.2<score<0.4' WHEN 1 THEN 'score>=0.4' ELSE CASE WHEN high THEN 'score>=0.4' ELSE '0.2<score<0.4' END END AS bucket, sentence_id, ref_key, score FROM o WHERE rank <= 2)"""
+
+
+@query(f"{PICKS_SQL} SELECT * FROM z")
 def sentence_picks(spark, sf_dir):
     rows, keys = scored(spark, sf_dir)
     texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("sentence_id"), "text")
     return reports.examples(rows.join(texts, "sentence_id"), keys, ["company", "year"], 0.2, 0.4).select("company", "year", "rank", "bucket", "sentence_id", "ref_key", "score")
 
 
+@query(f"{PICKS_SQL} SELECT company, year, rank, company || '/' || year || ' #' || rank || ' [' || bucket || '] sentence ' || sentence_id || ': ' || ref_key || ' = ' || printf('%.3f', score) AS line FROM z")
+def example_lines(spark, sf_dir):
+    rows, keys = scored(spark, sf_dir)
+    texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("sentence_id"), "text")
+    return reports.example_lines(reports.examples(rows.join(texts, "sentence_id"), keys, ["company", "year"], 0.2, 0.4), ["company", "year"])
+
+
 @query(f"WITH {R_SQL}, q AS (SELECT vec FROM r WHERE ord = 17) SELECT ref_key, round(list_cosine_similarity(r.vec, q.vec), 6) + 0.0 AS similarity FROM r, q WHERE list_cosine_similarity(r.vec, q.vec) >= 0.05")
 def glossary_filter(spark, sf_dir):
     r = refs(spark, sf_dir)
-    q = F.broadcast(r.where(F.col("ord") == N_GOALS).select(F.col("vec").alias("q")))  # one row
-    alike = r.crossJoin(q).select("ref_key", S.cosine("vec", "q").alias("similarity"))
-    return alike.where("similarity >= 0.05").select("ref_key", (F.round("similarity", 6) + F.lit(0.0)).alias("similarity"))
+    alike = references.glossary(r, r.where(F.col("ord") == N_GOALS).select(F.col("vec").alias("q")), 0.05)
+    return alike.select("ref_key", (F.round("similarity", 6) + F.lit(0.0)).alias("similarity"))
 
 
 @query(f"WITH {S_SQL} SELECT sentence_id, round(sqrt(list_dot_product(vec, vec)), 6) AS norm, round(vec[1] / sqrt(list_dot_product(vec, vec)), 6) + 0.0 AS first FROM s")
@@ -344,16 +350,15 @@ def sdg_distribution(spark, sf_dir):
 
 @query(f"{RES_SQL} SELECT custom_id, coalesce(new_raw, raw) AS raw, CASE WHEN new_raw IS NOT NULL THEN new_sdgs ELSE sdgs END AS sdgs, CASE WHEN new_raw IS NOT NULL THEN new_ai ELSE is_ai END AS is_ai, batch_id FROM res")
 def update_from(spark, sf_dir):
-    from lumenry.plans.stages import repairs
+    from lumenry.plans.stages import repaired
 
-    rows = results(spark, sf_dir)
-    return store.updated(rows, repairs(rows)).select("custom_id", "raw", F.array_join("sdgs", ",").alias("sdgs"), "is_ai", "batch_id")
+    return repaired(results(spark, sf_dir)).select("custom_id", "raw", F.array_join("sdgs", ",").alias("sdgs"), "is_ai", "batch_id")
 
 
-@query(f"WITH {A_SQL} SELECT a.doc_id, a.doc_id || '||' || coalesce(nullif(d.text, ''), '<sentence not found>') || '||' || coalesce(a.raw, '-') AS line, a.reason FROM a LEFT JOIN (SELECT doc_id, text FROM documents WHERE doc_id % 3 > 0) d USING (doc_id) WHERE a.reason IS NOT NULL")
+@query(f"WITH {A_SQL} SELECT a.doc_id, a.doc_id || '||' || coalesce(nullif(d.text, ''), '<sentence not found>') || '||' || coalesce(a.raw, '-') AS line, a.reason FROM a LEFT JOIN documents d USING (doc_id) WHERE a.reason IS NOT NULL")
 def invalid_with_sentence(spark, sf_dir):
-    """The invalid answers with their sentences; every third sentence is left out, as the case of sentences not found."""
-    found = table(spark, sf_dir, "documents").where(F.col("doc_id") % 3 > 0).select("doc_id", F.col("text").alias("sentence"))
+    """The invalid answers with their sentences."""
+    found = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("sentence"))
     rows = reports.with_sentence(answers(spark, sf_dir).where("reason IS NOT NULL"), found, ["doc_id"])
     return rows.select("doc_id", X.report_line(F.col("doc_id"), F.col("sentence"), F.col("raw")).alias("line"), "reason")
 
@@ -379,6 +384,11 @@ def sample_manifest(spark, sf_dir):
     return sampling.manifest(chosen, have(table(spark, sf_dir, "labels"), "doc_id", "results"), have(table(spark, sf_dir, "embeddings"), "vec_id", "splits"), "doc_id")
 
 
+@query("WITH c AS (SELECT doc_id FROM documents ORDER BY md5('42|' || doc_id), doc_id LIMIT 50) SELECT CAST(count(*) AS BIGINT) AS folders, CAST(count(*) FILTER (l.doc_id IS NULL OR e.vec_id IS NULL) AS BIGINT) AS incomplete FROM c LEFT JOIN labels l USING (doc_id) LEFT JOIN embeddings e ON e.vec_id = c.doc_id")
+def sample_incomplete(spark, sf_dir):
+    return sampling.incomplete(sample_manifest(spark, sf_dir))
+
+
 @query("SELECT doc_id, source FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
 def resume_anti(spark, sf_dir):
     from lumenry.sources.sinks import unfinished
@@ -469,19 +479,22 @@ def requests_selected(spark, sf_dir):
     return rows.select("custom_id", F.get_json_object("request", "$.body.messages[1].content").alias("sentence"))
 
 
-@query(f"{SELECTED_SQL} SELECT CAST(count(*) AS BIGINT) AS selected, CAST(count(DISTINCT (company, year)) AS BIGINT) AS files, CAST(ceil(count(*) / 50.0) AS BIGINT) AS batches FROM q")
+@query(f"{SELECTED_SQL} SELECT CAST(count(*) AS BIGINT) AS selected, (SELECT CAST(count(DISTINCT (company, year)) AS BIGINT) FROM s) AS files, CAST(ceil(count(*) / 50.0) AS BIGINT) AS batches FROM q")
 def selection_counters(spark, sf_dir):
     from lumenry.plans.stages import requests
 
-    rows = requests(scored(spark, sf_dir)[0], report_sentences(spark, sf_dir), 0.3, "model-x")
-    return rows.agg(F.count("*").alias("selected"), F.countDistinct("company", "year").alias("files"), F.ceil(F.count("*") / 50).alias("batches"))
+    rows = scored(spark, sf_dir)[0]
+    return reports.selection_counts(rows, requests(rows, report_sentences(spark, sf_dir), 0.3, "model-x"), ["company", "year"], 50)
+
+
+WIDE = [f"sdg_{k}" for k in range(1, N_GOALS + 1)] + [f"ai_{k}" for k in range(N_GOALS, N_REFS)]
 
 
-@query(f"{P_SQL} SELECT sentence_id, " + ", ".join(f"max(score) FILTER (ref_key = '{k}') AS {k}" for k in ("sdg_1", "sdg_2", "sdg_17", "ai_17")) + " FROM p GROUP BY 1")
+@query(f"{P_SQL} SELECT sentence_id, " + ", ".join(f"max(score) FILTER (ref_key = '{k}') AS {k}" for k in WIDE) + " FROM p GROUP BY 1")
 def scores_wide(spark, sf_dir):
-    """A few references as columns, as a wide export has them."""
+    """All references as columns, as a wide export has them."""
     rows, keys = scored(spark, sf_dir)
-    return rows.select("sentence_id", *[F.get("scores", F.lit(keys.index(k))).alias(k) for k in ("sdg_1", "sdg_2", "sdg_17", "ai_17")])
+    return rows.select("sentence_id", *[F.get("scores", F.lit(keys.index(k))).alias(k) for k in WIDE])
 
 
 @query(f"WITH {R_SQL}, c AS (SELECT CASE WHEN ord % 2 = 0 THEN upper(ref_key) ELSE ref_key END AS name, ord FROM r) SELECT name, ord FROM c WHERE name IN (SELECT ref_key FROM r WHERE ord % 5 < 3)")

@@ -7,6 +7,7 @@
 from __future__ import annotations
 
 import argparse
+import importlib
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,9 +15,9 @@ from pyspark.sql import functions as F
 from lumenry.functions import providers
 from lumenry.functions.answers import UNREADABLE, ZERO_WITH, answered
 from lumenry.functions.text import custom_id_parts
-from lumenry.operators import reports, sampling, store
+from lumenry.operators import batching, references, reports, sampling, store
 from lumenry.plans import stages
-from lumenry.sources import files, sinks
+from lumenry.sources import files, jobs, sinks
 
 
 def score(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
@@ -50,7 +51,7 @@ def select(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
 
 
 def tokens(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
-    counter = providers.rank_file_counter(a.ranks, a.pattern) if a.ranks else providers.piece_counter()
+    counter = providers.rank_file_counter(a.ranks, a.pattern) if a.ranks else providers.named_counter(a.encoding) if a.encoding else providers.piece_counter()
     rows = files.lenient_texts(spark, a.texts).select("company", "year", providers.token_count(F.col("text"), counter).alias("tokens"))
     sinks.write_tokens(rows, a.out)
     return rows.agg(F.count("*").alias("files"), F.countDistinct("company").alias("companies"), F.sum("tokens").alias("tokens"))
@@ -76,9 +77,8 @@ def audit(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
 
 
 def repair(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
-    fixes = stages.repairs(spark.table(a.table))
-    n = fixes.count()
-    store.replace(store.updated(spark.table(a.table), fixes), a.table)
+    n = stages.repairs(spark.table(a.table)).count()
+    store.replace(stages.repaired(spark.table(a.table)), a.table)
     return spark.createDataFrame([(n,)], "repaired long")
 
 
@@ -91,9 +91,55 @@ def sample(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
         rows.append((f"{a.texts}/{r.key}", *done))
     listed = spark.createDataFrame(rows, "source_dir string, dest_results string, dest_splits string")
     sinks.write_manifest(listed, f"{a.target}/sample_manifest.tsv")
+    print("{folders} folders, {incomplete} lack a file".format(**sampling.incomplete(listed).first().asDict()))
     return listed
 
 
+def examples(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
+    """Up to two sentences of each report with a low or a high score, and the reference that is best for each."""
+    refs = stages.references(spark, a.goals, a.glossary, False, providers.hashing_encoder())
+    keys = [r.ref_key for r in refs.orderBy("ord").select("ref_key").collect()]  # a dictionary
+    rows = spark.read.parquet(a.scores).where(~F.col("german")).join(files.sentences(spark, a.texts).select("company", "year", "sentence_id", F.col("sentence").alias("text")), ["company", "year", "sentence_id"])
+    return reports.example_lines(reports.examples(rows, keys, ["company", "year"], a.low, a.high), ["company", "year"]).orderBy("company", "year", "rank").select("line")
+
+
+def glossary(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
+    """The glossary's pairs whose name is as alike as the threshold to a query, also written as one JSON document."""
+    encoder = providers.hashing_encoder()
+    names = files.dictionary(spark, a.glossary).withColumn("vec", providers.embedded(F.col("key"), encoder))
+    asked = spark.createDataFrame([(a.query,)], "q string").select(providers.embedded(F.col("q"), encoder).alias("q"))
+    found = references.glossary(names, asked, a.threshold).select("key", "value", "similarity").orderBy("key")
+    sinks.write_object(found.select("key", "value"), a.out)
+    return found
+
+
+def _client(a: argparse.Namespace) -> providers.BatchClient:
+    module, _, factory = a.client.partition(":")
+    return getattr(importlib.import_module(module), factory)()
+
+
+def submit(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
+    """Submits request files that the log doesn't name yet, and logs their jobs."""
+    return spark.createDataFrame(jobs.submitted(spark, a.requests, _client(a), a.log), "batch_no int, id string")
+
+
+def status(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
+    """Progress of the jobs that a log names, or else of those in progress on the service."""
+    client = _client(a)
+    if a.log:
+        ids = batching.logged_ids(files.log_lines(spark, a.log)).orderBy("line_no").select("id")
+    else:
+        ids = batching.in_progress(jobs.job_table(spark, client)).select("id")
+    return batching.status_lines(batching.status(jobs.looked_up(ids, client)))
+
+
+def poll(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
+    """Saves the outputs of a log's jobs, a file each."""
+    client = _client(a)
+    done = jobs.looked_up(batching.logged_ids(files.log_lines(spark, a.log)).select("id"), client)
+    return spark.createDataFrame(jobs.save_outputs(spark, done, client, a.outputs), "id string, lines int")
+
+
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="lumenry")
     sub = p.add_subparsers(dest="command", required=True)
@@ -119,6 +165,7 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("--model", default="model-x")
     c = command(tokens, "texts", "out")
     c.add_argument("--ranks")
+    c.add_argument("--encoding", help="name of an encoding or of a model")
     c.add_argument("--pattern", default=r"\S+|\s+")
     command(load, "outputs").add_argument("--table", default="results")
     c = command(audit)
@@ -132,6 +179,20 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("--n", type=int, default=10)
     c.add_argument("--seed", type=int, default=42)
     c.add_argument("--overwrite", action="store_true")
+    c = command(examples, "scores", "texts")
+    c.add_argument("--goals", nargs="+", required=True)
+    c.add_argument("--glossary", required=True)
+    c.add_argument("--low", type=float, default=0.3)
+    c.add_argument("--high", type=float, default=0.5)
+    c = command(glossary, "glossary", "query", "out")
+    c.add_argument("--threshold", type=float, default=0.5)
+    c = command(submit, "requests", "log")
+    c.add_argument("--client", required=True, help="module:factory of a BatchClient")
+    c = command(status)
+    c.add_argument("--log")
+    c.add_argument("--client", required=True)
+    c = command(poll, "log", "outputs")
+    c.add_argument("--client", required=True)
     return p
 
 

@@ -25,10 +25,17 @@ class Detector(Protocol):
     def __call__(self, text: str) -> str: ...
 
 
+class Classifier(Protocol):
+    def __call__(self, sentence: str, most_tokens: int) -> str: ...
+
+
 class BatchClient(Protocol):
     """What the engine asks of a remote batch service; jobs are dicts as in sources.jobs.JOBS."""
 
-    def submit(self, lines: list[str]) -> dict: ...
+    def submit(self, lines: list[str], key: str) -> dict:
+        """A job of these lines; the same key gives the same job again."""
+        ...
+
     def jobs(self, limit: int) -> list[dict]: ...
     def job(self, job_id: str) -> dict | None: ...
     def output(self, file_id: str) -> bytes: ...
@@ -90,6 +97,53 @@ def rank_file_counter(path: str, pattern: str) -> Callable[[], Callable[[str], i
     return make
 
 
+#: Fixed value: the encoding of last resort.
+DEFAULT_ENCODING = "cl100k_base"
+
+
+def named_counter(name: str) -> Callable[[], Callable[[str], int]]:
+    """Counts by an encoding's name, else by the encoding of a model of that name, else by the default encoding."""
+
+    def make() -> Callable[[str], int]:
+        import tiktoken
+
+        for find, what in ((tiktoken.get_encoding, name), (tiktoken.encoding_for_model, name), (tiktoken.get_encoding, DEFAULT_ENCODING)):
+            try:
+                encoding = find(what)
+                break
+            except (KeyError, ValueError):
+                continue
+        else:
+            raise ValueError(f"no encoding {name}, and no default one")
+        return lambda text: len(encoding.encode(text, disallowed_special=()))
+
+    return make
+
+
+def device(available: Callable[[str], bool] = lambda kind: kind == "cpu") -> str:
+    """The first kind of device that is available."""
+    return next(kind for kind in ("cuda", "mps", "cpu") if kind == "cpu" or available(kind))
+
+
+def classified(sentence: Column, factory: Callable[[], Classifier], most_tokens: int = 50) -> Column:
+    """The answer of a model to each sentence, one call each; null for null and where a call fails."""
+
+    @F.pandas_udf("string")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        ask = factory()
+
+        def one(text: str | None) -> str | None:
+            try:
+                return None if text is None else ask(text, most_tokens)
+            except Exception:  # noqa: BLE001  clients raise their own kinds
+                return None
+
+        for s in batches:
+            yield s.map(one).astype(object)
+
+    return run(sentence)
+
+
 def embedded(text: Column, factory: Callable[[], Encoder], at_once: int = 1024) -> Column:
     """The vector of each text; null for null."""
 

@@ -38,7 +38,11 @@ def _any(scores: Column, test) -> Column:
     return F.coalesce(F.exists(scores, lambda x: F.coalesce(test(x) & ~F.isnan(x), F.lit(False))), F.lit(False))
 
 
-def any_at_least(scores: Column, threshold: float | Column) -> Column:
+def any_at_least(scores: Column, threshold: float | Column, single: bool = False) -> Column:
+    """single: compared as 32-bit numbers, so that a threshold is met that differs beyond their seven digits only."""
+    if single:
+        least = (threshold if isinstance(threshold, Column) else F.lit(threshold)).cast("float")
+        return _any(scores, lambda x: x.cast("float") >= least)
     return _any(scores, lambda x: x >= threshold)
 
 

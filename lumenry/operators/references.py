@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumenry.functions.scores import cosine
 from lumenry.functions.text import digits_number, strip
 
 
@@ -37,3 +38,9 @@ def resolve_columns(columns: DataFrame, allowed: DataFrame, exact: bool = False)
         return columns.join(allowed, F.col("name") == F.col("term"), "left_semi")
     low = columns.groupBy(F.lower("name").alias("key")).agg(F.max_by("name", "ord").alias("name"), F.max("ord").alias("ord"))
     return low.join(allowed.select(F.lower("term").alias("key")).distinct(), "key", "left_semi")
+
+
+def glossary(names: DataFrame, query: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """names (ref_key, vec, ...) as alike as the threshold to the vector of query (q), which is one row; adds similarity, not rounded."""
+    alike = names.crossJoin(F.broadcast(query.select("q").limit(1))).withColumn("similarity", cosine("vec", "q"))
+    return alike.where(F.col("similarity") >= threshold).drop("q")

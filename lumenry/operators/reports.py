@@ -62,3 +62,16 @@ def with_sentence(invalid: DataFrame, sentences: DataFrame, keys: list[str]) ->
 
 def token_totals(reports: DataFrame, tokens) -> DataFrame:
     return reports.groupBy("company").agg(F.sum(tokens).alias("tokens"))
+
+
+def example_lines(picked: DataFrame, unit: list[str]) -> DataFrame:
+    """line: the unit, rank, bucket, sentence_id, reference and score to three places of each example, in order."""
+    own = F.concat_ws("/", *[F.col(c).cast("string") for c in unit])
+    return picked.select(*unit, "rank", F.format_string("%s #%d [%s] sentence %d: %s = %.3f", own, "rank", "bucket", "sentence_id", "ref_key", "score").alias("line"))
+
+
+def selection_counts(scored: DataFrame, selected: DataFrame, unit: list[str], lines: int = 20_000) -> DataFrame:
+    """(selected, files, batches): sentences chosen, units that were looked at (with or without a hit), files they fill."""
+    seen = scored.agg(F.countDistinct(*unit).alias("files"))
+    chosen = selected.agg(F.count("*").alias("selected"))
+    return chosen.join(F.broadcast(seen), F.lit(True)).select("selected", "files", F.ceil(F.col("selected") / lines).alias("batches"))

@@ -31,10 +31,11 @@ def duplicates(rows: DataFrame, key: str = "custom_id") -> DataFrame:
 
 
 def append(rows: DataFrame, name: str = "results") -> None:
-    """Adds rows by name; refuses all of them if a custom_id would occur twice."""
+    """Adds rows by name; refuses all of them if a custom_id would occur twice. Of the table only ids that meet the new ones are looked at."""
     spark = rows.sparkSession
     rows = rows.select(*RESULTS.names)
-    if not duplicates(spark.table(name).select("custom_id").union(rows.select("custom_id"))).isEmpty():
+    met = spark.table(name).select("custom_id").join(rows.select("custom_id"), "custom_id", "left_semi")
+    if not duplicates(rows).isEmpty() or not met.isEmpty():
         raise ValueError("a custom_id occurs twice")
     rows.write.mode("append").insertInto(name)
 
@@ -57,14 +58,26 @@ def updated(results: DataFrame, updates: DataFrame, key: str = "custom_id", colu
     return joined.select(*[F.when(hit, F.col(f"_u_{c}")).otherwise(F.col(c)).alias(c) if c in columns else F.col(c) for c in results.columns])
 
 
-def replace(rows: DataFrame, name: str = "results", files: int | None = None) -> None:
-    """Puts rows in place of the table's; they are first written whole beside it, so they may derive from it. `files`: compaction."""
+def replace(rows: DataFrame, name: str = "results") -> None:
+    """Puts rows in place of the table's. They are written whole to a folder of their own, to which the table is then pointed in one step, so readers
+    find the old rows or the new ones and a crash leaves the old ones; rows may derive from the table. The old files go last.
+    """
     spark = rows.sparkSession
-    staged = f"{name}_{uuid.uuid4().hex[:8]}"
-    (rows.coalesce(files) if files else rows).write.format("parquet").saveAsTable(staged)
-    spark.sql(f"DROP TABLE IF EXISTS {name}")
-    spark.sql(f"ALTER TABLE {staged} RENAME TO {name}")
-
-
-def compact(spark: SparkSession, name: str = "results", files: int = 1) -> None:
-    replace(spark.table(name), name, files)
+    old = spark.sql(f"DESCRIBE FORMATTED {name}").where("col_name = 'Location'").first()["data_type"] if spark.catalog.tableExists(name) else None
+    path = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/versions/{name}-{uuid.uuid4().hex[:12]}"
+    rows.write.parquet(path)
+    if old is None:
+        spark.sql(f"CREATE TABLE {name} USING parquet LOCATION '{path}'")
+        return
+    spark.sql(f"ALTER TABLE {name} SET LOCATION '{path}'")
+    spark.sql(f"REFRESH TABLE {name}")
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(old)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def compact(spark: SparkSession, name: str = "results", file_bytes: int = 256 << 20) -> None:
+    """Rewrites the table in files of about so many bytes."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(spark.sql(f"DESCRIBE FORMATTED {name}").where("col_name = 'Location'").first()["data_type"])
+    size = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(at).getLength()
+    replace(spark.table(name).repartition(max(1, -(-size // file_bytes))), name)

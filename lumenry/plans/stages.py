@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lumenry.functions import providers
 from lumenry.functions.answers import answered
+from lumenry.functions.lineage import cut
 from lumenry.functions.scores import any_at_least
 from lumenry.functions.text import custom_id, request
 from lumenry.operators.references import goal_order, merged
@@ -34,7 +35,7 @@ def references(spark: SparkSession, goals: list[str], glossary: str, german: boo
 
 def score_reports(reports: DataFrame, sentences: DataFrame, refs: dict[bool, DataFrame], detector: Callable, encoder: Callable) -> DataFrame:
     """(company, year, sentence_id, german, scores, max_sdg, max_ai): sentences of reports against the references of their language."""
-    routed = reports.select("company", "year", providers.is_german(F.col("text"), detector).alias("german"))
+    routed = cut(reports.select("company", "year", providers.is_german(F.col("text"), detector).alias("german")))
     rows = sentences.join(routed, ["company", "year"]).withColumn("vec", providers.embedded(F.col("sentence"), encoder))
     out = None
     for german, r in refs.items():
@@ -48,7 +49,7 @@ def score_reports(reports: DataFrame, sentences: DataFrame, refs: dict[bool, Dat
 
 def requests(scored: DataFrame, sentences: DataFrame, threshold: float, model: str) -> DataFrame:
     """(company, year, sentence_id, custom_id, request) of sentences that aren't empty and have a score at the threshold."""
-    chosen = scored.where(any_at_least(F.col("scores"), threshold)).select("company", "year", "sentence_id")
+    chosen = scored.where(any_at_least(F.col("scores"), threshold, single=True)).select("company", "year", "sentence_id")
     rows = chosen.join(sentences.select("company", "year", "sentence_id", "sentence"), ["company", "year", "sentence_id"]).where("sentence <> ''")
     rows = rows.withColumn("custom_id", custom_id(F.col("sentence_id"), F.col("company"), F.col("year")))
     return rows.select("company", "year", "sentence_id", "custom_id", request(F.col("custom_id"), F.col("sentence"), model).alias("request"))
@@ -63,3 +64,18 @@ def load_answers(responses: DataFrame) -> DataFrame:
 def repairs(results: DataFrame) -> DataFrame:
     """(custom_id, new_raw, new_sdgs, new_ai) of the results that a repair changes."""
     return answered(results.select("custom_id", "raw")).where("answer.changed").select("custom_id", "answer.new_raw", "answer.new_sdgs", "answer.new_ai")
+
+
+def repaired(results: DataFrame) -> DataFrame:
+    """The results with every repair in place, in one projection over each row."""
+    fixed = answered(results)
+    new = {"raw": "new_raw", "sdgs": "new_sdgs", "is_ai": "new_ai"}
+    return fixed.select(*[F.when(F.col("answer.changed"), F.col(f"answer.{new[c]}")).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in results.columns])
+
+
+def skipped(units: DataFrame, sentences: DataFrame, scored: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, reason) of units that give nothing: without sentences, or with sentences but no scores."""
+    have = lambda df: df.select(*keys).distinct()
+    bare = units.select(*keys).distinct().join(have(sentences), keys, "left_anti").withColumn("reason", F.lit("no sentences"))
+    unscored = units.select(*keys).distinct().join(have(sentences), keys, "left_semi").join(have(scored), keys, "left_anti").withColumn("reason", F.lit("no scores"))
+    return bare.unionByName(unscored)

@@ -29,9 +29,15 @@ def report_texts(spark: SparkSession, root: str, name: str = "*results.txt") ->
 
 
 def lenient_texts(spark: SparkSession, root: str, name: str = "results.txt") -> DataFrame:
-    """As report_texts, from bytes: those that are no UTF-8 are dropped."""
-    df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", name).load(root)
-    return _keyed(df, F.replace(F.make_valid_utf8(F.col("content").cast("string")), F.lit("�"), F.lit("")).alias("text"))
+    """As report_texts, from bytes of <root>/<company>/<year>/<name>: those that are no UTF-8 are dropped, files that can't be read are left out. No file at all is an error."""
+    try:
+        df = spark.read.format("binaryFile").option("ignoreCorruptFiles", "true").load(f"{root.rstrip('/')}/*/*/{name}")
+    except AnalysisException as e:
+        raise FileNotFoundError(f"no {name} two levels below {root}") from e
+    # U+FFFD that stands in the file is set aside as two noncharacters while the one that marks bad bytes is dropped.
+    aside, mark = F.lit("\ufdd0\ufdd1"), F.lit("\ufffd")
+    text = F.make_valid_utf8(F.replace(F.col("content").cast("string"), mark, aside))
+    return _keyed(df, F.replace(F.replace(text, mark, F.lit("")), aside, mark).alias("text"))
 
 
 def sentences(spark: SparkSession, root: str, name: str = "splits.json") -> DataFrame:
@@ -48,14 +54,26 @@ def dictionary(spark: SparkSession, path: str) -> DataFrame:
     return keys.groupBy("key").agg(F.max("ord").alias("ord"), F.first("m").alias("m")).select("key", F.element_at("m", F.col("key")).alias("value"), "ord")
 
 
+def _records(spark: SparkSession, root: str) -> DataFrame:
+    """(company, year, path, lines) of score files; a record goes on over line ends within quotes."""
+    text = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("ignoreCorruptFiles", "true").option("pathGlobFilter", "*.csv").load(root)
+    return _keyed(text, F.regexp_extract_all(F.make_valid_utf8(F.col("content").cast("string")), F.lit(r'((?:"(?:[^"]|"")*"|[^"\r\n])+)'), F.lit(1)).alias("lines"))
+
+
+def unusable_scores(spark: SparkSession, root: str, id_column: str = "sentence_id") -> DataFrame:
+    """(company, year, path, reason) of score files that give no rows; files of no bytes are passed over by the reader."""
+    head = F.split(F.regexp_replace(F.get("lines", F.lit(0)), '"', ""), ",")
+    reason = F.when(F.size("lines") == 0, "empty").when(~F.array_contains(head, id_column), "no id column").when(F.size(head) < 2, "no score column")
+    return _records(spark, root).select("company", "year", "path", reason.alias("reason")).where("reason IS NOT NULL")
+
+
 def score_rows(spark: SparkSession, root: str, id_column: str = "sentence_id") -> DataFrame:
     """(company, year, path, sentence_id, ref_key, ord, score) from wide score files, each with a header of its own.
 
-    Lines are read as text and split by Spark's CSV parser against their own file's header, so names that have dots or commas or differ by
-    case only stay apart. Cells that are no numbers are null.
+    Records and cells are told apart by pattern, quotes included, against their own file's header, so names that have dots, commas or line ends or differ by
+    case only stay apart. Cells that are no numbers are null; files that can't be read, or lack the id column, give no rows (see unusable_scores).
     """
-    lines = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.csv").text(root, wholetext=True)
-    files = _keyed(lines, F.filter(F.split("value", "\r?\n"), lambda x: x != "").alias("lines"))
+    files = _records(spark, root)
     quoted = r'("(?:[^"]|"")*"|[^,]*)(?:,|$)'
     cells = lambda line: F.transform(F.slice(F.regexp_extract_all(line, F.lit(quoted), F.lit(1)), F.lit(1), F.regexp_count(F.regexp_replace(line, r'"(?:[^"]|"")*"', ""), F.lit(",")) + 1), lambda c: F.replace(F.regexp_replace(c, r'^"|"$', ""), F.lit('""'), F.lit('"')))
     files = files.where(F.size("lines") > 0).withColumn("head", cells(F.col("lines")[0]))
@@ -85,6 +103,14 @@ def log_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def folders(spark: SparkSession, root: str) -> DataFrame:
-    """(company, year) of all folders of two levels that hold files."""
-    df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select(path_key(F.col(PATH)).alias("k"))
-    return df.select("k.*").distinct()
+    """(company, year) of all folders of two levels, those without files too."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/*/*")
+    found = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(at) or []
+    return spark.createDataFrame([(s.getPath().getParent().getName(), s.getPath().getName()) for s in found if s.isDirectory()], "company string, year string")
+
+
+def with_year(df: DataFrame, kind: str = "tolerant", year: str = "year") -> DataFrame:
+    """df with a path's year as a number that must be one (strict), as text (string), or null where it is none (tolerant)."""
+    value = {"strict": lambda c: F.coalesce(c.try_cast("int"), F.raise_error(F.concat(F.lit("no year: "), c))), "string": lambda c: c.cast("string"), "tolerant": lambda c: c.try_cast("int")}[kind]
+    return df.withColumn(year, value(F.col(year)))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -71,13 +73,64 @@ def downloaded(jobs: DataFrame, client: BatchClient) -> DataFrame:
     return jobs.where("output_file_id IS NOT NULL").select("id", "output_file_id").mapInPandas(run, "batch_id string, value string")
 
 
-def submitted(requests: DataFrame, client: BatchClient) -> DataFrame:
-    """Submits each batch_no's request lines as a job: (batch_no, id). Run it once and keep its result: it acts on the service."""
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"batch_no": [key[0]], "id": [client.submit(pdf["request"].tolist())["id"]]})
-
-    return requests.select("batch_no", "request").groupBy("batch_no").applyInPandas(run, "batch_no long, id string")
+def submitted(spark: SparkSession, requests: str, client: BatchClient, log: str) -> list[tuple[int, str]]:
+    """Submits each batch of written requests as a job, in order: [(batch_no, id)], each also as a line of the log.
+
+    One batch at a time is on the driver, which does the calls itself, so no task that runs again submits twice; batches that the log names are left
+    out, and the service gets a key by which it can tell a call that comes again.
+    """
+    done = {int(n) for n in re.findall(r"^batch (\d+) ", read_text(spark, log), re.M)}
+    rows = spark.read.format("text").load(requests)
+    out = []
+    for n in sorted(r[0] for r in rows.select("batch_no").distinct().collect()):  # batches are some thousands of lines each
+        if n in done:
+            continue
+        lines = [r.value for r in rows.where(F.col("batch_no") == n).select("value").toLocalIterator()]
+        key = hashlib.sha256("\n".join([requests, str(n), *lines]).encode()).hexdigest()
+        job = client.submit(lines, key)["id"]
+        add_lines(spark, log, [f"batch {n} {key[:16]}", f"batch_job.id: {job}"])
+        out.append((n, job))
+    return out
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    """A small file's text; empty if there is none."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(at):
+        return ""
+    stream = fs.open(at)
+    try:
+        return jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def add_lines(spark: SparkSession, path: str, lines: list[str]) -> None:
+    """Adds lines to a small file, such as a log, which nothing ever truncates; it is written beside and renamed."""
+    write_text(spark, path, read_text(spark, path) + "".join(f"{x}\n" for x in lines))
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    jvm = spark.sparkContext._jvm
+    at, beside = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(f"{path}.new")
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    stream = fs.create(beside, True)
+    stream.write(bytearray(text.encode()))
+    stream.close()
+    fs.delete(at, False)
+    fs.rename(beside, at)
+
+
+def save_outputs(spark: SparkSession, jobs: DataFrame, client: BatchClient, folder: str) -> list[tuple[str, int]]:
+    """Writes the output of each job that has one as <id>.jsonl: [(id, lines)]. One output at a time is on the driver."""
+    out = []
+    for r in jobs.where("output_file_id IS NOT NULL").select("id", "output_file_id").orderBy("id").collect():  # a listing's jobs
+        text = client.output(r.output_file_id).decode("utf-8", "replace")
+        write_text(spark, f"{folder.rstrip('/')}/{r.id}.jsonl", text)
+        out.append((r.id, len(text.splitlines())))
+    return out
 
 
 def job_table(spark: SparkSession, client: BatchClient, limit: int = 100) -> DataFrame:

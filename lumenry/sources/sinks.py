@@ -31,7 +31,8 @@ def write_requests(requests: DataFrame, order: list[str], path: str, lines: int
     """JSON lines in files of `lines` in the order given, one folder `batch_no=k` each; returns how many there are."""
     rows = rotated(requests, order, lines)
     rows.repartition("batch_no").sortWithinPartitions("batch_no", *order).select("batch_no", F.col(value).alias("value")).write.mode("overwrite").partitionBy("batch_no").text(path)
-    return -(-requests.count() // lines)
+    last = requests.sparkSession.read.format("text").load(path).agg(F.max("batch_no")).first()[0] if rows.take(1) else None
+    return 0 if last is None else int(last) + 1
 
 
 def write_tokens(tokens: DataFrame, path: str) -> None:
@@ -42,6 +43,11 @@ def write_manifest(rows: DataFrame, path: str) -> None:
     rows.coalesce(1).write.mode("overwrite").option("sep", "\t").option("header", "true").option("emptyValue", "").csv(path)
 
 
+def write_object(rows: DataFrame, path: str) -> None:
+    """A small table as one indented JSON document; characters beyond ASCII are kept."""
+    rows.agg(F.to_json(F.collect_list(F.struct(*rows.columns)), {"pretty": "true"}).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+
+
 def write_json(rows: DataFrame, path: str) -> None:
     rows.select(F.to_json(F.struct(*rows.columns)).alias("value")).write.mode("overwrite").text(path)
 

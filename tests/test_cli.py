@@ -19,6 +19,11 @@ def test_commands(spark, tmp_path, capsys):
     cli.main(["counts", at("scores"), "--thresholds", "0.9"])
     assert "|0.9  |4     |2         |" in capsys.readouterr().out
     cli.main(["firms", at("scores"), "--zero"])
+    capsys.readouterr()
+    cli.main(["examples", at("scores"), at("texts"), "--goals", at("g.json"), "--glossary", at("ai.json")])
+    assert "sentence 1: sdg_1 = 1.000" in capsys.readouterr().out
+    cli.main(["glossary", at("ai.json"), "robots", at("kept"), "--threshold", "0.3"])
+    assert "Roboter" in capsys.readouterr().out
     cli.main(["select", at("scores"), at("texts"), at("req"), "--threshold", "0.9", "--batch-lines", "1"])
     lines = [json.loads(r.value) for r in spark.read.text(at("req")).collect()]
     assert sorted(x["custom_id"] for x in lines) == ["task||1||A||2020", "task||1||B||2021"]

@@ -126,18 +126,111 @@ class Client:
     def output(self, file_id):
         return b"one\ntwo \xff\n"
 
-    def submit(self, lines):
+    def submit(self, lines, key):
         return {"id": f"job-{len(lines)}"}
 
 
-def test_jobs(spark):
+def test_jobs(spark, tmp_path):
     listed = {r.id: r for r in jobs.job_table(spark, Client()).collect()}
     assert listed["a"].request_counts.completed == 2 and listed["b"].request_counts is None
     found = jobs.looked_up(spark.createDataFrame([("a",), ("zz",)], "id string"), Client())
     assert {r.id: r.status for r in found.collect()} == {"a": "completed", "zz": "ERROR"}
     assert [r.value for r in jobs.downloaded(found, Client()).collect()] == ["one", "two �"]
-    made = jobs.submitted(spark.createDataFrame([(0, "x"), (0, "y"), (1, "z")], "batch_no long, request string"), Client())
-    assert sorted(tuple(r) for r in made.collect()) == [(0, "job-2"), (1, "job-1")]
+    at = lambda x: str(tmp_path / x)
+    rows = spark.createDataFrame([("c", 2020, k, f"é{k}") for k in range(3)], "company string, year int, sentence_id int, request string")
+    sinks.write_requests(rows, ["company", "year", "sentence_id"], at("r"), 2)
+    (tmp_path / "log").write_text("earlier line\n")
+    assert jobs.submitted(spark, at("r"), Client(), at("log")) == [(0, "job-2"), (1, "job-1")]
+    assert jobs.submitted(spark, at("r"), Client(), at("log")) == []  # the log has them
+    assert (tmp_path / "log").read_text().startswith("earlier line\nbatch 0 ") and (tmp_path / "log").read_text().count("batch_job.id: job-") == 2
+    assert jobs.save_outputs(spark, found, Client(), at("out")) == [("a", 2)] and (tmp_path / "out" / "a.jsonl").read_text() == "one\ntwo \ufffd\n"
+
+
+def test_remote_commands(spark, tmp_path, capsys):
+    from lumenry import cli
+
+    (tmp_path / "log").write_text("batch_job.id: a\nbatch_job.id: nope\n")
+    at = lambda x: str(tmp_path / x)
+    cli.main(["status", "--log", at("log"), "--client", "tests.test_files:Client"])
+    out = capsys.readouterr().out
+    assert "ERROR" in out and "OVERALL" in out
+    cli.main(["status", "--client", "tests.test_files:Client"])
+    assert "in_progress" in capsys.readouterr().out
+    cli.main(["poll", at("log"), at("out"), "--client", "tests.test_files:Client"])
+    assert (tmp_path / "out" / "a.jsonl").exists()
+    rows = spark.createDataFrame([("c", 2020, 1, "x")], "company string, year int, sentence_id int, request string")
+    sinks.write_requests(rows, ["sentence_id"], at("r"))
+    cli.main(["submit", at("r"), at("log"), "--client", "tests.test_files:Client"])
+    assert "job-1" in (tmp_path / "log").read_text()
+
+
+def test_odd_files(spark, tmp_path):
+    """Records over line ends, files that give nothing, folders without files, U+FFFD that stands in a file, years that are none."""
+    for name, text in (("a", 'sentence_id,"two\nlines"\n1,0.5\n'), ("b", "x,y\n1,2\n"), ("c", "\n"), ("d", "sentence_id\n1\n")):
+        p = tmp_path / "csv" / name / "2020" / "similarity_scores.csv"
+        p.parent.mkdir(parents=True)
+        p.write_text(text)
+    assert [(r.company, r.ref_key, r.score) for r in files.score_rows(spark, str(tmp_path / "csv")).collect()] == [("a", "two\nlines", 0.5)]
+    assert {(r.company, r.reason) for r in files.unusable_scores(spark, str(tmp_path / "csv")).collect()} == {("b", "no id column"), ("c", "empty"), ("d", "no score column")}
+    (tmp_path / "csv" / "e" / "xx").mkdir(parents=True)
+    found = files.folders(spark, str(tmp_path / "csv"))
+    assert ("e", "xx") in {tuple(r) for r in found.collect()} and found.count() == 5
+    assert {r.year for r in files.with_year(found).collect()} == {2020, None} and {r.year for r in files.with_year(found, "string").collect()} == {"2020", "xx"}
+    with pytest.raises(Exception, match="no year: xx"):
+        files.with_year(found, "strict").collect()
+    p = tmp_path / "texts" / "f" / "2020" / "results.txt"
+    p.parent.mkdir(parents=True)
+    p.write_bytes("a\ufffdb".encode() + b"\xff.")
+    assert files.lenient_texts(spark, str(tmp_path / "texts")).first().text == "a\ufffdb."
+    with pytest.raises(FileNotFoundError):
+        files.lenient_texts(spark, str(tmp_path / "texts" / "f"))
+
+
+def test_models_behind_protocols(spark, monkeypatch):
+    import tiktoken
+
+    df = spark.createDataFrame([("ok",), ("bad",), (None,)], "t string")
+
+    def make():
+        def ask(text, most):
+            if text == "bad":
+                raise RuntimeError
+            return f"[{len(text)}, True] {most}"
+
+        return ask
+
+    assert [r.a for r in df.select(providers.classified(F.col("t"), make).alias("a")).collect()] == ["[2, True] 50", None, None]
+    assert providers.device(lambda kind: kind == "mps") == "mps" and providers.device() == "cpu"
+    known = {"o": "by encoding", "m": "by model", providers.DEFAULT_ENCODING: "default"}
+    used = []
+
+    class Encoding:
+        def __init__(self, name):
+            self.name = name
+
+        def encode(self, text, disallowed_special):
+            used.append(known[self.name])
+            return text.split()
+
+    def find(names, error):
+        def get(name):
+            if name not in names:
+                raise error(name)
+            return Encoding(name)
+
+        return get
+
+    monkeypatch.setattr(tiktoken, "get_encoding", find({"o", providers.DEFAULT_ENCODING}, ValueError))
+    monkeypatch.setattr(tiktoken, "encoding_for_model", find({"m"}, KeyError))
+    assert [providers.named_counter(x)()("a b") for x in ("o", "m", "zz")] == [2, 2, 2] and used == ["by encoding", "by model", "default"]
+
+
+def test_skipped_units_and_objects(spark, tmp_path):
+    one = lambda *ks: spark.createDataFrame([(k,) for k in ks], "k string")
+    assert {tuple(r) for r in stages.skipped(one("a", "b", "c"), one("a", "b"), one("a"), ["k"]).collect()} == {("b", "no scores"), ("c", "no sentences")}
+    sinks.write_object(one("é", "x"), str(tmp_path / "o"))
+    text = next((tmp_path / "o").glob("part-*")).read_text()
+    assert json.loads(text) == [{"k": "é"}, {"k": "x"}] and text.count("\n") > 4 and "é" in text
 
 
 def test_sinks(spark, tmp_path):

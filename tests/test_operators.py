@@ -116,6 +116,9 @@ def test_store(spark):
     store.replace(store.updated(spark.table("t_results"), updates), "t_results")
     got = {r.custom_id: (r.raw, r.sdgs, r.is_ai) for r in spark.table("t_results").collect()}
     assert len(got) == 4 and got["1"] == ("n", None, None) and got["4"] == ("r", [2, 2], False)
+    with pytest.raises(Exception, match="DIVIDE_BY_ZERO"):  # a write that fails leaves the table as it is
+        store.replace(spark.table("t_results").withColumn("raw", (F.lit(1) / F.lit(0)).cast("string")), "t_results")
+    assert spark.table("t_results").count() == 4
     store.compact(spark, "t_results")
     assert spark.table("t_results").count() == 4 and len(spark.table("t_results").inputFiles()) == 1
     spark.sql("DROP TABLE t_results")
