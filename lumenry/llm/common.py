@@ -70,6 +70,15 @@ def meet(rows: DataFrame, facts: DataFrame, key: str, total: int, most: int = MO
     return rows.join(sent, key).unionByName(light)
 
 
+#: Ids that may be broadcast (8 bytes each); with more, rows are joined by shuffle.
+MANY_IDS = 4_000_000
+
+
+def ids_sent(ids: DataFrame) -> DataFrame:
+    """A settled table of ids, sent to the rows it is joined with if it has no more than MANY_IDS."""
+    return F.broadcast(ids) if ids.count() <= MANY_IDS else ids
+
+
 def numbered(df: DataFrame, name: str, *order: Column) -> DataFrame:
     """df with the place of each row, from 0, in the order: rows are sorted by ranges, and only a count of each range is looked at together."""
     dealt = settle(df.repartitionByRange(*order).withColumn("_o_part", F.spark_partition_id()))

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from lumenry.llm.common import settle, text_of, with_workers
+from lumenry.llm.common import ids_sent, settle, text_of, with_workers
 
 U = np.uint64
 BEGIN, END = 0, 1
@@ -47,8 +47,6 @@ LEAST_TOKENS, SHARD_TOKENS, MOST_TOKENS, BLOCK_DOCS = 1 << 21, 1 << 12, 1 << 22,
 #: Log probabilities of bytes are whole parts of one.
 FINE = 1000
 HELD_OUT, QUANTILE, COARSE = 5, 0.995, 256
-#: Trusted ids that may be broadcast (8 bytes each); with more, documents are joined by shuffle.
-MANY_IDS = 4_000_000
 
 
 # --- packing -------------------------------------------------------------------------------------
@@ -479,8 +477,7 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, sha
     own = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), text_of().alias("text"))
     ids = settle(labels.where("quality = 1 and coalesce(toxic, 0) = 0 and doc_id is not null").select("doc_id").distinct())
     is_held = F.pmod(F.xxhash64("doc_id"), F.lit(HELD_OUT)) == 0
-    training = ids.where(~is_held)
-    training = F.broadcast(training) if training.count() <= MANY_IDS else training
+    training = ids_sent(ids.where(~is_held))
     counted = count_pairs(own.join(training, "doc_id", "left_semi"), shards, bits, tokens)
     words = count_words(counted, shards)
     scored = score(own, counted, words, fit(counted, words), shards, bits, tokens)

@@ -21,15 +21,13 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenry.llm.common import SPACE, WORD, settle, text_of
+from lumenry.llm.common import SPACE, WORD, ids_sent, settle, text_of
 
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 #: What the learned thresholds compare; each is null-free.
 FIGURES = ("symbol_rate", "dup_line_rate", "repeat_rate", "mean_length", "capital_rate", "sentence_rate", "line_words")
 #: Bins to one unit of a figure, and the value from which all share the last bin.
 GRID, TOP = 1000, 64
-#: Labelled ids that may be broadcast (8 bytes each); with more, documents are joined by shuffle.
-MANY_IDS = 4_000_000
 
 
 def measured(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -207,7 +205,7 @@ def fit(measures: DataFrame, labels: DataFrame, **how) -> list[Rule]:
 def labelled_only(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that have a label; what a list is learned from needs no others."""
     ids = settle(labels.where("quality is not null and doc_id is not null").select("doc_id").distinct())
-    return docs.join(F.broadcast(ids) if ids.count() <= MANY_IDS else ids, "doc_id", "left_semi")
+    return docs.join(ids_sent(ids), "doc_id", "left_semi")
 
 
 def judge(measures: DataFrame, rules: list[Rule]) -> DataFrame:

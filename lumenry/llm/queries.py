@@ -71,6 +71,17 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kneser_ney.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def quality_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op7's base rule and rules look at, without a verdict."""
+    df = quality_rules.figures(quality_rules.measured(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    return df.select("doc_id", *quality_rules.BASE, quality_rules.base_failed().alias("base_failed"), "symbol_rate", "line_words")
+
+
+def mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op2 aims at, by source."""
+    return mixing.targets(mixing.sized(table(spark, sf_dir, "documents"))).select("source", "source_size", F.round("target", 6).alias("target"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "pipeline": corpus_pipeline.run,
@@ -84,6 +95,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_merkle_fingerprints": op8_merkle_fingerprints,
         "op9_secret_scan": op9_secret_scan,
         "op10_quality_classifier": op10_quality_classifier,
+        "quality_figures": quality_figures,
+        "mix_targets": mix_targets,
     }
 
 
@@ -107,6 +120,27 @@ SECRETS_SQL = f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(
         coalesce(n_live, 0) AS n_live, coalesce(n_common, 0) AS n_common FROM d LEFT JOIN a USING (r)"""
 
 
+FIGURES_SQL = r"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+    w AS (SELECT r, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM (SELECT r, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws FROM d)),
+    g AS (SELECT r, i, w || ' ' || lead(w, 1) OVER p || ' ' || lead(w, 2) OVER p AS k FROM w WINDOW p AS (PARTITION BY r ORDER BY i)),
+    m AS (SELECT r, i, count(*) OVER (PARTITION BY r, k) AS c FROM g WHERE k IS NOT NULL),
+    c AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest([i, i + 1, i + 2]) AS p FROM m WHERE c > 1) GROUP BY r),
+    n AS (SELECT r, count(*) AS n FROM w GROUP BY r),
+    x AS (SELECT r, count(*) AS lines, count(*) - count(DISTINCT l) AS n FROM (SELECT r, unnest(string_split(t, chr(10))) AS l FROM d) WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY r),
+    f AS (SELECT doc_id, coalesce(n.n, 0) AS n_words, CAST(length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS BIGINT) AS word_chars, CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+        coalesce(x.n, 0) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words, coalesce(x.lines, 0) AS lines FROM d LEFT JOIN n USING (r) LEFT JOIN x USING (r) LEFT JOIN c USING (r))
+    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+        round(coalesce(n_symbols / nullif(n_words, 0), 0.0), 6) AS symbol_rate, round(coalesce(n_words / nullif(lines, 0), 0.0), 6) AS line_words FROM f"""
+
+TARGETS_SQL = r"""WITH z AS (SELECT source, CAST(sum(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))) AS BIGINT) AS source_size FROM documents GROUP BY 1),
+    q AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS rank FROM z),
+    u AS (SELECT *, CASE rank % 3 WHEN 0 THEN 3.0::DOUBLE WHEN 1 THEN 1.0 ELSE 2.0 END AS w, 2.0::DOUBLE * source_size AS lim FROM q),
+    v AS (SELECT *, 1.5::DOUBLE * sum(source_size) OVER () AS total, coalesce(sum(lim) OVER (ORDER BY lim / w, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS given,
+        sum(w) OVER (ORDER BY lim / w, rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open_w FROM u),
+    l AS (SELECT (total - given) / open_w AS level FROM v WHERE lim / w >= (total - given) / open_w ORDER BY lim / w, rank LIMIT 1)
+    SELECT source, source_size, round(least(lim, level * w), 6) AS target FROM u, l"""
+
+
 def oracle_sql() -> dict[str, str]:
-    """SQL for the operators whose method SQL has; the tests hold the others against brute force."""
-    return {"op9_secret_scan": SECRETS_SQL}
+    """SQL for the operators whose method SQL has, and for parts of others; the tests hold the others against brute force."""
+    return {"op9_secret_scan": SECRETS_SQL, "quality_figures": FIGURES_SQL, "mix_targets": TARGETS_SQL}

@@ -515,8 +515,27 @@ def test_pipeline(spark, edge_dir):
     mixed = p.mixture(spark, clean, edge_dir)
     assert mixed.columns == docs.columns
     times = Counter((r.doc_id, r.text) for r in mixed.collect())
+    from lumenry.llm import mixing
+
+    copies = Counter()
+    for r in mixing.mix(clean).collect():
+        copies[r.doc_id, r.size] += r.copies
+    assert +Counter({k: sum(v for (i, t), v in times.items() if (i, len(words(t))) == k) for k in copies}) == +copies
     assert all(v <= 2 * sum((r.doc_id, r.text) == k for r in clean.collect()) for k, v in times.items())
-    assert set(p.tokens(spark, mixed, edge_dir).columns) == {"doc_id", "n_tokens", "ids_sha256", "decoded_sha256"}
+    import tiktoken
+
+    from lumenry.llm import bpe
+
+    path, pattern = bpe.vocabulary()
+    enc = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=bpe.codec(path, pattern).ranks, special_tokens={})
+    coded = Counter()
+    for (i, t), v in times.items():
+        ids = enc.encode_ordinary(t or "")
+        coded[i, len(ids), sha(b"".join(x.to_bytes(4, "little") for x in ids)), sha(t or "")] += v
+    tokens = p.tokens(spark, mixed, edge_dir)
+    assert tokens.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and Counter(map(tuple, tokens.collect())) == coded
+    nulls = spark.createDataFrame([(None, "same text of five words here"), (None, "same text of five words here"), (5, "same text of five words here"), (3, "same text of five words here")], "doc_id long, text string")
+    assert sorted((r.doc_id for r in p.dedup(spark, nulls, edge_dir).collect()), key=str) == [3, None, None]  # rows without doc_id stay
     assert p.run(spark, edge_dir).count() > 0
 
 
