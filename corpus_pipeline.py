@@ -7,13 +7,11 @@ operators define; a stage never fails on extra columns, which it carries on.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenry.llm import bpe, mixing, quality_rules, secret_scan, simhash
-from lumenry.llm.common import shared_folder, table
+from lumenry.llm.common import ids_sent, settle, table
 
 #: SQL has no learned rules, SimHash classes or byte-pair merges; tests compare with brute force instead.
 ORACLE_SQL = None
@@ -37,10 +35,10 @@ def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Rows without doc_id stay.
     """
-    found = simhash.near_duplicates(docs, width=5, similarity=0.8)
-    gone = found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
+    found = settle(simhash.near_duplicates(docs, width=5, similarity=0.8).select("doc_id", "component_id"), narrow=True)
+    gone = settle(found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct())
     twice = found.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 and doc_id is not null").select("doc_id")
-    left = docs.join(gone, "doc_id", "left_anti")
+    left = docs.join(ids_sent(gone), "doc_id", "left_anti")
     if twice.isEmpty():
         return left
     return left.join(twice, "doc_id", "left_anti").unionByName(left.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
@@ -72,12 +70,8 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each result but the last is written to the shared folder and read again."""
+    """All stages over documents; each result but the last is written to the shared folder and read again; the files go when the session ends."""
     docs = table(spark, sf_dir, "documents")
-    folder = f"{shared_folder(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
-    for k, (_, stage) in enumerate(STAGES):
-        out = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            out.write.parquet(f"{folder}/{k}")
-            docs = spark.read.parquet(f"{folder}/{k}")
-    return out
+    for _, stage in STAGES[:-1]:
+        docs = settle(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
