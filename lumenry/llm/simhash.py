@@ -110,7 +110,7 @@ class GrayIndex:
         sizes = np.diff(np.r_[np.flatnonzero(np.r_[True, self.group[1:] != self.group[:-1]]), len(self.group)])
         self.root_of, self.group_size = np.repeat(np.arange(len(starts)), sizes), np.repeat(sizes, sizes)
 
-    def near(self, limit: int | np.ndarray, at_once: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def near(self, limit: int | np.ndarray, at_once: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Pairs of places (i < j) in the index whose fingerprints differ in at most `limit` bits (of i, where given by place), within their group.
 
         Searches go down together for as many fingerprints as can meet `at_once` others, or one.

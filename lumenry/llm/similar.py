@@ -44,9 +44,9 @@ PART = 1 << 14
 #: Sets and shingles of a component that are dealt together.
 PART_SETS, PART_SHINGLES = 1 << 10, 1 << 20
 #: Rows and bytes of a block of groups, after which it ends with its group.
-BLOCK_ROWS, BLOCK_BYTES = 1 << 16, 1 << 25
+BLOCK_ROWS, BLOCK_BYTES = 1 << 15, 1 << 23
 #: Sets that a task remembers to leave out their copies; copies beyond meet in their group.
-REMEMBERED = 1 << 18
+REMEMBERED = 1 << 16
 #: Texts that are sent to their pairs, at most; each has over one in SENT of all pairs.
 SENT = 200
 
@@ -72,6 +72,12 @@ def longer(own: np.ndarray) -> bytes:
     return np.array(out, "<u8").tobytes()
 
 
+def _pieces(batches: Iterator[pa.RecordBatch], rows: int = 1 << 10) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 class Measure:
     """The least similarity as a fraction, and what it implies."""
 
@@ -109,7 +115,7 @@ def _named(docs: DataFrame, text: str, width: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch, seen, kind = np.zeros(CELLS, np.int32), {}, None
-        for b in batches:
+        for b in _pieces(batches):
             kind, found, prints, further = b.column(0).type, [], [], []
             for x in b.column(1):
                 own = shingles(x.as_py(), width)
@@ -145,7 +151,7 @@ def _dealt(docs: DataFrame, text: str, width: int, crowd: np.ndarray, measure: M
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         crowd, seen = sent.value, set()
-        for b in batches:
+        for b in _pieces(batches):
             rows = []
             for x in b.column(0):
                 own = shingles(x.as_py(), width)

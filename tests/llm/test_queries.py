@@ -592,7 +592,8 @@ def test_long_chain_is_one_component(spark):
     from lumenry.llm.components import components
 
     edges = spark.range(400).selectExpr("id AS u", "id + 1 AS v").union(spark.range(300).selectExpr("1000L AS u", "2000 + id AS v"))
-    got = {r.node: r.root for r in components(edges).collect()}
+    got = {r.node: r.root for r in components(edges, few=0).collect()}
+    assert got == {r.node: r.root for r in components(edges).collect()}
     assert all(got[k] == 0 for k in range(401)) and all(got[2000 + k] == 1000 for k in range(300)) and len(got) == 702
 
 
