@@ -9,7 +9,9 @@ totals and 65,536 byte pairs. Blocks grow with the number of shards, so that wha
 input partition and number there, so a task that runs again gives the same; documents must come from files or a written table, whose
 rows keep their order. Neither shards nor blocks show in the results.
 
-Pairs are compared by as many bits of a hash as the size of documents has, and PAIR_BITS more, at most 64: an unseen pair is taken for a seen one less than once in 10,000 times.
+Pairs are compared by as many bits of a hash as a sixteenth of the documents' size has, and PAIR_BITS more, at most 64: an unseen pair is taken for a seen one
+about once in 8,000 times. Where the trusted words are no more than MANY_WORDS, a bitmap of their hashes goes to all tasks, and nothing is asked
+about words that it lacks, nor about their pairs; the answers would be 0.
 
 Trusted documents are those labelled good (quality 1, toxic 0). One in HELD_OUT of them, by hash of doc_id, only sets
 thresholds: each language's quantile of their perplexities, from exact counts by thousandths of its logarithm; a
@@ -22,9 +24,10 @@ alike; an empty table gives an empty result. Extra columns are ignored.
 from __future__ import annotations
 
 import math
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -41,11 +44,13 @@ from lumenry.llm.common import ids_sent, settle, text_of, with_workers
 U = np.uint64
 BEGIN, END = 0, 1
 #: Bits of a pair's hash beyond those of the documents' size.
-PAIR_BITS = 10
+PAIR_BITS = 12
 #: Tokens of a block: at least, for each shard, and at most; and its documents at most.
 LEAST_TOKENS, SHARD_TOKENS, MOST_TOKENS, BLOCK_DOCS = 1 << 21, 1 << 12, 1 << 22, 1 << 16
 #: Log probabilities of bytes are whole parts of one.
 FINE = 1000
+#: Trusted words that a bitmap may be made of, and its bits for each (32 MB at most).
+MANY_WORDS, BITS_A_WORD = 1 << 23, 16
 HELD_OUT, QUANTILE, COARSE = 5, 0.995, 256
 
 
@@ -140,6 +145,14 @@ class Model:
     types: int
     rest: float
     letters: np.ndarray
+    bitmap: np.ndarray | None = None
+
+    def known(self, ids: np.ndarray) -> np.ndarray:
+        """Whether words may occur in trusted text."""
+        if self.bitmap is None:
+            return np.ones(len(ids), bool)
+        at = ids.astype(U) * U(8 * len(self.bitmap)) >> U(32)
+        return self.bitmap[at >> U(3)] >> (at & U(7)).astype(np.uint8) & 1 > 0
 
     def spelled(self, words: list[bytes]) -> np.ndarray:
         """The log probability of each word by its bytes."""
@@ -166,33 +179,28 @@ class Model:
 # --- documents to blocks -------------------------------------------------------------------------
 
 
-@lru_cache(1 << 18)
-def word_id(word: bytes) -> int:
-    return max(xxhash.xxh32_intdigest(word), END + 1)
-
-
 class Block:
-    """Documents until so many tokens. Their words are places in the block's list of words, frequent ones first; 0 and 1 begin and end a document."""
+    """Documents until so many tokens. Their words are places in the block's list of words, in the order in which they first come; 0 and 1 begin and end a document."""
 
     def __init__(self) -> None:
         self.rows: list[tuple] = []
-        self.places: dict[bytes, int] = {b" ": BEGIN, b"": END}
+        self.places: dict[bytes, int] = defaultdict(count(END + 1).__next__)
         self.docs: list[np.ndarray] = []
         self.tokens = 0
 
     def add(self, row: tuple, text: str) -> None:
         words = text.encode("utf-8", "replace").split()
-        place = self.places.setdefault
-        self.docs.append(np.fromiter((place(w, len(self.places)) for w in words), np.uint32, len(words)))
+        self.docs.append(np.fromiter(map(self.places.__getitem__, words), np.uint32, len(words)))
         self.rows.append((*row, len(words)))
         self.tokens += len(words) + 1
 
     def words(self) -> list[bytes]:
-        return list(self.places)[2:]
+        return list(self.places)
 
     def ids(self) -> np.ndarray:
         """The id of each place."""
-        return np.fromiter((BEGIN, END, *map(word_id, self.words())), np.uint32, len(self.places))
+        hashed = np.fromiter(map(xxhash.xxh32_intdigest, self.places), np.uint32, len(self.places))
+        return np.r_[np.array([BEGIN, END], np.uint32), np.maximum(hashed, np.uint32(END + 1))]
 
     def sequence(self) -> np.ndarray:
         """Places of all documents: each begins with 0, and its end is told by the next 0."""
@@ -201,10 +209,8 @@ class Block:
 
 def shortened(sequence: np.ndarray) -> np.ndarray:
     """A block's sequence with 1 in place of each word's first place, which is the next number."""
-    out = sequence.copy()
-    out[np.sort(np.unique(sequence, return_index=True)[1])] = END
-    out[sequence == BEGIN] = BEGIN
-    return out
+    upto = np.maximum.accumulate(np.maximum(sequence, np.uint32(END)))
+    return np.where(sequence > np.r_[np.uint32(END), upto[:-1]], np.uint32(END), sequence)
 
 
 def restored(short: np.ndarray) -> np.ndarray:
@@ -306,7 +312,7 @@ def count_pairs(trusted: DataFrame, shards: int, bits: int, tokens: int) -> Data
         letters = np.zeros(1 << 16, np.int64)
         for block in _blocks(batches, tokens):
             sequence, words = block.sequence(), block.words()
-            times = np.bincount(sequence, minlength=len(block.places))[2:]
+            times = np.bincount(sequence, minlength=len(block.places) + 2)[2:]
             raw = np.frombuffer(b" " + b" ".join(words) + b" ", np.uint8).astype(np.int64)
             if words:
                 letters += np.bincount(raw[:-1] * 256 + raw[1:], np.repeat(times, [len(w) + 1 for w in words]), 1 << 16).astype(np.int64)
@@ -340,7 +346,7 @@ def count_words(counted: DataFrame, shards: int) -> DataFrame:
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard, what, words in _merging(batches):
-            yield _rows([(shard, what, _pack(*words), [*_classes(words[5]), int(words[5].sum()), int((words[5] > 2).sum())])])
+            yield _rows([(shard, what, _pack(*words), [*_classes(words[5]), int(words[5].sum()), int((words[5] > 2).sum()), len(words[0])])])
 
     return settle(dealt(counted.where(F.col("what") == WORDS), shards).mapInArrow(merge, _PACKED))
 
@@ -349,14 +355,27 @@ def fit(counted: DataFrame, words: DataFrame) -> Model:
     """The totals of all shards; a row for each shard has byte pairs, 65,536 at most in all."""
     sums = lambda df, n: [df.agg(*[F.sum(F.get("types", F.lit(k))) for k in range(n)]).first()[k] or 0 for k in range(n)]
     of_pairs = sums(counted.where(F.col("what") == PAIRS), 4)
-    *of_words, types, more = sums(words, 6)
+    *of_words, types, more, n_words = sums(words, 7)
     letters = np.zeros(1 << 16, np.int64)
     for r in counted.where(F.col("what") == LETTERS).select("payload").toLocalIterator():
         at, c = _unpack(r["payload"])
         letters[at.astype(np.int64)] += c.astype(np.int64)
     e = discounts(of_words)
     rest = float(e[1] * of_words[0] + e[2] * of_words[1] + e[3] * more) / types if types else 1.0
-    return Model(discounts(of_pairs), e, types, rest, spelling(letters))
+    return Model(discounts(of_pairs), e, types, rest, spelling(letters), _bitmap(words, n_words) if n_words <= MANY_WORDS else None)
+
+
+def _bitmap(words: DataFrame, n_words: int) -> np.ndarray:
+    """Bits of the words' hashes; a row of bounded size for each shard comes to the driver."""
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([_pack(_unpack(x.as_py())[0]) for x in b.column(0)], pa.binary())], ["ids"])
+
+    bits = np.zeros(1 << max(6, (BITS_A_WORD * n_words).bit_length()), bool)
+    for r in words.select("payload").mapInArrow(keys, "ids binary").toLocalIterator():
+        bits[_unpack(r["ids"])[0] * U(len(bits)) >> U(32)] = True
+    return np.packbits(bits, bitorder="little")
 
 
 # --- scoring -------------------------------------------------------------------------------------
@@ -375,9 +394,11 @@ def score(docs: DataFrame, counted: DataFrame, words: DataFrame, model: Model, s
     def batch(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([r[k] if k < len(r) else None for r in rows], t) for k, t in enumerate(types)], schema.names)
 
-    def asked(sequence: np.ndarray, ids: np.ndarray) -> tuple[list, list]:
-        """(values, place of each in its list, bits) of pairs and of words, in the order in which shards answer."""
-        return np.unique(pair_key(pairs_of(sequence, ids), bits), return_inverse=True), np.unique(ids, return_inverse=True)
+    def asked(sequence: np.ndarray, ids: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, tuple, tuple]:
+        """Positions whose pair is asked about; (values, place of each position in them) of these pairs, and of the known words, in the order in which shards answer."""
+        second = np.r_[sequence[1:], np.uint32(BEGIN)]
+        at = np.flatnonzero(known[sequence] & known[np.where(second == BEGIN, np.uint32(END), second)])
+        return at, np.unique(pair_key(pairs_of(sequence, ids)[at], bits), return_inverse=True), np.unique(ids[known], return_inverse=True)
 
     def named(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, Block]]:
         of = TaskContext.get().partitionId()  # documents are the first part of the unions below
@@ -388,12 +409,15 @@ def score(docs: DataFrame, counted: DataFrame, words: DataFrame, model: Model, s
         model = sent.value
         for name, home, block in named(batches):
             spelled = np.r_[0.0, model.letters[32, 32], model.spelled(block.words())]  # the end is the word without letters
-            words = _pack(block.ids(), np.round(-FINE * spelled).astype(np.int64), rising=False)
+            known = model.known(ids := block.ids())
+            first = _pack(2 * np.round(-FINE * spelled).astype(np.int64) + known, rising=False)
+            words = len(first).to_bytes(8, "little") + first + _pack(ids[known], rising=False)
             yield batch([(home, HEADER, name, home, _pack(shortened(block.sequence()), rising=False), words, *(list(c) for c in zip(*block.rows, strict=True)))])
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for name, home, block in named(batches):
-            (pairs, _), (own, _) = asked(block.sequence(), block.ids())
+            ids = block.ids()
+            _, (pairs, _), (own, _) = asked(block.sequence(), ids, sent.value.known(ids))
             p, w = _cuts(pairs, bits, shards), _cuts(own.astype(U), 32, shards)
             yield batch([(s, ASKED, name, home, _pack(pairs[p[s] : p[s + 1]]), _pack(own[w[s] : w[s + 1]])) for s in range(shards) if p[s + 1] > p[s] or w[s + 1] > w[s]])
 
@@ -417,11 +441,17 @@ def score(docs: DataFrame, counted: DataFrame, words: DataFrame, model: Model, s
 
         def done() -> pa.RecordBatch:
             sequence = restored(_unpack(head[4], rising=False)[0])
-            ids, spelled = _unpack(head[5], rising=False)
-            spelled = spelled.astype(np.float64) / -FINE
-            (_, of_pair), (_, of_word) = asked(sequence, ids)
-            count = np.concatenate([_unpack(p, rising=False)[0] for p, _ in answers])[of_pair]
-            total, once, twice, more, before = (np.concatenate(c)[of_word] for c in zip(*(_unpack(w, rising=False) for _, w in answers), strict=True))
+            cut = 8 + int.from_bytes(head[5][:8], "little")
+            spelled = _unpack(head[5][8:cut], rising=False)[0]
+            known, spelled = spelled % U(2) > 0, (spelled // U(2)).astype(np.float64) / -FINE
+            ids = np.zeros(len(known), np.uint32)
+            ids[known] = _unpack(head[5][cut:], rising=False)[0]
+            at, (_, of_pair), (_, of_word) = asked(sequence, ids, known)
+            count, stats = np.zeros(len(sequence), U), np.zeros((5, len(ids)), U)
+            if answers:
+                count[at] = np.concatenate([_unpack(p, rising=False)[0] for p, _ in answers])[of_pair]
+                stats[:, known] = [np.concatenate(c)[of_word] for c in zip(*(_unpack(w, rising=False) for _, w in answers), strict=True)]
+            total, once, twice, more, before = stats
             lower, backoff = model.lower(before, spelled), model.backoff(total, once, twice, more)
             second = np.r_[sequence[1:], BEGIN]
             second[second == BEGIN] = END
@@ -473,7 +503,7 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, sha
     with_workers(spark)
     shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
     tokens = tokens or min(MOST_TOKENS, max(LEAST_TOKENS, shards * SHARD_TOKENS))
-    bits = min(64, PAIR_BITS + max(16, math.ceil(math.log2(1 + int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())))))
+    bits = min(64, PAIR_BITS + max(16, math.ceil(math.log2(1 + int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))) - 4))
     own = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), text_of().alias("text"))
     ids = settle(labels.where("quality = 1 and coalesce(toxic, 0) = 0 and doc_id is not null").select("doc_id").distinct())
     is_held = F.pmod(F.xxhash64("doc_id"), F.lit(HELD_OUT)) == 0
