@@ -415,8 +415,8 @@ def test_op9_ownership_and_masks(spark):
     assert ("x <secret> y <secret>" in {t for i, t, _ in out if i == 9}) and (0, f"see {key} é", 0) in out and (10, None, None) in out and len(out) == 6
 
 
-def test_op10_model(spark):
-    """Perplexities against a direct count of the same model; shards and blocks don't show."""
+def test_op10_model(spark, monkeypatch):
+    """Perplexities against a direct count of the same model; shards, blocks and the bitmap of words don't show."""
     import math
 
     import numpy as np
@@ -430,6 +430,8 @@ def test_op10_model(spark):
     got = {r.doc_id: r for r in kn.classify(docs, labels, shards=3).collect()}
     for how in ({"shards": 7}, {"shards": 1, "tokens": 200}):
         assert {r.doc_id: r for r in kn.classify(docs, labels, **how).collect()} == got
+    monkeypatch.setattr(kn, "MANY_WORDS", 0)
+    assert {r.doc_id: r for r in kn.classify(docs, labels, shards=3).collect()} == got
     held = {r.doc_id for r in labels.selectExpr("doc_id", f"pmod(xxhash64(doc_id), {kn.HELD_OUT}) = 0 AS h").collect() if r.h}
     train = [texts[k].split() for k in range(60) if k not in held]
     pairs = Counter(p for t in train for p in zip(["<", *t], [*t, ">"], strict=True))
@@ -574,9 +576,20 @@ def test_op5_suffixes():
 
 
 @pytest.mark.parametrize("name", ["op2_mixing", "op3_sharding", "op7_quality_rules", "op8_merkle_fingerprints", "op9_secret_scan"])
-def test_native_plans_hold_no_python(spark, edge_dir, name):
-    plan = q.queries()[name](spark, edge_dir)._jdf.queryExecution().executedPlan().toString()
-    assert not re.search("Python|Arrow|Pandas|CartesianProduct|BroadcastNestedLoop", plan)
+def test_native_plans_hold_no_python(spark, edge_dir, name, monkeypatch):
+    """The last plan, and those of all tables settled on the way."""
+    from lumenry.llm import common, merkle, mixing, quality_rules, secret_scan, sharding
+
+    plans, settle = [], common.settle
+
+    def seen(df, **how):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return settle(df, **how)
+
+    for module in (common, merkle, mixing, quality_rules, secret_scan, sharding):
+        monkeypatch.setattr(module, "settle", seen)
+    plans.append(q.queries()[name](spark, edge_dir)._jdf.queryExecution().executedPlan().toString())
+    assert len(plans) > 1 and not any(re.search("Python|Arrow|Pandas|CartesianProduct|BroadcastNestedLoop", p) for p in plans)
 
 
 def test_heavy_keys_meet_without_loss(spark):
