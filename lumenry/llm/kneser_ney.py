@@ -5,7 +5,7 @@ before a word, and under these a byte model of the same kind that spells words,
 are ranges of hashed pairs and of words. A task turns a block of documents into its distinct pairs and words, sorted, and asks each shard for
 its part of them; the shard's task holds the counts of its range and answers in their order; answers meet with the block's words,
 which travel as places in its own word list. What is held at once is a block, an answer, and one shard's counts; what comes to the driver are
-totals and 65,536 byte pairs. Blocks grow with the number of shards, so that what a block asks of a shard doesn't shrink. A block is named by its
+totals, 65,536 byte pairs and a bitmap of words. A block is named by its
 input partition and number there, so a task that runs again gives the same; documents must come from files or a written table, whose
 rows keep their order. Neither shards nor blocks show in the results.
 
@@ -45,10 +45,10 @@ U = np.uint64
 BEGIN, END = 0, 1
 #: Bits of a pair's hash beyond those of the documents' size.
 PAIR_BITS = 12
-#: Tokens of a block: at least, for each shard, and at most; and its documents at most.
-LEAST_TOKENS, SHARD_TOKENS, MOST_TOKENS, BLOCK_DOCS = 1 << 21, 1 << 12, 1 << 22, 1 << 16
+#: Tokens and documents of a block, at most but for its last document.
+BLOCK_TOKENS, BLOCK_DOCS = 1 << 22, 1 << 17
 #: Log probabilities of bytes are whole parts of one.
-FINE = 1000
+FINE = 250
 #: Trusted words that a bitmap may be made of, and its bits for each (32 MB at most).
 MANY_WORDS, BITS_A_WORD = 1 << 23, 16
 HELD_OUT, QUANTILE, COARSE = 5, 0.995, 256
@@ -64,7 +64,7 @@ def _pack(*columns: np.ndarray, rising: bool = True) -> bytes:
         c = np.diff(c.astype("<u8"), prepend=U(0)) if rising and k == 0 else c.astype("<u8")
         planes = max(1, (int(c.max()).bit_length() + 7) // 8) if len(c) else 1
         parts += [bytes([planes]), c.view(np.uint8).reshape(-1, 8)[:, :planes].T.tobytes()]
-    return zstandard.compress(b"".join(parts), 3)
+    return zstandard.compress(b"".join(parts), 3 if rising else 9)
 
 
 def _unpack(payload: bytes, rising: bool = True) -> list[np.ndarray]:
@@ -197,6 +197,19 @@ class Block:
     def words(self) -> list[bytes]:
         return list(self.places)
 
+    def ranked(self) -> tuple[np.ndarray, np.ndarray]:
+        """The sequence with new places, and the old one of each: words by how often they come, then those that come once, as they come. In the sequence 1 stands for each of these."""
+        sequence = self.sequence()
+        times = np.bincount(sequence, minlength=len(self.places) + 2)
+        once = times == 1
+        once[: END + 1] = False
+        several = END + 1 + np.flatnonzero(~once[END + 1 :])
+        several = several[np.argsort(-times[several], kind="stable")]
+        old = np.r_[BEGIN, END, several, np.flatnonzero(once)]
+        new = np.empty(len(old), np.uint32)
+        new[old] = np.arange(len(old), dtype=np.uint32)
+        return np.where(once[sequence], np.uint32(END), new[sequence]), old
+
     def ids(self) -> np.ndarray:
         """The id of each place."""
         hashed = np.fromiter(map(xxhash.xxh32_intdigest, self.places), np.uint32, len(self.places))
@@ -207,16 +220,11 @@ class Block:
         return np.concatenate([x for d in self.docs for x in (np.zeros(1, np.uint32), d)]) if self.docs else np.zeros(0, np.uint32)
 
 
-def shortened(sequence: np.ndarray) -> np.ndarray:
-    """A block's sequence with 1 in place of each word's first place, which is the next number."""
-    upto = np.maximum.accumulate(np.maximum(sequence, np.uint32(END)))
-    return np.where(sequence > np.r_[np.uint32(END), upto[:-1]], np.uint32(END), sequence)
-
-
-def restored(short: np.ndarray) -> np.ndarray:
+def restored(short: np.ndarray, places: int) -> np.ndarray:
+    """The sequence that Block.ranked() shortened."""
     out = short.astype(np.int64)
-    new = out == END
-    out[new] = END + 1 + np.arange(int(new.sum()))
+    once = np.flatnonzero(out == END)
+    out[once] = places - len(once) + np.arange(len(once))
     return out
 
 
@@ -409,10 +417,12 @@ def score(docs: DataFrame, counted: DataFrame, words: DataFrame, model: Model, s
         model = sent.value
         for name, home, block in named(batches):
             spelled = np.r_[0.0, model.letters[32, 32], model.spelled(block.words())]  # the end is the word without letters
-            known = model.known(ids := block.ids())
-            first = _pack(2 * np.round(-FINE * spelled).astype(np.int64) + known, rising=False)
+            sequence, old = block.ranked()
+            ids = block.ids()[old]
+            known = model.known(ids)
+            first = _pack(2 * np.round(-FINE * spelled[old]).astype(np.int64) + known, rising=False)
             words = len(first).to_bytes(8, "little") + first + _pack(ids[known], rising=False)
-            yield batch([(home, HEADER, name, home, _pack(shortened(block.sequence()), rising=False), words, *(list(c) for c in zip(*block.rows, strict=True)))])
+            yield batch([(home, HEADER, name, home, _pack(sequence, rising=False), words, *(list(c) for c in zip(*block.rows, strict=True)))])
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for name, home, block in named(batches):
@@ -440,10 +450,10 @@ def score(docs: DataFrame, counted: DataFrame, words: DataFrame, model: Model, s
         head, answers, model = None, [], sent.value
 
         def done() -> pa.RecordBatch:
-            sequence = restored(_unpack(head[4], rising=False)[0])
             cut = 8 + int.from_bytes(head[5][:8], "little")
             spelled = _unpack(head[5][8:cut], rising=False)[0]
             known, spelled = spelled % U(2) > 0, (spelled // U(2)).astype(np.float64) / -FINE
+            sequence = restored(_unpack(head[4], rising=False)[0], len(known))
             ids = np.zeros(len(known), np.uint32)
             ids[known] = _unpack(head[5][cut:], rising=False)[0]
             at, (_, of_pair), (_, of_word) = asked(sequence, ids, known)
@@ -502,7 +512,7 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, sha
     spark = docs.sparkSession
     with_workers(spark)
     shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    tokens = tokens or min(MOST_TOKENS, max(LEAST_TOKENS, shards * SHARD_TOKENS))
+    tokens = tokens or BLOCK_TOKENS
     bits = min(64, PAIR_BITS + max(16, math.ceil(math.log2(1 + int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))) - 4))
     own = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), text_of().alias("text"))
     ids = settle(labels.where("quality = 1 and coalesce(toxic, 0) = 0 and doc_id is not null").select("doc_id").distinct())

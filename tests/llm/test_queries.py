@@ -470,7 +470,7 @@ def test_op10_model(spark, monkeypatch):
         w = t.split()
         unknown += sum(x not in before for x in w)
         log = sum(math.log(p(a, b)) for a, b in zip(["<", *w], [*w, ">"], strict=True))
-        assert abs(math.exp(-log / (len(w) + 1)) / got[k].perplexity - 1) < 1e-4
+        assert abs(math.exp(-log / (len(w) + 1)) / got[k].perplexity - 1) < 3e-4
     assert unknown > 10
 
 
