@@ -3,10 +3,10 @@
 At that similarity fingerprints of 64 bits differ in about ten bits, more than a deal by parts of their bits can search, so they are dealt by shingles: shingles have a
 fixed order, those of crowded cells of a sketch last, then by hash; sets alike enough share one of their first n - ceil(0.8 n) + 1, and rows of only these
 are dealt. Within a group that shares a shingle, fingerprints of the sets tell which pairs are compared: those of LIMIT bits or
-fewer (two sets alike enough exceed that about once in a million; sets of fewer than FEW shingles have no limit). First
+fewer (two sets of the least similarity exceed that three times in a million; sets of fewer than FEW shingles have no limit). First
 each set meets the smallest one of its group, or the next one that is too large for that one. Groups that are then in one class are done; in others a
 Gray-order index, in which nodes of one class are dropped whole for its members, finds the near pairs of two classes. Of these, those count that are near by
-EXTRA longer fingerprints too (again but one in a million). Twice each set meets only its nearest one, so that most classes grow together.
+EXTRA longer fingerprints too (exceeded twice in a million). Twice each set meets only its nearest one, so that most classes grow together.
 At last the sets that have a near one of another class are dealt once more, with their texts, by the component of such pairs they are in; their index
 finds the pairs there, which are compared where they stand, so only links leave. Pairs are always compared exactly by their sets. The sketch only orders, and tells crowded groups, which are dealt in parts of
 about PART rows, as large components are by their sets and shingles, every two parts meeting.
@@ -66,7 +66,7 @@ def longer(own: np.ndarray) -> bytes:
     """EXTRA further fingerprints of a set."""
     out = []
     for k in range(1, EXTRA + 1):
-        x = own + np.uint64(k) * np.uint64(0x9E3779B97F4A7C15)
+        x = own + np.uint64(k * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
         x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
         out.append(simhash.majority(x ^ (x >> np.uint64(27))))
     return np.array(out, "<u8").tobytes()
