@@ -27,7 +27,7 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share, as the session names it; one beside the warehouse where none is set."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/.shared"
+        folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/shared"
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
 
