@@ -9,5 +9,5 @@ def cut(df: DataFrame) -> DataFrame:
     """df checkpointed in the shared folder of the session (one beside the warehouse where none is set)."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or f"{df.sparkSession.conf.get('spark.sql.warehouse.dir').rstrip('/')}/.shared")
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or f"{df.sparkSession.conf.get('spark.sql.warehouse.dir').rstrip('/')}/shared")
     return df.checkpoint()
