@@ -45,7 +45,17 @@ def settle(df: DataFrame, narrow: bool = False) -> DataFrame:
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.settled_at = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Deletes the files of settled tables that nothing reads any more, before the session ends."""
+    for df in tables:
+        context = df.sparkSession.sparkContext
+        at = context._jvm.org.apache.hadoop.fs.Path(df.settled_at)
+        at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def with_workers(spark: SparkSession) -> None:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lumenry.llm import bpe, chat_format, html_extract, kneser_ney, merkle, mixing, quality_rules, secret_scan, sharding, simhash
+from lumenry.llm import bpe, centroids, chat_format, html_extract, kneser_ney, merkle, mixing, quality_rules, secret_scan, sharding, simhash
 from lumenry.llm.common import table
 
 
@@ -71,6 +71,11 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kneser_ney.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cluster of every vector after three rounds over distinct quantised vectors."""
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
 def quality_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What op7's base rule and rules look at, without a verdict."""
     df = quality_rules.figures(quality_rules.measured(table(spark, sf_dir, "documents").select("doc_id", "text")))
@@ -95,6 +100,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_merkle_fingerprints": op8_merkle_fingerprints,
         "op9_secret_scan": op9_secret_scan,
         "op10_quality_classifier": op10_quality_classifier,
+        "op13_centroid_clustering": op13_centroid_clustering,
         "quality_figures": quality_figures,
         "mix_targets": mix_targets,
     }
@@ -141,6 +147,21 @@ TARGETS_SQL = r"""WITH z AS (SELECT source, CAST(sum(len(regexp_extract_all(coal
     SELECT source, source_size, round(least(lim, level * w), 6) AS target FROM u, l"""
 
 
+#: Distances as |x|^2 - 2 x.c + |c|^2 of whole doubles; means by division that rounds down.
+_ROUND_SQL = """, p{k} AS (SELECT r, q, c, CAST(list_dot_product(q, q) - 2 * list_dot_product(q, cq) + list_dot_product(cq, cq) AS BIGINT) AS d FROM v, c{k}),
+    a{k} AS (SELECT r, q, c, d FROM p{k} QUALIFY row_number() OVER (PARTITION BY r ORDER BY d, c) = 1)"""
+_MEANS_SQL = """, m{k} AS (SELECT c, i, CAST((sum(x) - (sum(x) % count(*) + count(*)) % count(*)) // count(*) AS DOUBLE) AS x FROM (SELECT c, unnest(list_transform(q, lambda x: CAST(x AS BIGINT))) AS x, generate_subscripts(q, 1) AS i FROM a{k}) GROUP BY c, i),
+    n{k} AS (SELECT c, list(x ORDER BY i) AS q FROM m{k} GROUP BY c), c{next} AS (SELECT c{k}.c, coalesce(n{k}.q, c{k}.cq) AS cq FROM c{k} LEFT JOIN n{k} USING (c))"""
+_K = centroids.ROUNDS
+CLUSTERS_SQL = f"""WITH v AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor({centroids.SCALE} * CAST(x AS DOUBLE))) AS q FROM embeddings
+        WHERE len(embedding) = {centroids.DIM} AND len(list_filter(embedding, lambda x: isfinite(x))) = {centroids.DIM}),
+    c0 AS (SELECT row_number() OVER (ORDER BY h NULLS LAST, q) - 1 AS c, q AS cq FROM (SELECT q, sha256('{centroids.SEED}:' || vec_id) AS h FROM v) ORDER BY h NULLS LAST, q LIMIT {centroids.CLUSTERS})
+    {"".join(_ROUND_SQL.format(k=k) + _MEANS_SQL.format(k=k, next=k + 1) for k in range(_K))}{_ROUND_SQL.format(k=_K)},
+    t AS (SELECT c, sum(d) AS own FROM a{_K} GROUP BY c), z AS (SELECT sum(d) AS total FROM a{_K})
+    SELECT vec_id, CAST(a.c AS INTEGER) AS cluster, d AS distance, count(*) OVER (PARTITION BY a.q) AS copies, CAST(own AS BIGINT) AS cluster_inertia, CAST(total AS BIGINT) AS inertia,
+        sha256(array_to_string(list_transform(cq, lambda x: CAST(CAST(x AS BIGINT) AS VARCHAR)), ',')) AS centroid_sha256 FROM a{_K} a JOIN v USING (r) JOIN c{_K} USING (c) JOIN t ON t.c = a.c, z"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL for the operators whose method SQL has, and for parts of others; the tests hold the others against brute force."""
-    return {"op9_secret_scan": SECRETS_SQL, "quality_figures": FIGURES_SQL, "mix_targets": TARGETS_SQL}
+    return {"op9_secret_scan": SECRETS_SQL, "op13_centroid_clustering": CLUSTERS_SQL, "quality_figures": FIGURES_SQL, "mix_targets": TARGETS_SQL}

@@ -40,12 +40,28 @@ def labels():
     return [*rows, (23, None, None), (None, 1, 0), (3, 1, 0)]
 
 
+def embeddings():
+    """(vec_id, embedding) with copies, ties, nulls, other lengths, non-finite and very large components."""
+    wave = lambda k: [((k * 37 + j * 11) % 41 - 20) / 64.0 for j in range(64)]
+    rows = [(k, wave(k % 30)) for k in range(60)] + [(200 + k, wave(7)) for k in range(40)]
+    rows += [(300, None), (301, []), (302, wave(1)[:63]), (303, [*wave(1), 0.0]), (304, [None, *wave(1)[1:]]), (305, [float("nan"), *wave(1)[1:]]), (306, [float("inf"), *wave(1)[1:]])]
+    rows += [(5, wave(5)), (5, wave(6)), (None, wave(3)), (None, None), (400, [1000.0] * 64), (401, [-3.0e5] * 64), (402, [-0.0] * 64), (403, [1e-9] * 64), (404, [-1e-9] * 64)]
+    return [(i, v, "clash") for i, v in rows]
+
+
+def benchmark():
+    rows = [(0, "word7a word14c word21e"), (1, "LINE ends here, É😀"), (2, None), (3, "!!! ..."), (4, "nothing-like-this zz3 zz4"), (5, "one two"), (5, "three one"), (None, "w1a w2a"), (6, BODY[4]), (7, "AKIAX token one É")]
+    return [(i, t, "clash") for i, t in rows]
+
+
 def _write(spark, folder, keep):
     some = lambda rows: rows if keep else []
     spark.createDataFrame(some(documents()), SCHEMA).repartition(3).write.parquet(f"{folder}/documents.parquet")
     spark.createDataFrame(some(pages()), "page_id long, url string, html string, text string").write.parquet(f"{folder}/pages.parquet")
     spark.createDataFrame(some(conversations()), "conv_id long, turn long, role string, text string, window string").write.parquet(f"{folder}/conversations.parquet")
     spark.createDataFrame(some(labels()), "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame(some(embeddings()), "vec_id long, embedding array<double>, q string").repartition(3).write.parquet(f"{folder}/embeddings.parquet")
+    spark.createDataFrame(some(benchmark()), "item_id long, text string, score string").write.parquet(f"{folder}/benchmark.parquet")
     return str(folder)
 
 
