@@ -69,12 +69,14 @@ def with_workers(spark: SparkSession) -> None:
 LEAST_HEAVY, MOST_HEAVY = 200, 100_000
 
 
-def meet(rows: DataFrame, facts: DataFrame, key: str, total: int, most: int = MOST_HEAVY) -> DataFrame:
+def meet(rows: DataFrame, facts: DataFrame, key: str, total: int, most: int = MOST_HEAVY, light: Column | None = None) -> DataFrame:
     """rows joined with facts, unique by key, that hold in `n` how many of the `total` rows have the key; n is dropped.
 
     Heavy keys, at most `most` of them whatever the data, are sent to the rows, so that their rows stay where they are; the others meet by shuffle.
+    light (never null): whether the facts of a key are small enough to be sent.
     """
     heavy = F.col("n") > max(LEAST_HEAVY, total // most)
+    heavy = heavy if light is None else heavy & light
     sent = F.broadcast(facts.where(heavy).drop("n"))
     light = rows.join(sent.select(key), key, "left_anti").join(facts.where(~heavy).drop("n"), key)
     return rows.join(sent, key).unionByName(light)
