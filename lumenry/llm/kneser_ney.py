@@ -9,9 +9,8 @@ totals, 65,536 byte pairs and a bitmap of words. A block is named by its
 input partition and number there, so a task that runs again gives the same; documents must come from files or a written table, whose
 rows keep their order. Neither shards nor blocks show in the results.
 
-Pairs are compared by as many bits of a hash as a sixteenth of the documents' size has, and PAIR_BITS more, at most 64: an unseen pair is taken for a seen one
-about once in 8,000 times. Where the trusted words are no more than MANY_WORDS, a bitmap of their hashes goes to all tasks, and nothing is asked
-about words that it lacks, nor about their pairs; the answers would be 0.
+Pairs are compared by all 64 bits of their words' ids, so neither the size of the input nor its plan shows in a result. Where the trusted words are no more than MANY_WORDS, a bitmap of
+their hashes goes to all tasks, and nothing is asked about words that it lacks, nor about their pairs: the answers would be 0, so the bitmap spares traffic and changes nothing.
 
 Trusted documents are those labelled good (quality 1, toxic 0). One in HELD_OUT of them, by hash of doc_id, only sets
 thresholds: each language's quantile of their perplexities, from exact counts by thousandths of its logarithm; a
@@ -43,8 +42,8 @@ from lumenry.llm.common import ids_sent, settle, text_of, with_workers
 
 U = np.uint64
 BEGIN, END = 0, 1
-#: Bits of a pair's hash beyond those of the documents' size.
-PAIR_BITS = 12
+#: Bits of a pair's key: both words' ids, mixed so that shards are even.
+PAIR_BITS = 64
 #: Tokens and documents of a block, at most but for its last document.
 BLOCK_TOKENS, BLOCK_DOCS = 1 << 22, 1 << 17
 #: Log probabilities of bytes are whole parts of one.
@@ -91,7 +90,7 @@ def _cuts(values: np.ndarray, bits: int, shards: int) -> list[int]:
 
 
 def pair_key(pairs: np.ndarray, bits: int) -> np.ndarray:
-    """The leading bits of the hash of pairs of words (first << 32 | second): a bijective mix of 64 bits."""
+    """The leading bits of a mix of pairs of words (first << 32 | second), which is bijective over all 64."""
     x = pairs.astype(U)
     for m in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB):
         x = (x ^ (x >> U(31))) * U(m)
@@ -513,14 +512,13 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, sha
     with_workers(spark)
     shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
     tokens = tokens or BLOCK_TOKENS
-    bits = min(64, PAIR_BITS + max(16, math.ceil(math.log2(1 + int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))) - 4))
     own = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), text_of().alias("text"))
     ids = settle(labels.where("quality = 1 and coalesce(toxic, 0) = 0 and doc_id is not null").select("doc_id").distinct())
     is_held = F.pmod(F.xxhash64("doc_id"), F.lit(HELD_OUT)) == 0
     training = ids_sent(ids.where(~is_held))
-    counted = count_pairs(own.join(training, "doc_id", "left_semi"), shards, bits, tokens)
+    counted = count_pairs(own.join(training, "doc_id", "left_semi"), shards, PAIR_BITS, tokens)
     words = count_words(counted, shards)
-    scored = score(own, counted, words, fit(counted, words), shards, bits, tokens)
+    scored = score(own, counted, words, fit(counted, words), shards, PAIR_BITS, tokens)
     limits = settle(thresholds(scored, ids.where(is_held), quantile))
     every = limits.where("every").select("most").first()
     all_most = F.lit(every["most"] if every else None).cast("long")

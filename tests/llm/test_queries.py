@@ -59,6 +59,20 @@ def test_op1_windows_keep_their_budget(spark, edge_dir):
         assert sum(len(enc.encode_ordinary(x)) for x in pieces) + 4 * r.n_turns == r.n_tokens <= 300
 
 
+def test_op1_system_turns_near_the_budget(spark):
+    """The system turn is in every window; beside it, a window above the budget has one turn only."""
+    from lumenry.llm import chat_format
+
+    rows = [(1, 0, "system", "s" * 900)] + [(1, 1 + k, "user" if k % 2 == 0 else "assistant", "t" * 300) for k in range(6)]
+    rows += [(2, 0, "system", "s" * 600)] + [(2, 1 + k, "user" if k % 2 == 0 else "assistant", "t" * (90 + 50 * (k % 7))) for k in range(20)]
+    made = chat_format.format_windows(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), budget=1024, history=200, tokens=len).collect()
+    for r in made:
+        turns = chat_format.parsed(r.text)
+        assert turns[0][0] == "system" and sum(x == "system" for x, _ in turns) == 1
+        assert r.n_tokens <= 1024 or len(turns) <= 2 and r.n_turns - r.n_repeated == 1
+    assert sum(r.n_turns - r.n_repeated for r in made) == len(rows) and max(r.n_tokens for r in made if r.conv_id == 1) > 1024 >= max(r.n_tokens for r in made if r.conv_id == 2)
+
+
 def test_op2(spark, edge_dir):
     rows = q.op2_mixing(spark, edge_dir).collect()
     assert rows and Counter((r.doc_id, r.size) for r in rows) == Counter((d[0], len(words(d[1]))) for d in DOCS)
@@ -474,6 +488,53 @@ def test_op10_model(spark, monkeypatch):
     assert unknown > 10
 
 
+def test_op10_neither_files_nor_plans_show(spark, tmp_path):
+    """So many pairs that keys of 28 bits would meet: every perplexity equals that of a direct count, whatever the files' compression, the deal of rows and the plan."""
+    import math
+    import random
+
+    import numpy as np
+
+    from lumenry.llm import kneser_ney as kn
+
+    rnd = random.Random(8)
+    texts = [" ".join(f"v{int(rnd.paretovariate(0.25)) % 30_000}" for _ in range(70)) for _ in range(4000)]
+    docs = spark.createDataFrame([(k, t, "en") for k, t in enumerate(texts)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(k, 1, 0) for k in range(2500)], "doc_id long, quality int, toxic int")
+    for how in ("uncompressed", "gzip"):
+        docs.repartition(3).write.option("compression", how).parquet(str(tmp_path / how))
+    read = lambda how: spark.read.parquet(str(tmp_path / how))
+    got = [{r.doc_id: r for r in kn.classify(df, labels, shards=n).collect()} for df, n in ((read("uncompressed"), 3), (read("gzip"), 5), (docs.join(docs.select("doc_id"), "doc_id"), 2))]
+    assert got[0] == got[1] == got[2]
+    held = {r.doc_id for r in labels.selectExpr("doc_id", f"pmod(xxhash64(doc_id), {kn.HELD_OUT}) = 0 AS h").collect() if r.h}
+    around = lambda t: zip(["<", *t], [*t, ">"], strict=True)
+    train = [texts[k].split() for k in range(2500) if k not in held]
+    pairs = Counter(p for t in train for p in around(t))
+    assert len(pairs) > 60_000
+    before = Counter(b for _, b in pairs)
+    d, e = (kn.discounts([sum(v == k for v in c.values()) for k in (1, 2, 3, 4)]) for c in (pairs, before))
+    letters = np.zeros(1 << 16, np.int64)
+    for t in train:
+        raw = np.frombuffer(f" {' '.join(t)} ".encode(), np.uint8).astype(np.int64)
+        letters += np.bincount(raw[:-1] * 256 + raw[1:], minlength=1 << 16)
+    table = kn.spelling(letters)
+    spelled = lambda w: math.exp(round(-kn.FINE * sum(table[x, y] for b in [f" {w} ".encode()] for x, y in zip(b, b[1:], strict=False))) / -kn.FINE)
+    rest = sum(e[min(v, 3)] for v in before.values()) / len(pairs)
+    lower = {}
+    total, back = Counter(), Counter()
+    for (a, _), c in pairs.items():
+        total[a] += c
+        back[a] += d[min(c, 3)]
+    for k, t in enumerate(texts):
+        log = 0.0
+        for a, b in around(t.split()):
+            if b not in lower:
+                lower[b] = max(before[b] - e[min(before[b], 3)], 0) / len(pairs) + rest * (math.exp(table[32, 32]) if b == ">" else spelled(b))
+            c = pairs[a, b]
+            log += math.log(max(c - d[min(c, 3)], 0) / max(total[a], 1) + (back[a] / total[a] if total[a] else 1) * lower[b])
+        assert abs(math.exp(-log / 71) / got[0][k].perplexity - 1) < 2e-4, k
+
+
 def test_op10(spark, edge_dir):
     rows = q.op10_quality_classifier(spark, edge_dir).collect()
     assert Counter((r.doc_id, r.n_words) for r in rows) == Counter((d[0], len(words(d[1]))) for d in DOCS)
