@@ -223,7 +223,7 @@ def near_duplicates(docs: DataFrame, limit: int = 2, text: str = "text", width:
         from lumenry.llm.similar import similar_documents
 
         return similar_documents(docs, text, width, similarity)
-    prints = settle(fingerprints(docs, text))
+    prints = settle(fingerprints(docs, text, width))
     least = settle(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")))
     parts = components(near_links(least.select("fp"), limit)).withColumnRenamed("node", "fp")
     ids = parts.join(least, "fp")
