@@ -2,8 +2,8 @@
 
 A window is a run of whole turns within a budget of byte-pair tokens. Prefix sums of turn tokens choose where it ends and which of its last turns the
 next window repeats as history; a leading system turn is repeated in every window. Loss falls on each assistant text
-once, in the window where it is new; repeated turns are masked. A turn above the budget stands whole in a window of its
-own. Turns are marked by control strings; in texts and roles, a backslash goes into every `<|`, so that
+once, in the window where it is new; repeated turns are masked. A turn above the budget, alone or beside the repeated system turn, stands whole with that in a window
+that has no other turn; so a window exceeds the budget only where its system turn and one more do. Turns are marked by control strings; in texts and roles, a backslash goes into every `<|`, so that
 no text can pose as a turn, and comes out again on reading. Both directions stream over sorted rows with one window in
 memory, so a conversation of any length is fine.
 
