@@ -12,10 +12,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumenry.functions import language
 from lumenry.functions import scores as S
 from lumenry.functions import text as X
 from lumenry.functions.answers import answered
-from lumenry.operators import batching, references, reports, sampling, scoring, store
+from lumenry.functions.lineage import scratch
+from lumenry.operators import batching, blocks, buckets, cube, references, reports, sampling, scoring, store
+from lumenry.sources import files, job_stream, sinks
+from lumenry.streaming import tracking
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -149,6 +153,62 @@ def normalized_vectors(spark, sf_dir):
     return sentences(spark, sf_dir).select("sentence_id", F.round(S.norm("vec"), 6).alias("norm"), (F.round(S.normalized("vec")[0], 6) + F.lit(0.0)).alias("first"))
 
 
+# --- references of any number, and counts at any threshold ---------------------------------------------
+
+G_SQL = f"WITH {S_SQL}, r AS (SELECT vec_id AS ord, 'v' || vec_id AS ref_key, CAST(embedding AS DOUBLE[]) AS vec FROM embeddings), p AS (SELECT s.sentence_id, s.company, s.year, r.ord, r.ref_key, round_even(list_dot_product(s.vec, r.vec), 2) + 0.0 AS score FROM s, r)"
+THETAS = [k / 20 for k in range(21)]
+THETAS_SQL = "t AS (SELECT CAST(k AS DOUBLE) / 20 AS theta FROM range(21) x(k))"
+
+
+def grid(spark: SparkSession, sf_dir: str) -> blocks.Grid:
+    """All vectors against all vectors."""
+    every = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("ord"), F.concat(F.lit("v"), "vec_id").alias("ref_key"), F.col("embedding").alias("vec"))
+    return blocks.Grid(sentences(spark, sf_dir), every, group=1 << 9, block=1 << 8)
+
+
+@query(f"{G_SQL} SELECT sentence_id, ref_key, score FROM p QUALIFY row_number() OVER (PARTITION BY sentence_id ORDER BY score DESC, ord) = 1")
+def block_best(spark, sf_dir):
+    return blocks.best(grid(spark, sf_dir)).select("sentence_id", "ref_key", "score")
+
+
+@query(f"{G_SQL} SELECT sentence_id, ref_key, score FROM p WHERE score >= 0.45")
+def block_pairs(spark, sf_dir):
+    return blocks.pairs_at_least(grid(spark, sf_dir), 0.45).select("sentence_id", "ref_key", "score")
+
+
+@query(f"{G_SQL}, {THETAS_SQL}, n AS (SELECT CAST(count(*) AS BIGINT) AS n_rows FROM s), m AS (SELECT sentence_id, max(score) AS score FROM p GROUP BY 1) SELECT theta, n_rows, (SELECT count(*) FROM m WHERE score >= theta) AS n_selected FROM t, n")
+def block_threshold_counts(spark, sf_dir):
+    return blocks.threshold_counts(grid(spark, sf_dir), THETAS)
+
+
+def scores_cube(spark: SparkSession, sf_dir: str) -> tuple[cube.Cube, list[str]]:
+    rows, keys = scored(spark, sf_dir)
+    return cube.build(rows, ["company", "year"]), keys
+
+
+@query(f"{P_SQL}, {THETAS_SQL}, m AS (SELECT company, year, sentence_id, max(score) AS score FROM p GROUP BY ALL) SELECT company, year, theta, count(*) AS total_rows, count(*) FILTER (score >= theta) AS selected FROM m, t GROUP BY ALL")
+def cube_coverage(spark, sf_dir):
+    return cube.coverage(scores_cube(spark, sf_dir)[0], THETAS)
+
+
+@query(f"{P_SQL}, m AS (SELECT company, sentence_id, bool_or(score > 0.2) AND bool_or(score < 0.4) AS low, bool_or(score >= 0.4) AS high FROM p GROUP BY ALL) SELECT company, count(*) FILTER (low) AS n_low, count(*) FILTER (high) AS n_high FROM m GROUP BY 1")
+def cube_buckets(spark, sf_dir):
+    return cube.buckets(scores_cube(spark, sf_dir)[0], 0.2, 0.4, ["company"])
+
+
+@query(f"{P_SQL}, {THETAS_SQL} SELECT ref_key, theta, count(*) AS n_rows, count(*) FILTER (score >= theta) AS selected FROM p, t GROUP BY ALL")
+def cube_reference_coverage(spark, sf_dir):
+    made, keys = scores_cube(spark, sf_dir)
+    return cube.reference_coverage(made, THETAS, []).select(F.get(F.array(*map(F.lit, keys)), F.col("ref")).alias("ref_key"), "theta", "n_rows", "selected")
+
+
+@query(f"{P_SQL}, h AS (SELECT company, ref_key, list_sort(list(score)) AS h FROM p GROUP BY ALL) SELECT company, ref_key, len(h) AS n_rows, h[CAST(greatest(ceil(0.5::DOUBLE * len(h)), 1) AS BIGINT)] AS median, h[CAST(greatest(ceil(0.95::DOUBLE * len(h)), 1) AS BIGINT)] AS high FROM h")
+def cube_quantiles(spark, sf_dir):
+    made, keys = scores_cube(spark, sf_dir)
+    rows = cube.quantiles(made, [0.5, 0.95], ["company"])
+    return rows.select("company", F.get(F.array(*map(F.lit, keys)), F.col("ref")).alias("ref_key"), "n_rows", F.col("quantiles")[0].alias("median"), F.col("quantiles")[1].alias("high"))
+
+
 # --- dictionaries ------------------------------------------------------------------------------------
 
 KEYS = ["1", "2", "10", "11", "17", "1.1", "1.2", "2.1", "12", "12.1", "3.10", "x"]
@@ -369,6 +429,49 @@ def invalid_sample(spark, sf_dir):
     return sampling.sample_of(rows, "reason", "0 with other numbers", "doc_id", 5)
 
 
+ITEMS_SQL = """w AS (SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '[^ \\t\\n\\x0B\\f\\r]+')) AS w, coalesce(length(text), 0) AS c FROM documents),
+    f AS (SELECT doc_id, '[' || array_to_string(list_concat(list_transform(range(w % 5), lambda k: CAST((c + w * k + doc_id) % 23 - 2 AS VARCHAR)), [[], ['True'], ['False'], ['True', 'False']][c % 4 + 1]), ', ') || ']' AS raw FROM w),
+    i AS (SELECT doc_id, raw, regexp_extract_all(raw, '-?[0-9]+|True|False') AS i FROM f),
+    h AS (SELECT *, len(i) AS n, coalesce(i[-1] IN ('True', 'False'), false) AS flagged FROM i),
+    v AS (SELECT *, CASE WHEN flagged THEN i[-1] = 'True' END AS is_ai, CASE WHEN flagged THEN i[:-2] ELSE i END AS goals FROM h),
+    x AS (SELECT *, list_transform(goals, lambda g: CASE g WHEN 'True' THEN 1 WHEN 'False' THEN 0 ELSE CAST(g AS INTEGER) END) AS nums FROM v),
+    y AS (SELECT *, coalesce(list_contains(nums, 0), false) AS zero, list_filter(nums, lambda k: k BETWEEN 1 AND 17) AS real, list_filter(nums, lambda k: k < 0 OR k > 17)[1] AS beyond FROM x),
+    a AS (SELECT *, CASE WHEN n < 2 THEN 'too few elements' WHEN NOT flagged THEN 'last element not boolean' WHEN len(list_filter(goals, lambda g: g IN ('True', 'False'))) > 0 THEN 'multiple boolean classifications'
+        WHEN beyond IS NOT NULL THEN 'SDG out of range: ' || beyond WHEN zero AND len(nums) > 1 THEN '0 with other numbers' END AS reason FROM y),
+    b AS (SELECT *, CASE WHEN reason IS NULL THEN NULL WHEN zero AND len(nums) > 1 THEN '[0, False]' WHEN reason = 'last element not boolean' THEN '[' || CASE WHEN zero OR len(nums) = 0 THEN '0' ELSE array_to_string(nums, ', ') END || ', False]'
+        WHEN starts_with(reason, 'SDG out of range') THEN '[0, False]' END AS new_raw FROM a)"""
+
+
+def varied_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, raw): lists of numbers made from each document's words and length, with no, one or two flags."""
+    words, size = X.word_tokens(F.col("text")), F.coalesce(F.length("text"), F.lit(0))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce(words, F.lit(0)).cast("int").alias("w"), size.alias("c"))
+    numbers = F.filter(F.transform(F.sequence(F.lit(0), F.lit(4)), lambda k: F.when(k < F.col("w") % 5, ((F.col("c") + F.col("w") * k + F.col("doc_id")) % 23 - 2).cast("string"))), lambda x: x.isNotNull())
+    flags = F.when(F.col("c") % 4 == 0, F.array().cast("array<string>")).when(F.col("c") % 4 == 1, F.array(F.lit("True"))).when(F.col("c") % 4 == 2, F.array(F.lit("False"))).otherwise(F.array(F.lit("True"), F.lit("False")))
+    return docs.select("doc_id", F.concat(F.lit("["), F.array_join(F.concat(numbers, flags), ", "), F.lit("]")).alias("raw"))
+
+
+@query(f"WITH {ITEMS_SQL} SELECT doc_id, raw, CASE WHEN zero THEN '' ELSE array_to_string(real, ',') END AS sdgs, is_ai, coalesce(reason, 'ok') AS reason, coalesce(new_raw, raw) AS fixed FROM b")
+def answers_computed(spark, sf_dir):
+    """Answers of any numbers, read, audited and repaired."""
+    rows = answered(varied_answers(spark, sf_dir))
+    return rows.select("doc_id", "raw", F.array_join("answer.sdgs", ",").alias("sdgs"), "answer.is_ai", F.coalesce("answer.reason", F.lit("ok")).alias("reason"), F.coalesce("answer.new_raw", "raw").alias("fixed"))
+
+
+@query(f"WITH {ITEMS_SQL}, e AS (SELECT unnest(CASE WHEN zero THEN [] ELSE real END) AS sdg, is_ai FROM b) SELECT sdg, is_ai, count(*) AS n FROM e GROUP BY ALL")
+def goals_computed(spark, sf_dir):
+    """Goals of these answers by flag, as the exploded table has them."""
+    rows = answered(varied_answers(spark, sf_dir)).select(F.col("doc_id").cast("string").alias("custom_id"), "answer.sdgs", "answer.is_ai", "raw", F.lit("b").alias("batch_id"))
+    return store.exploded(rows).groupBy("sdg", "is_ai").agg(F.count("*").alias("n"))
+
+
+@query("SELECT source || '.' || doc_id AS key, 'sdg_' || source || '.' || doc_id AS \"column\", CAST(row_number() OVER (ORDER BY coalesce(try_cast(regexp_replace(source || '.' || doc_id, '[^0-9]', '', 'g') AS BIGINT), 0), doc_id) - 1 AS INTEGER) AS place FROM documents WHERE source IS NOT NULL")
+def key_order(spark, sf_dir):
+    """Keys made of each document's source and id, in the order of their digits."""
+    given = table(spark, sf_dir, "documents").where("source IS NOT NULL").select(F.concat_ws(".", "source", "doc_id").alias("key"), F.col("doc_id").alias("ord"))
+    return references.goal_order(given).select("key", "column", "place")
+
+
 # --- units, batches, jobs ----------------------------------------------------------------------------
 
 
@@ -425,7 +528,7 @@ def batch_status(spark, sf_dir):
     return batching.status(jobs(spark, sf_dir))
 
 
-@query(f"{JOBS_SQL} SELECT printf('%-38s %-12s %7d %7d %7d %7d', id, status, total, completed, failed, remain) AS line FROM st")
+@query(f"{JOBS_SQL}, sh AS (SELECT id, status, list_transform([total, completed, failed, remain], lambda c: CASE WHEN status = 'ERROR' THEN '-' ELSE CAST(c AS VARCHAR) END) AS c FROM st) SELECT printf('%-38s %-12s %7s %7s %7s %7s', id, status, c[1], c[2], c[3], c[4]) AS line FROM sh")
 def batch_status_lines(spark, sf_dir):
     return batching.status_lines(batching.status(jobs(spark, sf_dir)))
 
@@ -481,10 +584,7 @@ def requests_selected(spark, sf_dir):
 
 @query(f"{SELECTED_SQL} SELECT CAST(count(*) AS BIGINT) AS selected, (SELECT CAST(count(DISTINCT (company, year)) AS BIGINT) FROM s) AS files, CAST(ceil(count(*) / 50.0) AS BIGINT) AS batches FROM q")
 def selection_counters(spark, sf_dir):
-    from lumenry.plans.stages import requests
-
-    rows = scored(spark, sf_dir)[0]
-    return reports.selection_counts(rows, requests(rows, report_sentences(spark, sf_dir), 0.3, "model-x"), ["company", "year"], 50)
+    return reports.selection_counts(scored(spark, sf_dir)[0], report_sentences(spark, sf_dir), 0.3, ["company", "year"], ["company", "year", "sentence_id"], 50)
 
 
 WIDE = [f"sdg_{k}" for k in range(1, N_GOALS + 1)] + [f"ai_{k}" for k in range(N_GOALS, N_REFS)]
@@ -509,6 +609,79 @@ def line_counts(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", X.line_count(F.col("text")).alias("n_lines"))
 
 
+# --- files, tables and streams that these queries write and read back -----------------------------------
+
+
+@query(f"{P_SQL} SELECT company, year, sentence_id, ref_key, score FROM p")
+def csv_scores(spark, sf_dir):
+    """Scores as wide files by company and year, read back by ranges."""
+    rows, keys = scored(spark, sf_dir)
+    path = scratch(spark, "wide")
+    sinks.write_wide_csv(rows, keys, path)
+    back = files.score_rows(spark, path, glob="part-*", year="string")
+    value = lambda c: F.regexp_extract(c, "=(.*)$", 1)
+    return back.select(value("company").alias("company"), value("year").cast("int").alias("year"), F.col("sentence_id").cast("long").alias("sentence_id"), "ref_key", (F.col("score") + F.lit(0.0)).alias("score"))
+
+
+LABELLED_SQL = "l AS (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY 1)"
+
+
+@query(f"WITH {LABELLED_SQL} SELECT 'task||' || d.doc_id || '||' || source || '||2020' AS custom_id, CASE WHEN l.doc_id IS NULL THEN md5(text) ELSE 'quality ' || quality END AS raw, CASE WHEN l.doc_id IS NULL THEN lang = 'de' ELSE quality = 1 END AS is_ai, CAST(coalesce(quality, d.doc_id % 17) AS INTEGER) AS sdg FROM documents d LEFT JOIN l USING (doc_id)")
+def bucket_update(spark, sf_dir):
+    """Documents as results in a table of buckets, of which the labelled ones are updated."""
+    docs = table(spark, sf_dir, "documents")
+    of = lambda df: df.select(X.custom_id(F.col("doc_id"), F.col("source"), F.lit(2020)).alias("custom_id"), "*")
+    made = buckets.BucketTable(spark, scratch(spark, "buckets"), store.RESULTS, buckets=64)
+    made.append(of(docs).select("custom_id", F.array((F.col("doc_id") % 17).cast("int")).alias("sdgs"), (F.col("lang") == "de").alias("is_ai"), F.md5("text").alias("raw"), F.lit("b").alias("batch_id")))
+    labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    new = of(docs.select("doc_id", "source").join(labels, "doc_id"))
+    made.update(new.select("custom_id", F.concat(F.lit("quality "), "quality").alias("new_raw"), F.array(F.col("quality").cast("int")).alias("new_sdgs"), (F.col("quality") == 1).alias("new_ai")))
+    return made.read().select("custom_id", "raw", "is_ai", F.col("sdgs")[0].alias("sdg"))
+
+
+@query("WITH a AS (SELECT source || '/' || lang AS custom_id, 'batch_' || (length(text) % 3) AS batch_id, md5(text) AS content FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL AND text IS NOT NULL) SELECT custom_id, min(batch_id || ' ' || content) AS standing, count(*) AS answers, count(DISTINCT content) > 1 AS conflict FROM a GROUP BY 1")
+def tracked_answers(spark, sf_dir):
+    """Documents as answers to the request of their source and language, as a stream with state."""
+    kind = table(spark, sf_dir, "documents").schema
+    docs = lambda: spark.readStream.schema(kind).parquet(f"{sf_dir}/documents.parque[t]").where("source IS NOT NULL AND lang IS NOT NULL AND text IS NOT NULL").withColumn("custom_id", F.concat_ws("/", "source", "lang"))
+    asked = docs().select("custom_id", F.unix_millis(F.current_timestamp()).alias("asked"))
+    answers_ = docs().select("custom_id", F.concat(F.lit("batch_"), F.length("text") % 3).alias("batch_id"), F.md5("text").alias("content"))
+    at = scratch(spark, "tracked")
+    tracking.track(asked, answers_, f"{at}/history", f"{at}/checkpoint").awaitTermination()
+    return tracking.current(spark.read.parquet(f"{at}/history")).select("custom_id", F.concat_ws(" ", "batch_id", "content").alias("standing"), "answers", "conflict")
+
+
+@query("SELECT * FROM (SELECT user_id AS id, event_id, event_type AS status, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS previous FROM events) WHERE status IS DISTINCT FROM previous")
+def job_changes(spark, sf_dir):
+    """Events as polled states of a job for each user."""
+    polls = table(spark, sf_dir, "events").select(F.col("user_id").alias("id"), "event_id", "ts", F.col("event_type").alias("status"))
+    return job_stream.changes_in(polls, "ts", "event_id").select("id", "event_id", "status", "previous")
+
+
+# --- languages ---------------------------------------------------------------------------------------
+
+CHARS_SQL = f"string_split(translate(regexp_replace(coalesce(text, ''), '[^\\x{{0}}-\\x{{FFFF}}]', '?', 'g'), '{language._UPPER}', '{language._LOWER}'), '')"
+TRIPLES_SQL = f"""c AS (SELECT doc_id, lang, CASE WHEN coalesce(text, '') = '' THEN [] ELSE list_transform({CHARS_SQL}, lambda x: unicode(x)) END AS c FROM documents),
+    g AS (SELECT doc_id, lang, unnest(list_transform(range(1, greatest(len(c) - 1, 1)), lambda i: (c[i] * {language.FIRST} + c[i + 1] * {language.SECOND} + c[i + 2]) % {language.BUCKETS})) AS bucket FROM c),
+    n AS (SELECT lang, bucket, count(*) AS n FROM g WHERE lang IS NOT NULL GROUP BY ALL)"""
+
+
+@query(f"WITH {TRIPLES_SQL} SELECT lang, CAST(bucket AS INTEGER) AS bucket, n FROM n UNION ALL SELECT lang, NULL, count(*) FROM c WHERE lang IS NOT NULL GROUP BY 1")
+def language_counts(spark, sf_dir):
+    return language.counts(table(spark, sf_dir, "documents"))
+
+
+@query(f"""WITH {TRIPLES_SQL}, z AS (SELECT lang, sum(n) + {language.BUCKETS} AS z FROM n GROUP BY 1), t AS (SELECT lang, count(*) AS n, sum(count(*)) OVER () AS total FROM c WHERE lang IS NOT NULL GROUP BY 1),
+    b AS (SELECT doc_id, bucket, count(*) AS k FROM g GROUP BY ALL),
+    w AS (SELECT t.lang, x.bucket, CAST(round({language.UNIT} * ln((coalesce(n.n, 0) + 1) / z.z)) AS BIGINT) AS w FROM t JOIN z USING (lang) CROSS JOIN (SELECT DISTINCT bucket FROM b) x LEFT JOIN n ON n.lang = t.lang AND n.bucket = x.bucket),
+    s AS (SELECT c.doc_id, t.lang AS found, CAST(round({language.UNIT} * ln(t.n / t.total)) AS BIGINT) + coalesce((SELECT sum(b.k * w.w) FROM b JOIN w ON w.bucket = b.bucket AND w.lang = t.lang WHERE b.doc_id = c.doc_id), 0) AS s FROM c, t)
+    SELECT doc_id, found FROM s QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY s DESC, found) = 1""")
+def language_found(spark, sf_dir):
+    """The language that a model of all documents finds for each of them."""
+    docs = table(spark, sf_dir, "documents")
+    return docs.select("doc_id", language.learn(docs).language(F.col("text")).alias("found"))
+
+
 # --- without an oracle: Python on the way ------------------------------------------------------------
 
 
@@ -532,6 +705,17 @@ def provider_language(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("lang", is_german(F.col("text"), word_detector()).alias("german")).groupBy("lang", "german").agg(F.count("*").alias("n"))
 
 
+@query(None)
+def vocabulary_tokens(spark, sf_dir):
+    """Tokens of every company by a public vocabulary of byte pairs."""
+    import public_tokenizers
+
+    from lumenry.functions.providers import rank_file_counter, token_count
+
+    counter = rank_file_counter(str(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")), public_tokenizers.PATTERN)
+    return reports.token_totals(table(spark, sf_dir, "documents").withColumnRenamed("source", "company"), token_count(F.col("text"), counter))
+
+
 @query(None)
 def provider_tokens(spark, sf_dir):
     from lumenry.functions.providers import piece_counter, token_count

@@ -9,15 +9,52 @@ from __future__ import annotations
 import argparse
 import importlib
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from lumenry.functions import providers
+from lumenry.functions import factors, language, providers
 from lumenry.functions.answers import UNREADABLE, ZERO_WITH, answered
 from lumenry.functions.text import custom_id_parts
-from lumenry.operators import batching, references, reports, sampling, store
+from lumenry.operators import batching, cube, references, reports, sampling, store
 from lumenry.plans import stages
-from lumenry.sources import files, jobs, sinks
+from lumenry.sources import files, job_stream, jobs, sinks
+from lumenry.streaming import ingest, tracking
+
+
+def _encoder(spark: SparkSession, a: argparse.Namespace):
+    return factors.opened(spark, a.encoder).factory() if a.encoder else providers.hashing_encoder()
+
+
+def learn_language(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
+    """Learns languages from a parquet table of texts (columns text, lang), and shows what it finds for them."""
+    texts = spark.read.parquet(a.table)
+    model = language.learn(texts)
+    model.saved(spark, a.out)
+    return language.held_out(texts, model).orderBy("lang", "found")
+
+
+def learn_encoder(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
+    """Learns text vectors from a parquet table of texts (column text)."""
+    texts = spark.read.parquet(a.table)
+    factors.learn(texts, dim=a.dim).saved(spark, a.out)
+    return texts.agg(F.count("*").alias("texts"))
+
+
+def import_scores(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
+    """Takes wide score files over into a table of score arrays; shows the files that give nothing."""
+    rows = files.score_arrays(spark, a.root, a.names)
+    sinks.write_scores(rows.select("company", "year", "sentence_id", "scores"), a.scores)
+    return files.unusable_scores(spark, a.root)
+
+
+def histogram(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
+    """Makes the histogram of a table of scores, from which `coverage` answers any threshold."""
+    cube.saved(cube.build(spark.read.parquet(a.scores), ["company", "year"]), a.cube)
+    return cube.opened(spark, a.cube).extremes.agg(F.sum("n").alias("rows"))
+
+
+def coverage(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
+    return cube.coverage(cube.opened(spark, a.cube), a.thresholds, a.by).orderBy(*a.by, "theta")
 
 
 def score(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
@@ -28,10 +65,10 @@ def score(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
     except Exception as e:  # noqa: BLE001  nothing is there before the first run
         if "PATH_NOT_FOUND" not in str(e):
             raise
-    encoder = providers.hashing_encoder()
+    encoder, detector = _encoder(spark, a), language.opened(spark, a.language) if a.language else providers.word_detector()
     german = a.german or a.goals
     refs = {False: stages.references(spark, a.goals, a.glossary, False, encoder), True: stages.references(spark, german, a.glossary, True, encoder)}
-    sinks.write_scores(stages.score_reports(texts, sentences, refs, providers.word_detector(), encoder), a.scores)
+    sinks.write_scores(stages.score_reports(texts, sentences, refs, detector, encoder), a.scores)
     return spark.read.parquet(a.scores).groupBy("company", "year").agg(F.count("*").alias("sentences"))
 
 
@@ -77,9 +114,9 @@ def audit(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
 
 
 def repair(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
-    n = stages.repairs(spark.table(a.table)).count()
-    store.replace(stages.repaired(spark.table(a.table)), a.table)
-    return spark.createDataFrame([(n,)], "repaired long")
+    seen = Observation("repair")
+    store.replace(stages.repaired(spark.table(a.table), seen), a.table)
+    return spark.createDataFrame([(seen.get["changed"],)], "repaired long")
 
 
 def sample(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
@@ -97,7 +134,7 @@ def sample(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
 
 def examples(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
     """Up to two sentences of each report with a low or a high score, and the reference that is best for each."""
-    refs = stages.references(spark, a.goals, a.glossary, False, providers.hashing_encoder())
+    refs = stages.references(spark, a.goals, a.glossary, False, _encoder(spark, a))
     keys = [r.ref_key for r in refs.orderBy("ord").select("ref_key").collect()]  # a dictionary
     rows = spark.read.parquet(a.scores).where(~F.col("german")).join(files.sentences(spark, a.texts).select("company", "year", "sentence_id", F.col("sentence").alias("text")), ["company", "year", "sentence_id"])
     return reports.example_lines(reports.examples(rows, keys, ["company", "year"], a.low, a.high), ["company", "year"]).orderBy("company", "year", "rank").select("line")
@@ -123,6 +160,21 @@ def submit(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
     return spark.createDataFrame(jobs.submitted(spark, a.requests, _client(a), a.log), "batch_no int, id string")
 
 
+def follow(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
+    """Follows the service's jobs: keeps the history of their changes and saves outputs as they come, until it is stopped or `--seconds` are over."""
+    query = job_stream.follow(spark, _client(a), a.history, a.outputs, a.checkpoint, every=a.every)
+    query.awaitTermination(a.seconds) if a.seconds else query.awaitTermination()
+    query.stop()
+    return job_stream.latest(spark.read.parquet(a.history)).orderBy("id")
+
+
+def track(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
+    """Takes up requests and response files that came since the last time; shows how many ids are in which state."""
+    answers = ingest.response_stream(spark, a.outputs)
+    tracking.track(tracking.asked_stream(spark, a.requests), answers, a.history, a.checkpoint).awaitTermination()
+    return tracking.current(spark.read.parquet(a.history)).groupBy("status", "conflict").agg(F.count("*").alias("ids")).orderBy("status", "conflict")
+
+
 def status(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
     """Progress of the jobs that a log names, or else of those in progress on the service."""
     client = _client(a)
@@ -145,7 +197,7 @@ def parser() -> argparse.ArgumentParser:
     sub = p.add_subparsers(dest="command", required=True)
 
     def command(f, *positional: str) -> argparse.ArgumentParser:
-        c = sub.add_parser(f.__name__, help=f.__doc__)
+        c = sub.add_parser(f.__name__.replace("_", "-"), help=f.__doc__)
         c.set_defaults(run=f)
         for name in positional:
             c.add_argument(name)
@@ -155,6 +207,15 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("--goals", nargs="+", required=True)
     c.add_argument("--german", nargs="+", help="the goals' German dictionaries")
     c.add_argument("--glossary", required=True)
+    c.add_argument("--language", help="a model of learn-language")
+    c.add_argument("--encoder", help="a model of learn-encoder")
+    command(learn_language, "table", "out")
+    command(learn_encoder, "table", "out").add_argument("--dim", type=int, default=factors.DIM)
+    command(import_scores, "root", "scores").add_argument("--names", nargs="+", required=True)
+    command(histogram, "scores", "cube")
+    c = command(coverage, "cube")
+    c.add_argument("--thresholds", nargs="+", type=float, default=[0.5, 0.3])
+    c.add_argument("--by", nargs="*", default=["company"])
     command(counts, "scores").add_argument("--thresholds", nargs="+", type=float, default=[0.5, 0.3])
     c = command(firms, "scores")
     c.add_argument("--threshold", type=float, default=0.5)
@@ -182,6 +243,7 @@ def parser() -> argparse.ArgumentParser:
     c = command(examples, "scores", "texts")
     c.add_argument("--goals", nargs="+", required=True)
     c.add_argument("--glossary", required=True)
+    c.add_argument("--encoder", help="a model of learn-encoder")
     c.add_argument("--low", type=float, default=0.3)
     c.add_argument("--high", type=float, default=0.5)
     c = command(glossary, "glossary", "query", "out")
@@ -191,6 +253,11 @@ def parser() -> argparse.ArgumentParser:
     c = command(status)
     c.add_argument("--log")
     c.add_argument("--client", required=True)
+    c = command(follow, "history", "outputs", "checkpoint")
+    c.add_argument("--client", required=True)
+    c.add_argument("--every", default="60 seconds")
+    c.add_argument("--seconds", type=int)
+    command(track, "requests", "outputs", "history", "checkpoint")
     c = command(poll, "log", "outputs")
     c.add_argument("--client", required=True)
     return p

@@ -43,7 +43,9 @@ def status(jobs: DataFrame) -> DataFrame:
 
 
 def status_lines(rows: DataFrame) -> DataFrame:
-    return rows.select(F.format_string("%-38s %-12s %7d %7d %7d %7d", "id", "status", "total", "completed", "failed", "remain").alias("line"))
+    """A line for each row; of a job in error the counts aren't known."""
+    shown = [F.when(F.col("status") == "ERROR", F.lit("-")).otherwise(F.col(c).cast("string")) for c in ("total", "completed", "failed", "remain")]
+    return rows.select(F.format_string("%-38s %-12s %7s %7s %7s %7s", "id", "status", *shown).alias("line"))
 
 
 def in_progress(jobs: DataFrame, n: int = 100) -> DataFrame:

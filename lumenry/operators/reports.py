@@ -70,8 +70,9 @@ def example_lines(picked: DataFrame, unit: list[str]) -> DataFrame:
     return picked.select(*unit, "rank", F.format_string("%s #%d [%s] sentence %d: %s = %.3f", own, "rank", "bucket", "sentence_id", "ref_key", "score").alias("line"))
 
 
-def selection_counts(scored: DataFrame, selected: DataFrame, unit: list[str], lines: int = 20_000) -> DataFrame:
-    """(selected, files, batches): sentences chosen, units that were looked at (with or without a hit), files they fill."""
-    seen = scored.agg(F.countDistinct(*unit).alias("files"))
-    chosen = selected.agg(F.count("*").alias("selected"))
-    return chosen.join(F.broadcast(seen), F.lit(True)).select("selected", "files", F.ceil(F.col("selected") / lines).alias("batches"))
+def selection_counts(scored: DataFrame, sentences: DataFrame, threshold: float, unit: list[str], keys: list[str], lines: int = 20_000, scores: str = "scores") -> DataFrame:
+    """(selected, files, batches) from one pass over the scores: sentences that are chosen, units that were looked at (with or without a hit), files they fill."""
+    chosen = F.coalesce(any_at_least(F.col(scores), threshold, single=True) & (F.col("sentence") != ""), F.lit(False))
+    rows = scored.join(sentences.select(*keys, "sentence"), keys, "left")
+    got = rows.agg(F.count_if(chosen).alias("selected"), F.countDistinct(*unit).alias("files"))
+    return got.select("selected", "files", F.ceil(F.col("selected") / lines).alias("batches"))

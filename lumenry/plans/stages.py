@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from lumenry.functions import providers
 from lumenry.functions.answers import answered
+from lumenry.functions.language import Model
 from lumenry.functions.lineage import cut
 from lumenry.functions.scores import any_at_least
 from lumenry.functions.text import custom_id, request
@@ -33,9 +34,10 @@ def references(spark: SparkSession, goals: list[str], glossary: str, german: boo
     return both.join(vectors, "text").select("ref_key", "kind", "vec", place.alias("ord"))
 
 
-def score_reports(reports: DataFrame, sentences: DataFrame, refs: dict[bool, DataFrame], detector: Callable, encoder: Callable) -> DataFrame:
-    """(company, year, sentence_id, german, scores, max_sdg, max_ai): sentences of reports against the references of their language."""
-    routed = cut(reports.select("company", "year", providers.is_german(F.col("text"), detector).alias("german")))
+def score_reports(reports: DataFrame, sentences: DataFrame, refs: dict[bool, DataFrame], detector: Callable | Model, encoder: Callable) -> DataFrame:
+    """(company, year, sentence_id, german, scores, max_sdg, max_ai): sentences of reports against the references of their language, which a learned model or a detector tells."""
+    german = detector.is_german(F.substring("text", 1, 10_000)) if isinstance(detector, Model) else providers.is_german(F.col("text"), detector)
+    routed = cut(reports.select("company", "year", german.alias("german")))
     rows = sentences.join(routed, ["company", "year"]).withColumn("vec", providers.embedded(F.col("sentence"), encoder))
     out = None
     for german, r in refs.items():
@@ -66,9 +68,12 @@ def repairs(results: DataFrame) -> DataFrame:
     return answered(results.select("custom_id", "raw")).where("answer.changed").select("custom_id", "answer.new_raw", "answer.new_sdgs", "answer.new_ai")
 
 
-def repaired(results: DataFrame) -> DataFrame:
-    """The results with every repair in place, in one projection over each row."""
+def repaired(results: DataFrame, seen: Observation | None = None) -> DataFrame:
+    """The results with every repair in place, in one projection over each row. `seen` counts rows, repairs and invalid answers in the pass that uses the result, which then needs no second look."""
     fixed = answered(results)
+    if seen is not None:
+        changed = F.count_if(F.col("answer.changed")).alias("changed")
+        fixed = fixed.observe(seen, F.count(F.lit(1)).alias("rows"), changed, F.count_if(F.col("answer.reason").isNotNull()).alias("invalid"))
     new = {"raw": "new_raw", "sdgs": "new_sdgs", "is_ai": "new_ai"}
     return fixed.select(*[F.when(F.col("answer.changed"), F.col(f"answer.{new[c]}")).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in results.columns])
 

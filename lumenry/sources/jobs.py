@@ -113,14 +113,18 @@ def add_lines(spark: SparkSession, path: str, lines: list[str]) -> None:
 
 
 def write_text(spark: SparkSession, path: str, text: str) -> None:
-    jvm = spark.sparkContext._jvm
-    at, beside = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(f"{path}.new")
-    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    """The file is written beside and put in place in one step, so there is always the old one or the new one."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    fs = jvm.org.apache.hadoop.fs.Path(path).getFileSystem(conf)
+    at = fs.makeQualified(jvm.org.apache.hadoop.fs.Path(path))
+    beside = at.suffix(".new")
     stream = fs.create(beside, True)
     stream.write(bytearray(text.encode()))
     stream.close()
-    fs.delete(at, False)
-    fs.rename(beside, at)
+    kinds = jvm.org.apache.hadoop.fs.Options.Rename
+    over = spark.sparkContext._gateway.new_array(kinds, 1)
+    over[0] = kinds.OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), conf).rename(beside, at, over)
 
 
 def save_outputs(spark: SparkSession, jobs: DataFrame, client: BatchClient, folder: str) -> list[tuple[str, int]]:

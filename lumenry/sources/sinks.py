@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumenry.functions.lineage import cut
 from lumenry.operators.batching import rotated
 
 
@@ -14,16 +15,16 @@ def unfinished(units: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def write_scores(scored: DataFrame, path: str) -> None:
-    """By company and year; only the partitions that are written are replaced, each at once."""
-    scored.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("company", "year").parquet(path)
+    """By company and year, sentences in order within each file; only the partitions that are written are replaced, each at once."""
+    scored.sortWithinPartitions("company", "year", "sentence_id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("company", "year").parquet(path)
 
 
 def write_wide_csv(scored: DataFrame, keys: list[str], path: str, places: str = "%.2f") -> None:
     """sentence_id and a column for each reference, by company and year. Names may differ by case only, so the header is written as data."""
     names = F.lit(",".join(['"' + k.replace('"', '""') + '"' if set(k) & set(',"\n') else k for k in ["sentence_id", *keys]]))
     line = F.concat_ws(",", F.col("sentence_id").cast("string"), F.transform("scores", lambda x: F.coalesce(F.format_string(places, x), F.lit(""))))
-    body = scored.select("company", "year", F.col("sentence_id").alias("_id"), line.alias("value"))
-    head = scored.select("company", "year").distinct().select("company", "year", F.lit(-1).cast("long").alias("_id"), names.alias("value"))
+    body = cut(scored.select("company", "year", F.col("sentence_id").alias("_id"), line.alias("value")))  # scores are made once, for the lines and the headers
+    head = body.select("company", "year").distinct().select("company", "year", F.lit(-1).cast("long").alias("_id"), names.alias("value"))
     body.unionByName(head).repartition("company", "year").sortWithinPartitions("company", "year", "_id").select("company", "year", "value").write.mode("overwrite").partitionBy("company", "year").text(path)
 
 
@@ -36,7 +37,8 @@ def write_requests(requests: DataFrame, order: list[str], path: str, lines: int
 
 
 def write_tokens(tokens: DataFrame, path: str) -> None:
-    tokens.select("company", "year", "tokens").write.mode("overwrite").option("header", "true").csv(path)
+    """In the order of company and year, over all files."""
+    tokens.select("company", "year", "tokens").orderBy("company", "year").write.mode("overwrite").option("header", "true").csv(path)
 
 
 def write_manifest(rows: DataFrame, path: str) -> None:
