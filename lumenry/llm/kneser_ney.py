@@ -5,12 +5,12 @@ before a word, and under these a byte model of the same kind that spells words,
 are ranges of hashed pairs and of words. A task turns a block of documents into its distinct pairs and words, sorted, and asks each shard for
 its part of them; the shard's task holds the counts of its range and answers in their order; answers meet with the block's words,
 which travel as places in its own word list. What is held at once is a block, an answer, and one shard's counts; what comes to the driver are
-totals, 65,536 byte pairs and a bitmap of words. A block is named by its
+totals, 65,536 byte pairs and the ids of no more than MANY_WORDS words. A block is named by its
 input partition and number there, so a task that runs again gives the same; documents must come from files or a written table, whose
 rows keep their order. Neither shards nor blocks show in the results.
 
-Pairs are compared by all 64 bits of their words' ids, so neither the size of the input nor its plan shows in a result. Where the trusted words are no more than MANY_WORDS, a bitmap of
-their hashes goes to all tasks, and nothing is asked about words that it lacks, nor about their pairs: the answers would be 0, so the bitmap spares traffic and changes nothing.
+Pairs are compared by all 64 bits of their words' ids, so neither the size of the input nor its plan shows in a result. Where the trusted words are no more than MANY_WORDS, their ids
+go to all tasks, ranked by frequency: nothing is asked about other words, nor about their pairs, as the answers would be 0, and pairs travel as two ranks, which are small numbers. That spares traffic and changes nothing.
 
 Trusted documents are those labelled good (quality 1, toxic 0). One in HELD_OUT of them, by hash of doc_id, only sets
 thresholds: each language's quantile of their perplexities, from exact counts by thousandths of its logarithm; a
@@ -26,6 +26,7 @@ import math
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 from itertools import count
 
 import numpy as np
@@ -48,22 +49,22 @@ PAIR_BITS = 64
 BLOCK_TOKENS, BLOCK_DOCS = 1 << 22, 1 << 17
 #: Log probabilities of bytes are whole parts of one.
 FINE = 250
-#: Trusted words that a bitmap may be made of, and its bits for each (32 MB at most).
-MANY_WORDS, BITS_A_WORD = 1 << 23, 16
+#: Trusted words that are sent to all tasks with their ranks (8 bytes each).
+MANY_WORDS = 1 << 22
 HELD_OUT, QUANTILE, COARSE = 5, 0.995, 256
 
 
 # --- packing -------------------------------------------------------------------------------------
 
 
-def _pack(*columns: np.ndarray, rising: bool = True) -> bytes:
+def _pack(*columns: np.ndarray, rising: bool = True, level: int | None = None) -> bytes:
     """Columns of whole numbers, the first as differences if it rises, compressed by byte planes."""
     parts = [len(columns[0]).to_bytes(8, "little")]
     for k, c in enumerate(columns):
         c = np.diff(c.astype("<u8"), prepend=U(0)) if rising and k == 0 else c.astype("<u8")
         planes = max(1, (int(c.max()).bit_length() + 7) // 8) if len(c) else 1
         parts += [bytes([planes]), c.view(np.uint8).reshape(-1, 8)[:, :planes].T.tobytes()]
-    return zstandard.compress(b"".join(parts), 3 if rising else 9)
+    return zstandard.compress(b"".join(parts), level or (3 if rising else 9))
 
 
 def _unpack(payload: bytes, rising: bool = True) -> list[np.ndarray]:
@@ -144,14 +145,32 @@ class Model:
     types: int
     rest: float
     letters: np.ndarray
-    bitmap: np.ndarray | None = None
+    #: The ids of trusted words in order, and the rank of each by how often it comes; None where they are too many.
+    ids: np.ndarray | None = None
+    rank: np.ndarray | None = None
 
     def known(self, ids: np.ndarray) -> np.ndarray:
         """Whether words may occur in trusted text."""
-        if self.bitmap is None:
+        if self.ids is None:
             return np.ones(len(ids), bool)
-        at = ids.astype(U) * U(8 * len(self.bitmap)) >> U(32)
-        return self.bitmap[at >> U(3)] >> (at & U(7)).astype(np.uint8) & 1 > 0
+        return self.ids[np.minimum(np.searchsorted(self.ids, ids), len(self.ids) - 1)] == ids if len(self.ids) else np.zeros(len(ids), bool)
+
+    def halves(self, pairs: np.ndarray) -> list[np.ndarray]:
+        """Both words of pairs, by rank where there are ranks: frequent words have small numbers, which travel in few bits."""
+        own = [pairs >> U(32), pairs & U(0xFFFFFFFF)]
+        return own if self.ids is None else [self.rank[np.searchsorted(self.ids, x.astype(np.uint32))].astype(U) for x in own]
+
+    @cached_property
+    def by_rank(self) -> np.ndarray:
+        out = np.empty(len(self.ids), U)
+        out[self.rank] = self.ids
+        return out
+
+    def pairs_from(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        """The pairs of such halves."""
+        if self.ids is not None:
+            first, second = self.by_rank[first.astype(np.int64)], self.by_rank[second.astype(np.int64)]
+        return first << U(32) | second
 
     def spelled(self, words: list[bytes]) -> np.ndarray:
         """The log probability of each word by its bytes."""
@@ -369,20 +388,23 @@ def fit(counted: DataFrame, words: DataFrame) -> Model:
         letters[at.astype(np.int64)] += c.astype(np.int64)
     e = discounts(of_words)
     rest = float(e[1] * of_words[0] + e[2] * of_words[1] + e[3] * more) / types if types else 1.0
-    return Model(discounts(of_pairs), e, types, rest, spelling(letters), _bitmap(words, n_words) if n_words <= MANY_WORDS else None)
+    return Model(discounts(of_pairs), e, types, rest, spelling(letters), *(_ranked(words) if n_words <= MANY_WORDS else ()))
 
 
-def _bitmap(words: DataFrame, n_words: int) -> np.ndarray:
-    """Bits of the words' hashes; a row of bounded size for each shard comes to the driver."""
+def _ranked(words: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of no more than MANY_WORDS words in order, and their ranks by the tokens after them; a row for each shard comes to the driver."""
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([_pack(_unpack(x.as_py())[0]) for x in b.column(0)], pa.binary())], ["ids"])
+            yield pa.RecordBatch.from_arrays([pa.array([_pack(*_unpack(x.as_py())[:2]) for x in b.column(0)], pa.binary())], ["ids"])
 
-    bits = np.zeros(1 << max(6, (BITS_A_WORD * n_words).bit_length()), bool)
-    for r in words.select("payload").mapInArrow(keys, "ids binary").toLocalIterator():
-        bits[_unpack(r["ids"])[0] * U(len(bits)) >> U(32)] = True
-    return np.packbits(bits, bitorder="little")
+    found = [_unpack(r["ids"]) for r in words.select("payload").mapInArrow(keys, "ids binary").toLocalIterator()]
+    ids, times = (np.concatenate([x[k] for x in found]) if found else np.zeros(0, U) for k in (0, 1))
+    order = np.argsort(ids)
+    ids, times = ids[order], times[order]
+    rank = np.empty(len(ids), np.uint32)
+    rank[np.lexsort((ids, -times.astype(np.int64)))] = np.arange(len(ids), dtype=np.uint32)
+    return ids.astype(np.uint32), rank
 
 
 # --- scoring -------------------------------------------------------------------------------------
@@ -402,10 +424,17 @@ def score(docs: DataFrame, counted: DataFrame, words: DataFrame, model: Model, s
         return pa.RecordBatch.from_arrays([pa.array([r[k] if k < len(r) else None for r in rows], t) for k, t in enumerate(types)], schema.names)
 
     def asked(sequence: np.ndarray, ids: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, tuple, tuple]:
-        """Positions whose pair is asked about; (values, place of each position in them) of these pairs, and of the known words, in the order in which shards answer."""
+        """Positions whose pair is asked about; of these pairs their halves and shards, and of each position the place of its pair; (values, places) of the known words. All in the order in which shards answer."""
+        model = sent.value
         second = np.r_[sequence[1:], np.uint32(BEGIN)]
         at = np.flatnonzero(known[sequence] & known[np.where(second == BEGIN, np.uint32(END), second)])
-        return at, np.unique(pair_key(pairs_of(sequence, ids)[at], bits), return_inverse=True), np.unique(ids[known], return_inverse=True)
+        pairs, place = np.unique(pairs_of(sequence, ids)[at], return_inverse=True)
+        shard = np.searchsorted(_bounds(bits, shards), pair_key(pairs, bits), "right") - 1
+        halves = model.halves(pairs)
+        order = np.lexsort((halves[1], halves[0], shard))
+        back = np.empty(len(order), np.int64)
+        back[order] = np.arange(len(order))
+        return at, ([h[order] for h in halves], shard[order], back[place]), np.unique(ids[known], return_inverse=True)
 
     def named(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, Block]]:
         of = TaskContext.get().partitionId()  # documents are the first part of the unions below
@@ -426,9 +455,10 @@ def score(docs: DataFrame, counted: DataFrame, words: DataFrame, model: Model, s
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for name, home, block in named(batches):
             ids = block.ids()
-            _, (pairs, _), (own, _) = asked(block.sequence(), ids, sent.value.known(ids))
-            p, w = _cuts(pairs, bits, shards), _cuts(own.astype(U), 32, shards)
-            yield batch([(s, ASKED, name, home, _pack(pairs[p[s] : p[s + 1]]), _pack(own[w[s] : w[s + 1]])) for s in range(shards) if p[s + 1] > p[s] or w[s + 1] > w[s]])
+            _, (halves, shard, _), (own, _) = asked(block.sequence(), ids, sent.value.known(ids))
+            p, w = np.searchsorted(shard, np.arange(shards + 1)), _cuts(own.astype(U), 32, shards)
+            pairs = lambda s: _pack(*(h[p[s] : p[s + 1]] for h in halves), level=9)
+            yield batch([(s, ASKED, name, home, pairs(s), _pack(own[w[s] : w[s + 1]])) for s in range(shards) if p[s + 1] > p[s] or w[s + 1] > w[s]])
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nothing = [np.zeros(0, U)] * 6
@@ -441,7 +471,8 @@ def score(docs: DataFrame, counted: DataFrame, words: DataFrame, model: Model, s
                     own = _unpack(row[4])
                 else:
                     shard, _, name, home, p, w = row[:6]
-                    yield batch([(shard, ANSWER, name, home, _pack(*_looked_up(pairs[0], pairs[1:], _unpack(p)[0]), rising=False), _pack(*_looked_up(own[0], own[1:], _unpack(w)[0]), rising=False))])
+                    keys = pair_key(sent.value.pairs_from(*_unpack(p)), bits)
+                    yield batch([(shard, ANSWER, name, home, _pack(*_looked_up(pairs[0], pairs[1:], keys), rising=False), _pack(*_looked_up(own[0], own[1:], _unpack(w)[0]), rising=False))])
 
     out = T.StructType([T.StructField("doc_id", kind), T.StructField("lang", T.StringType()), T.StructField("n_words", T.LongType()), T.StructField("perplexity", T.DoubleType())])
 
@@ -455,7 +486,7 @@ def score(docs: DataFrame, counted: DataFrame, words: DataFrame, model: Model, s
             sequence = restored(_unpack(head[4], rising=False)[0], len(known))
             ids = np.zeros(len(known), np.uint32)
             ids[known] = _unpack(head[5][cut:], rising=False)[0]
-            at, (_, of_pair), (_, of_word) = asked(sequence, ids, known)
+            at, (_, _, of_pair), (_, of_word) = asked(sequence, ids, known)
             count, stats = np.zeros(len(sequence), U), np.zeros((5, len(ids)), U)
             if answers:
                 count[at] = np.concatenate([_unpack(p, rising=False)[0] for p, _ in answers])[of_pair]

@@ -430,7 +430,7 @@ def test_op9_ownership_and_masks(spark):
 
 
 def test_op10_model(spark, monkeypatch):
-    """Perplexities against a direct count of the same model; shards, blocks and the bitmap of words don't show."""
+    """Perplexities against a direct count of the same model; shards, blocks and the ranks of words don't show."""
     import math
 
     import numpy as np
