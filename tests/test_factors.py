@@ -31,7 +31,9 @@ def test_it_keeps_what_the_best_basis_keeps(docs, learned):
 
 
 def test_rarity(docs, learned):
-    have = np.array([[k in set(factors.row(r.text, 1024)[0].tolist()) for k in range(1024)] for r in docs.collect()])
+    have = np.zeros((docs.count(), 1024), bool)
+    for k, r in enumerate(docs.collect()):
+        have[k, factors.row(r.text, 1024)[0]] = True
     n = have.any(axis=1).sum()
     assert np.allclose(learned.rarity, np.log((n + 1) / (have.sum(axis=0) + 1)) + 1)
 
