@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 
 from lumenry.functions import factors, language, providers
 from lumenry.functions.answers import UNREADABLE, ZERO_WITH, answered
+from lumenry.functions.lineage import cut
 from lumenry.functions.text import custom_id_parts
-from lumenry.operators import batching, cube, references, reports, sampling, store
+from lumenry.operators import batching, buckets, cube, references, reports, sampling, store
 from lumenry.plans import stages
 from lumenry.sources import files, job_stream, jobs, sinks
 from lumenry.streaming import ingest, tracking
@@ -94,7 +95,15 @@ def tokens(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
     return rows.agg(F.count("*").alias("files"), F.countDistinct("company").alias("companies"), F.sum("tokens").alias("tokens"))
 
 
+def _buckets(spark: SparkSession, a: argparse.Namespace) -> buckets.BucketTable:
+    return buckets.BucketTable(spark, a.buckets, store.RESULTS)
+
+
 def load(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
+    """Adds the answers of response files to the results, which are a table or, with --buckets, a folder of buckets."""
+    if a.buckets:
+        _buckets(spark, a).append(stages.load_answers(files.responses(spark, a.outputs)))
+        return _buckets(spark, a).read().groupBy("batch_id").agg(F.count("*").alias("rows"))
     store.create(spark, a.table)
     store.append(stages.load_answers(files.responses(spark, a.outputs)), a.table)
     store.create_view(spark, a.table)
@@ -114,6 +123,12 @@ def audit(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
 
 
 def repair(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
+    """Puts repaired answers in place; in buckets, only those that hold one are written."""
+    if a.buckets:
+        made = _buckets(spark, a)
+        since, fixes = made.version(), cut(stages.repairs(made.read()))
+        made.update(fixes)
+        return spark.createDataFrame([(fixes.count(), len(made.changed(since)))], "repaired long, buckets int")
     seen = Observation("repair")
     store.replace(stages.repaired(spark.table(a.table), seen), a.table)
     return spark.createDataFrame([(seen.get["changed"],)], "repaired long")
@@ -228,14 +243,18 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("--ranks")
     c.add_argument("--encoding", help="name of an encoding or of a model")
     c.add_argument("--pattern", default=r"\S+|\s+")
-    command(load, "outputs").add_argument("--table", default="results")
+    c = command(load, "outputs")
+    c.add_argument("--table", default="results")
+    c.add_argument("--buckets", help="folder of a table in buckets")
     c = command(audit)
     c.add_argument("--from-table")
     c.add_argument("--from-batch-dir")
     c.add_argument("--texts")
     c.add_argument("--limit-first", type=int, default=5)
     c.add_argument("--seed", type=int, default=42)
-    command(repair).add_argument("--table", default="results")
+    c = command(repair)
+    c.add_argument("--table", default="results")
+    c.add_argument("--buckets", help="folder of a table in buckets")
     c = command(sample, "texts", "target")
     c.add_argument("--n", type=int, default=10)
     c.add_argument("--seed", type=int, default=42)

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lumenry.functions.lineage import cut
 from lumenry.operators.store import duplicates, updated
 
 #: Rows of updates that are sent to the buckets they meet; more are joined by shuffle.
@@ -124,6 +125,7 @@ class BucketTable:
 
     def append(self, rows: DataFrame, stream: str | None = None, batch: int | None = None) -> int | None:
         """Adds rows; refuses all of them if a key would occur twice. The new version, or None if the stream's batch was added before."""
+        rows = cut(rows.select(*self.schema.names))  # looked at more than once, and again if another writer is first
 
         def change(base: dict) -> dict | None:
             if stream is not None and base["batches"].get(stream, -1) >= batch:
@@ -145,6 +147,7 @@ class BucketTable:
 
     def update(self, updates: DataFrame, columns: dict[str, str] | None = None) -> int | None:
         """Puts the columns of updates (new name by old) into the rows of the same key; matched nulls replace too. Only buckets of the updates' keys are read and written."""
+        updates = cut(updates)
         if updates.isEmpty():
             return None
         few = F.broadcast(updates) if updates.count() <= MOST_SENT else updates
@@ -152,6 +155,7 @@ class BucketTable:
 
     def upsert(self, rows: DataFrame, stream: str | None = None, batch: int | None = None) -> int | None:
         """Rows in place of those of the same key, or new ones; a key that comes twice is refused."""
+        rows = cut(rows.select(*self.schema.names))
         if not duplicates(rows, self.key).isEmpty():
             raise ValueError(f"a {self.key} occurs twice")
 
@@ -164,6 +168,7 @@ class BucketTable:
         return self._again(change)
 
     def delete(self, keys: DataFrame) -> int | None:
+        keys = cut(keys.select(self.key))
         return self._again(lambda base: self._rewritten(lambda rows: rows.join(keys.select(self.key), self.key, "left_anti"), keys, base))
 
     def compact(self, most_files: int = 1) -> int | None:

@@ -47,3 +47,17 @@ def test_streams(spark, tmp_path, capsys):
     assert "|answered|false   |1  |" in said and "|waiting |false   |1  |" in said
     cli.main(["follow", at("jobs"), at("saved"), at("ck2"), "--client", "tests.test_files:Client", "--every", "0 seconds", "--seconds", "12"])
     assert "completed" in capsys.readouterr().out and (tmp_path / "saved" / "a.jsonl").exists()
+
+
+def test_results_in_buckets(spark, tmp_path, capsys):
+    from lumenry.operators import buckets, store
+
+    (tmp_path / "out").mkdir()
+    answer = lambda i, c: json.dumps({"custom_id": i, "response": {"status_code": 200, "body": {"choices": [{"message": {"content": c}}]}}})
+    (tmp_path / "out" / "batch_1.jsonl").write_text("\n".join([answer("a", "[0, 3, True]"), *(answer(f"b{k}", "[1, True]") for k in range(20))]))
+    cli.main(["load", str(tmp_path / "out"), "--buckets", str(tmp_path / "b")])
+    assert "|batch_1 |21  |" in capsys.readouterr().out
+    cli.main(["repair", "--buckets", str(tmp_path / "b")])
+    assert "|1       |1      |" in capsys.readouterr().out
+    rows = {r.custom_id: r.raw for r in buckets.BucketTable(spark, str(tmp_path / "b"), store.RESULTS).read().collect()}
+    assert len(rows) == 21 and rows["a"] == "[0, False]" and rows["b3"] == "[1, True]"
