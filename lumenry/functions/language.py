@@ -25,9 +25,12 @@ def triples(text: Column) -> Column:
     """The classes of a text's triples in order; characters beyond the basic plane count as one."""
     plain = F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), _UPPER, _LOWER), r"[^\x{0}-\x{FFFF}]", "?")
     points = F.transform(F.filter(F.split(plain, ""), lambda c: c != ""), lambda c: F.ascii(c))
-    at = lambda k: F.slice(points, k, F.greatest(F.size(points) - 2, F.lit(0)))
-    three = F.arrays_zip(at(1).alias("a"), at(2).alias("b"), at(3).alias("c"))
-    return F.transform(three, lambda t: F.pmod(t["a"] * FIRST + t["b"] * SECOND + t["c"], F.lit(BUCKETS)))
+
+    def classes(p: Column) -> Column:
+        at = lambda k: F.slice(p, k, F.greatest(F.size(p) - 2, F.lit(0)))
+        return F.zip_with(F.zip_with(at(1), at(2), lambda x, y: x * FIRST + y * SECOND), at(3), lambda s, c: F.pmod(s + c, F.lit(BUCKETS)))
+
+    return F.transform(F.array(points), classes)[0]  # as the only element, the code points are made once for all their uses
 
 
 def counts(texts: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
