@@ -1,15 +1,15 @@
-"""Sentences against references of any number: a product of blocks of both.
+"""Sentences against references of any number: a product of groups and blocks of both.
 
-Sentences are dealt into groups and references into blocks of bounded size; each (group, block) is one matrix product in one task, and what it finds is merged by aggregation. A
-sentence is copied once for each block of references and a reference once for each group of sentences; neither side is ever whole in a task or in the
-driver. References up to `scoring.MOST_REFERENCES` are cheaper as a dictionary (see scoring).
+Sentences are dealt into groups and references into blocks, each packed into one row of bounded size. A task holds one group and lets blocks pass, one matrix product after
+another; groups and blocks meet by a product of partitions, which reads both sides where they lie and writes neither again, so disk grows with sentences and references, not with
+their product (reading does, by sentences x references / group). Neither side is ever whole in a task or in the driver. References up to `scoring.MOST_REFERENCES` are cheaper as a dictionary (see scoring).
 
 Scores are rounded as everywhere: half to even in decimals. A null vector gives no score. Equal best scores go to the reference of least `ord`. Rows that occur twice count twice.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from decimal import ROUND_HALF_EVEN, Decimal
 
 import numpy as np
@@ -17,13 +17,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from lumenry.functions.lineage import cut
 
-#: Sentences of a group and references of a block, about.
+#: Sentences of a group and references of a block, about, where that makes no more of them than tasks are wanted.
 GROUP, BLOCK = 1 << 14, 1 << 12
-#: Rows of a group that are multiplied at a time.
-AT_ONCE = 1 << 10
+#: Numbers in the vectors of a group or a block at most, about; tasks for each core.
+CELLS, TASKS = 1 << 21, 4
+#: Rows of a group and references of a block that are multiplied at a time, and pairs that leave at a time.
+AT_ONCE, REFS_AT_ONCE, PAIRS_AT_ONCE = 1 << 10, 1 << 11, 1 << 16
+#: Two decimals: what rounding moves a score by, at most, and a little more.
+MOVED = 0.0051
 
 
 def half_even(scores: np.ndarray, places: int = 2) -> np.ndarray:
@@ -37,92 +42,178 @@ def half_even(scores: np.ndarray, places: int = 2) -> np.ndarray:
     return out
 
 
+def _may_be(scores: np.ndarray, least) -> np.ndarray:
+    """Where rounded scores may reach `least`; what is found is rounded and compared then, so that few scores are."""
+    return scores >= least - MOVED - 1e-9 * np.abs(least)
+
+
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     array = column.combine_chunks()
     return np.asarray(array.flatten(), np.float64).reshape(len(array), -1)
 
 
+def _packed(name: str, order: list[tuple[str, str]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """All rows of a partition as one, in an Arrow stream."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if held:
+            rows = pa.Table.from_batches(held)
+            rows = (rows.sort_by(order) if order else rows).combine_chunks()
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, rows.schema) as out:
+                out.write_table(rows)
+            yield pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary())], [name])
+
+    return pack
+
+
+def _opened(packed: bytes) -> pa.Table:
+    with pa.ipc.open_stream(packed) as rows:
+        return rows.read_all()
+
+
 class Grid:
-    """Sentences and references dealt for their product. Sentences are named by `_row`, unique in `sentences`; both sides are checkpointed, so a task that runs again deals alike."""
+    """Sentences and references dealt for their product. Sentences are named by `_row`, unique in `sentences`, and checkpointed, as are the blocks, so a task that runs again deals alike."""
 
     def __init__(self, sentences: DataFrame, refs: DataFrame, vector: str = "vec", key: str = "ref_key", order: str = "ord", group: int = GROUP, block: int = BLOCK):
+        self.vector = vector
         self.sentences = cut(sentences.where(F.col(vector).isNotNull()).withColumn("_row", F.monotonically_increasing_id()))
-        own = cut(refs.where(F.col(vector).isNotNull()).select(F.col(key).alias("ref_key"), F.col(order).cast("long").alias("ord"), F.col(vector).alias("ref_vec")))
-        n, m = self.sentences.count(), own.count()
-        groups, blocks = max(1, -(-n // group)), max(1, -(-m // block))
-        every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
-        left = self.sentences.select("_row", F.col(vector).alias("vec"), F.pmod(F.xxhash64("_row"), F.lit(groups)).cast("int").alias("g"), every(blocks).alias("b"))
-        right = own.withColumn("b", F.pmod(F.xxhash64("ref_key", "ord"), F.lit(blocks)).cast("int")).withColumn("g", every(groups))
-        self.pairs = left.groupBy("g", "b").cogroup(right.groupBy("g", "b"))
-
-    def product(self, found, schema: str) -> DataFrame:
-        """What found(rows, scores, refs) gives as columns for each part of a group: the rows' names, their rounded scores, and the block's references in order of ord."""
-        names = T.StructType.fromDDL(schema).names
-        kinds = pa.schema([pa.field(f.name, _ARROW[f.dataType.typeName()]) for f in T.StructType.fromDDL(schema).fields])
-
-        def run(left: pa.Table, right: pa.Table) -> pa.Table:
-            out = []
-            if left.num_rows and right.num_rows:
-                right = right.sort_by([("ord", "ascending"), ("ref_key", "ascending")])
-                refs = _matrix(right.column("ref_vec"))
-                refs = (refs / np.maximum(np.linalg.norm(refs, axis=1, keepdims=True), 1e-12)).T
-                rows = left.column("_row").to_numpy()
-                for at in range(0, left.num_rows, AT_ONCE):
-                    scores = half_even(_matrix(left.column("vec").slice(at, AT_ONCE)) @ refs)
-                    out.append(pa.Table.from_arrays([pa.array(c, kinds.field(k).type) for k, c in enumerate(found(rows[at : at + AT_ONCE], scores, right))], names=names))
-            return pa.concat_tables(out) if out else kinds.empty_table()
-
-        return self.pairs.applyInArrow(run, schema)
+        own = refs.where(F.col(vector).isNotNull()).select(F.col(key).alias("ref_key"), F.col(order).cast("long").alias("ord"), F.col(vector).alias("ref_vec"))
+        n, width = self.sentences.agg(F.count("*"), F.max(F.size(vector))).first()
+        m, most = own.count(), max(1, CELLS // max(1, width or 1))
+        tasks = TASKS * sentences.sparkSession.sparkContext.defaultParallelism
+        parts = lambda rows, least: max(1, min(-(-rows // least), max(-(-rows // most), tasks)))
+        self.groups, blocks = parts(n, group), parts(m, block)
+        dealt = own.repartitionById(blocks, F.pmod(F.xxhash64("ref_key", "ord"), F.lit(blocks)).cast("int"))
+        #: Blocks lie in one partition where there are groups enough for all tasks.
+        self.blocks = cut(dealt.mapInArrow(_packed("refs", [("ord", "ascending"), ("ref_key", "ascending")]), "refs binary")).coalesce(min(blocks, -(-tasks // self.groups)))
+
+    def product(self, found, schema: T.StructType, columns: list[str]) -> DataFrame:
+        """What found(group, blocks) gives as tables: the group's columns `columns`, and for each block its references in order of ord and the pieces of the product, (first row, first reference, scores).
+
+        Scores come as they are, not rounded. A group may meet its blocks in several tasks.
+        """
+        held = self.sentences.select(*columns, F.col(self.vector).alias("_vec"), F.pmod(F.xxhash64("_row"), F.lit(self.groups)).cast("int").alias("_g"))
+        groups = held.repartitionById(self.groups, "_g").drop("_g").mapInArrow(_packed("rows", []), "rows binary")
+        arrow = to_arrow_schema(schema)
+
+        def pieces(left: np.ndarray, right: pa.Table) -> Iterator[tuple[int, int, np.ndarray]]:
+            refs = _matrix(right.column("ref_vec"))
+            refs = (refs / np.maximum(np.linalg.norm(refs, axis=1, keepdims=True), 1e-12)).T
+            for at in range(0, refs.shape[1], REFS_AT_ONCE):
+                for of in range(0, len(left), AT_ONCE):
+                    yield of, at, left[of : of + AT_ONCE] @ refs[:, at : at + REFS_AT_ONCE]
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            pairs = ((r, s) for b in batches for r, s in zip(b.column("refs"), b.column("rows"), strict=True))
+            first = next(pairs, None)
+            if first is None:
+                return
+            group = _opened(first[1].as_buffer())  # a partition of groups has one row
+            left, group = _matrix(group.column("_vec")), group.drop_columns(["_vec"])
+
+            def blocks() -> Iterator[tuple[pa.Table, Iterator]]:
+                now = first
+                while now is not None:
+                    right = _opened(now[0].as_buffer())
+                    yield right, pieces(left, right)
+                    now = next(pairs, None)
+
+            for out in found(group, blocks()):
+                yield from pa.Table.from_arrays(out, names=arrow.names).cast(arrow).to_batches()
+
+        return self.blocks.hint("shuffle_replicate_nl").crossJoin(groups).mapInArrow(run, schema)
 
     def whole(self, merged: DataFrame) -> DataFrame:
         """The sentences with what was merged for them."""
         return self.sentences.join(merged, "_row", "left").drop("_row")
 
 
-_ARROW = {"long": pa.int64(), "double": pa.float64(), "string": pa.string()}
+def _ahead(ords: np.ndarray, keys: np.ndarray, other_ords: np.ndarray, other_keys: np.ndarray) -> np.ndarray:
+    """Which references come before others: by ord, then by key."""
+    out = ords < other_ords
+    for k in np.flatnonzero(ords == other_ords):
+        out[k] = (keys[k] is None, keys[k] or "") < (other_keys[k] is None, other_keys[k] or "")
+    return out
 
 
 def best(grid: Grid) -> DataFrame:
     """The sentences with ref_key, ord and score of their best reference."""
-
-    def found(rows, scores, refs):
-        usable = np.where(np.isnan(scores), -np.inf, scores)
-        place = usable.argmax(axis=1)  # the first of equal ones
-        ok = np.flatnonzero(~np.isnan(scores).all(axis=1))
-        place = place[ok]
-        return rows[ok], refs.column("ref_key").take(pa.array(place)).combine_chunks(), refs.column("ord").take(pa.array(place)).combine_chunks(), usable[ok, place]
-
-    each = grid.product(found, "_row long, ref_key string, ord long, score double")
-    first = each.groupBy("_row").agg(F.min(F.struct((-F.col("score")).alias("less"), "ord", "ref_key")).alias("x"))
+    no_ord = np.iinfo(np.int64).max
+
+    def found(group, blocks):
+        n = group.num_rows
+        score, ords, keys = np.full(n, np.nan), np.full(n, no_ord), np.full(n, None, object)
+        for refs, pieces in blocks:
+            ord_of, key_of = refs.column("ord").fill_null(no_ord).to_numpy(), np.array(refs.column("ref_key").to_pylist(), object)
+            for of, at, scores in pieces:
+                top = half_even(np.fmax.reduce(scores, axis=1))
+                live = np.flatnonzero((top >= score[of : of + len(top)]) | (np.isnan(score[of : of + len(top)]) & ~np.isnan(top)))
+                i, j = np.nonzero(_may_be(scores[live], top[live, None]))
+                same = half_even(scores[live[i], j]) == top[live[i]]
+                i, first = np.unique(i[same], return_index=True)  # the first of equal ones
+                row, ref, top = of + live[i], at + j[same][first], top[live[i]]
+                better = ~(top <= score[row]) | _ahead(ord_of[ref], key_of[ref], ords[row], keys[row])
+                row, ref = row[better], ref[better]
+                score[row], ords[row], keys[row] = top[better], ord_of[ref], key_of[ref]
+        ok = ~np.isnan(score)
+        yield [pa.array(group.column("_row").to_numpy()[ok]), pa.array(keys[ok], pa.string()), pa.array(ords[ok], mask=ords[ok] == no_ord), pa.array(score[ok])]
+
+    each = grid.product(found, T.StructType.fromDDL("_row long, ref_key string, ord long, score double"), ["_row"])
+    first = each.groupBy("_row").agg(F.min(F.struct((-F.col("score")).alias("less"), F.isnull("ord").alias("no_ord"), "ord", "ref_key")).alias("x"))
     return grid.whole(first.select("_row", "x.ref_key", "x.ord", (F.lit(0.0) - F.col("x.less")).alias("score")))
 
 
 def reached(grid: Grid, thresholds: list[float]) -> DataFrame:
     """The sentences with `counts`: how many references reach each threshold."""
 
-    def found(rows, scores, refs):
-        return rows, *[(scores >= t).sum(axis=1) for t in thresholds]
+    def found(group, blocks):
+        counts = np.zeros((len(thresholds), group.num_rows), np.int64)
+        for _, pieces in blocks:
+            for of, _, scores in pieces:
+                scores = half_even(scores)
+                for k, t in enumerate(thresholds):
+                    counts[k, of : of + len(scores)] += (scores >= t).sum(axis=1)
+        yield [pa.array(group.column("_row").to_numpy()), *map(pa.array, counts)]
 
     names = [f"n{k}" for k in range(len(thresholds))]
-    each = grid.product(found, ", ".join(["_row long", *[f"{x} long" for x in names]]))
+    each = grid.product(found, T.StructType.fromDDL(", ".join(["_row long", *[f"{x} long" for x in names]])), ["_row"])
     merged = each.groupBy("_row").agg(*[F.sum(x).alias(x) for x in names])
     return grid.whole(merged.select("_row", F.array(*names).alias("counts")))
 
 
-def pairs_at_least(grid: Grid, threshold: float) -> DataFrame:
-    """A row for each sentence and reference with a score at the threshold: the sentence's columns, ref_key, ord and score."""
+def pairs_at_least(grid: Grid, threshold: float, columns: list[str] | None = None) -> DataFrame:
+    """A row for each sentence and reference with a score at the threshold: the sentence's columns (those named, or all), ref_key, ord and score."""
+    own = [f for f in grid.sentences.schema.fields if f.name != "_row" and (columns is None or f.name in columns)]
 
-    def found(rows, scores, refs):
-        i, j = np.nonzero(scores >= threshold)
-        return rows[i], refs.column("ref_key").take(pa.array(j)).combine_chunks(), refs.column("ord").take(pa.array(j)).combine_chunks(), scores[i, j]
+    def found(group, blocks):
+        for refs, pieces in blocks:
+            for of, at, scores in pieces:
+                i, j = np.nonzero(_may_be(scores, threshold))
+                rounded = half_even(scores[i, j])
+                ok = rounded >= threshold
+                i, j, rounded = of + i[ok], at + j[ok], rounded[ok]
+                for k in range(0, len(i), PAIRS_AT_ONCE):
+                    row, ref = (pa.array(x[k : k + PAIRS_AT_ONCE]) for x in (i, j))
+                    yield [*group.take(row).columns, *refs.select(["ref_key", "ord"]).take(ref).columns, pa.array(rounded[k : k + PAIRS_AT_ONCE])]
 
-    each = grid.product(found, "_row long, ref_key string, ord long, score double")
-    return grid.sentences.join(each, "_row").drop("_row")
+    return grid.product(found, T.StructType([*own, *T.StructType.fromDDL("ref_key string, ord long, score double").fields]), [f.name for f in own])
 
 
 def threshold_counts(grid: Grid, thresholds: list[float]) -> DataFrame:
     """(theta, n_rows, n_selected): sentences with a score at each threshold, over all references."""
-    rows = reached(grid, thresholds)
-    got = rows.agg(F.count("*").alias("n_rows"), *[F.count_if(F.col("counts")[k] > 0).alias(f"n{k}") for k in range(len(thresholds))])
+
+    def found(group, blocks):
+        top = np.full(group.num_rows, np.nan)
+        for _, pieces in blocks:
+            for of, _, scores in pieces:
+                top[of : of + len(scores)] = np.fmax(top[of : of + len(scores)], np.fmax.reduce(scores, axis=1))
+        ok = ~np.isnan(top)
+        yield [pa.array(group.column("_row").to_numpy()[ok]), pa.array(half_even(top[ok]))]
+
+    # A sentence reaches a threshold if its greatest score does.
+    top = grid.product(found, T.StructType.fromDDL("_row long, score double"), ["_row"]).groupBy("_row").agg(F.max("score").alias("score"))
+    got = top.agg(*[F.count_if(F.col("score") >= t).alias(f"n{k}") for k, t in enumerate(thresholds)]).crossJoin(grid.sentences.agg(F.count("*").alias("n_rows")))
     each = F.array(*[F.struct(F.lit(float(t)).alias("theta"), F.col("n_rows"), F.col(f"n{k}").alias("n_selected")) for k, t in enumerate(thresholds)])
     return got.select(F.inline(each))

@@ -53,6 +53,22 @@ def test_blocks_equal_a_dictionary(spark, sides, size, monkeypatch):
     assert set(map(key, blocks.threshold_counts(grid, thetas).collect())) == set(map(key, reports.threshold_counts(scored, thetas).collect()))
 
 
+def test_nothing_is_copied_for_each_block(spark, sides):
+    """Rows that are written for a shuffle are as many as sentences, references and results, whatever the number of groups and blocks."""
+
+    def written() -> int:
+        context = spark.sparkContext._jsc.sc()
+        context.listenerBus().waitUntilEmpty()
+        stages = context.statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), None)
+        return sum(stages.apply(k).shuffleWriteRecords() for k in range(stages.size()))
+
+    thetas = [k / 20 for k in range(21)]
+    for job in (lambda g: blocks.threshold_counts(g, thetas), blocks.best, lambda g: blocks.pairs_at_least(g, 0.9)):
+        before = written()
+        job(blocks.Grid(*sides, group=7, block=9)).collect()
+        assert written() - before < 3 * (152 + 80)
+
+
 def test_no_references(spark, sides):
     sentences, refs = sides
     grid = blocks.Grid(sentences, refs.where("false"))
