@@ -69,6 +69,16 @@ def test_nothing_is_copied_for_each_block(spark, sides):
         assert written() - before < 3 * (152 + 80)
 
 
+def test_ties_between_blocks(spark, monkeypatch):
+    """Of equal best scores the reference of least ord, then of least key, wherever it lies; a vector without a score has none."""
+    monkeypatch.setattr(blocks, "REFS_AT_ONCE", 3)
+    refs = [(f"r{k:02d}", k // 4, [1.0, 0.0] if k > 9 else [0.0, 1.0]) for k in range(40)]
+    rows = [(0, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [math.nan, 1.0]), (3, [0.6, 0.8])]
+    sides = spark.createDataFrame(rows, "sentence_id long, vec array<double>"), spark.createDataFrame(refs, "ref_key string, ord long, vec array<double>")
+    got = {r.sentence_id: (r.ref_key, r.ord, r.score) for r in blocks.best(blocks.Grid(*sides, group=1, block=3)).collect()}
+    assert got == {0: ("r10", 2, 1.0), 1: ("r00", 0, 1.0), 2: (None, None, None), 3: ("r00", 0, 0.8)}
+
+
 def test_no_references(spark, sides):
     sentences, refs = sides
     grid = blocks.Grid(sentences, refs.where("false"))
