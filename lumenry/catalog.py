@@ -173,7 +173,7 @@ def block_best(spark, sf_dir):
 
 @query(f"{G_SQL} SELECT sentence_id, ref_key, score FROM p WHERE score >= 0.45")
 def block_pairs(spark, sf_dir):
-    return blocks.pairs_at_least(grid(spark, sf_dir), 0.45).select("sentence_id", "ref_key", "score")
+    return blocks.pairs_at_least(grid(spark, sf_dir), 0.45, ["sentence_id"]).select("sentence_id", "ref_key", "score")
 
 
 @query(f"{G_SQL}, {THETAS_SQL}, n AS (SELECT CAST(count(*) AS BIGINT) AS n_rows FROM s), m AS (SELECT sentence_id, max(score) AS score FROM p GROUP BY 1) SELECT theta, n_rows, (SELECT count(*) FROM m WHERE score >= theta) AS n_selected FROM t, n")
