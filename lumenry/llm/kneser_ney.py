@@ -10,7 +10,7 @@ input partition and number there, so a task that runs again gives the same; docu
 rows keep their order. Neither shards nor blocks show in the results.
 
 Pairs are compared by all 64 bits of their words' ids, so neither the size of the input nor its plan shows in a result. Where the trusted words are no more than MANY_WORDS, their ids
-go to all tasks, ranked by frequency: nothing is asked about other words, nor about their pairs, as the answers would be 0, and pairs travel as two ranks, which are small numbers. That spares traffic and changes nothing.
+go to all tasks with their counts, ranked by frequency: nothing is asked about words, nor about pairs with others, as the answers would be 0, and pairs travel as two ranks, which are small numbers. That spares traffic and changes nothing.
 
 Trusted documents are those labelled good (quality 1, toxic 0). One in HELD_OUT of them, by hash of doc_id, only sets
 thresholds: each language's quantile of their perplexities, from exact counts by thousandths of its logarithm; a
@@ -49,7 +49,7 @@ PAIR_BITS = 64
 BLOCK_TOKENS, BLOCK_DOCS = 1 << 22, 1 << 17
 #: Log probabilities of bytes are whole parts of one.
 FINE = 250
-#: Trusted words that are sent to all tasks with their ranks (8 bytes each).
+#: Trusted words that are sent to all tasks with their ranks and counts (13 bytes each, and 16 for each count above 254).
 MANY_WORDS = 1 << 22
 HELD_OUT, QUANTILE, COARSE = 5, 0.995, 256
 
@@ -58,12 +58,13 @@ HELD_OUT, QUANTILE, COARSE = 5, 0.995, 256
 
 
 def _pack(*columns: np.ndarray, rising: bool = True, level: int | None = None) -> bytes:
-    """Columns of whole numbers, the first as differences if it rises, compressed by byte planes."""
+    """Columns of whole numbers, the first as differences if it rises, compressed by byte planes, each ordered by the plane above it: bytes of small numbers stand together."""
     parts = [len(columns[0]).to_bytes(8, "little")]
     for k, c in enumerate(columns):
         c = np.diff(c.astype("<u8"), prepend=U(0)) if rising and k == 0 else c.astype("<u8")
         planes = max(1, (int(c.max()).bit_length() + 7) // 8) if len(c) else 1
-        parts += [bytes([planes]), c.view(np.uint8).reshape(-1, 8)[:, :planes].T.tobytes()]
+        own = c.view(np.uint8).reshape(-1, 8)[:, :planes].T
+        parts += [bytes([planes]), own[-1].tobytes(), *(own[p][np.argsort(own[p + 1], kind="stable")].tobytes() for p in range(planes - 2, -1, -1))]
     return zstandard.compress(b"".join(parts), level or (3 if rising else 9))
 
 
@@ -73,13 +74,33 @@ def _unpack(payload: bytes, rising: bool = True) -> list[np.ndarray]:
     while at < len(raw):
         planes = raw[at]
         c = np.zeros((n, 8), np.uint8)
-        c[:, :planes] = np.frombuffer(raw, np.uint8, n * planes, at + 1).reshape(planes, n).T
+        for k, p in enumerate(range(planes - 1, -1, -1)):
+            own = np.frombuffer(raw, np.uint8, n, at + 1 + k * n)
+            c[slice(None) if k == 0 else np.argsort(c[:, p + 1], kind="stable"), p] = own
         c = c.view("<u8").reshape(-1)
         out.append(np.cumsum(c, dtype=U) if rising and not out else c)
         at += 1 + n * planes
     return out
 
 
+def _runs(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """The second of sorted pairs as the difference from the one before, where both have the same first."""
+    same = np.r_[False, first[1:] == first[:-1]][: len(first)]
+    return np.where(same, second - np.r_[U(0), second[:-1]][: len(second)], second)
+
+
+def _out_of_runs(first: np.ndarray, runs: np.ndarray) -> np.ndarray:
+    at = np.flatnonzero(np.r_[True, first[1:] != first[:-1]][: len(first)])
+    summed = np.cumsum(runs, dtype=U)
+    return summed - np.repeat(np.r_[U(0), summed[at[1:] - 1]][: len(at)], np.diff(np.r_[at, len(first)]))
+
+
+def _narrow(column: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A column in bytes, and the places and values of what is 255 or more."""
+    at = np.flatnonzero(column >= U(255))
+    return np.minimum(column, U(255)).astype(np.uint8), at, column[at]
+
+
 def _bounds(bits: int, shards: int) -> np.ndarray:
     """The least value of each shard; shards are equal ranges of values of so many bits."""
     return np.array([-(-(s << bits) // shards) for s in range(shards)], U)
@@ -148,6 +169,8 @@ class Model:
     #: The ids of trusted words in order, and the rank of each by how often it comes; None where they are too many.
     ids: np.ndarray | None = None
     rank: np.ndarray | None = None
+    #: With ids, the columns of count_words in their order, narrow.
+    stats: list[tuple] | None = None
 
     def known(self, ids: np.ndarray) -> np.ndarray:
         """Whether words may occur in trusted text."""
@@ -158,19 +181,29 @@ class Model:
     def halves(self, pairs: np.ndarray) -> list[np.ndarray]:
         """Both words of pairs, by rank where there are ranks: frequent words have small numbers, which travel in few bits."""
         own = [pairs >> U(32), pairs & U(0xFFFFFFFF)]
-        return own if self.ids is None else [self.rank[np.searchsorted(self.ids, x.astype(np.uint32))].astype(U) for x in own]
+        return [self.names(x.astype(np.uint32)).astype(U) for x in own]
 
     @cached_property
     def by_rank(self) -> np.ndarray:
-        out = np.empty(len(self.ids), U)
+        out = np.empty(len(self.ids), np.uint32)
         out[self.rank] = self.ids
         return out
 
-    def pairs_from(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
-        """The pairs of such halves."""
-        if self.ids is not None:
-            first, second = self.by_rank[first.astype(np.int64)], self.by_rank[second.astype(np.int64)]
-        return first << U(32) | second
+    def of_words(self, ids: np.ndarray) -> np.ndarray:
+        """The columns of count_words at known ids."""
+        at, out = np.searchsorted(self.ids, ids), np.zeros((len(self.stats), len(ids)), U)
+        for row, (low, places, values) in zip(out, self.stats, strict=True):
+            row[:] = low[at]
+            more = row == 255
+            row[more] = values[np.searchsorted(places, at[more])]
+        return out
+
+    def names(self, ids: np.ndarray) -> np.ndarray:
+        """Known ids as they travel: by rank where there are ranks."""
+        return ids if self.ids is None else self.rank[np.searchsorted(self.ids, ids)]
+
+    def named(self, names: np.ndarray) -> np.ndarray:
+        return names if self.ids is None else self.by_rank[names.astype(np.int64)]
 
     def spelled(self, words: list[bytes]) -> np.ndarray:
         """The log probability of each word by its bytes."""
@@ -212,6 +245,11 @@ class Block:
         self.rows.append((*row, len(words)))
         self.tokens += len(words) + 1
 
+    def clear(self) -> None:
+        """Lets go of documents and words, where ids and sequence are all that is needed."""
+        self.docs.clear()
+        self.places.clear()
+
     def words(self) -> list[bytes]:
         return list(self.places)
 
@@ -250,7 +288,10 @@ def pairs_of(sequence: np.ndarray, ids: np.ndarray) -> np.ndarray:
     """The pairs of each position of a block's sequence: a word and the next one, or a document's last and its end."""
     second = np.r_[sequence[1:], np.uint32(BEGIN)]
     second = np.where(second == BEGIN, np.uint32(END), second)
-    return ids[sequence].astype(U) << U(32) | ids[second].astype(U)
+    out = ids[sequence].astype(U)
+    out <<= U(32)
+    out |= ids[second]
+    return out
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], tokens: int) -> Iterator[Block]:
@@ -332,7 +373,7 @@ def _merging(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, list
 
 
 def count_pairs(trusted: DataFrame, shards: int, bits: int, tokens: int) -> DataFrame:
-    """What trusted (text) holds, packed by shard: PAIRS (hash of pair, times), WORDS in parts (word; tokens after it, types after it seen once, twice and more, types before it), LETTERS (byte pair, times); settled."""
+    """What trusted (text) holds, packed by shard of the pair's hash: PAIRS (pair, times), WORDS in parts (word; tokens after it, types after it seen once, twice and more, types before it), LETTERS (byte pair, times); settled."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         letters = np.zeros(1 << 16, np.int64)
@@ -360,9 +401,7 @@ def count_pairs(trusted: DataFrame, shards: int, bits: int, tokens: int) -> Data
             none = np.zeros(len(keys), U)
             after = [first, c, *((m).astype(U) for m in (c == 1, c == 2, c > 2)), none]
             words = _merged([after, [second, none, none, none, none, ones]])
-            key = pair_key(keys, bits)
-            order = np.argsort(key)
-            yield _rows([(shard, PAIRS, _pack(key[order], c[order]), _classes(c)), *_parted(WORDS, words, words[0], 32, shards)])
+            yield _rows([(shard, PAIRS, _pack(keys, c), _classes(c)), *_parted(WORDS, words, words[0], 32, shards)])
 
     return settle(dealt(trusted.select("text").mapInArrow(emit, _PACKED), shards, "shard", "what").mapInArrow(merge, _PACKED))
 
@@ -391,20 +430,17 @@ def fit(counted: DataFrame, words: DataFrame) -> Model:
     return Model(discounts(of_pairs), e, types, rest, spelling(letters), *(_ranked(words) if n_words <= MANY_WORDS else ()))
 
 
-def _ranked(words: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The ids of no more than MANY_WORDS words in order, and their ranks by the tokens after them; a row for each shard comes to the driver."""
-
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([_pack(*_unpack(x.as_py())[:2]) for x in b.column(0)], pa.binary())], ["ids"])
-
-    found = [_unpack(r["ids"]) for r in words.select("payload").mapInArrow(keys, "ids binary").toLocalIterator()]
-    ids, times = (np.concatenate([x[k] for x in found]) if found else np.zeros(0, U) for k in (0, 1))
-    order = np.argsort(ids)
-    ids, times = ids[order], times[order]
+def _ranked(words: DataFrame) -> tuple[np.ndarray, np.ndarray, list[tuple]]:
+    """The ids of no more than MANY_WORDS words in order, their ranks by the tokens after them, and their columns, narrow; a row for each shard comes to the driver."""
+    found = [(c[0].astype(np.uint32), c[1], [_narrow(x) for x in c[1:]]) for r in words.select("payload").toLocalIterator() for c in [_unpack(r["payload"])]]
+    found.sort(key=lambda x: int(x[0][0]))  # shards are ranges of ids
+    ids = np.concatenate([x[0] for x in found]) if found else np.zeros(0, np.uint32)
+    times = np.concatenate([x[1] for x in found]) if found else np.zeros(0, U)
+    starts = np.cumsum([0, *(len(x[0]) for x in found)])
+    stats = [tuple(np.concatenate(x) for x in zip(*((low, at + start, values) for (low, at, values), start in zip((f[2][k] for f in found), starts[:-1], strict=True)), strict=True)) for k in range(5 if found else 0)]
     rank = np.empty(len(ids), np.uint32)
     rank[np.lexsort((ids, -times.astype(np.int64)))] = np.arange(len(ids), dtype=np.uint32)
-    return ids.astype(np.uint32), rank
+    return ids, rank, stats or [_narrow(np.zeros(0, U))] * 5
 
 
 # --- scoring -------------------------------------------------------------------------------------
@@ -418,20 +454,23 @@ def score(docs: DataFrame, counted: DataFrame, words: DataFrame, model: Model, s
     fields = [T.StructField(n, t) for n, t in (("shard", integer), ("what", integer), ("block", long), ("home", integer), ("payload", binary), ("words", binary))]
     schema = T.StructType([*fields, T.StructField("ids", T.ArrayType(kind)), T.StructField("langs", T.ArrayType(T.StringType())), T.StructField("sizes", T.ArrayType(long))])
     types = [pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.list_(id_type), pa.list_(pa.string()), pa.list_(pa.int64())]
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent, words_asked = docs.sparkSession.sparkContext.broadcast(model), model.ids is None
 
     def batch(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([r[k] if k < len(r) else None for r in rows], t) for k, t in enumerate(types)], schema.names)
 
-    def asked(sequence: np.ndarray, ids: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, tuple, tuple]:
-        """Positions whose pair is asked about; of these pairs their halves and shards, and of each position the place of its pair; (values, places) of the known words. All in the order in which shards answer."""
+    def asked(sequence: np.ndarray, ids: np.ndarray, known: np.ndarray, places: bool = True) -> tuple[np.ndarray, tuple, tuple]:
+        """Positions whose pair is asked about; of these pairs their halves and shards, and of each position the place of its pair, if `places`; (values, places) of the known words. All in the order in which shards answer."""
         model = sent.value
+        names = np.zeros(len(ids), np.uint32)
+        names[known] = model.names(ids[known])
         second = np.r_[sequence[1:], np.uint32(BEGIN)]
         at = np.flatnonzero(known[sequence] & known[np.where(second == BEGIN, np.uint32(END), second)])
-        pairs, place = np.unique(pairs_of(sequence, ids)[at], return_inverse=True)
-        shard = np.searchsorted(_bounds(bits, shards), pair_key(pairs, bits), "right") - 1
-        halves = model.halves(pairs)
-        order = np.lexsort((halves[1], halves[0], shard))
+        pairs, place = np.unique(pairs_of(sequence, names)[at], return_inverse=True) if places else (np.unique(pairs_of(sequence, names)[at]), slice(0))
+        halves = [pairs >> U(32), pairs & U(0xFFFFFFFF)]
+        key = pair_key(model.named(halves[0]).astype(U) << U(32) | model.named(halves[1]).astype(U), bits)
+        shard = np.searchsorted(_bounds(bits, shards), key, "right") - 1
+        order = np.argsort(shard.astype(np.uint16 if shards <= 1 << 16 else np.uint32), kind="stable")
         back = np.empty(len(order), np.int64)
         back[order] = np.arange(len(order))
         return at, ([h[order] for h in halves], shard[order], back[place]), np.unique(ids[known], return_inverse=True)
@@ -449,30 +488,48 @@ def score(docs: DataFrame, counted: DataFrame, words: DataFrame, model: Model, s
             ids = block.ids()[old]
             known = model.known(ids)
             first = _pack(2 * np.round(-FINE * spelled[old]).astype(np.int64) + known, rising=False)
-            words = len(first).to_bytes(8, "little") + first + _pack(ids[known], rising=False)
+            words = len(first).to_bytes(8, "little") + first + _pack(model.names(ids[known]), rising=False)
             yield batch([(home, HEADER, name, home, _pack(sequence, rising=False), words, *(list(c) for c in zip(*block.rows, strict=True)))])
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for name, home, block in named(batches):
-            ids = block.ids()
-            _, (halves, shard, _), (own, _) = asked(block.sequence(), ids, sent.value.known(ids))
+            ids, sequence = block.ids(), block.sequence()
+            block.clear()
+            _, (halves, shard, _), (own, _) = asked(sequence, ids, sent.value.known(ids), places=False)
+            own = own if words_asked else own[:0]  # else the model has what there is to know about them
             p, w = np.searchsorted(shard, np.arange(shards + 1)), _cuts(own.astype(U), 32, shards)
-            pairs = lambda s: _pack(*(h[p[s] : p[s + 1]] for h in halves), level=9)
-            yield batch([(s, ASKED, name, home, pairs(s), _pack(own[w[s] : w[s + 1]])) for s in range(shards) if p[s + 1] > p[s] or w[s + 1] > w[s]])
+            pairs = lambda s: packed_pairs(*(h[p[s] : p[s + 1]] for h in halves))
+            yield batch([(s, ASKED, name, home, pairs(s), _pack(own[w[s] : w[s + 1]]) if words_asked else None) for s in range(shards) if p[s + 1] > p[s] or w[s + 1] > w[s]])
+
+    def by_halves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Counted pairs in the order in which they are asked about."""
+        for b in batches:
+            for shard, payload in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                pairs, times = _unpack(payload)
+                halves = sent.value.halves(pairs)
+                order = np.argsort(halves[0] << U(32) | halves[1])
+                yield batch([(shard, PAIRS, -1, None, packed_pairs(*(c[order] for c in (*halves, times))))])
+
+    def packed_pairs(first: np.ndarray, second: np.ndarray, *more: np.ndarray) -> bytes:
+        return _pack(first, _runs(first, second), *more, level=9)
+
+    def opened_pairs(payload: bytes) -> list[np.ndarray]:
+        first, runs, *more = _unpack(payload)
+        return [first << U(32) | _out_of_runs(first, runs), *more]
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nothing = [np.zeros(0, U)] * 6
-        pairs, own = nothing[:2], nothing
+        pairs, own = nothing[:2], nothing  # pairs of ranks where there are ranks, as they are asked about
         for b in batches:
             for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if row[1] == PAIRS:
-                    pairs = _unpack(row[4])
+                    pairs = opened_pairs(row[4])
                 elif row[1] == WORDS:
                     own = _unpack(row[4])
                 else:
                     shard, _, name, home, p, w = row[:6]
-                    keys = pair_key(sent.value.pairs_from(*_unpack(p)), bits)
-                    yield batch([(shard, ANSWER, name, home, _pack(*_looked_up(pairs[0], pairs[1:], keys), rising=False), _pack(*_looked_up(own[0], own[1:], _unpack(w)[0]), rising=False))])
+                    of_words = _pack(*_looked_up(own[0], own[1:], _unpack(w)[0]), rising=False) if words_asked else None
+                    yield batch([(shard, ANSWER, name, home, _pack(*_looked_up(pairs[0], pairs[1:], *opened_pairs(p)), rising=False), of_words)])
 
     out = T.StructType([T.StructField("doc_id", kind), T.StructField("lang", T.StringType()), T.StructField("n_words", T.LongType()), T.StructField("perplexity", T.DoubleType())])
 
@@ -485,11 +542,14 @@ def score(docs: DataFrame, counted: DataFrame, words: DataFrame, model: Model, s
             known, spelled = spelled % U(2) > 0, (spelled // U(2)).astype(np.float64) / -FINE
             sequence = restored(_unpack(head[4], rising=False)[0], len(known))
             ids = np.zeros(len(known), np.uint32)
-            ids[known] = _unpack(head[5][cut:], rising=False)[0]
+            ids[known] = model.named(_unpack(head[5][cut:], rising=False)[0])
             at, (_, _, of_pair), (_, of_word) = asked(sequence, ids, known)
             count, stats = np.zeros(len(sequence), U), np.zeros((5, len(ids)), U)
             if answers:
                 count[at] = np.concatenate([_unpack(p, rising=False)[0] for p, _ in answers])[of_pair]
+            if not words_asked:
+                stats[:, known] = model.of_words(ids[known])
+            elif answers:
                 stats[:, known] = [np.concatenate(c)[of_word] for c in zip(*(_unpack(w, rising=False) for _, w in answers), strict=True)]
             total, once, twice, more, before = stats
             lower, backoff = model.lower(before, spelled), model.backoff(total, once, twice, more)
@@ -512,7 +572,9 @@ def score(docs: DataFrame, counted: DataFrame, words: DataFrame, model: Model, s
             yield done()
 
     none = [F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields]
-    tables = counted.where(F.col("what") == PAIRS).unionByName(words).select("shard", "what", F.lit(-1).cast("long").alias("block"), none[3], "payload", *none[5:])
+    tables = counted.where(F.col("what") == PAIRS).select("shard", "payload").mapInArrow(by_halves, schema)
+    if words_asked:
+        tables = tables.unionByName(words.select("shard", "what", F.lit(-1).cast("long").alias("block"), none[3], "payload", *none[5:]))
     # Documents are read twice, once for what is asked and once for what the answers meet: only the answers move twice.
     own = docs.select("doc_id", "lang", "text")
     answers = dealt(own.mapInArrow(ask, schema).unionByName(tables), shards, "shard", "what", "block").mapInArrow(answer, schema)

@@ -671,6 +671,50 @@ def test_long_chain_is_one_component(spark):
     assert all(got[k] == 0 for k in range(401)) and all(got[2000 + k] == 1000 for k in range(300)) and len(got) == 702
 
 
+def test_op10_packing():
+    """Packed columns and runs come back whole, counts of any size too, and tokens by frequency take less than their byte planes do."""
+    import numpy as np
+    import zstandard
+
+    from lumenry.llm import kneser_ney as kn
+
+    rng = np.random.default_rng(3)
+    tokens = np.minimum(rng.zipf(1.2, 200_000), 90_000).astype(np.uint64)
+    packed = kn._pack(tokens, rising=False)
+    assert (kn._unpack(packed, rising=False)[0] == tokens).all()
+    assert len(packed) < 0.97 * len(zstandard.compress(tokens.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :3].T.tobytes(), 9))
+    for n in (0, 1, 2, 5000):
+        first, second, more = np.sort(rng.integers(0, 300, n).astype(np.uint64)), rng.integers(0, 1 << 32, n).astype(np.uint64), rng.integers(0, 1 << 63, n).astype(np.uint64)
+        back = kn._unpack(kn._pack(first, kn._runs(first, second), more))
+        assert (back[0] == first).all() and (kn._out_of_runs(back[0], back[1]) == second).all() and (back[2] == more).all()
+    counts = [np.array([0, 254, 255, 256, 1 << 40, 3], np.uint64) + np.uint64(k) for k in range(5)]
+    ids = np.array([1, 5, 9, 70, 1 << 31, (1 << 32) - 1], np.uint32)
+    model = kn.Model(np.zeros(4), np.zeros(4), 0, 1.0, np.zeros((256, 256)), ids, np.argsort(ids).astype(np.uint32)[::-1], [kn._narrow(c) for c in counts])
+    at = np.array([5, 2, 2, 0, 4, 1, 3])
+    assert (model.of_words(ids[at]) == np.array(counts)[:, at]).all() and (model.named(model.names(ids)) == ids).all()
+
+
+def test_op10_words_are_not_asked_about(spark):
+    """Known words' counts lie in the model: a shuffle takes less than it would if each block asked for them."""
+    import random
+
+    from lumenry.llm import kneser_ney as kn
+
+    def written() -> int:
+        context = spark.sparkContext._jsc.sc()
+        context.listenerBus().waitUntilEmpty()
+        stages = context.statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), None)
+        return sum(stages.apply(k).shuffleWriteBytes() for k in range(stages.size()))
+
+    rnd = random.Random(5)
+    texts = [" ".join(f"v{int(rnd.paretovariate(0.25)) % 30_000}" for _ in range(70)) for _ in range(4000)]
+    docs = spark.createDataFrame([(k, t, "en") for k, t in enumerate(texts)], "doc_id long, text string, lang string").repartition(3)
+    labels = spark.createDataFrame([(k, 1, 0) for k in range(2500)], "doc_id long, quality int, toxic int")
+    before = written()
+    assert kn.classify(docs, labels, shards=3).count() == 4000
+    assert written() - before < 3_100_000  # 3.44 MB where words were asked about, 2.81 now
+
+
 def test_op10_thresholds_are_exact_quantiles(spark):
     import math
 
