@@ -168,7 +168,7 @@ def grid(spark: SparkSession, sf_dir: str) -> blocks.Grid:
 
 @query(f"{G_SQL} SELECT sentence_id, ref_key, score FROM p QUALIFY row_number() OVER (PARTITION BY sentence_id ORDER BY score DESC, ord) = 1")
 def block_best(spark, sf_dir):
-    return blocks.best(grid(spark, sf_dir)).select("sentence_id", "ref_key", "score")
+    return blocks.best(grid(spark, sf_dir), ["sentence_id"]).select("sentence_id", "ref_key", "score")
 
 
 @query(f"{G_SQL} SELECT sentence_id, ref_key, score FROM p WHERE score >= 0.45")

@@ -69,6 +69,42 @@ def test_nothing_is_copied_for_each_block(spark, sides):
         assert written() - before < 3 * (152 + 80)
 
 
+def test_best_deals_sides_as_they_lie(spark, sides):
+    """Sentences and references are checkpointed, but neither goes through a shuffle: what is written for one is a few rows a partition, for the count of rows."""
+
+    def written() -> int:
+        context = spark.sparkContext._jsc.sc()
+        context.listenerBus().waitUntilEmpty()
+        stages = context.statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), None)
+        return sum(stages.apply(k).shuffleWriteRecords() for k in range(stages.size()))
+
+    sentences, refs = (x.repartition(3).localCheckpoint() for x in sides)
+    before = written()
+    grid = blocks.Grid(sentences, refs, group=3, block=9)
+    assert (grid.slices > 1, grid.passes) == (True, 1)
+    got = blocks.best(grid, ["sentence_id"])
+    assert got.columns == ["sentence_id", "ref_key", "ord", "score"] and len(got.collect()) == 152
+    assert written() - before < 20
+
+
+@pytest.mark.parametrize("shuffled", [False, True])
+def test_however_sides_lie(spark, sides, shuffled, monkeypatch):
+    """Uneven and empty partitions, dealt as they lie or by a shuffle; blocks in one partition or in several."""
+    if shuffled:
+        monkeypatch.setattr(blocks, "UNEVEN", 0)
+    sentences, refs = sides
+    scored, keys = of_dictionary(sides)
+    row = lambda r: (r.sentence_id, r.company, r.ref_key, r.score)
+    want = Counter(map(row, reports.best_reference(scored.where("scores is not null"), keys).collect()))
+    sentences = sentences.repartitionByRange(2, "sentence_id").where("sentence_id < 0").unionAll(sentences.where("sentence_id >= 20").coalesce(1)).unionAll(sentences.where("sentence_id < 20").coalesce(1))
+    refs = refs.where("ord < 3").coalesce(1).unionAll(refs.where("ord >= 3").repartition(5, "ord"))
+    for group, block in ((3, 4), (30, 4), (100, 4), (1000, 1000)):
+        grid = blocks.Grid(sentences, refs, group=group, block=block)
+        assert (grid.slices == 0) == shuffled
+        assert Counter(map(row, blocks.best(grid).collect())) == want
+        assert Counter(map(row, blocks.best(grid, ["sentence_id", "company"]).collect())) == want
+
+
 def test_ties_between_blocks(spark, monkeypatch):
     """Of equal best scores the reference of least ord, then of least key, wherever it lies; a vector without a score has none."""
     monkeypatch.setattr(blocks, "REFS_AT_ONCE", 3)
